@@ -157,10 +157,18 @@ class Encoder:
         got[0] = "\0" + got[0]
         return got
 
+    def _split(self, piece: str) -> list[str]:
+        """A piece's words; the two commonest shapes need no pattern."""
+        if piece.isalpha():
+            return [f" {piece}"]
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+            return [f" {piece[:-1]}", piece[-1]]
+        return self.find(piece[1:] if piece[:1] == "\0" else f" {piece}")
+
     def _learn(self, pieces: list[str]) -> None:
         if len(self.words) > self.most_words:
             self.words = {}
-        split = [self.find(p[1:] if p[:1] == "\0" else f" {p}") for p in pieces]
+        split = [self._split(p) for p in pieces]
         fresh = list({w for s in split for w in s if w not in self.words})
         self.words.update(zip(fresh, merge_words([w.encode() for w in fresh], self.v)))
         get = self.words.__getitem__
@@ -175,11 +183,11 @@ class Encoder:
                 parts = [self._pieces(t)] if t else []
             plan.append(parts)
             cut += [p for p in parts if not isinstance(p, int)]
-        fresh = {x for p in cut for x in p if x not in self.pieces}
+        seen = set().union(*cut)
+        fresh = seen.difference(self.pieces)
         if fresh:
             if len(self.pieces) + len(fresh) > self.most:  # the tables start anew, so all of this block counts
-                self.pieces = {}
-                fresh = {x for p in cut for x in p}
+                self.pieces, fresh = {}, seen
             self._learn(list(fresh))
         get = self.pieces.__getitem__
         return [b"".join(x.to_bytes(4, "little") if isinstance(x, int) else b"".join(map(get, x)) for x in parts) for parts in plan]
