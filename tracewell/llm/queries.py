@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, packing, simhash, substring_dedup
+from tracewell.llm import bpe, packing, pii, quality_gam, simhash, substring_dedup
 from tracewell.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -29,6 +37,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op5_packing": op5_packing,
+    "op6_quality_gam": op6_quality_gam,
+    "op7_pii_pseudonyms": op7_pii_pseudonyms,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
