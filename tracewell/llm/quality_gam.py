@@ -184,11 +184,11 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), np.array([float(r.quality > 0) for r in got]))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` (all kept), then ``gam_score``."""
-    fields = [f for f in docs.schema.fields if f.name != "gam_score"]
+def scored(docs: DataFrame, model: Model, out: str = "gam_score") -> DataFrame:
+    """The columns of ``docs``, then the score; a column of that name is replaced."""
+    fields = [f for f in docs.schema.fields if f.name != out]
     at = [f.name for f in fields].index("text")
-    schema = T.StructType([*fields, T.StructField("gam_score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,4 +212,4 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject."""
-    return scored(docs, learned(docs, labels, sample)).where(F.col("gam_score") >= THRESHOLD).drop("gam_score").select(*docs.columns)
+    return scored(docs, learned(docs, labels, sample), "__gam_score").where(F.col("__gam_score") >= THRESHOLD).drop("__gam_score")

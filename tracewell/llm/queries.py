@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, packing, pii, quality_gam, simhash, substring_dedup
+from tracewell.llm import bpe, packing, pii, quality_gam, simhash, substring_dedup, weak_rules
 from tracewell.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.digest(weak_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_quality_gam": op6_quality_gam,
     "op7_pii_pseudonyms": op7_pii_pseudonyms,
+    "op8_weak_quality_rules": op8_weak_quality_rules,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
