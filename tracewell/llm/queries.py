@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, packing, pii, quality_gam, simhash, substring_dedup, weak_rules
+from tracewell.llm import bpe, fixity, hash_index, packing, pii, quality_gam, simhash, substring_dedup, url_rules, weak_rules
 from tracewell.llm.common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.rule_table(spark))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audit_of_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_index.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -39,7 +51,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_warc_fixity": op3_warc_fixity,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_packing": op5_packing,
     "op6_quality_gam": op6_quality_gam,
     "op7_pii_pseudonyms": op7_pii_pseudonyms,
@@ -47,4 +62,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_rules.ORACLE, "op3_warc_fixity": fixity.ORACLE}
