@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.plans import etl
+from tracewell.plans.text import registered
+from tracewell.sources.mapping import BASE
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+for _plans in (etl,):
+    _queries, _checks = registered(_plans.TEXTS, BASE | _plans.COMMON)
+    QUERIES |= _queries
+    ORACLE_SQL |= _checks
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["alerted_node_coverage"](spark, sf_dir)
+    """Which alerts exceed their group's threshold, and which nodes do they cover?"""
+    return QUERIES["node_coverage"](spark, sf_dir)
