@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import etl
+from tracewell.plans import etl, evaluation
 from tracewell.plans.text import registered
 from tracewell.sources.mapping import BASE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _plans in (etl,):
-    _queries, _checks = registered(_plans.TEXTS, BASE | _plans.COMMON)
+_COMMON = BASE | etl.COMMON | evaluation.COMMON
+for _plans in (etl, evaluation):
+    _queries, _checks = registered(_plans.TEXTS, _COMMON)
     QUERIES |= _queries
     ORACLE_SQL |= _checks
 
