@@ -57,7 +57,7 @@ TEXTS: dict[str, str] = {
     "group_thresholds": "SELECT level, target_case, action, src_kind, dst_kind, n, thr, extreme, vmax, eligible FROM group_thr",
     "resolve_group_threshold": "SELECT host, event_id, round(threshold, 6) AS threshold, threshold_level FROM resolved",
     "node_coverage": """
-SELECT host, node_id, min_by(event_id, stream_pos) AS first_alert, max_by(event_id, stream_pos) AS last_alert, sum(as_src) AS n_src, sum(as_dst) AS n_dst, max(score) AS max_score FROM (
+SELECT host, node_id, min_by(event_id, stream_pos) AS first_alert, max_by(event_id, stream_pos) AS last_alert, CAST(sum(as_src) AS BIGINT) AS n_src, CAST(sum(as_dst) AS BIGINT) AS n_dst, max(score) AS max_score FROM (
   SELECT host, info_src AS node_id, event_id, stream_pos, score, 1 AS as_src, CASE WHEN info_src = info_dst THEN 1 ELSE 0 END AS as_dst FROM group_alerts
   UNION ALL SELECT host, info_dst, event_id, stream_pos, score, 0, 1 FROM group_alerts WHERE info_src <> info_dst) t GROUP BY host, node_id""",
     "label_distribution": "SELECT host, split, label, count(*) AS n FROM labeled GROUP BY host, split, label",
@@ -74,7 +74,7 @@ SELECT c.target_case, c.n, CASE WHEN c.n >= 100 THEN c.thr ELSE g.thr END AS thr
 WITH b AS (SELECT action, least(19999, CAST(floor((score - lo) / (hi - lo) * 20000) AS BIGINT)) AS bin, count(*) AS n, min(lo) AS lo, min(hi) AS hi FROM (
   SELECT action, score, min(score) OVER (PARTITION BY action) AS lo, max(score) OVER (PARTITION BY action) AS hi FROM flow) x GROUP BY action, least(19999, CAST(floor((score - lo) / (hi - lo) * 20000) AS BIGINT))),
 c AS (SELECT *, sum(n) OVER (PARTITION BY action ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY action) AS total FROM b)
-SELECT action, max(total) AS total, round(min(CASE WHEN upto >= ceil(0.99 * total) THEN least(hi, lo + (bin + 1) * (hi - lo) / 20000) END), 4) AS q99,
+SELECT action, CAST(max(total) AS BIGINT) AS total, round(min(CASE WHEN upto >= ceil(0.99 * total) THEN least(hi, lo + (bin + 1) * (hi - lo) / 20000) END), 4) AS q99,
   round(min(CASE WHEN upto >= ceil(0.5 * total) THEN least(hi, lo + (bin + 1) * (hi - lo) / 20000) END), 4) AS q50 FROM c GROUP BY action""",
     "budget_threshold": """
 WITH r AS (SELECT host, score, row_number() OVER (PARTITION BY host ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY host) AS n FROM flow WHERE split = 'validation')
@@ -112,7 +112,7 @@ SELECT tp, strict_fp, ignored, fp, round(tp / CAST(tp + strict_fp AS DOUBLE), 9)
     "event_fp_groups": """
 SELECT action, src_kind, dst_kind, label, count(*) AS n, count_if(label > 0) AS tp, count_if(label = 0) AS fp, round(avg(CASE WHEN label > 0 THEN 1.0E0 ELSE 0.0E0 END), 9) AS precision, min(score) AS min_score, max(score) AS max_score, round(avg(score), 4) AS mean_score FROM alerts GROUP BY action, src_kind, dst_kind, label""",
     "node_fp_groups": """
-SELECT kind, bad, count(*) AS n_nodes, sum(support) AS support, max(max_score) AS max_score FROM (
+SELECT kind, bad, count(*) AS n_nodes, CAST(sum(support) AS BIGINT) AS support, max(max_score) AS max_score FROM (
   SELECT t.host, t.node_id, max(t.kind) AS kind, max(CASE WHEN g.node_id IS NULL THEN 0 ELSE 1 END) AS bad, count(*) AS support, max(t.score) AS max_score FROM alert_touch t LEFT JOIN gt_nodes g ON g.node_id = t.node_id GROUP BY t.host, t.node_id) x GROUP BY kind, bad""",
     "event_confusion": f"""
 WITH e AS (SELECT l.host, l.label, l.score >= a.thr AS is_alert FROM labeled l JOIN action_thresholds a ON a.action = l.action WHERE l.split = 'test'),
@@ -125,11 +125,11 @@ c AS (SELECT host, mode, {_CONF} FROM m GROUP BY host, mode) SELECT host, mode,
 WITH p AS (SELECT l.host, l.actor_id, bool_or(l.label > 0) AS pos, bool_or(l.score >= a.thr) AS is_alert FROM labeled l JOIN action_thresholds a ON a.action = l.action WHERE l.split = 'test' GROUP BY l.host, l.actor_id),
 c AS (SELECT host, {_CONF} FROM p GROUP BY host) SELECT host, tp, fp, fn, tn, {rates('tp', 'fp', 'fn')} FROM c""",
     "attack_window_metrics": """
-SELECT w.name, count(a.event_id) AS n_alerts, count(a.event_id) > 0 AS detected, round((min(a.ts_us) - min(/*spark unix_micros(CAST(w.start_ts AS TIMESTAMP))*//*duck epoch_us(w.start_ts)*/)) / 1000000.0, 6) AS seconds_to_detect
+SELECT w.name, count(a.event_id) AS n_alerts, count(a.event_id) > 0 AS detected, round((min(a.ts_us) - min(/*spark unix_micros(CAST(w.start_ts AS TIMESTAMP))*//*duck epoch_us(w.start_ts)*/)) / 1000000.0E0, 6) AS seconds_to_detect
 FROM attack_windows w LEFT JOIN alerts a ON a.ts BETWEEN w.start_ts AND w.end_ts AND a.label > 0 GROUP BY w.name""",
     "average_precision": """
 WITH c AS (SELECT host, label > 0 AS pos, rk, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY rk) AS tp, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY host) AS p FROM test_ranked)
-SELECT host, max(p) AS positives, round(sum(CASE WHEN pos THEN tp / CAST(rk AS DOUBLE) ELSE 0.0 END) / max(p), 9) AS average_precision FROM c GROUP BY host""",
+SELECT host, CAST(max(p) AS BIGINT) AS positives, round(sum(CASE WHEN pos THEN tp / CAST(rk AS DOUBLE) ELSE 0.0 END) / max(p), 9) AS average_precision FROM c GROUP BY host""",
     "roc_auc": """
 WITH r AS (SELECT host, label > 0 AS pos, n - rk + 1 AS up FROM test_ranked)
 SELECT host, round((sum(CASE WHEN pos THEN up ELSE 0 END) - count_if(pos) * (count_if(pos) + 1) / 2.0) / (count_if(pos) * CAST(count_if(NOT pos) AS DOUBLE)), 9) AS auc FROM r GROUP BY host""",

@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import etl, evaluation
+from tracewell.operators import thresholds
+from tracewell.plans import etl, evaluation, profiles
 from tracewell.plans.text import registered
 from tracewell.sources.mapping import BASE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-_COMMON = BASE | etl.COMMON | evaluation.COMMON
-for _plans in (etl, evaluation):
+_COMMON = BASE | etl.COMMON | evaluation.COMMON | profiles.COMMON
+for _plans in (etl, evaluation, profiles):
     _queries, _checks = registered(_plans.TEXTS, _COMMON)
     QUERIES |= _queries
     ORACLE_SQL |= _checks
 
+# these have an operator of their own; the text stays as the check
+QUERIES |= {f.__name__: f for f in (thresholds.group_thresholds, thresholds.resolve_group_threshold, thresholds.node_coverage)}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which alerts exceed their group's threshold, and which nodes do they cover?"""
