@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.operators import thresholds
+from tracewell.operators import learning, thresholds
 from tracewell.plans import etl, evaluation, profiles
 from tracewell.plans.text import registered
 from tracewell.queries import stateful
@@ -23,7 +23,7 @@ for _plans in (etl, evaluation, profiles):
 
 # these have an operator of their own; the text stays as the check
 QUERIES |= {f.__name__: f for f in (thresholds.group_thresholds, thresholds.resolve_group_threshold, thresholds.node_coverage)}
-QUERIES |= stateful.QUERIES
+QUERIES |= stateful.QUERIES | learning.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
