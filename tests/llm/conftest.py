@@ -4,7 +4,7 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.abspath(os.path.join(os.path.dirname(__file__), "..", "..")))
+sys.path[:0] = [os.path.abspath(os.path.join(os.path.dirname(__file__), "..", "..")), os.path.dirname(__file__)]
 
 
 @pytest.fixture(scope="session")
