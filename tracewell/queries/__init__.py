@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.operators import learning, thresholds
-from tracewell.plans import etl, evaluation, profiles
+from tracewell.plans import etl, evaluation, profiles, semantics
 from tracewell.plans.text import registered
 from tracewell.queries import stateful
 from tracewell.sources.mapping import BASE
@@ -15,8 +15,8 @@ from tracewell.sources.mapping import BASE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-_COMMON = BASE | etl.COMMON | evaluation.COMMON | profiles.COMMON
-for _plans in (etl, evaluation, profiles):
+_COMMON = BASE | etl.COMMON | evaluation.COMMON | profiles.COMMON | semantics.COMMON
+for _plans in (etl, evaluation, profiles, semantics):
     _queries, _checks = registered(_plans.TEXTS, _COMMON)
     QUERIES |= _queries
     ORACLE_SQL |= _checks
