@@ -8,7 +8,7 @@ the map in the state store and only loads what a micro-batch touches. Rows behin
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, MutableMapping
+from collections.abc import Callable, Iterator, MutableMapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-States = MutableMapping[str, list[float]]
+#: names to numbers: lists or numpy arrays
+States = MutableMapping[str, Sequence[float]]
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,9 @@ def folded(events: DataFrame, fold: Fold) -> DataFrame:
                     out.append(got)
             yield pd.DataFrame(out, columns=names)
 
-    return events.select(*columns).repartition(*fold.key).sortWithinPartitions(*fold.key, *fold.order).mapInPandas(run, fold.output)
+    # a given number, as the size of the rows says little about the work of a step
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.select(*columns).repartition(parts, *fold.key).sortWithinPartitions(*fold.key, *fold.order).mapInPandas(run, fold.output)
 
 
 class _Stored(dict):
@@ -56,7 +59,7 @@ class _Stored(dict):
         super().__init__()
         self.kept, self.changed = kept, set()
 
-    def __missing__(self, name: str) -> list[float]:
+    def __missing__(self, name: str) -> Sequence[float]:
         if not self.kept.containsKey((name,)):
             raise KeyError(name)
         value = list(self.kept.getValue((name,))[0])
@@ -72,7 +75,7 @@ class _Stored(dict):
     def __contains__(self, name: object) -> bool:
         return super().__contains__(name) or self.kept.containsKey((name,))
 
-    def __setitem__(self, name: str, value: list[float]) -> None:
+    def __setitem__(self, name: str, value: Sequence[float]) -> None:
         self.changed.add(name)
         super().__setitem__(name, value)
 

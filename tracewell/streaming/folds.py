@@ -7,6 +7,7 @@ their unit of scale. Node-keyed folds only need a node's own past and scale with
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -35,19 +36,25 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / n if n > 1e-8 else x
 
 
+@lru_cache(maxsize=None)
 def message(action: str, src_kind: str, dst_kind: str) -> np.ndarray:
     return unit(_ACTION[action] + _SOURCE[src_kind] + _TARGET[dst_kind])
 
 
+def length(h) -> float:
+    h = np.asarray(h)
+    return round(math.sqrt(float(h @ h)), 9)
+
+
 def norm_of(states, name: str) -> float:
     h = states.get(name)
-    return 0.0 if h is None else round(float(np.linalg.norm(h)), 9)
+    return 0.0 if h is None else length(h)
 
 
 def _ema(states, name: str, m: np.ndarray, q: float = 1.0, keep: np.ndarray = KEEP) -> np.ndarray:
     h = states.get(name)
     h = keep * (0.0 if h is None else np.asarray(h)) + (1 - keep) * q * m
-    states[name] = h.tolist()
+    states[name] = h
     return h
 
 
@@ -147,7 +154,7 @@ def _memory(states, e) -> tuple:
 def _node_vector(keep: np.ndarray):
     def step(states, e) -> tuple:
         h = _ema(states, "h", message(e.action, e.kind, e.peer_kind), keep=keep)
-        return e.host, int(e.node_id), int(e.stream_pos), round(float(np.linalg.norm(h)), 9)
+        return e.host, int(e.node_id), int(e.stream_pos), length(h)
 
     return step
 
