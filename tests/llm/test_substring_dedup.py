@@ -63,3 +63,21 @@ def test_suffix_array_and_prefixes():
         for a, b, h in zip(cut, cut[1:], lcp[1:]):
             same = next((i for i in range(min(50, len(a), len(b))) if a[i] != b[i]), min(50, len(a), len(b)))
             assert same == h
+
+
+def test_pieces_that_share_more_than_the_array_is_sorted_by():
+    rnd = random.Random(3)
+    pieces, owner = [], []
+    for _ in range(400):
+        head = bytes(rnd.choice(b"ab") for _ in range(rnd.randint(64, 76)))
+        for c in rnd.sample([b"x", b"y", b"a", b"b"], 2):
+            pieces.append(head + c + bytes(rnd.choice(b"ab") for _ in range(rnd.randint(20, 60))))
+            owner.append(len(owner))
+    owner = np.array(rnd.sample(owner, len(owner)), np.int64)
+    least = {}
+    for p, o in zip(pieces, owner.tolist()):
+        for i in range(len(p) - 49):
+            least[p[i : i + 50]] = min(least.get(p[i : i + 50], o), o)
+    want = [[least[p[i : i + 50]] for i in range(len(p) - 49)] for p in pieces]
+    for shard in (1 << 20, 5000):
+        assert [x.tolist() for x in suffixes.least_owner(pieces, owner, 50, shard)] == want

@@ -51,7 +51,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lane: int =
     """For each place in ``order``, the bytes its suffix shares with the one before it, counted up to ``most``.
 
     Kasai's walk through the text, where each position starts from one less than its predecessor had; taken in lanes of
-    ``lane`` positions that step together.
+    ``lane`` positions that step together. ``order`` need only hold for the suffixes' first ``most`` bytes: where it puts
+    the next position before its old neighbour's next one (a tie that later bytes don't break), the count starts anew.
     """
     n = len(text)
     out = np.zeros(n, np.int64)
@@ -78,7 +79,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lane: int =
             k[grow] += 1
         out[place[i]] = k
         h[:] = 0
-        h[live] = np.maximum(k - 1, 0)
+        after = (i + 1 < n) & (j + 1 < n)
+        after[after] = place[j[after] + 1] < place[i[after] + 1]
+        h[live] = np.where(after, np.maximum(k - 1, 0), 0)
     return out
 
 
