@@ -47,6 +47,22 @@ def test_what_fails_its_check_stays():
         assert pii.pseudonymised(t) == (t, [])
 
 
+def test_cards_beside_other_numbers():
+    card = "4845168114407329"
+    for shape in (card, "4845 1681 1440 7329", "4845-1681-1440-7329", "3782 822463 10005"):
+        for text in ("pay 12 {} now", "{} 12", "7 {} 345", "123-{}", "{}-1", "1 2 3 4 5 6 7 {} 8 9", "219-09-9999 {}", "{0} {0}", "5 {0} 12 {0} 3", "+1 988-555-2485 {} 12"):
+            whole = text.format(shape)
+            new, found = pii.pseudonymised(whole)
+            alone = pii.pseudonymised(shape)[0]
+            at = [m.start() for m in re.finditer(re.escape(shape), whole)]
+            assert [f["start"] for f in found if f["kind"] == "card"] == at, (whole, found)
+            assert shape not in new and new.count(alone) == len(at)
+            if "219" not in text and "+1" not in text:
+                assert new == text.format(alone)
+            assert pii.pseudonymised(new, back=True)[0] == whole
+    assert pii.pseudonymised("pay 12 4845168114407328 now") == ("pay 12 4845168114407328 now", [])
+
+
 def test_rows(spark):
     rows = [(1, "mail a1@b.co", "x"), (1, "mail a1@b.co", "x"), (None, None, "y"), (3, "", "z"), (4, "no " * 9000 + "10.1.2.3", "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii_found string")
