@@ -52,3 +52,20 @@ def test_recall(spark):
     got = {(r.query_id, r.vec_id) for r in h.search(table).collect()}
     hits = [(q, i) in got for q, near in want.items() for i, _ in near]
     assert np.mean(hits) >= 0.9
+
+
+def test_every_query_has_all_its_ranks(spark):
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=16)
+    # outliers are asked for, and lie opposite to a tight cluster
+    clustered = [(i, (-middle + rng.normal(size=16) if i % 50 == 0 else middle + 0.01 * rng.normal(size=16)).tolist()) for i in range(301)]
+    small = [[(50 * i, rng.normal(size=64).tolist()) for i in range(n)] for n in (2, 4, 10)]
+    for rows in (clustered, *small):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        for part_rows in (h.PART_ROWS, 40):
+            got = {}
+            for r in h.search(df, part_rows=part_rows).collect():
+                got.setdefault(r.query_id, []).append(r.rank)
+            assert {q: sorted(k) for q, k in got.items()} == {i: list(range(1, min(5, len(rows) - 1) + 1)) for i, _ in rows if i % 50 == 0}
+    exact = {(r.query_id, r.rank, r.vec_id) for r in h.search(spark.createDataFrame(small[1], "vec_id long, embedding array<double>")).collect()}
+    assert exact == {(q, k, i) for q, near in brute(small[1]).items() for k, (i, _) in enumerate(near, 1)}

@@ -6,7 +6,9 @@ fitted on at most SAMPLE distinct vectors, the first by a hash; their signs are
 Search. A code within RADIUS bits of a query's differs from it in at most ``radius // substrings`` bits in some substring (one
 bit less suffices in all but the first ``radius % substrings + 1``), so probing those neighbours of each substring's value
 retrieves every code within the radius. Retrieved codes are checked in full, and the cosines of those in reach are
-computed on the original vectors, in double precision. Each task returns a query's few nearest; these are merged.
+computed on the original vectors, in double precision. Each task returns a query's few nearest; these are merged. Queries
+that find fewer rows in reach than they are due (outliers, small tables) are then compared with every vector, part by part,
+so that each has all its ranks.
 
 Skew. Equal vectors are one entry, with the smallest of their ids: more can't be among the nearest. An index cell (substring,
 value) with too many different vectors is salted over several parts, and a query goes to all of them. A part's index rows
@@ -172,21 +174,35 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, code:
     names = ["part", "kind", "j", "key", "least", "v", "code"]
     ddl = "part int, kind byte, j int, key long, least long, v array<double>, code long"
     queries = coded.join(asked.select("key").distinct(), "key", "left_semi").select("key", "least", "v", "code")
-    sent = coded.mapInArrow(spread_index, ddl).unionByName(queries.mapInArrow(spread_queries, ddl))
-    parts = max(placed.parts, 1)
-    near = sent.repartition(min(parts, 20_000) if parts > 1 else shuffle_partitions(spark), "part").sortWithinPartitions("part", "kind").mapInArrow(_look_up(code, d, take), "query_key long, key long, least long, score double")
-    by_query = Window.partitionBy("query_key").orderBy(F.desc("score"), "least", "key")
-    top = near.dropDuplicates(["query_key", "key"]).withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= take).select("query_key", "key", "score")
-    found = top.join(entries.select("key", "ids"), "key").select("query_key", "score", F.explode("ids").alias("vec_id"))
-    few = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(few)).where(F.col("n") <= take).select("query_key", "score", "vec_id")
+
+    def looked_up(index: DataFrame, probes: DataFrame, parts: int, every_code: bool) -> DataFrame:
+        """query_key, score, vec_id: the nearest that the parts found for each query, at most ``take``."""
+        sent = index.unionByName(probes)
+        near = sent.repartition(min(parts, 20_000) if parts > 1 else shuffle_partitions(spark), "part").sortWithinPartitions("part", "kind").mapInArrow(_look_up(code, d, take, every_code), "query_key long, key long, least long, score double")
+        by_query = Window.partitionBy("query_key").orderBy(F.desc("score"), "least", "key")
+        top = near.dropDuplicates(["query_key", "key"]).withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= take).select("query_key", "key", "score")
+        found = top.join(entries.select("key", "ids"), "key").select("query_key", "score", F.explode("ids").alias("vec_id"))
+        few = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("n", F.row_number().over(few)).where(F.col("n") <= take).select("query_key", "score", "vec_id")
+
+    found = stage(looked_up(coded.mapInArrow(spread_index, ddl), queries.mapInArrow(spread_queries, ddl), max(placed.parts, 1), False), "index-found")
+    size = entries.agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).first()
+    served = found.groupBy(F.col("query_key").alias("key")).count().where(F.col("count") >= min(take, size["ids"])).select("key")
+    short = stage(queries.join(served, "key", "left_anti").select("key", "least", "v", "code"), "index-short")
+    if not short.isEmpty():
+        # every vector goes to one part, every such query to all of them
+        parts = -(-size["n"] // part_rows)
+        columns = [F.lit(0).alias("j"), "key", "least", "v", "code"]
+        index = coded.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), F.lit(0).cast("byte").alias("kind"), *columns)
+        probes = short.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).cast("byte").alias("kind"), *columns)
+        found = found.join(short.select(F.col("key").alias("query_key")), "query_key", "left_anti").unionByName(looked_up(index, probes, parts, True))
     pairs = asked.join(found, asked.key == found.query_key).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
-def _look_up(code: Code, d: int, take: int):
-    """Rows sorted by (part, kind): a part's index rows are gathered, then its queries probe them as they come."""
+def _look_up(code: Code, d: int, take: int, every_code: bool):
+    """Rows sorted by (part, kind): a part's index rows are gathered, then its queries probe them as they come, or are compared with all of them."""
     masks = code.masks()
 
     def probe(index: dict, b: pa.RecordBatch) -> list[tuple]:
@@ -194,14 +210,17 @@ def _look_up(code: Code, d: int, take: int):
         keys, vectors, codes = b.column(3).to_numpy(), _matrix(b.column(5), d), b.column(6).to_numpy().view(np.uint64)
         values = code.values(codes)
         for q in range(len(keys)):
-            rows = []
-            for j, m in enumerate(masks):
-                wanted = j << 48 | (values[q, j] ^ m)
-                lo, hi = np.searchsorted(index["cell"], wanted), np.searchsorted(index["cell"], wanted, side="right")
-                n = hi - lo
-                rows.append(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-            at = np.unique(index["entry"][np.concatenate(rows)])
-            at = at[np.bitwise_count(index["code"][at] ^ codes[q]) <= code.radius]
+            if every_code:
+                at = np.arange(len(index["key"]))
+            else:
+                rows = []
+                for j, m in enumerate(masks):
+                    wanted = j << 48 | (values[q, j] ^ m)
+                    lo, hi = np.searchsorted(index["cell"], wanted), np.searchsorted(index["cell"], wanted, side="right")
+                    n = hi - lo
+                    rows.append(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+                at = np.unique(index["entry"][np.concatenate(rows)])
+                at = at[np.bitwise_count(index["code"][at] ^ codes[q]) <= code.radius]
             if not len(at):
                 continue
             v = vectors[q]
