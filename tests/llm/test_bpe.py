@@ -42,3 +42,9 @@ def test_round_trip(spark):
     back = bpe.decoded(bpe.encoded(df)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((i or 0, t or "") for i, t, _ in rows)
     assert bpe.round_trip(df.limit(0)).count() == 0
+
+
+def test_nul_in_text():
+    texts = ["a \0b", "\0", " \0", "\0a \0\0 \0", "x<|endoftext|> \0b", "b", "\0b", "a  \0b \0b"]
+    assert ids(texts) == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert [OURS.v.decode(np.array(x, np.int64)).decode() for x in ids(texts)] == texts

@@ -151,21 +151,23 @@ class Encoder:
         self.marks = [s for s in self.v.special]
         self.most, self.most_words, self.pieces, self.words = most, most_words, {}, {}
 
-    def _pieces(self, text: str) -> list[str]:
-        """A text cut before spaces; all pieces but the first have lost the space before them, and get it as a mark."""
+    def _pieces(self, text: str) -> list[str | tuple[str]]:
+        """A text cut before spaces; all pieces but the first have lost the space before them; the first is told by its type, since text may hold any character."""
         got = text.split(" ") if not self.odd(text) else self.cut(text)
-        got[0] = "\0" + got[0]
+        got[0] = (got[0],)
         return got
 
-    def _split(self, piece: str) -> list[str]:
+    def _split(self, piece: str | tuple[str]) -> list[str]:
         """A piece's words; the two commonest shapes need no pattern."""
+        if isinstance(piece, tuple):
+            return self.find(piece[0])
         if piece.isalpha():
             return [f" {piece}"]
         if piece[-1:] in (".", ",") and piece[:-1].isalpha():
             return [f" {piece[:-1]}", piece[-1]]
-        return self.find(piece[1:] if piece[:1] == "\0" else f" {piece}")
+        return self.find(f" {piece}")
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str | tuple[str]]) -> None:
         if len(self.words) > self.most_words:
             self.words = {}
         split = [self._split(p) for p in pieces]
