@@ -1,8 +1,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
+from tracewell.operators import learning
 from tracewell.operators.quantiles import quantile_higher
 
 
@@ -16,3 +18,11 @@ def test_quantile_higher_is_exact(spark, q):
         if v is not None:
             groups.setdefault(k, []).append(v)
     assert got == {k: (len(v), sorted(v)[math.ceil(q * (len(v) - 1))], max(v)) for k, v in groups.items()}
+
+
+def test_mean_cov_fit_takes_every_dimension(spark):
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()], float)
+    got = sorted(learning.mean_cov_fit(spark, "/root/testdata/sf0.001").collect())
+    assert [r.i for r in got] == list(range(x.shape[1]))
+    assert np.allclose([r.mean for r in got], x.mean(axis=0)) and np.allclose([r.scale for r in got], x.std(axis=0))
+    assert np.allclose([r.inverse for r in got], np.linalg.pinv(np.cov(x.T, bias=True) + 1e-3 * np.eye(x.shape[1])))

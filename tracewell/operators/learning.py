@@ -203,18 +203,26 @@ def fit_ridge_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(w)], "input int, weights array<double>")
 
 
-def mean_cov_fit(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
-    """Mean, scale and inverse ridge covariance of the first dimensions of the embeddings."""
-    x = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.slice("embedding", 1, dims).alias("x"))
-    pairs = x.select(F.posexplode("x").alias("i", "a"), "x").select("i", "a", F.posexplode("x").alias("j", "b"))
-    sums = {(r["i"], r["j"]): r for r in pairs.groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("a").alias("s"), F.sum(F.col("a").cast("double") * F.col("b")).alias("ab")).collect()}  # dims ** 2 rows
-    if not sums:
-        return spark.createDataFrame([], "i int, mean double, scale double, inverse array<double>")
-    n = sums[0, 0]["n"]
-    mean = np.array([sums[i, i]["s"] / n for i in range(dims)])
-    cov = np.array([[sums[i, j]["ab"] / n for j in range(dims)] for i in range(dims)]) - np.outer(mean, mean)
+def mean_cov_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, scale and inverse ridge covariance of all dimensions of the embeddings."""
+    schema = "i int, mean double, scale double, inverse array<double>"
+    data = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding IS NOT NULL").select(F.col("embedding").cast("array<double>").alias("x"))
+    lengths = data.agg(F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("most")).first()
+    if not lengths["most"]:
+        return spark.createDataFrame([], schema)
+    if lengths["least"] != lengths["most"]:
+        raise ValueError(f"embeddings have from {lengths['least']} to {lengths['most']} dimensions")
+    dims = lengths["most"]
+
+    def part(pdf: pd.DataFrame) -> np.ndarray:
+        x = np.stack(pdf["x"].to_numpy()).astype(float)
+        return np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel()))
+
+    g = summed(data, part, 1 + dims + dims * dims)
+    n, mean = g[0], g[1 : dims + 1] / g[0]
+    cov = g[dims + 1 :].reshape(dims, dims) / n - np.outer(mean, mean)
     inverse = np.linalg.pinv(cov + 1e-3 * np.eye(dims))
-    return spark.createDataFrame([(i, float(mean[i]), float(np.sqrt(max(cov[i, i], 0))), [float(v) for v in inverse[i]]) for i in range(dims)], "i int, mean double, scale double, inverse array<double>")
+    return spark.createDataFrame([(i, float(mean[i]), float(np.sqrt(max(cov[i, i], 0))), [float(v) for v in inverse[i]]) for i in range(dims)], schema)
 
 
 # --- library models -------------------------------------------------------------------------------------------------
