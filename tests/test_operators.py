@@ -26,3 +26,11 @@ def test_mean_cov_fit_takes_every_dimension(spark):
     assert [r.i for r in got] == list(range(x.shape[1]))
     assert np.allclose([r.mean for r in got], x.mean(axis=0)) and np.allclose([r.scale for r in got], x.std(axis=0))
     assert np.allclose([r.inverse for r in got], np.linalg.pinv(np.cov(x.T, bias=True) + 1e-3 * np.eye(x.shape[1])))
+
+
+def test_transfer_logistic_leaves_out_every_host(spark, monkeypatch):
+    rows = [(f"h{h:02d}", f"n{h}-{k}", k + 1, float(k * (h + 1) % 5), float(k % 2)) for h in range(17) for k in range(4)]
+    made = spark.createDataFrame(rows, "host string, node_id string, support long, node_score double, label double").coalesce(1)
+    monkeypatch.setattr(learning, "run", lambda *_: made)
+    got = learning.transfer_logistic(spark, "").select("host", "node_id").collect()
+    assert sorted(map(tuple, got)) == sorted(r[:2] for r in rows)

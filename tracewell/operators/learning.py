@@ -249,7 +249,7 @@ def transfer_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.avg("label").over(Window.partitionBy("host"))
     rows = stage(VectorAssembler(inputCols=["log_support", "node_score"], outputCol="raw").transform(rows.withColumn("weight", F.when(F.col("label") > 0, 1 - share).otherwise(share))).select("host", "node_id", "label", "weight", "raw"), "transfer")
     out = None
-    for host in [r[0] for r in rows.select("host").distinct().orderBy("host").limit(16).collect()]:
+    for host in [r[0] for r in rows.select("host").distinct().orderBy("host").collect()]:
         train = rows.where(F.col("host") != host)
         scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(train)
         model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=20).fit(scaler.transform(train))
