@@ -10,11 +10,12 @@ from tracewell.llm import bpe
 
 PATH = bpe.default_vocabulary()
 LIBRARY = Tokenizer.from_file(PATH)
-OURS = bpe.Encoder(PATH, most=200, most_words=300)
+OURS = bpe.Encoder(PATH, most_words=300)
 
 
 def ids(texts):
-    return [np.frombuffer(x, "<u4").tolist() for x in OURS.encode(texts)]
+    found, at = OURS.encode_block([t.encode() for t in texts])
+    return [found[a:b].tolist() for a, b in zip(at, at[1:])]
 
 
 @settings(max_examples=300, deadline=None)
@@ -48,3 +49,25 @@ def test_nul_in_text():
     texts = ["a \0b", "\0", " \0", "\0a \0\0 \0", "x<|endoftext|> \0b", "b", "\0b", "a  \0b \0b"]
     assert ids(texts) == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
     assert [OURS.v.decode(np.array(x, np.int64)).decode() for x in ids(texts)] == texts
+
+
+def test_a_word_of_a_megabyte():
+    rnd = random.Random(7)
+    text = "".join(rnd.choice("etaoinshrdlu") for _ in range(1_000_000))
+    assert ids([text, "b"]) == [e.ids for e in LIBRARY.encode_batch([text, "b"], add_special_tokens=False)]
+
+
+def test_endings_and_blanks():
+    texts = ["it's 's ''s '\'s a'll 're x've'd'm1't 'r e' 'r", "a'", "'", "'s", " 's", "x\n's", "x \n y\n\nz  \n", "\u2003a \u2003b\u2003 c"]
+    assert ids(texts) == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    for t in texts:
+        assert ids([t]) == [LIBRARY.encode(t, add_special_tokens=False).ids]
+
+
+def test_merging_one_by_one(monkeypatch):
+    rnd = random.Random(5)
+    words = [bytes(rnd.choice(b"aab e") for _ in range(700)) for _ in range(5)]
+    want = [x.tolist() for x in bpe.merge_words(words, OURS.v)]
+    assert OURS.v.ordered
+    monkeypatch.setattr(OURS.v, "ordered", False)
+    assert [x.tolist() for x in bpe.merge_words(words, OURS.v)] == want

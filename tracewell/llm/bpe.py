@@ -5,11 +5,18 @@ their children, so the root yields the lowest rank and, among equal ones, the le
 (the pair itself, the one before, the one that vanishes) and the nodes above them, until the root shows that no mergeable
 pair is left. Many words are taken at once: row i of every array is word i's tree, and all rows step together.
 
-Texts are first cut where a space stands before a character that isn't white space (no token spans such a place), so that
-one look-up finds the ids of a whole piece; pieces not seen before are split by the vocabulary's pattern. The look-up
-tables are bounded and start anew when full. The special token's string in a text becomes its id, as in the library.
-
-Defined results. Null text is empty: no ids. Any text decodes to itself.
+Texts are taken in blocks. A block's words (the vocabulary's splitting rule, applied to all its characters at once) are
+made a dictionary by Arrow, so that each distinct word is looked up or merged once, and a text's ids are gathered from the
+distinct words' ids. The look-up table is bounded and starts anew when full. The special token's string in a text becomes
+its id, as in the library.
+
+A word of over LONG_WORD bytes is merged by itself: all places of the root's rank, found by descending the tree, merge in
+one round, left to right. That is exact where every merge's result only takes part in later merges (checked for the
+vocabulary; else the places go one by one), and a word of a megabyte takes rounds by distinct ranks, not by bytes.
+
+Defined results. Null text is empty: no ids. Any text decodes to itself. Rows with a null doc_id are encoded like others,
+repeated rows each on their own, an empty table gives no rows. Only doc_id and the text column are read, so that no other
+column's name can clash.
 """
 
 from __future__ import annotations
@@ -17,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +33,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the vocabulary's format: the splitting pattern, and white space as it means it.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+from tracewell.llm.common import sized_blocks, text_bytes
+
+# Fixed values of the vocabulary's format: white space as it means it, and the endings that stand as words of their own.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
+LONG_WORD = 256
 _NONE = np.iinfo(np.int64).max
 
 
@@ -65,6 +77,11 @@ class Vocabulary:
         self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        pair = np.arange(1 << 16)
+        self.byte_rank = self.rank(self.first[pair >> 8], self.first[pair & 255]).astype(np.int32)
+        made = {int(i): r for r, i in enumerate(self.merged)}
+        #: every merge's result only takes part in later merges
+        self.ordered = all(made.get(int(x), -1) < r for r, pair in enumerate(zip(left, right)) for x in pair) and len(made) == len(self.merged)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -78,121 +95,240 @@ class Vocabulary:
         return self.flat[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(total)].tobytes()
 
 
-def merge_words(words: list[bytes], vocabulary: Vocabulary, most_cells: int = 1 << 19) -> list[bytes]:
-    """Each word's ids as little-endian unsigned 32-bit numbers."""
-    out = [b""] * len(words)
+def merge_words(words: list[bytes], vocabulary: Vocabulary, most_cells: int = 1 << 19) -> list[np.ndarray]:
+    """Each word's ids."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
     lengths = np.array([len(w) for w in words], np.int64)
     widths = np.maximum(2, 1 << np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64))
-    for width in np.unique(widths):
-        rows = np.flatnonzero(widths == width)
+    for width in np.unique(widths[lengths <= LONG_WORD]):
+        rows = np.flatnonzero((widths == width) & (lengths <= LONG_WORD))
         step = max(1, most_cells // int(width))
         for k in range(0, len(rows), step):
             part = rows[k : k + step]
             sym, n = _merge_block([words[i] for i in part], lengths[part], int(width), vocabulary)
-            flat = sym.astype("<u4").tobytes()
-            ends = np.cumsum(n) * 4
-            for i, a, b in zip(part.tolist(), (ends - 4 * n).tolist(), ends.tolist()):
-                out[i] = flat[a:b]
+            ends = np.cumsum(n)
+            for i, a, b in zip(part.tolist(), (ends - n).tolist(), ends.tolist()):
+                out[i] = sym[a:b]
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[i] = _merge_long(words[i], vocabulary)
     return out
 
 
+def _merge_long(word: bytes, v: Vocabulary) -> np.ndarray:
+    """The ids of one long word: each round merges all places of the root's rank."""
+    n = len(word)
+    width = 1 << (n - 1).bit_length()
+    shift = width.bit_length()
+    sym = v.first[np.frombuffer(word, np.uint8)]
+    place = np.arange(n)
+    after, before = np.append(place[1:], -1), place - 1
+    alive = np.ones(n, bool)
+    tree = np.full(2 * width, _NONE)
+    rank = v.rank(sym[:-1], sym[1:])
+    tree[width : width + n - 1] = np.where(rank >= 0, rank << shift | place[:-1], _NONE)
+    size = width
+    while size > 1:
+        tree[size // 2 : size] = np.minimum(tree[size : 2 * size : 2], tree[size + 1 : 2 * size : 2])
+        size //= 2
+    while tree[1] != _NONE:
+        r = int(tree[1]) >> shift
+        if v.ordered:
+            nodes = np.ones(1, np.int64)
+            while nodes[0] < width:
+                nodes = np.stack((2 * nodes, 2 * nodes + 1), axis=1).ravel()
+                nodes = nodes[tree[nodes] >> shift == r]
+            at = nodes - width
+            # where places overlap (a run of one symbol), every other one of the run merges
+            follows = np.concatenate(([False], after[at[:-1]] == at[1:]))
+            if follows.any():
+                k = np.arange(len(at))
+                at = at[(k - np.maximum.accumulate(np.where(follows, 0, k))) % 2 == 0]
+        else:
+            at = np.array([int(tree[1]) & ((1 << shift) - 1)])
+        gone = after[at]
+        sym[at] = v.merged[r]
+        alive[gone] = False
+        nxt = after[gone]
+        after[at] = nxt
+        before[nxt[nxt >= 0]] = at[nxt >= 0]
+        prev = before[at][before[at] >= 0]
+        tree[width + gone] = _NONE
+        for x in (at, prev):
+            y = after[x]
+            rank = np.where(y >= 0, v.rank(sym[x], sym[np.maximum(y, 0)]), -1)
+            tree[width + x] = np.where(rank >= 0, rank << shift | x, _NONE)
+        nodes = (width + np.concatenate((at, gone, prev))) >> 1
+        while nodes[0]:
+            nodes = np.unique(nodes) if len(nodes) > 8 else nodes
+            tree[nodes] = np.minimum(tree[2 * nodes], tree[2 * nodes + 1])
+            nodes = nodes >> 1
+    return sym[alive]
+
+
 def _merge_block(words: list[bytes], lengths: np.ndarray, width: int, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
-    raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
-    place = np.arange(width)
+    raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
+    place = np.arange(width, dtype=np.int32)
     alive = place < lengths[:, None]
-    sym = np.where(alive, v.first[raw], -1)
-    after = np.where(place + 1 < lengths[:, None], place + 1, -1)
-    before = np.broadcast_to(place - 1, (n, width)).copy()
     shift = width.bit_length()
-    tree = np.full((n, 2 * width), _NONE)
-    rank = v.rank(sym[:, :-1], np.maximum(sym[:, 1:], 0))
-    tree[:, width : 2 * width - 1] = np.where((rank >= 0) & alive[:, 1:], rank << shift | place[:-1], _NONE)
+    # ranks and places fit into 32 bits: LONG_WORD bounds the places, the vocabulary the ranks
+    whole = np.int32 if len(v.merged) << shift < 1 << 31 else np.int64
+    none = np.iinfo(whole).max
+    sym = v.first.astype(np.int32)[raw]
+    after = np.where(place + 1 < lengths[:, None], place + 1, np.int32(-1))
+    before = np.tile(place - 1, (n, 1))
+    tree = np.full((n, 2 * width), none, whole)
+    rank = v.byte_rank[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]]
+    tree[:, width : 2 * width - 1] = np.where((rank >= 0) & alive[:, 1:], rank.astype(whole) << shift | place[:-1], none)
     size = width
     while size > 1:
         tree[:, size // 2 : size] = np.minimum(tree[:, size : 2 * size : 2], tree[:, size + 1 : 2 * size : 2])
         size //= 2
+    # flat views: row i's place p is i * width + p
+    flat_sym, flat_after, flat_before, flat_alive, flat_tree = (x.reshape(-1) for x in (sym, after, before, alive, tree))
     rows = np.arange(n)
-    while len(rows := rows[tree[rows, 1] != _NONE]):
-        root = tree[rows, 1]
+    root = tree[:, 1]
+    while len(rows := rows[root != none]):
+        root = root[root != none]
+        base, top = rows * width, rows * (2 * width)
         at = root & ((1 << shift) - 1)
-        gone = after[rows, at]
+        gone = flat_after[base + at]
         new = v.merged[root >> shift]
-        sym[rows, at] = new
-        alive[rows, gone] = False
-        nxt, prev = after[rows, gone], before[rows, at]
-        after[rows, at] = nxt
+        flat_sym[base + at] = new
+        flat_alive[base + gone] = False
+        nxt, prev = flat_after[base + gone], flat_before[base + at]
+        flat_after[base + at] = nxt
         on = nxt >= 0
-        before[rows[on], nxt[on]] = at[on]
-        r = np.where(on, v.rank(new, np.maximum(sym[rows, np.maximum(nxt, 0)], 0)), -1)
-        tree[rows, width + at] = np.where(r >= 0, r << shift | at, _NONE)
-        tree[rows, width + gone] = _NONE
-        has = prev >= 0
-        hr, hp = rows[has], prev[has]
-        r = v.rank(sym[hr, hp], new[has])
-        tree[hr, width + hp] = np.where(r >= 0, r << shift | hp, _NONE)
-        for who, leaf in ((rows, gone), (rows, at), (hr, hp)):
-            node = (width + leaf) >> 1
+        flat_before[(base + nxt)[on]] = at[on]
+        r = np.where(on, v.rank(new, flat_sym[base + np.maximum(nxt, 0)].astype(np.int64)), -1).astype(whole)
+        flat_tree[top + width + at] = np.where(r >= 0, r << shift | at, none)
+        flat_tree[top + width + gone] = none
+        has = np.flatnonzero(prev >= 0)
+        p = prev[has]
+        r = v.rank(flat_sym[base[has] + p].astype(np.int64), new[has]).astype(whole)
+        flat_tree[top[has] + width + p] = np.where(r >= 0, r << shift | p, none)
+        for who, leaf in ((top, gone), (top, at), (top[has], p)):
+            node = (width + leaf.astype(np.int64)) >> 1
             while node.size and node[0]:
-                tree[who, node] = np.minimum(tree[who, 2 * node], tree[who, 2 * node + 1])
+                left = who + 2 * node
+                flat_tree[who + node] = np.minimum(flat_tree[left], flat_tree[left + 1])
                 node = node >> 1
+        root = flat_tree[top + 1]
     return sym[alive], alive.sum(axis=1)
 
 
+@cache
+def _classes() -> np.ndarray:
+    """0 white space, 1 letter, 2 number, 3 other, for every code point."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.full(len(every), 3, np.uint8)
+    for k, members in ((1, r"\p{L}+"), (2, r"\p{N}+"), (0, f"[{SPACE}]+")):
+        for m in regex.finditer(members, every):
+            out[m.start() : m.end()] = k
+    return out
+
+
+def word_starts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether a word begins at each of the code points; ``starts``: where texts begin.
+
+    Words are runs of one class. White space before a word gives its last character to a word of its own, or, if that is
+    a blank, to the word. A lone apostrophe takes one of the fixed endings.
+    """
+    n = len(points)
+    kind = _classes()[points]
+    fresh = np.ones(n + 3, bool)
+    np.not_equal(kind[1:], kind[:-1], out=fresh[1:n])
+    edge = np.zeros(n + 3, bool)
+    edge[starts] = True
+    edge[n:] = True
+    fresh |= edge
+    begin = fresh.copy()
+    last = np.flatnonzero((kind == 0) & fresh[1 : n + 1] & ~edge[1 : n + 1])
+    begin[last] = True
+    begin[last[points[last] == 32] + 1] = False
+    mark = np.flatnonzero(points == 39)
+    mark = mark[begin[mark] & fresh[mark + 1] & ~edge[mark + 1]]
+    if len(mark):
+        far = np.concatenate((points, np.zeros(3, points.dtype)))
+        one = np.isin(far[mark + 1], [ord(x) for x in SHORT_ENDINGS])
+        two = np.zeros(len(mark), bool)
+        for a, b in LONG_ENDINGS:
+            two |= (far[mark + 1] == ord(a)) & (far[mark + 2] == ord(b)) & ~edge[mark + 2]
+        begin[mark[one | two] + 1] = False
+        begin[mark[one] + 2] = True
+        begin[mark[two] + 3] = True
+    return begin[:n]
+
+
 class Encoder:
-    """Ids of texts as bytes (little-endian, unsigned, 32 bits), with bounded look-up tables."""
+    """Ids of texts, with a bounded table of words."""
 
-    def __init__(self, path: str, most: int = 400_000, most_words: int = 800_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         self.v = Vocabulary(path)
-        self.find = regex.compile(PATTERN).findall
-        self.odd = regex.compile(f" [{SPACE}]| $").search
-        self.cut = regex.compile(f" (?=[^{SPACE}])").split
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.v.special)) + ")").split if self.v.special else None
-        self.marks = [s for s in self.v.special]
-        self.most, self.most_words, self.pieces, self.words = most, most_words, {}, {}
-
-    def _pieces(self, text: str) -> list[str | tuple[str]]:
-        """A text cut before spaces; all pieces but the first have lost the space before them; the first is told by its type, since text may hold any character."""
-        got = text.split(" ") if not self.odd(text) else self.cut(text)
-        got[0] = (got[0],)
-        return got
-
-    def _split(self, piece: str | tuple[str]) -> list[str]:
-        """A piece's words; the two commonest shapes need no pattern."""
-        if isinstance(piece, tuple):
-            return self.find(piece[0])
-        if piece.isalpha():
-            return [f" {piece}"]
-        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
-            return [f" {piece[:-1]}", piece[-1]]
-        return self.find(f" {piece}")
-
-    def _learn(self, pieces: list[str | tuple[str]]) -> None:
-        if len(self.words) > self.most_words:
-            self.words = {}
-        split = [self._split(p) for p in pieces]
-        fresh = list({w for s in split for w in s if w not in self.words})
-        self.words.update(zip(fresh, merge_words([w.encode() for w in fresh], self.v)))
-        get = self.words.__getitem__
-        self.pieces.update((p, b"".join(map(get, s))) for p, s in zip(pieces, split))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut, plan = [], []
-        for t in texts:
-            if self.special and any(m in t for m in self.marks):
-                parts = [self.v.special[x] if x in self.v.special else self._pieces(x) for x in self.special(t) if x]
-            else:
-                parts = [self._pieces(t)] if t else []
-            plan.append(parts)
-            cut += [p for p in parts if not isinstance(p, int)]
-        seen = set().union(*cut)
-        fresh = seen.difference(self.pieces)
-        if fresh:
-            if len(self.pieces) + len(fresh) > self.most:  # the tables start anew, so all of this block counts
-                self.pieces, fresh = {}, seen
-            self._learn(list(fresh))
-        get = self.pieces.__getitem__
-        return [b"".join(x.to_bytes(4, "little") if isinstance(x, int) else b"".join(map(get, x)) for x in parts) for parts in plan]
+        self.marks = [s.encode() for s in self.v.special]
+        self.most_words = most_words
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.start, self.size, self.ids, self.filled = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.int32), 0
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """Each word's place in the table; words that aren't there are merged."""
+        if len(self.words) + len(words) > self.most_words:
+            self._clear()
+        number = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(number < 0)
+        if len(at):
+            fresh = [words[i] for i in at.tolist()]
+            ids = merge_words(fresh, self.v)
+            size = np.array([len(x) for x in ids], np.int64)
+            number[at] = np.arange(len(self.start), len(self.start) + len(at))
+            self.words.update(zip(fresh, number[at].tolist()))
+            total = int(size.sum())
+            if self.filled + total > len(self.ids):
+                self.ids = np.concatenate((self.ids[: self.filled], np.zeros(max(total, self.filled), np.int32)))
+            self.ids[self.filled : self.filled + total] = np.concatenate(ids)
+            self.start = np.append(self.start, self.filled + np.cumsum(size) - size)
+            self.size = np.append(self.size, size)
+            self.filled += total
+        return number
+
+    def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens, one after the other, and where each text's begin (and the end)."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        data = b"".join(texts)
+        points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+        if not len(points):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        first = np.cumsum(sizes) - sizes
+        if len(points) == len(data):
+            at = np.flatnonzero(word_starts(points, first[sizes > 0]))
+        else:
+            lead = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+            at = lead[word_starts(points, np.searchsorted(lead, first[sizes > 0]))]
+        offsets = np.append(at, len(data)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        _, ends, raw = found.dictionary.buffers()
+        ends, raw = np.frombuffer(ends, np.int32)[: len(found.dictionary) + 1].tolist(), raw.to_pybytes()
+        word = self._numbers([raw[i:j] for i, j in zip(ends, ends[1:])])[found.indices.to_numpy()]
+        size = self.size[word]
+        ends = np.cumsum(size)
+        before = np.concatenate(([0], ends))
+        ids = self.ids[np.repeat(self.start[word] - before[:-1], size) + np.arange(int(ends[-1]))]
+        return ids, before[np.searchsorted(at, np.append(first, len(data)))]
+
+    def encode_block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin (and the end)."""
+        if not any(m in t for t in texts for m in self.marks):
+            return self._plain(texts)
+        parts = [[x for x in self.special(t.decode()) if x] if any(m in t for m in self.marks) else [t.decode()] for t in texts]
+        flat = [x for p in parts for x in p]
+        ids, at = self._plain([b"" if x in self.v.special else x.encode() for x in flat])
+        out = [np.array([self.v.special[x]], np.int32) if x in self.v.special else ids[a:b] for x, a, b in zip(flat, at[:-1], at[1:])]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int64)
+        return np.concatenate([np.zeros(0, np.int32), *out]), ends[np.cumsum([0, *(len(p) for p in parts)])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -205,13 +341,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_blocks(column: pa.Array, path: str, most: int = 1_000_000) -> Iterator[tuple[int, list[str], list[bytes]]]:
-    """(first row, texts, ids) of a string column, in blocks of about ``most`` characters."""
-    from tracewell.llm.common import sized_blocks
-
-    texts = [x or "" for x in column.to_pylist()]
+def encode_blocks(column: pa.Array, path: str, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, ids, where each row's begin) of a string column, in blocks of about ``most`` bytes."""
+    texts = text_bytes(column)
     for a, b in sized_blocks([len(t) for t in texts], most):
-        yield a, texts[a:b], encoder(path).encode(texts[a:b])
+        yield a, b - a, *encoder(path).encode_block(texts[a:b])
 
 
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -220,10 +354,8 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, texts, ids in encode_blocks(b.column(1), path):
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(texts)), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
+            for a, n, ids, ends in encode_blocks(b.column(1), path):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, n), pa.ListArray.from_arrays(ends.astype(np.int32), ids)], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -248,12 +380,13 @@ def round_trip(docs: DataFrame, path: str | None = None, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256
         for b in batches:
-            for a, texts, ids in encode_blocks(b.column(1), path):
+            for a, n, ids, ends in encode_blocks(b.column(1), path):
                 v = encoder(path).v
-                back = [v.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace").encode() for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(a, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids]), pa.array([sha(x).hexdigest() for x in back])],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                raw, at = ids.astype("<u4").tobytes(), ends.tolist()
+                text = v.decode(ids)
+                cut = np.concatenate(([0], np.cumsum(v.sizes[ids])))[ends].tolist()
+                hashed = [sha(raw[4 * i : 4 * j]).hexdigest() for i, j in zip(at, at[1:])]
+                back = [sha(text[i:j].decode("utf-8", "replace").encode()).hexdigest() for i, j in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, n), pa.array(np.diff(ends)), pa.array(hashed), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
