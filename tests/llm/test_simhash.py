@@ -60,8 +60,10 @@ def test_trie_matches_all_pairs_in_dense_and_large_groups(spark, monkeypatch):
     label = simhash.trie_components(np.zeros(len(fps)), fps, most=64)
     want = brute_components(list(range(len(fps))), [int(x) for x in fps])
     assert [want[i] for i in range(len(fps))] == list(label)
-    monkeypatch.setattr(simhash, "LARGE_GROUP", 1)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    monkeypatch.setattr(simhash, "LARGE_ROUTE", 20)
+    monkeypatch.setattr(simhash, "ROUTE_KEYS", 100)
+    monkeypatch.setattr(simhash, "SPLIT_BITS", 11)
     found = {r.node: r.root for r in simhash.components(simhash.link_forest(df)).collect()}
     signed = fps.view(np.int64)
     groups = {}
@@ -70,8 +72,39 @@ def test_trie_matches_all_pairs_in_dense_and_large_groups(spark, monkeypatch):
     assert all(len(v) == 1 for v in groups.values()) and len(groups) == len(set(want.values()))
 
 
+def test_routes_keep_every_link(spark):
+    """Pairs at most two bits apart, at every place of the two bits, share a route at every width."""
+    fps = [0x0123456789ABCDEF ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)]
+    df = spark.createDataFrame([(0x0123456789ABCDEF,), *((x - (1 << 64) if x >> 63 else x,) for x in fps)], "fp long")
+    for bits in (0, 5, 21):
+        rows = simhash._routes(df, bits).collect()
+        mine = {r.route for r in rows if r.fp == 0x0123456789ABCDEF}
+        routes = {}
+        for r in rows:
+            routes.setdefault(r.fp, set()).add(r.route)
+        assert all(mine & x for x in routes.values())
+
+
 def test_keep_one_and_empty(spark):
     rows = [(5, "a b c d", "x"), (2, "a b c d", "y"), (2, "a b c d", "y"), (None, "a b c d", "z"), (7, "other words here", "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert sorted((r.doc_id or -1) for r in simhash.keep_one(df).collect()) == [-1, 2, 7]
-    assert simhash.near_duplicates(df.limit(0)).count() == 0
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_keep_one_decides_for_rows(spark):
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(50)]
+    say = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    base = [say(300) for _ in range(12)] + [say(30_000)]
+    rows = [(i % 7, t, i) for i, t in enumerate(base)] + [(i % 5, t + " x", 100 + i) for i, t in enumerate(base)] + [(2, base[0], 200), (5, base[0], 201), (5, base[1], 202), (3, None, 203), (4, "", 204)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row0 long")
+    fps = [brute_fp(r[1]) for r in rows]
+    groups = brute_components(list(range(len(rows))), fps)
+    want = {}
+    for k, r in enumerate(rows):
+        want[groups[k]] = min(want.get(groups[k], (99, None)), (r[0], r[1] or ""))
+    got = simhash.keep_one(df).collect()
+    assert len(got) == len(want) and sorted(r.doc_id for r in got) == sorted(x[0] for x in want.values())
+    kept = {groups[next(k for k, x in enumerate(rows) if x[2] == r["__row0"])] for r in got}
+    assert kept == set(want)

@@ -4,20 +4,28 @@ Fingerprints. A-Z are lower-cased, words are runs of bytes other than ASCII whit
 a space (the whole sequence if there are fewer). A bit is set if it is set in over half of the shingles' XXH64 (seed 42).
 A text without words, or null, has fingerprint zero and is linked like any other.
 
-Links. Equal fingerprints are collapsed first. Two fingerprints that differ in at most two bits agree on one of three
-blocks of bits, so each is routed to three (block, value) groups; within a group, the fingerprints, rotated so that the
-shared block leads, form a binary trie, whose node pairs are walked together, level by level: differing bits add up and a
-pair over the budget is pruned. A group that is large is divided once more by three blocks of its remaining bits (exact
-again: the same pigeonhole). A task sends the links on as a forest (each fingerprint and its least partner reachable in
-the group), never as all pairs, and components are found by alternating star contractions on that forest.
+Links. Equal fingerprints are collapsed first. The distinct ones form a binary trie that is joined with itself: pairs of
+nodes are walked together from the (root, root) pair on, level by level; differing bits add up, a pair over the budget is
+pruned, and fingerprints themselves are compared only where both nodes have come down to one.
+
+Routes spread that join over tasks. Two fingerprints that differ in at most two bits agree on one of three groups of k bits
+(at bits 0, 21 and 42), so each goes to three routes, rotated so that the agreed bits lead. k is only as large as it must be
+for a route to hold about ROUTE_KEYS fingerprints and for every shuffle partition to have one, so routes are wide and the
+trie decides what links. A route of over LARGE_ROUTE fingerprints is divided by the trie's own node pairs: its next
+SPLIT_BITS levels are walked at once, and each fingerprint goes to the pairs of nodes in which it may still have a partner;
+what is still too large is divided again, down to single fingerprints. A task therefore gathers LARGE_ROUTE
+fingerprints at most. It sends the links on as a forest (each fingerprint and its least partner reachable in the route),
+never as all pairs, and components are found by alternating star contractions on that forest.
 
 Defined results. Rows with a null doc_id are fingerprinted and linked; a component's id is its smallest doc_id that isn't
-null (null if there is none). Repeated rows stay repeated. An empty table gives no rows.
+null (null if there is none). Repeated rows stay repeated. An empty table gives no rows. Texts of any length are read
+whole, one at a time. Only doc_id and the text column are read, so that no other column's name can clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -29,10 +37,12 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import shuffle_partitions, sized_blocks, stage, text_bytes
 
 BITS, BUDGET, SEED, SHINGLE = 64, 2, 42, 3
-#: (first bit, bits), from the highest bit on
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: fingerprints in a group over which it is divided once more
-LARGE_GROUP = 1 << 15
+#: first bits of the three groups, counted from the highest bit; any prefix of up to 21 bits can serve
+STARTS = (0, 21, 42)
+#: fingerprints that a route should hold; over the second number it is divided
+ROUTE_KEYS, LARGE_ROUTE = 1 << 15, 1 << 17
+#: levels of the trie by which a large route is divided
+SPLIT_BITS = 6
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -68,17 +78,18 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
-    """doc_id and the fingerprint as a signed long of the same bits."""
+def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", row: str | None = None) -> DataFrame:
+    """doc_id, the column ``row`` if it is named, and the fingerprint as a signed long of the same bits."""
+    named = [F.col("doc_id").cast("long").alias("doc_id"), *([F.col(row).cast("long").alias(row)] if row else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = text_bytes(b.column(1))
+            texts = text_bytes(b.column(0))
             fps = [fingerprints(texts[i:j]) for i, j in sized_blocks([len(t) for t in texts], 2_000_000)]
             fp = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", out])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp)], names=[*b.schema.names[1:], out])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id long, {out} long")
+    return docs.select(F.col(text).alias("text"), *named).mapInArrow(run, f"doc_id long, {f'{row} long, ' if row else ''}{out} long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -126,12 +137,9 @@ def trie_components(groups: np.ndarray, keys: np.ndarray, budget: int = BUDGET,
             half = len(alo) // 2
             frontiers += [(depth, *(x[half:] for x in (alo, ahi, blo, bhi, err))), (depth, *(x[:half] for x in (alo, ahi, blo, bhi, err)))]
             continue
-        small = ((ahi - alo) * (bhi - blo) <= 16) | (depth >= BITS)
+        small = (ahi - alo == 1) & (bhi - blo == 1)  # both nodes hold one key
         if small.any():
-            w = (bhi - blo)[small]
-            count = (ahi - alo)[small] * w
-            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            a, b = np.repeat(alo[small], count) + k // np.repeat(w, count), np.repeat(blo[small], count) + k % np.repeat(w, count)
+            a, b = alo[small], blo[small]
             linked = (a != b) & (popcount(keys[a] ^ keys[b]) <= budget)
             label = least_labels(n, a[linked], b[linked], label)
         alo, ahi, blo, bhi, err = (x[~small] for x in (alo, ahi, blo, bhi, err))
@@ -148,58 +156,72 @@ def trie_components(groups: np.ndarray, keys: np.ndarray, budget: int = BUDGET,
     return label
 
 
-def _rotated(keys: np.ndarray, by: np.ndarray) -> np.ndarray:
-    by = by.astype(np.uint64)
-    return np.where(by == 0, keys, (keys << by) | (keys >> ((np.uint64(BITS) - by) & np.uint64(63))))
-
-
 def _group_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (fp, route, shift) of whole groups to (fp, root): fingerprints that aren't the least of their links."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    fp, route, shift = (t.column(i).to_numpy() for i in range(3))
-    keys = _rotated(fp.view(np.uint64), shift)
-    order = np.lexsort((keys, route, shift))
-    label = trie_components(np.cumsum(np.concatenate(([True], (route[order][1:] != route[order][:-1]) | (shift[order][1:] != shift[order][:-1])))), keys[order])
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    yield pa.RecordBatch.from_arrays([pa.array(fp[order][moved]), pa.array(fp[order][label[moved]])], names=["u", "v"])
-
-
-def _block(first: int, bits: int):
-    return F.shiftrightunsigned("fp", BITS - first - bits).bitwiseAND(F.lit((1 << bits) - 1))
-
-
-def _routes(distinct: DataFrame) -> DataFrame:
-    """Three rows (fp, block, value) for each fingerprint."""
-    rows = F.array(*(F.struct(F.lit(k).alias("block"), _block(*b).alias("value")) for k, b in enumerate(BLOCKS)))
-    return distinct.select("fp", F.explode(rows).alias("r")).select("fp", "r.block", "r.value")
+    """Rows (fp, key, route), routes one after the other, to (fp, root): fingerprints that aren't the least of their links."""
+
+    def joined(fp: np.ndarray, key: np.ndarray, route: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((key.view(np.uint64), route))
+        fp, key, route = fp[order], key[order].view(np.uint64), route[order]
+        # a divided route may bring a key along two ways
+        once = np.concatenate(([True], (route[1:] != route[:-1]) | (key[1:] != key[:-1])))
+        fp, key, route = fp[once], key[once], route[once]
+        label = trie_components(route, key)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], names=["u", "v"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for b in batches:
+        held.append(tuple(b.column(i).to_numpy() for i in range(3)))
+        if sum(len(x[0]) for x in held) >= ROUTE_KEYS:
+            fp, key, route = (np.concatenate(x) for x in zip(*held))
+            # whole routes go; the last may continue in the next batch
+            cut = int(np.flatnonzero(route != route[-1])[-1]) + 1 if (route != route[-1]).any() else 0
+            held = [(fp[cut:], key[cut:], route[cut:])]
+            if cut:
+                yield joined(fp[:cut], key[:cut], route[:cut])
+    if held and (fp := np.concatenate([x[0] for x in held])).size:
+        yield joined(fp, *(np.concatenate([x[i] for x in held]) for i in (1, 2)))
+
+
+def _divided(large: DataFrame) -> DataFrame:
+    """Routes divided by the pairs of trie nodes SPLIT_BITS levels further down that are still within the budget."""
+    bits = min(SPLIT_BITS, BITS)
+    flips = [sum(1 << b for b in range(bits) if x >> b & 1) for x in range(1 << bits) if x.bit_count() <= BUDGET]
+    # levels from depth on; past the last bit a key has zeros
+    node = F.expr(f"shiftrightunsigned(shiftleft(key, depth), {BITS - bits})")
+    node = F.when(F.col("depth") >= BITS, F.lit(0).cast("long")).otherwise(node)
+    each = large.withColumn("node", node).withColumn("flip", F.explode(F.array(*map(F.lit, flips)))).withColumn("other", F.col("node").bitwiseXOR(F.col("flip").cast("long")))
+    spent = F.col("err") + F.bit_count("flip")
+    return each.where(spent <= BUDGET).select(
+        "fp", "key", F.xxhash64("route", F.least("node", "other"), F.greatest("node", "other"), "depth").alias("route"), (F.col("depth") + bits).alias("depth"), spent.cast("int").alias("err")
+    )
+
+
+def _routes(distinct: DataFrame, bits: int) -> DataFrame:
+    """Three rows (fp, key, route, depth, err) for each fingerprint: the key is rotated, the route is its first ``bits`` bits."""
+    key = [F.col("fp") if a == 0 else F.shiftleft("fp", a).bitwiseOR(F.shiftrightunsigned("fp", BITS - a)) for a in STARTS]
+    rows = F.array(*(F.struct(F.lit(i).alias("start"), k.alias("key")) for i, k in enumerate(key)))
+    each = distinct.select("fp", F.explode(rows).alias("r")).select("fp", "r.start", "r.key")
+    lead = F.shiftrightunsigned("key", BITS - bits) if bits else F.lit(0).cast("long")
+    return each.select("fp", "key", F.xxhash64("start", lead).alias("route"), F.lit(bits).alias("depth"), F.lit(0).alias("err"))
 
 
 def link_forest(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) between fingerprints, a spanning forest in each group."""
-    routes = _routes(distinct)
-    large = routes.groupBy("block", "value").count().where(F.col("count") > LARGE_GROUP).select("block", "value", F.lit(True).alias("large"))
-    marked = routes.join(large, ["block", "value"], "left")
-    # in a large group, the other 42 or 43 bits are cut into three again
-    subs = []
-    for k, (first, bits) in enumerate(BLOCKS):
-        rest = [((first + bits + i * 14) % BITS, 14) for i in range(3)]
-        subs.append(F.when(F.col("block") == k, F.array(*(F.struct(F.lit(i + 1).alias("sub"), F.xxhash64("value", F.lit(i), _wrapped(*r)).alias("route")) for i, r in enumerate(rest)))))
-    whole = F.array(F.struct(F.lit(0).alias("sub"), F.xxhash64("value", F.lit(-1), F.lit(-1).cast("long")).alias("route")))
-    each = F.when(F.col("large"), F.coalesce(*subs)).otherwise(whole)
-    shift = F.element_at(F.array(*(F.lit(first) for first, _ in BLOCKS)), F.col("block") + 1)
-    sent = marked.select("fp", F.explode(each).alias("s"), shift.cast("int").alias("shift")).select("fp", F.col("s.route").alias("route"), "shift")
-    return sent.repartition(shuffle_partitions(distinct.sparkSession), "route", "shift").mapInArrow(_group_forest, "u long, v long")
-
-
-def _wrapped(first: int, bits: int):
-    """Bits [first, first + bits) from the highest on, around the end."""
-    if first + bits <= BITS:
-        return _block(first, bits)
-    tail = first + bits - BITS
-    return F.shiftleft(_block(first, bits - tail), tail).bitwiseOR(_block(0, tail))
+    """Links (u, v) between fingerprints, a spanning forest in each route."""
+    partitions = shuffle_partitions(distinct.sparkSession)
+    bits = min(STARTS[1], max(0, (max(partitions, -(-distinct.count() // ROUTE_KEYS)) - 1).bit_length()))
+    todo, done = _routes(distinct, bits), []
+    while True:
+        # two sums a route on the map side; what is over the bound is few and large
+        large = todo.groupBy("route").count().where(F.col("count") > LARGE_ROUTE).select("route")
+        large = stage(large, "simhash-large")
+        if large.isEmpty():
+            done.append(todo)
+            break
+        done.append(todo.join(large, "route", "left_anti"))
+        todo = stage(_divided(todo.join(large, "route", "left_semi").where(F.col("depth") < BITS)), "simhash-divided")
+    sent = reduce(DataFrame.unionByName, done).select("fp", "key", "route")
+    return sent.repartition(partitions, "route").sortWithinPartitions("route").mapInArrow(_group_forest, "u long, v long")
 
 
 def components(edges: DataFrame, label: str = "star") -> DataFrame:
@@ -223,12 +245,17 @@ def components(edges: DataFrame, label: str = "star") -> DataFrame:
         seen = now
 
 
+def _rooted(by_fp: DataFrame) -> DataFrame:
+    """The columns of ``by_fp`` (fp and others, a row for each fingerprint) and the root of its component."""
+    linked = components(link_forest(by_fp.select("fp")), "simhash-star")
+    return by_fp.join(linked, by_fp.fp == linked.node, "left").select(*by_fp.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed long) and component_id for every row of ``docs`` (doc_id, text)."""
     fps = stage(with_fingerprints(docs), "simhash-fp")
     by_fp = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    linked = components(link_forest(by_fp.select("fp")), "simhash-star")
-    rooted = by_fp.join(linked, by_fp.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(by_fp)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = stage(rooted.join(ids, "root").select("fp", "component_id"), "simhash-member")
     return fps.join(member, "fp").select("doc_id", "fp", "component_id")
@@ -239,7 +266,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component of near-duplicates: the smallest doc_id, and one of its repeated rows. Rows without doc_id stay."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    found = near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each component of near-duplicates: that with the smallest doc_id, and of several such the first; rows without doc_id stay.
+
+    What is kept is decided for rows, not for ids: of rows that repeat an id with an unlike text, each stands for its own
+    component. Rows are numbered in a written copy, ids and numbers decide, and texts are shuffled once, to their numbers.
+    """
+    row = next(f"__row{i}" for i in range(len(docs.columns) + 1) if f"__row{i}" not in docs.columns)
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    fps = with_fingerprints(numbered.where(F.col("doc_id").isNotNull()), row=row)
+    by_fp = stage(fps.groupBy("fp").agg(F.min(F.struct("doc_id", F.col(row).alias("row"))).alias("first")), "simhash-distinct")
+    kept = _rooted(by_fp).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    unnamed = numbered.where(F.col("doc_id").isNull())
+    return numbered.where(F.col("doc_id").isNotNull()).join(kept, row, "left_semi").unionByName(unnamed).select(*docs.columns)
