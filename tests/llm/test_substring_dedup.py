@@ -44,11 +44,23 @@ def test_against_brute_force(spark):
     rows = made(1, 60)
     rows += [(None, rows[2][1]), (5, rows[5][1]), (5, rows[8][1]), (9, rows[9][1])]
     df = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, `__part` string, n_bytes int")
-    for chunk, shard in ((substring_dedup.CHUNK_BYTES, substring_dedup.SHARD_BYTES), (3000, 300)):
-        got = substring_dedup.deduplicated(df, chunk, shard)
+    for chunk, shard, hot in ((substring_dedup.CHUNK_BYTES, substring_dedup.SHARD_BYTES, substring_dedup.HOT_RUNS), (3000, 300, 20)):
+        got = substring_dedup.deduplicated(df, chunk, shard, hot)
         assert got.columns == ["doc_id", "text", "__part", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
         assert sorted(((-1 if r[0] is None else r[0]), *r[1:]) for r in substring_dedup.digest(got).collect()) == brute(rows)
     assert substring_dedup.deduplicated(df.limit(0)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("llm_chunks")]
+
+
+def test_one_phrase_in_ever_new_surroundings_and_long_texts(spark):
+    rnd = random.Random(6)
+    say = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    phrase = say(60)
+    rows = [(i, say(70) + phrase + say(70)) for i in range(150)] + [(200, say(40_000) + phrase + say(9000)), (201, say(30) * 900), (202, rows_text := say(25_000)), (203, "x" + rows_text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (substring_dedup.HOT_RUNS, 10):
+        got = substring_dedup.deduplicated(df, 20_000, 4000, hot)
+        assert sorted(map(tuple, substring_dedup.digest(got).collect())) == brute(rows)
 
 
 def test_suffix_array_and_prefixes():

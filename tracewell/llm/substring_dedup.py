@@ -1,24 +1,26 @@
 """Exact substring dedup: bytes covered by a 50-byte string that also starts in a document with a smaller doc_id go.
 
-Plan, in passes over a table that is written once, bucketed by chunk (chunks of about CHUNK_BYTES of text), so that the text
-itself is never shuffled:
+Plan, in passes over a table that is written once, bucketed by chunk (chunks of about CHUNK_BYTES of text), so that the
+passes don't shuffle the text itself:
 
 1. Every 50-byte window is known by its anchor, the least hash of the 24-byte strings in it, which depends on the window's
    bytes alone. Neighbouring windows share an anchor and form a run (14 windows on the average). Each chunk sends each
-   anchor once, as 32 bits within a range of anchors, with a mark if two of its documents have it.
-2. Each anchor range tells each chunk, by a bit for each anchor sent, which anchors several documents have. Only windows of
-   such anchors can repeat. The chunk sends these runs' bytes, each distinct run once, with its first document.
-3. Each anchor range lays the distinct runs into shards, builds suffix arrays (Larsson-Sadakane refinement) and common
-   prefixes (Kasai), merges the shards by binary search, and returns the least doc_id for each window. Runs that are
-   alone with their anchor need no array: all their windows have the run's own least doc_id.
+   anchor once, as 32 bits within a range of anchors, and how many runs of it the chunk's documents have, if several do.
+2. Each anchor range tells each chunk, by two bits for each anchor sent, which anchors several documents have, and which
+   are hot. Only windows of shared anchors can repeat. The chunk sends these runs' bytes, each distinct run once, with its
+   first document; of a hot anchor (over HOT_RUNS runs) it sends each distinct window, to the range of a hash of
+   the whole window, so that a phrase with ever new surroundings doesn't gather in one task.
+3. Each range lays the distinct runs into shards, builds suffix arrays (Larsson-Sadakane refinement) and common
+   prefixes (Kasai) of them all, merges the shards by binary search, and returns the least doc_id for each window.
 4. The chunk removes what is covered and digests the rest.
 
-What one key can bring to a task is bounded by the number of chunks, since each chunk sends an anchor or a run once, however
-many of its rows hold it. Ranges and chunks grow in number with the input, not in size.
+What one key can bring to a task: HOT_RUNS runs of an anchor, or one window from each chunk. Ranges and chunks grow in
+number with the input, not in size.
 
 Defined results. Null text is empty. Rows with a null doc_id take no part and stay whole. Rows of one doc_id are never
-compared with each other. Texts under 50 bytes stay whole. Removal may cut a character: the text column keeps the
-remaining bytes that decode. Extra columns pass through.
+compared with each other. Texts under 50 bytes stay whole. A text larger than a chunk is one row of one chunk, and stands
+as a whole. Removal may cut a character: the text column keeps the remaining bytes that decode. Extra columns pass through;
+a column that has one of the added names is replaced by it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,12 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import shuffle_partitions, sized_blocks, stage, text_bytes
-from tracewell.llm.suffixes import least_owner
+from tracewell.llm.common import shared_dir, shuffle_partitions, sized_blocks, stage, text_bytes
+from tracewell.llm.suffixes import least_owner, window_keys
 
 WIDTH, GRAM = 50, 24
 CHUNK_BYTES = 8_000_000
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 2_000_000
+#: runs of one anchor over which its windows are dealt out one by one
+HOT_RUNS = 1 << 17
+#: of text, for a bucket of the written table, where the number of shuffle partitions would give more
+BUCKET_BYTES = 256_000_000
 _BLOCK = 1 << 19
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93)]
 
@@ -111,12 +117,12 @@ class Runs:
         del ids
 
     def unique(self, parts: int):
-        """Distinct anchors in order, whether two documents have them, where each part begins, and each run's place."""
+        """Distinct anchors in order, their runs if two documents have them (else 0), where each part begins, and each run's place."""
         order = np.argsort(self.anchor, kind="stable")
         a = self.anchor[order]
         first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
         last = np.append(first[1:], len(a)) - 1 if len(a) else first
-        several = self.number[order][first] != self.number[order][last]
+        several = np.where(self.number[order][first] != self.number[order][last], last - first + 1, 0)
         keys = a[first]
         part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         bounds = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
@@ -125,8 +131,8 @@ class Runs:
         return keys, several, bounds, place
 
 
-_ANCHORS = "__part int, __chunk long, keys binary, several binary"
-_SHARED = "__chunk long, __part int, kind int, bits binary, places binary, least binary"
+_ANCHORS = "__part int, __chunk long, keys binary, several binary, runs binary"
+_SHARED = "__chunk long, __part int, kind int, bits binary, hot binary, places binary, least binary"
 _RUNS = "__part int, __chunk long, sizes binary, docs binary, data binary"
 
 
@@ -134,7 +140,7 @@ def _send_anchors(parts: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("__chunk")[0].as_py()
         keys, several, bounds, _ = Runs(table).unique(parts)
-        rows = [(p, chunk, keys[a:b].astype(np.uint32).tobytes(), np.packbits(several[a:b]).tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+        rows = [(p, chunk, keys[a:b].astype(np.uint32).tobytes(), np.packbits(several[a:b] > 0).tobytes(), several[a:b][several[a:b] > 0].astype(np.uint32).tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
         return _rows(rows, _ANCHORS)
 
     return run
@@ -146,20 +152,34 @@ def _rows(rows: list[tuple], ddl: str) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def _tell_shared(table: pa.Table) -> pa.Table:
-    """Of all chunks' anchors in a range: which are in several documents."""
-    part, chunks = table.column("__part")[0].as_py(), table.column("__chunk").to_pylist()
-    keys = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
-    several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("several").to_pylist(), keys)]
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    a = every[order]
-    same = np.concatenate(([False], a[1:] == a[:-1], [False]))
-    shared = np.empty(len(a), bool)
-    shared[order] = same[1:] | same[:-1]
-    # two anchors of one chunk that agree in these 32 bits are only taken for shared: more to compare, no other result
-    cut = np.cumsum([len(k) for k in keys])[:-1]
-    return _rows([(c, part, 0, np.packbits(s | m).tobytes(), None, None) for c, s, m in zip(chunks, np.split(shared, cut), several)], _SHARED)
+def _tell_shared(hot_runs: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        """Of all chunks' anchors in a range: which are in several documents, and which of them are hot."""
+        part, chunks = table.column("__part")[0].as_py(), table.column("__chunk").to_pylist()
+        keys = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
+        cut = np.cumsum([len(k) for k in keys])[:-1]
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("several").to_pylist(), keys)])
+        runs = np.ones(len(several), np.int64)
+        runs[several] = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("runs").to_pylist()])
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
+        count = np.diff(np.append(first, len(order)))
+        # two anchors of one chunk that agree in these 32 bits are only taken for shared: more to compare, no other result
+        shared, hot = several.copy(), np.empty(len(every), bool)
+        shared[order] |= np.repeat(count > 1, count)
+        hot[order] = np.repeat(np.add.reduceat(runs[order], first) > hot_runs, count)
+        return _rows([(c, part, 0, np.packbits(s).tobytes(), np.packbits(h).tobytes(), None, None) for c, s, h in zip(chunks, np.split(shared, cut), np.split(hot, cut))], _SHARED)
+
+    return run
+
+
+def _window_hash(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    keys = window_keys(buf, at, WIDTH)
+    h = np.zeros(len(at), np.uint64)
+    for c in range(keys.shape[1]):
+        h = _mixed(h ^ keys[:, c] * _M[0])
+    return h
 
 
 class Shared:
@@ -167,20 +187,28 @@ class Shared:
 
     def __init__(self, runs: Runs, told: pa.Table, parts: int):
         keys, _, bounds, place = runs.unique(parts)
-        flag = np.zeros(len(keys), bool)
-        for p, kind, bits in zip(told.column("__part").to_pylist(), told.column("kind").to_pylist(), told.column("bits").to_pylist()):
+        flag, warm = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        for p, kind, bits, hot in zip(*(told.column(c).to_pylist() for c in ("__part", "kind", "bits", "hot"))):
             if kind == 0:
                 a, b = bounds[p], bounds[p + 1]
                 flag[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        self.of = np.flatnonzero(flag[place]) if len(place) else np.zeros(0, np.int64)
+                warm[a:b] = np.unpackbits(np.frombuffer(hot, np.uint8), count=b - a).astype(bool)
+        of = np.flatnonzero(flag[place]) if len(place) else np.zeros(0, np.int64)
+        at, count, doc, anchor = runs.at[of], runs.count[of], runs.doc[of], runs.anchor[of]
+        if (single := warm[place[of]]).any():
+            n = np.where(single, count, 1)
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            single, at, doc = np.repeat(single, n), np.repeat(at, n) + step, np.repeat(doc, n)
+            anchor = np.where(single, _window_hash(runs.buf, at), np.repeat(anchor, n))
+            count = np.where(single, 1, np.repeat(count, n))
+        self.at, self.count, self.doc = at, count, doc
         data = runs.buf.tobytes()
         known: dict[bytes, int] = {}
-        at, count = runs.at[self.of], runs.count[self.of]
-        self.id = np.fromiter((known.setdefault(data[s:e], len(known)) for s, e in zip(at.tolist(), (at + count + WIDTH - 1).tolist())), np.int64, len(self.of))
+        self.id = np.fromiter((known.setdefault(data[s:e], len(known)) for s, e in zip(at.tolist(), (at + count + WIDTH - 1).tolist())), np.int64, len(at))
         self.pieces = list(known)
         _, first = np.unique(self.id, return_index=True)
-        self.owner = np.array([runs.ids[d] for d in runs.doc[self.of[first]]], np.int64)
-        self.part = (((runs.anchor[self.of[first]] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        self.owner = np.array([runs.ids[d] for d in doc[first]], np.int64)
+        self.part = (((anchor[first] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
         self.by_part = np.argsort(self.part, kind="stable")
 
     def parts(self):
@@ -195,7 +223,7 @@ def _send_runs(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             return _rows([], _RUNS)
         shared = Shared(Runs(table), told, parts)
         chunk = table.column("__chunk")[0].as_py()
-        return _rows([(p, chunk, np.array([len(shared.pieces[i]) for i in ids], np.int32).tobytes(), shared.owner[ids].tobytes(), b"".join([shared.pieces[i] for i in ids])) for p, ids in shared.parts()], _RUNS)
+        return _rows([(p, chunk, np.array([len(shared.pieces[i]) for i in ids], np.int32).tobytes(), shared.owner[ids].tobytes(), pa.compress(b"".join([shared.pieces[i] for i in ids]), "zstd", asbytes=True)) for p, ids in shared.parts()], _RUNS)
 
     return run
 
@@ -208,35 +236,24 @@ def _tell_least(shard_bytes: int) -> Callable[[pa.Table], pa.Table]:
         ids, docs = [], []
         for sizes, owner, data in zip(*(table.column(c).to_pylist() for c in ("sizes", "docs", "data"))):
             ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+            data = pa.decompress(data, ends[-1], "zstd", asbytes=True)
             ids.append(np.fromiter((known.setdefault(data[s:e], len(known)) for s, e in zip([0, *ends], ends)), np.int64, len(ends)))
             docs.append(np.frombuffer(owner, np.int64))
         pieces = list(known)
         least = np.full(len(pieces), np.iinfo(np.int64).max)
         for i, d in zip(ids, docs):
             np.minimum.at(least, i, d)
-        windows = [np.full(len(p) - WIDTH + 1, x) for p, x in zip(pieces, least.tolist())]
-        anchor = np.array([int(window_anchors(np.frombuffer(p[:WIDTH], np.uint8))[0]) for p in pieces], np.uint64) if len(pieces) < 64 else _first_anchors(pieces)
-        order = np.argsort(anchor, kind="stable")
-        a = anchor[order]
-        same = np.concatenate(([False], a[1:] == a[:-1], [False]))
-        several = order[same[1:] | same[:-1]]
-        for i, found in zip(several, least_owner([pieces[i] for i in several], least[several], WIDTH, shard_bytes)):
-            windows[i] = found
+        windows = least_owner(pieces, least, WIDTH, shard_bytes)
         rows = []
         for c, i in zip(chunks, ids):
             flat = np.concatenate([windows[k] for k in i])
             at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-            rows.append((c, part, 1, None, at.astype(np.uint32).tobytes(), flat[at].tobytes()))
+            rows.append((c, part, 1, None, None, at.astype(np.uint32).tobytes(), flat[at].tobytes()))
         return _rows(rows, _SHARED)
 
     return run
 
 
-def _first_anchors(pieces: list[bytes]) -> np.ndarray:
-    heads = np.frombuffer(b"".join(p[:WIDTH] for p in pieces), np.uint8)
-    return window_anchors(heads)[::WIDTH]
-
-
 def _remove(parts: int, schema: T.StructType, text_at: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         runs = Runs(table)
@@ -254,12 +271,11 @@ def _remove(parts: int, schema: T.StructType, text_at: int) -> Callable[[pa.Tabl
                 flat[done : done + total] = np.repeat(value, np.diff(np.append(at.astype(np.int64), total)))
                 done += total
             own = np.array([-1 if x is None else x for x in runs.ids], np.int64)
-            for a, b in sized_blocks(runs.count[shared.of].tolist(), _BLOCK):
-                of, ids = shared.of[a:b], shared.id[a:b]
-                n = runs.count[of]
+            for a, b in sized_blocks(shared.count.tolist(), _BLOCK):
+                ids, n = shared.id[a:b], shared.count[a:b]
                 step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                windows = np.repeat(runs.at[of], n) + step
-                covered = windows[flat[np.repeat(start[ids], n) + step] < np.repeat(own[runs.doc[of]], n)]
+                windows = np.repeat(shared.at[a:b], n) + step
+                covered = windows[flat[np.repeat(start[ids], n) + step] < np.repeat(own[shared.doc[a:b]], n)]
                 # windows are distinct places; a place may end one window and start another
                 gone[covered] += 1
                 gone[covered + WIDTH] -= 1
@@ -292,7 +308,7 @@ def text_at_count(t: pa.Table) -> int:
 _ADDED = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
 
 
-def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, hot_runs: int = HOT_RUNS) -> DataFrame:
     """The columns of ``docs`` with what is left of each text, then n_bytes, n_removed, n_spans, kept_sha256 and removed (byte spans).
 
     A column of ``docs`` that has one of the added names is replaced by it.
@@ -301,15 +317,20 @@ def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: i
     added = {f.name for f in _ADDED}
     fields = [f for f in docs.schema.fields if f.name not in added]
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
-    chunks = max(1, -(-(total["n"] + 64 * total["rows"]) // chunk_bytes))
+    size = total["n"] + 64 * total["rows"]
+    chunks = max(1, -(-size // chunk_bytes))
+    buckets = min(max(shuffle_partitions(spark), -(-size // BUCKET_BYTES)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     name = f"llm_chunks_{uuid.uuid4().hex}"
     numbered = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f.name).alias(f"c{i}") for i, f in enumerate(fields) if f.name != "text"))
     text_at = [f.name for f in fields].index("text")
     # the text is kept once: its own column is made again in the last pass
-    numbered.withColumn("__chunk", F.pmod(F.xxhash64("__row"), F.lit(chunks))).write.bucketBy(min(max(shuffle_partitions(spark), 1), 4096), "__chunk").saveAsTable(name)
+    chunked = numbered.withColumn("__chunk", F.pmod(F.xxhash64("__row"), F.lit(chunks)))
+    # dealt out as the buckets are, so that each bucket is one file
+    chunked.repartition(buckets, "__chunk").write.bucketBy(buckets, "__chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry: the files stay in the shared folder, like all that is staged there
     lean = stored.select("__chunk", "__row", "doc_id", "text").groupBy("__chunk")
-    shared = stage(lean.applyInArrow(_send_anchors(chunks), _ANCHORS).groupBy("__part").applyInArrow(_tell_shared, _SHARED), "substring-shared")
+    shared = stage(lean.applyInArrow(_send_anchors(chunks), _ANCHORS).groupBy("__part").applyInArrow(_tell_shared(hot_runs), _SHARED), "substring-shared")
     runs = lean.cogroup(shared.groupBy("__chunk")).applyInArrow(_send_runs(chunks), _RUNS)
     least = stage(runs.groupBy("__part").applyInArrow(_tell_least(shard_bytes), _SHARED), "substring-least")
     schema = T.StructType([*fields, *_ADDED])
