@@ -15,27 +15,44 @@ def brute(rows, every=50, nearest=5):
 
 def test_every_code_within_the_radius_is_probed():
     rng = np.random.default_rng(1)
-    code = h.learn(rng.normal(size=(500, 16)))
-    x = code.codes(rng.normal(size=(400, 16)))
-    values, masks = code.values(x), code.masks()
-    for q in range(40):
-        probed = np.zeros(len(x), bool)
-        for j, m in enumerate(masks):
-            probed |= np.isin(values[:, j], values[q, j] ^ m)
-        assert probed[np.bitwise_count(x ^ x[q]) <= code.radius].all()
+    code = h.learn(rng.normal(size=(500, 24)), bits=72)
+    assert code.bits == 72 and code.substrings == 4 and code.words == 2
+    x = code.codes(rng.normal(size=(400, 24)))
+    values = code.values(x)
+    for radius in (3, 17, 30):
+        limits = code.limits(radius)
+        for q in range(40):
+            probed = (np.bitwise_count(values ^ values[q]) <= limits).any(axis=1)
+            assert probed[np.bitwise_count(x ^ x[q]).sum(axis=1) <= radius].all()
 
 
-def test_exact_with_a_full_radius_and_salted_cells(spark):
+def test_cells_hold_every_row_and_queries_reach_them():
+    rng = np.random.default_rng(3)
+    code = h.learn(rng.normal(size=(500, 16)), bits=32)
+    x = code.codes(rng.normal(size=(700, 16)))
+    x[:300] = x[0]
+    values = code.values(x)
+    j = np.tile(np.arange(2), len(x))
+    cells, counts = np.unique(np.stack((j, values.ravel()), axis=1), axis=0, return_counts=True)
+    placed = h.Cells(code, cells[:, 0], cells[:, 1], counts, 50)
+    parts = placed.index_parts(values, np.arange(len(x)))
+    assert np.bincount(parts.ravel()).max() <= 110
+    for q in (0, 350, 400):
+        reached = set(placed.query_parts(values[q], 6).tolist())
+        near = (np.bitwise_count(values ^ values[q]) <= code.limits(6))
+        assert set(parts[near].tolist()) <= reached
+
+
+def test_exact_with_a_full_radius_and_salted_cells(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[7].tolist()) for i in range(300, 420)] + [(500, x[7].tolist()), (500, x[7].tolist()), (550, (2 * x[9]).tolist())]
     odd = [(600, None), (650, [0.0] * 8), (700, [1.0] * 7 + [None]), (701, [float("nan")] * 8), (702, [1.0] * 9), (None, x[1].tolist()), (750, [float("inf")] * 8)]
-    df = spark.createDataFrame([(*r, "k") for r in rows + odd], "vec_id long, embedding array<double>, key string")
-    code = h.learn(x)
-    code.radius = code.bits
+    df = spark.createDataFrame([(*r, "k") for r in rows + odd], "vec_id long, embedding array<double>, no string")
+    monkeypatch.setattr(h, "FIRST_RADII", (1.0, 1.0))
     for part_rows in (h.PART_ROWS, 40):
         got = {}
-        for r in h.search(df, code=code, part_rows=part_rows).collect():
+        for r in h.search(df, part_rows=part_rows).collect():
             got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
         want = brute(rows)
         assert set(got) == set(want)
@@ -49,7 +66,11 @@ def test_exact_with_a_full_radius_and_salted_cells(spark):
 def test_recall(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = brute([(r.vec_id, r.embedding) for r in table.collect()])
-    got = {(r.query_id, r.vec_id) for r in h.search(table).collect()}
+    passes = []
+    got = {(r.query_id, r.vec_id) for r in h.search(table, probed=passes).collect()}
+    n = table.count()
+    print([(q, r / q, p / q / n, c / q / n) for q, r, p, c in passes])
+    assert len(passes) == 3 and passes[0][2] / passes[0][0] / n < 0.2  # the first pass probes few codes
     hits = [(q, i) in got for q, near in want.items() for i, _ in near]
     assert np.mean(hits) >= 0.9
 

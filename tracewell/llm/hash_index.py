@@ -1,29 +1,37 @@
 """Approximate nearest neighbours by multi-index hashing: rotated binary codes, split into substrings that are each indexed.
 
-Codes. Unit vectors are centred, projected on principal directions and turned by a learned rotation (iterative quantisation),
-fitted on at most SAMPLE distinct vectors, the first by a hash; their signs are the code. Every vector is indexed.
-
-Search. A code within RADIUS bits of a query's differs from it in at most ``radius // substrings`` bits in some substring (one
-bit less suffices in all but the first ``radius % substrings + 1``), so probing those neighbours of each substring's value
-retrieves every code within the radius. Retrieved codes are checked in full, and the cosines of those in reach are
-computed on the original vectors, in double precision. Each task returns a query's few nearest; these are merged. Queries
-that find fewer rows in reach than they are due (outliers, small tables) are then compared with every vector, part by part,
-so that each has all its ranks.
-
-Skew. Equal vectors are one entry, with the smallest of their ids: more can't be among the nearest. An index cell (substring,
-value) with too many different vectors is salted over several parts, and a query goes to all of them. A part's index rows
-are bounded by PART_ROWS; queries stream past them.
+Codes. Unit vectors are centred, projected on at most MOST_DIMENSIONS principal directions and turned by learned rotations
+(iterative quantisation), as many as make BITS bits; their signs are the code. They are fitted on at most SAMPLE distinct vectors,
+the first by a hash. Every vector is indexed.
+
+Search. A code within R bits of a query's differs from it in at most ``R // substrings`` bits in some substring (one bit
+less suffices in all but the first ``R % substrings + 1``), so probing the cells of those values in each substring retrieves
+every code within R. A query starts with a small radius and widens it until its nearest are safe: until a vector as near as
+the last of them would lie within the radius, given the bits in which codes at that angle differ (mean and SAFE
+standard deviations). The first radii are fixed shares of the bits, the last is what the query itself needs. Only ids
+and codes are shuffled to probe; of the codes within the radius the entries' numbers go on, 16 bits each, to where the
+vectors are, which are read last, for cosines in double precision. Queries that still find fewer rows than they are due
+(outliers, small tables) are compared with every vector, part by part, so that each has all its ranks.
+
+How much is probed depends on the data: of vectors without structure a query's nearest differ in over a third of the
+bits, and then most cells are within the pigeonhole's reach, though few codes are within the radius (README has figures).
+
+Skew. Equal vectors are one entry, with the smallest of their ids: more can't be among the nearest. Cells are laid out one after
+the other over parts of PART_ROWS index rows; a cell with more goes over several parts, and a query goes to all of them.
+A part's rows are gathered in a task; queries stream past them.
 
 Defined results. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, nor do rows with a null vec_id. A row that repeats another in full counts once. Ties go to the smaller vec_id.
+part, nor do rows with a null vec_id. A row that repeats another in full counts once. Ties go to the smaller vec_id. An
+empty table gives no rows. Only vec_id and embedding are read, so that no other column's name can clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +40,23 @@ from pyspark.sql.window import Window
 from tracewell.llm.common import shuffle_partitions, stage
 
 SAMPLE, SEED, ROUNDS = 20_000, 42, 30
-MOST_BITS, SUBSTRINGS = 64, 8
-#: of 64 bits; the share of bits is kept for other code lengths
-RADIUS = 28
-PART_ROWS = 60_000
+BITS, MOST_DIMENSIONS, SUBSTRING = 128, 64, 16
+#: the first radii as shares of the bits, and the standard deviations between a safe neighbour and the radius
+FIRST_RADII, SAFE = (0.19, 0.38), 1.0
+PART_ROWS = 200_000
 NEAREST, EVERY = 5, 50
+_LOW = 16
+
+
+def v_type(vectors: DataFrame) -> str:
+    """The type that vectors are kept in: single precision only if that is what they have."""
+    return "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """vec_id, v (array of double) of rows that take part, and their length."""
-    v = F.col("embedding").cast("array<double>")
+    v = F.col("embedding")
+    v = v if v_type(vectors) == "array<float>" else v.cast("array<double>")
     bound = F.lit(1e300)
     fine = F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < bound)) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
@@ -50,46 +65,52 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
 
 
 class Code:
-    def __init__(self, mean: np.ndarray, turn: np.ndarray, substrings: int = SUBSTRINGS, radius: int | None = None):
+    """Codes of ``bits`` bits, as columns of 64-bit words, and their substrings."""
+
+    def __init__(self, mean: np.ndarray, turn: np.ndarray, substring: int = SUBSTRING):
         self.mean, self.turn = mean, turn
-        self.bits = turn.shape[1]
-        self.substrings = min(substrings, self.bits)
-        self.radius = round(RADIUS * self.bits / 64) if radius is None else radius
+        self.bits, self.words = turn.shape[1], -(-turn.shape[1] // 64)
+        self.substrings = max(1, self.bits // substring)
         ends = np.linspace(0, self.bits, self.substrings + 1).astype(int)
         self.spans = list(zip(ends[:-1].tolist(), np.diff(ends).tolist()))
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        on = (unit - self.mean) @ self.turn > 0
-        return (on.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        x = x.astype(np.float64)
+        on = (x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean) @ self.turn > 0
+        raw = np.packbits(on, axis=1, bitorder="little")
+        return np.pad(raw, ((0, 0), (0, 8 * self.words - raw.shape[1]))).view("<u8")
 
     def values(self, codes: np.ndarray) -> np.ndarray:
         """The substrings' values, one column each."""
-        return np.stack([(codes >> np.uint64(a)) & np.uint64((1 << n) - 1) for a, n in self.spans], axis=1).astype(np.int64)
-
-    def masks(self) -> list[np.ndarray]:
-        """For each substring, what to flip in a query's value to probe."""
-        least, extra = divmod(self.radius, self.substrings)
-        out = []
-        for j, (_, n) in enumerate(self.spans):
-            reach = least if j <= extra else least - 1
-            out.append(np.array([sum(1 << i for i in c) for k in range(reach + 1) for c in combinations(range(n), k)], np.int64))
-        return out
+        on = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8), axis=1, bitorder="little")
+        return np.stack([on[:, a : a + n].astype(np.int64) @ (1 << np.arange(n)) for a, n in self.spans], axis=1)
+
+    def limits(self, radius: int) -> np.ndarray:
+        """For each substring, in how many bits a value to be probed may differ."""
+        least, extra = divmod(radius, self.substrings)
+        return np.where(np.arange(self.substrings) <= extra, least, least - 1)
 
+    def needed(self, cosine: np.ndarray) -> np.ndarray:
+        """The radius within which vectors of a cosine are safe."""
+        p = np.arccos(np.clip(cosine, -1, 1)) / np.pi
+        return np.minimum(np.ceil(self.bits * p + SAFE * np.sqrt(self.bits * p * (1 - p))), self.bits).astype(np.int64)
 
-def learn(x: np.ndarray, bits: int = MOST_BITS, rounds: int = ROUNDS, seed: int = SEED) -> Code:
-    """Principal directions and the rotation that brings the projected sample nearest to its signs."""
+
+def learn(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = SEED) -> Code:
+    """Principal directions and the rotations that bring the projected sample nearest to its signs, from several beginnings."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean = unit.mean(axis=0)
     centred = unit - mean
     _, directions = np.linalg.eigh(centred.T @ centred)
-    directions = directions[:, ::-1][:, :bits]
-    p = centred @ directions
-    turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(p.shape[1], p.shape[1])))[0]
-    for _ in range(rounds):
-        u, _, vt = np.linalg.svd(np.where(p @ turn > 0, 1.0, -1.0).T @ p)
-        turn = (u @ vt).T
-    return Code(mean, directions @ turn)
+    directions = directions[:, ::-1][:, :MOST_DIMENSIONS]
+    p, turns, rng = centred @ directions, [], np.random.default_rng(seed)
+    for _ in range(max(1, bits // p.shape[1])):
+        turn = np.linalg.qr(rng.normal(size=(p.shape[1], p.shape[1])))[0]
+        for _ in range(rounds):
+            u, _, vt = np.linalg.svd(np.where(p @ turn > 0, 1.0, -1.0).T @ p)
+            turn = (u @ vt).T
+        turns.append(directions @ turn)
+    return Code(mean, np.concatenate(turns, axis=1)[:, :bits])
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -97,162 +118,226 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 class Cells:
-    """Where each (substring, value) cell's rows go: the first of its parts and how many it has."""
-
-    def __init__(self, code: Code, counts: dict[tuple[int, int], int], part_rows: int):
-        self.first, self.salts, part, room = {}, {}, 0, part_rows
-        for cell in sorted(counts):
-            n = counts[cell]
-            if n > room and room < part_rows:
-                part, room = part + 1, part_rows
-            self.first[cell] = part
-            self.salts[cell] = max(1, -(-n // part_rows))
-            if n > part_rows:
-                part, room = part + self.salts[cell], part_rows
-            else:
-                room -= n
-        self.parts = part + 1
-        self.masks = code.masks()
-
-    def index_part(self, j: int, value: int, key: int) -> int:
-        return self.first[j, value] + key % self.salts[j, value]
-
-    def query_parts(self, values: np.ndarray) -> list[int]:
-        found = set()
-        for j, v in enumerate(values.tolist()):
-            for x in (v ^ self.masks[j]).tolist():
-                if (cell := (j, x)) in self.first:
-                    found.update(range(self.first[cell], self.first[cell] + self.salts[cell]))
-        return sorted(found)
-
-
-def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, code: Code | None = None, part_rows: int = PART_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest found for each row whose vec_id is divisible by ``every``."""
+    """Where index rows go: cells in the order of (substring, value), laid out over parts of ``part_rows`` rows."""
+
+    def __init__(self, code: Code, j: np.ndarray, value: np.ndarray, count: np.ndarray, part_rows: int):
+        order = np.lexsort((value, j))
+        self.j, self.value, count = j[order], value[order], count[order]
+        start = np.cumsum(count) - count
+        self.first, self.last = start // part_rows, (start + count - 1) // part_rows
+        self.parts = int(self.last[-1]) + 1 if len(count) else 1
+        self.bounds = np.searchsorted(self.j, np.arange(code.substrings + 1))
+        self.code = code
+
+    def index_parts(self, values: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The part of each row and substring."""
+        out = np.empty(values.shape, np.int64)
+        for j in range(values.shape[1]):
+            at = self.bounds[j] + np.searchsorted(self.value[self.bounds[j] : self.bounds[j + 1]], values[:, j])
+            out[:, j] = self.first[at] + number % (self.last[at] - self.first[at] + 1)
+        return out
+
+    def query_parts(self, values: np.ndarray, radius: int) -> np.ndarray:
+        found = np.zeros(self.parts + 1, np.int64)
+        for j, limit in enumerate(self.code.limits(radius)):
+            a, b = self.bounds[j], self.bounds[j + 1]
+            at = a + np.flatnonzero(np.bitwise_count(self.value[a:b] ^ values[j]) <= limit)
+            np.add.at(found, self.first[at], 1)
+            np.add.at(found, self.last[at] + 1, -1)
+        return np.flatnonzero(np.cumsum(found[:-1]))
+
+
+def _words(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
+    return np.stack([batch.column(first + i).to_numpy() for i in range(n)], axis=1).view(np.uint64)
+
+
+def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, code: Code | None = None, part_rows: int = PART_ROWS, probed: list | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the nearest found for each row whose vec_id is divisible by ``every``.
+
+    ``probed``, if given, gets a row for each pass: queries, the sums of their radii, of codes probed and of codes in reach.
+    """
     spark = vectors.sparkSession
     rows, d = usable(vectors)
-    schema = "query_id long, rank int, vec_id long, score double"
     if not d:
-        return spark.createDataFrame([], schema)
-    take = nearest + 1  # one may be the query itself
-    rows = stage(rows.dropDuplicates(["vec_id", "v"]).withColumn("key", F.xxhash64("v")), "index-rows")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    take, vectors_as = nearest + 1, v_type(vectors)  # one may be the query itself
+    rows = rows.dropDuplicates(["vec_id", "v"])
     best = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= take)
-    entries = best.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.xxhash64("v").alias("key"), F.element_at("ids", 1).alias("least"), "ids", "v")
-    entries = stage(entries, "index-entries")
+    entries = best.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("no", F.monotonically_increasing_id())
+    entries = stage(entries.select("no", "ids", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")), "index-entries")
     if code is None:
-        sample = entries.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").collect()  # at most SAMPLE rows
-        code = learn(np.array([r.v for r in sample]))
-    asked = rows.where(F.col("vec_id") % every == 0).select("key", F.col("vec_id").alias("query_id"))
+        sample = entries.orderBy(F.xxhash64("k1"), "k1").limit(SAMPLE).select("v").collect()  # at most SAMPLE rows
+        code = learn(np.array([r.v for r in sample], np.float64))
+    words = [f"c{i}" for i in range(code.words)]
+    w = len(words)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column(2), d)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(code.codes(x).view(np.int64) if len(x) else np.zeros(0, np.int64))], names=["key", "least", "v", "code"])
+            codes = code.codes(_matrix(b.column(1), d)).view(np.int64) if b.num_rows else np.zeros((0, w), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(codes[:, i])) for i in range(w))], names=["no", *words])
 
-    coded = stage(entries.select("key", "least", "v").mapInArrow(encode, "key long, least long, v array<double>, code long"), "index-codes")
-    value = [F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << n) - 1)) for a, n in code.spans]
-    cells = coded.select(F.explode(F.array(*(F.struct(F.lit(j).alias("j"), x.alias("value")) for j, x in enumerate(value)))).alias("c")).groupBy("c.j", "c.value").count()
-    # one row for each cell that is used: substrings x 2 ** bits of each, whatever the input
-    placed = Cells(code, {(r["j"], r["value"]): r["count"] for r in cells.collect()}, part_rows)
+    ddl = ", ".join(f"{c} long" for c in words)
+    coded = stage(entries.select("no", "v").mapInArrow(encode, f"no long, {ddl}"), "index-codes")
+
+    def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = code.values(_words(b, 1, w))
+            for j in range(code.substrings):
+                value, n = np.unique(values[:, j], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), j, np.int32)), pa.array(value.astype(np.int32)), pa.array(n)], names=["j", "value", "n"])
+
+    # one row for each cell that is used: substrings x 2 ** SUBSTRING at most, whatever the input
+    cells = coded.mapInArrow(in_cells, "j int, value int, n long").groupBy("j", "value").agg(F.sum("n").alias("n")).toArrow()
+    placed = Cells(code, *(cells.column(c).to_numpy().astype(np.int64) for c in ("j", "value", "n")), part_rows)
+    shared = spark.sparkContext.broadcast(placed)
+    size = entries.agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).first()
+    due = min(take, size["ids"])
+    asked = stage(rows.where(F.col("vec_id") % every == 0).select(F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"), F.col("vec_id").alias("query_id")).join(entries.select("k1", "k2", "no"), ["k1", "k2"]).select("query_id", "no"), "index-asked")
+    queries = stage(asked.select("no").distinct().join(coded, "no").join(entries.select("no", "v"), "no").select("no", "v", *words), "index-queries")
 
     def spread_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = code.substrings
         for b in batches:
-            keys, values = b.column(0).to_numpy(), code.values(b.column(3).to_numpy().view(np.uint64))
-            part = np.array([[placed.index_part(j, v, k) for j, v in enumerate(row)] for row, k in zip(values.tolist(), keys.tolist())], np.int32).reshape(-1, code.substrings)
-            n = code.substrings
-            at = pa.array(np.repeat(np.arange(len(keys)), n))
-            yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.zeros(len(at), np.int8)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(keys))), *(b.column(i).take(at) for i in range(4))], names=names)
+            values, no = code.values(_words(b, 1, w)), b.column(0).to_numpy()
+            at = pa.array(np.repeat(np.arange(len(no)), n))
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.index_parts(values, no).ravel().astype(np.int32)), pa.array(np.zeros(len(at), np.int8)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(no))), *(x.take(at) for x in b.columns)], names=names)
 
     def spread_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                c = b.slice(a, 256)
-                parts = [placed.query_parts(v) for v in code.values(c.column(3).to_numpy().view(np.uint64))]
+            for a in range(0, b.num_rows, 1024):
+                c = b.slice(a, 1024)
+                parts = [shared.value.query_parts(v, r) for v, r in zip(code.values(_words(c, 2, w)), c.column(0).to_pylist())]
                 at = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([x for p in parts for x in p], pa.int32()), pa.array(np.ones(n, np.int8)), pa.array(np.zeros(n, np.int32)), *(c.column(i).take(at) for i in range(4))], names=names)
-
-    names = ["part", "kind", "j", "key", "least", "v", "code"]
-    ddl = "part int, kind byte, j int, key long, least long, v array<double>, code long"
-    queries = coded.join(asked.select("key").distinct(), "key", "left_semi").select("key", "least", "v", "code")
-
-    def looked_up(index: DataFrame, probes: DataFrame, parts: int, every_code: bool) -> DataFrame:
-        """query_key, score, vec_id: the nearest that the parts found for each query, at most ``take``."""
-        sent = index.unionByName(probes)
-        near = sent.repartition(min(parts, 20_000) if parts > 1 else shuffle_partitions(spark), "part").sortWithinPartitions("part", "kind").mapInArrow(_look_up(code, d, take, every_code), "query_key long, key long, least long, score double")
-        by_query = Window.partitionBy("query_key").orderBy(F.desc("score"), "least", "key")
-        top = near.dropDuplicates(["query_key", "key"]).withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= take).select("query_key", "key", "score")
-        found = top.join(entries.select("key", "ids"), "key").select("query_key", "score", F.explode("ids").alias("vec_id"))
-        few = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("n", F.row_number().over(few)).where(F.col("n") <= take).select("query_key", "score", "vec_id")
-
-    found = stage(looked_up(coded.mapInArrow(spread_index, ddl), queries.mapInArrow(spread_queries, ddl), max(placed.parts, 1), False), "index-found")
-    size = entries.agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).first()
-    served = found.groupBy(F.col("query_key").alias("key")).count().where(F.col("count") >= min(take, size["ids"])).select("key")
-    short = stage(queries.join(served, "key", "left_anti").select("key", "least", "v", "code"), "index-short")
+                part = np.concatenate(parts).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.ones(len(part), np.int8)), *(x.take(at) for x in c.columns)], names=names)
+
+    # j holds the radius in a query's row
+    names, spread_ddl = ["part", "kind", "j", "no", *words], f"part int, kind byte, j int, no long, {ddl}"
+    index = coded.mapInArrow(spread_index, spread_ddl)
+    vector_rows = entries.select(F.shiftright("no", _LOW).alias("block"), F.lit(0).cast("byte").alias("kind"), F.col("no").bitwiseAND(F.lit((1 << _LOW) - 1)).alias("no"), F.element_at("ids", 1).alias("least"), F.lit(None).cast("binary").alias("reach"), "v")
+
+    def looked_up(reached: DataFrame) -> DataFrame:
+        """query, score, vec_id: the nearest of the entries that are in reach (query, block, reach) of each query, at most ``take``."""
+        sent = reached.join(queries.select(F.col("no").alias("query"), "v"), "query").select("block", F.lit(1).cast("byte").alias("kind"), F.col("query").alias("no"), F.lit(None).cast("long").alias("least"), "reach", "v")
+        near = vector_rows.unionByName(sent).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "kind").mapInArrow(_rerank(d, take), "query long, no long, least long, score double")
+        top = near.dropDuplicates(["query", "no"]).withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least", "no"))).where(F.col("n") <= take)
+        found = top.select("query", "no", "score").join(entries.select("no", "ids"), "no").select("query", "score", F.explode("ids").alias("vec_id"))
+        return found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= take).select("query", "score", "vec_id")
+
+    needs = F.pandas_udf(lambda s: pd.Series(code.needed(s.to_numpy())), "long")
+    todo = queries.select("no", *words, F.lit(round(FIRST_RADII[0] * code.bits)).cast("int").alias("radius"))
+    done = []
+    for wider in (*(round(r * code.bits) for r in FIRST_RADII[1:]), None, 0):
+        probes = todo.select("radius", "no", *words).mapInArrow(spread_queries, spread_ddl)
+        dealt = index.unionByName(probes).repartition(max(shuffle_partitions(spark), min(placed.parts, 20_000)), "part").sortWithinPartitions("part", "kind")
+        reached = stage(dealt.mapInArrow(_probe(code), "query long, block long, reach binary, probed long, hits long"), "index-reached")
+        if probed is not None:
+            probed.append((*todo.agg(F.count("*"), F.sum("radius")).first(), *reached.agg(F.sum("probed"), F.sum("hits")).first()))
+        found = stage(looked_up(reached.where("block is not null").select("query", "block", "reach")), "index-found")
+        state = found.groupBy(F.col("query").alias("no")).agg(F.count("*").alias("n"), F.min("score").alias("last"))
+        state = todo.join(state, "no", "left").withColumn("need", F.when(F.coalesce("n", F.lit(0)) >= due, needs("last")))
+        # the last pass went as far as each query needed
+        open_ = stage(state.where("need is null or need > radius" if wider != 0 else "need is null").select("no", *words, "radius", "need"), "index-open")
+        done.append(found.join(open_.select(F.col("no").alias("query")), "query", "left_anti"))
+        if wider == 0 or open_.isEmpty():
+            short = open_
+            break
+        # a query without its due ranks can't tell what it needs: after the fixed radii it is compared with every vector
+        radius = F.lit(wider) if wider else F.coalesce("need", F.col("radius"))
+        todo = open_.select("no", *words, radius.cast("int").alias("radius"))
     if not short.isEmpty():
-        # every vector goes to one part, every such query to all of them
-        parts = -(-size["n"] // part_rows)
-        columns = [F.lit(0).alias("j"), "key", "least", "v", "code"]
-        index = coded.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), F.lit(0).cast("byte").alias("kind"), *columns)
-        probes = short.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).cast("byte").alias("kind"), *columns)
-        found = found.join(short.select(F.col("key").alias("query_key")), "query_key", "left_anti").unionByName(looked_up(index, probes, parts, True))
-    pairs = asked.join(found, asked.key == found.query_key).where("vec_id <> query_id")
+        # every block of vectors, each with all such queries
+        blocks = vector_rows.select("block").distinct()
+        done.append(looked_up(short.select(F.col("no").alias("query")).join(F.broadcast(blocks), how="cross").select("query", "block", F.lit(None).cast("binary").alias("reach"))))
+    pairs = asked.join(reduce(DataFrame.unionByName, done), F.col("no") == F.col("query")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
-def _look_up(code: Code, d: int, take: int, every_code: bool):
-    """Rows sorted by (part, kind): a part's index rows are gathered, then its queries probe them as they come, or are compared with all of them."""
-    masks = code.masks()
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(part, kind, rows) of rows sorted by their first two columns."""
+    for b in batches:
+        if b.num_rows:
+            parts, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1]))))
+            for a, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(parts)]):
+                yield int(parts[a]), int(kinds[a]), b.slice(a, e - a)
+
+
+def _probe(code: Code):
+    """Rows (part, kind, j, no, code) sorted by part and kind: queries probe the part's cells; entries in reach go on by blocks of numbers."""
 
-    def probe(index: dict, b: pa.RecordBatch) -> list[tuple]:
-        out = []
-        keys, vectors, codes = b.column(3).to_numpy(), _matrix(b.column(5), d), b.column(6).to_numpy().view(np.uint64)
+    def built(rows: list[pa.RecordBatch]) -> dict:
+        j, no = (np.concatenate([b.column(i).to_numpy() for b in rows]) for i in (2, 3))
+        codes = np.concatenate([_words(b, 4, code.words) for b in rows])
         values = code.values(codes)
-        for q in range(len(keys)):
-            if every_code:
-                at = np.arange(len(index["key"]))
-            else:
-                rows = []
-                for j, m in enumerate(masks):
-                    wanted = j << 48 | (values[q, j] ^ m)
-                    lo, hi = np.searchsorted(index["cell"], wanted), np.searchsorted(index["cell"], wanted, side="right")
-                    n = hi - lo
-                    rows.append(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-                at = np.unique(index["entry"][np.concatenate(rows)])
-                at = at[np.bitwise_count(index["code"][at] ^ codes[q]) <= code.radius]
-            if not len(at):
+        own = values[np.arange(len(j)), j]
+        order = np.lexsort((own, j))
+        j, own = j[order], own[order]
+        first = np.flatnonzero(np.concatenate(([True], (j[1:] != j[:-1]) | (own[1:] != own[:-1]))))
+        return {"no": no[order], "code": codes[order], "values": values[order], "j": j[first], "value": own[first], "first": first, "count": np.diff(np.append(first, len(j)))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_part, held, index = None, [], None
+        for part, kind, b in _by_part(batches):
+            if part != at_part:
+                at_part, held, index = part, [], None
+            if kind == 0:
+                held.append(b)
                 continue
-            v = vectors[q]
-            score = np.einsum("ij,j->i", index["v"][at], v) / (index["norm"][at] * np.sqrt(np.einsum("i,i->", v, v)))
-            first = np.lexsort((index["least"][at], -score))[:take]
-            out.append((np.full(len(first), keys[q]), index["key"][at[first]], index["least"][at[first]], score[first]))
-        return out
+            if held:
+                index, held = built(held), []
+            if index is None:
+                continue
+            out = []
+            codes = _words(b, 4, code.words)
+            for radius, no, c, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), codes, code.values(codes)):
+                limit = code.limits(radius)
+                cell = np.flatnonzero(np.bitwise_count(index["value"] ^ v[index["j"]]) <= limit[index["j"]])
+                n = index["count"][cell]
+                rows = np.repeat(index["first"][cell] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                j = np.repeat(index["j"][cell], n)
+                # a code that several substrings find is taken for the first of them
+                near = np.bitwise_count(index["values"][rows] ^ v) <= limit
+                mine = np.argmax(near, axis=1) == j
+                rows = rows[mine]
+                hit = rows[np.bitwise_count(index["code"][rows] ^ c).sum(axis=1) <= radius]
+                found = np.sort(index["no"][hit])
+                blocks = found >> _LOW
+                cuts = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1]))) if len(found) else np.zeros(0, np.int64)
+                low = (found & ((1 << _LOW) - 1)).astype("<u2")
+                out.append((no, None, None, len(rows), len(found)))
+                out += [(no, int(blocks[a]), low[a:e].tobytes(), 0, 0) for a, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(found)])]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["query", "block", "reach", "probed", "hits"])
+
+    return run
+
 
-    def built(batches: list[pa.RecordBatch]) -> dict:
-        t = pa.Table.from_batches(batches)
-        key, first, entry = np.unique(t.column("key").to_numpy(), return_index=True, return_inverse=True)
-        v = _matrix(t.column("v").combine_chunks().take(pa.array(first)), d)
-        codes = t.column("code").to_numpy().view(np.uint64)
-        j = t.column("j").to_numpy().astype(np.int64)
-        cell = j << 48 | code.values(codes)[np.arange(len(j)), j]
-        order = np.argsort(cell, kind="stable")
-        return {"cell": cell[order], "entry": entry[order], "key": key, "least": t.column("least").to_numpy()[first], "code": codes[first], "v": v, "norm": np.sqrt(np.einsum("ij,ij->i", v, v))}
+def _rerank(d: int, take: int):
+    """Rows (block, kind, no, least, reach, v) sorted by block and kind: cosines of a block's vectors in reach with each query that comes by (all, if reach is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, kept, index = None, [], None
-        for b in batches:
-            parts, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = np.flatnonzero((np.diff(parts, prepend=parts[:1] - 1) != 0) | (np.diff(kinds, prepend=kinds[:1]) != 0)) if len(parts) else []
-            for a, e in zip(cuts, [*cuts[1:], len(parts)]):
-                if parts[a] != part:
-                    part, kept, index = parts[a], [], None
-                if kinds[a] == 0:
-                    kept.append(b.slice(a, e - a))
-                    continue
-                if kept:
-                    index, kept = built(kept), []
-                if index is not None and (out := probe(index, b.slice(a, e - a))):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_key", "key", "least", "score"])
+        at_block, held, number, least, x, norm = None, [], None, None, None, None
+        for block, kind, b in _by_part(batches):
+            if block != at_block:
+                at_block, held, x = block, [], None
+            if kind == 0:
+                held.append(b)
+                continue
+            if held:
+                number, least = (np.concatenate([y.column(i).to_numpy() for y in held]) for i in (2, 3))
+                order = np.argsort(number)
+                number, least, x = number[order], least[order], np.concatenate([_matrix(y.column(5), d) for y in held])[order]
+                norm, held = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64)), []
+            if x is None:
+                continue
+            out = []
+            for query, reach, v in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), _matrix(b.column(5), d).astype(np.float64)):
+                at = np.arange(len(number)) if reach is None else np.searchsorted(number, np.frombuffer(reach, "<u2"))
+                score = np.einsum("ij,j->i", x[at].astype(np.float64), v) / (norm[at] * np.sqrt(np.einsum("i,i->", v, v)))
+                first = np.lexsort((least[at], -score))[:take]
+                out.append((np.full(len(first), query), (block << _LOW) | number[at[first]], least[at[first]], score[first]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*out)], names=["query", "no", "least", "score"])
 
     return run
