@@ -21,7 +21,7 @@ def brute(url, rules):
 def test_against_brute_force(spark):
     rnd = random.Random(2)
     hosts = ["a.example.net", "Example.NET", "net", "xnet", "b.c.example.com", "example.org", "é.org", "", "x..net", "www.example.com."]
-    urls = [None, "", "no scheme.net/", "http://net", "http://net?x=/", "://net/", "http://a.net/#://org/fr/", "http://" + "a." * 3000 + "net/en/"]
+    urls = [None, "", "no scheme.net/", "http://net", "http://net?x=/", "://net/", "http://a.net/#://org/fr/", "http://" + "a." * 3000 + "net/en/", "http://" + "x" * 100_000 + ".example.com/de/", "http://" + "b." * 60_000 + "org/fr/" + "y" * 100_000]
     urls += [f"http{rnd.choice('s ')}://{rnd.choice(hosts)}{rnd.choice(['', '/', '/en/', '/en', '/de/x?y', '/fr/#z', '?q', '//'])}" for _ in range(200)]
     rows = [(i, u, "x") for i, u in enumerate(urls)] + [(None, urls[9], "y"), (3, urls[3], "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, host string")
@@ -40,3 +40,15 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     assert url_rules.passes(filter_, hashes).all()
     others = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 20000)
     assert url_rules.passes(filter_, others).mean() < 0.01
+
+
+def test_a_long_list_shuffles_only_possible_hits(spark, monkeypatch):
+    rules = spark.range(200_000).selectExpr("concat('h', id, '.example.org') AS host", "'/' AS path", "'block' AS verdict")
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.example.org/x" if i % 10 == 0 else f"http://other{i}.com/") for i in range(2000)], "page_id long, url string")
+    got = url_rules.judged(pages, rules)
+    assert all((r.rule == f"h{r.page_id}.example.org/") == (r.page_id % 10 == 0) and (r.verdict == "block") == (r.page_id % 10 == 0) for r in got.collect()) and got.count() == 2000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    union = plan.splitlines()[0]
+    assert union.startswith("Union")
+    branches = plan.split("\n+- ")
+    assert "Join" not in branches[-1] and "Aggregate" not in branches[-1] and "Join" in plan and "isnotnull" in plan

@@ -3,11 +3,14 @@
 A listed URL is a host and a path prefix. A page's candidate keys are its host and parent domains, each with the path prefixes
 of the lengths that occur in the list. Each key sets or tests eight bits of one 512-bit block. The filter is built by
 grouped ``bit_or`` and has FILTER_BITS bits at most, however long the list: past that, more keys pass and the join, which
-alone decides, removes them. Keys that don't pass never leave their row, so only possible hits are shuffled.
+alone decides, removes them. Pages none of whose keys pass are done: they meet neither join nor grouping, and only the
+others are shuffled. Parents longer than the longest listed host can't be listed and are not built, so that a long host costs no
+more than its last part.
 
 Defined results. Null URLs and URLs without ``://`` have an empty host and path and no rule. Of several rules that fit, the
 longest wins (then the longer host). Of equal listed URLs with different verdicts, ``block`` wins. Repeated pages stay
-repeated. Pages without a rule get the default verdict.
+repeated. Pages without a rule get the default verdict. An empty table gives no rows; an empty list gives all pages the
+default. Only page_id and the URL are read, so that no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import stage
+
 BITS_PER_KEY, FILTER_BITS, BLOCK_BITS = 16, 1 << 27, 512
 #: rules up to this number are sent to all tasks for the join; it is checked by counting
 BROADCAST_RULES = 100_000
@@ -81,13 +86,17 @@ def passes(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """page_id, host, path, rule (null without), verdict for every row of ``pages``."""
     spark = pages.sparkSession
-    rules = listed(rules)
+    rules = stage(listed(rules), "url-rules")
     lengths = sorted(r[0] for r in rules.select("path_length").distinct().collect())  # lengths of URL paths
+    longest = rules.agg(F.coalesce(F.max("host_length"), F.lit(0))).first()[0]
     shared = spark.sparkContext.broadcast(build_filter(rules))
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.monotonically_increasing_id().alias("__row"), "page_id", host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # of a host that is longer than any listed one, the last part, without the label that is cut
+    over = F.length("host") > longest
+    labels = F.split(F.when(over, F.substring("host", -(longest + 1), longest + 1)).otherwise(F.col("host")), r"\.")
+    labels = F.when(over, F.slice(labels, 2, F.size(labels))).otherwise(labels)
+    parents = F.transform(F.when(F.size(labels) > 0, F.sequence(F.lit(1), F.size(labels))).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)), lambda x: x.isNotNull())
     keys = F.when((F.col("host") != "") & (F.size(prefixes) > 0), F.flatten(F.transform(parents, lambda p: F.transform(prefixes, lambda x: F.concat(p, x)))))
     keyed = rows.withColumn("keys", F.coalesce(keys, F.array().cast("array<string>"))).withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
@@ -102,11 +111,13 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), hits], names=["__row", "page_id", "host", "path", "hits"])
 
     page_type = pages.schema["page_id"].dataType.simpleString()
-    hit = keyed.mapInArrow(run, f"__row long, page_id {page_type}, host string, path string, hits array<string>").select("__row", "page_id", "host", "path", F.explode_outer("hits").alias("key"))
+    tested = stage(keyed.mapInArrow(run, f"__row long, page_id {page_type}, host string, path string, hits array<string>"), "url-tested")
+    hit = tested.where(F.size("hits") > 0).select("__row", F.struct("page_id", "host", "path").alias("page"), F.explode("hits").alias("key"))
     known = rules.select("key", F.struct(F.length("key").alias("n"), "host_length", F.col("key").alias("rule"), "verdict").alias("fit"))
     known = F.broadcast(known) if rules.count() <= BROADCAST_RULES else known
-    best = hit.join(known, "key", "left").groupBy("__row", "page_id", "host", "path").agg(F.max("fit").alias("fit"))
-    return best.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.lit(default)).alias("verdict"))
+    best = hit.join(known, "key", "left").groupBy("__row").agg(F.first("page").alias("page"), F.max("fit").alias("fit"))
+    found = best.select("page.page_id", "page.host", "page.path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.lit(default)).alias("verdict"))
+    return found.unionByName(tested.where(F.size("hits") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 ORACLE = f"""
