@@ -30,3 +30,23 @@ def test_pages_with_odd_rows(spark):
         assert a * fixity.ARCHIVE_BYTES + o == at
         at += n
     assert fixity.audit_of_pages(df.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    rows = [(i, 10, f"d{i}", "mine", 7, "s") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, length long, digest string, status string, archive int, __at0 string")
+    placed = fixity.manifest(df, ["page_id"], 64)
+    assert sorted((r["archive"], r["offset"], r["__at0"]) for r in placed.collect()) == [(i * 10 // 64, i * 10 % 64, "s") for i in range(20)]
+    got = fixity.audited(placed, placed.where("page_id <> 3"), archive_bytes=64, leaf_bytes=16, fanout=2).collect()
+    assert sorted((r.page_id, r.status) for r in got) == [(i, "missing" if i == 3 else "ok") for i in range(20)]
+
+
+def test_records_have_what_every_record_must(spark):
+    from pyspark.sql import functions as F
+
+    x = spark.createDataFrame([("http://a/", "hé")], "url string, html string").select(fixity.record(F.col("url"), F.col("html"), fixity.record_id(F.col("url"), F.col("html")))).first()[0]
+    head, body = x.split("\r\n\r\n")[:2]
+    fields = dict(line.split(": ", 1) for line in head.split("\r\n")[1:])
+    m = hashlib.md5("http://a/\nhé".encode()).hexdigest()
+    assert fields == {"WARC-Type": "response", "WARC-Record-ID": f"<urn:uuid:{m[:8]}-{m[8:12]}-{m[12:16]}-{m[16:20]}-{m[20:]}>", "WARC-Date": fixity.DATE, "WARC-Target-URI": "http://a/", "Content-Length": "3"}
+    assert body == "hé"

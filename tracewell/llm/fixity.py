@@ -8,7 +8,8 @@ it is DataFrame work on digests: the records themselves are read once and never
 
 Defined results. A record that only one replica has is ``missing`` (from the second) or ``extra``; one with another digest or length
 is ``corrupt``. Null URL or HTML is empty. Rows with a null page_id come first in the order of records; repeated rows
-are records of their own. Empty tables give no rows.
+are records of their own. Empty tables give no rows. Columns named archive, offset or status are replaced by the added ones;
+others pass through.
 """
 
 from __future__ import annotations
@@ -21,18 +22,30 @@ from tracewell.llm.common import running_offsets, stage
 ARCHIVE_BYTES, LEAF_BYTES, FANOUT = 1 << 24, 1 << 16, 16
 
 
-def record(url: Column, html: Column) -> Column:
+#: pages have no time of their own
+DATE = "1970-01-01T00:00:00Z"
+
+
+def record_id(url: Column, html: Column) -> Column:
+    """A record's id, from the MD5 of what it holds."""
+    h = F.md5(F.concat(F.coalesce(url, F.lit("")), F.lit("\n"), F.coalesce(html, F.lit(""))).cast("binary"))
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
+
+
+def record(url: Column, html: Column, identity: Column, date: str = DATE) -> Column:
     """A response record as its WARC file holds it."""
     url, html = F.coalesce(url, F.lit("")), F.coalesce(html, F.lit(""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
+    head = F.concat(
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: "), identity, F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n")
+    )
     return F.concat(head, html, F.lit("\r\n\r\n"))
 
 
 def manifest(records: DataFrame, order: list[str], archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Lay records (with ``length``) out in the given order: adds archive and offset (its place in the archive)."""
-    placed = running_offsets(records.withColumn("__row", F.monotonically_increasing_id()), [*order, "__row"], "length", "__at", "fixity-offsets")
-    at = F.col("__at")
-    return placed.withColumn("archive", F.floor(at / archive_bytes)).withColumn("offset", F.pmod(at, F.lit(archive_bytes))).drop("__at", "__row")
+    row, at = (next(f"__{name}{i}" for i in range(len(records.columns) + 1) if f"__{name}{i}" not in records.columns) for name in ("row", "at"))
+    placed = running_offsets(records.drop("archive", "offset").withColumn(row, F.monotonically_increasing_id()), [*order, row], "length", at, "fixity-offsets")
+    return placed.withColumn("archive", F.floor(F.col(at) / archive_bytes)).withColumn("offset", F.pmod(at, F.lit(archive_bytes))).drop(at, row)
 
 
 def levels(archive_bytes: int = ARCHIVE_BYTES, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> int:
@@ -78,6 +91,7 @@ def differing_records(a: DataFrame, b: DataFrame, archive_bytes: int = ARCHIVE_B
 
 def audited(a: DataFrame, b: DataFrame, **sizes: int) -> DataFrame:
     """The records of replica ``a`` with a status, ``ok`` where ``b`` agrees, and rows of ``b`` that ``a`` lacks."""
+    a, b = a.drop("status"), b.drop("status")
     wrong = stage(differing_records(a, b, **sizes), "fixity-wrong")
     own = a.join(wrong.where("status <> 'extra'"), ["archive", "offset"], "left").withColumn("status", F.coalesce("status", F.lit("ok")))
     extra = b.join(wrong.where("status = 'extra'"), ["archive", "offset"])
@@ -93,7 +107,8 @@ def replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     altered = F.coalesce(F.col("page_id") % CORRUPT[0] == CORRUPT[1], F.lit(False))
     lost = F.coalesce(F.col("page_id") % LOST[0] == LOST[1], F.lit(False))
     copy = F.when(altered, F.concat(F.lit("~"), F.substring(html, 2, F.length(html)))).otherwise(html)
-    both = pages.select("page_id", record(F.col("url"), html).alias("x"), record(F.col("url"), copy).alias("y"), lost.alias("lost"))
+    own = pages.select("page_id", "url", "html", record_id(F.col("url"), html).alias("identity"))
+    both = own.select("page_id", record(F.col("url"), html, F.col("identity")).alias("x"), record(F.col("url"), copy, F.col("identity")).alias("y"), lost.alias("lost"))
     digests = both.select("page_id", F.octet_length("x").cast("long").alias("length"), F.sha2("x", 256).alias("digest"), F.octet_length("y").cast("long").alias("copy_length"), F.sha2("y", 256).alias("copy_digest"), "lost")
     placed = stage(manifest(digests, ["page_id", "digest"]), "fixity-manifest")
     first = placed.select("page_id", "archive", "offset", "length", "digest")
@@ -105,8 +120,10 @@ def audit_of_pages(pages: DataFrame) -> DataFrame:
 
 
 ORACLE = f"""
-WITH r AS (SELECT page_id, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10),
-    'Content-Length: ', CAST(strlen(coalesce(html, '')) AS VARCHAR), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS x FROM pages),
+WITH i AS (SELECT *, md5(concat(coalesce(url, ''), chr(10), coalesce(html, ''))) AS m FROM pages),
+r AS (SELECT page_id, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:uuid:', substr(m, 1, 8), '-', substr(m, 9, 4), '-', substr(m, 13, 4), '-',
+    substr(m, 17, 4), '-', substr(m, 21, 12), '>', chr(13), chr(10), 'WARC-Date: {DATE}', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10),
+    'Content-Length: ', CAST(strlen(coalesce(html, '')) AS VARCHAR), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS x FROM i),
 d AS (SELECT page_id, CAST(strlen(x) AS BIGINT) AS length, sha256(x) AS digest FROM r),
 o AS (SELECT *, CAST(sum(length) OVER (ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length AS BIGINT) AS a FROM d)
 SELECT page_id, a // {ARCHIVE_BYTES} AS archive, a % {ARCHIVE_BYTES} AS "offset", length, digest,
