@@ -7,7 +7,8 @@ values have equal pseudonyms in every document, whatever their separators or cas
 Defined results. Null text stays null and has no findings. Where findings overlap, the kind listed first in KINDS wins, then
 the earlier one. Values that fail their check stay as they are. Cards in a usual grouping (unbroken, 4-4-4-4, 4-6-5, 4-6-4)
 are found first, whatever numbers stand beside them; in other groupings only as the longest run of up to 19 digits.
-Rows and other columns pass through; a column that has the name of an added one is replaced.
+Rows and other columns pass through; a column that has the name of an added one is replaced. Texts are read whole, whatever their
+length. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -220,13 +222,18 @@ def pseudonymised(text: str, key: bytes = DEFAULT_KEY, back: bool = False) -> tu
     if not _MAYBE(text) and not (":" in text and _NAMED(text)):
         return text, []
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    # the findings so far, which don't overlap: their starts in order, and where each ends
+    starts: list[int] = []
+    stop: dict[int, int] = {}
     for kind, pattern, pseudonym in KINDS:
         for m in pattern.finditer(text):
             a, b = m.span()
-            if all(b <= s or e <= a for s, e in taken) and (new := pseudonym(m, key, back)) is not None:
+            i = bisect_left(starts, a)
+            free = (i == len(starts) or b <= starts[i]) and (i == 0 or stop[starts[i - 1]] <= a)
+            if free and (new := pseudonym(m, key, back)) is not None:
                 found.append((a, b, kind, new))
-                taken.append((a, b))
+                starts.insert(i, a)
+                stop[a] = b
     found.sort()
     out, at = [], 0
     for a, b, _, new in found:
