@@ -37,3 +37,18 @@ def test_pieces_hold_every_id_once(spark):
         s.sort()
         assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and s[-1][0] + s[-1][1] <= 2048
     assert packing.packed(df.limit(0)).count() == 0
+
+
+def test_sequences_follow_the_curve_and_stretches_are_even(spark):
+    rnd = np.random.default_rng(4)
+    words = ["alpha", "beta", "naïve", "über", "x1", "<tag>", "99", "qq\n"]
+    texts = [" ".join(rnd.choice(words[: 2 + i % 6], rnd.integers(1, 400))) for i in range(300)] + ["the same text " * 40] * 300 + ["long " * 60_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(packing.packed(df).collect(), key=lambda r: (r.sequence_id, r.offset))
+    place = packing.curve_keys([t.encode() for t in texts])
+    met = [int(place[r.doc_id]) for r in got]
+    assert met == sorted(met)
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.sequence_id >> 33] += r.length
+    assert len(sizes) == 4 and max(sizes[k] for k in sizes) < 2 * 60_000

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -7,6 +8,44 @@ from tracewell.llm import quality_gam as q
 SF = "/root/testdata/sf0.01"
 
 
+def plain_features(t):
+    """The features in plain loops over bytes."""
+    words, cur = [], b""
+    for c in t + b" ":
+        if c in b" \t\n\x0b\x0c\r":
+            if cur:
+                words.append(cur)
+            cur = b""
+        else:
+            cur += bytes([c])
+    count = lambda chars: sum(c in chars for c in t)
+    n, k = max(len(t), 1), max(len(words), 1)
+    capitals, small = count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(b"abcdefghijklmnopqrstuvwxyz")
+    lines = [x for x in t.split(b"\n") if x.strip()]
+    times = {x: lines.count(x) for x in set(lines)}
+    freq = [t.count(bytes([c])) / n for c in set(t)]
+    pairs = [(words[i], words[i + 1]) for i in range(len(words) - 1)]
+    kinds = {}
+    for x in words:
+        kinds[x] = kinds.get(x, 0) + 1
+    return [
+        math.log1p(len(t)), math.log1p(len(words)), sum(len(x) for x in words) / k, math.log1p(max([len(x) for x in words], default=0)), count(b"#*$%&|<>~^=_{}[]\\@+") / n,
+        count(b"0123456789") / n, capitals / max(capitals + small, 1), count(b".,;:") / k, count(b"!?") / k, count(b"\n") / k, 1 - len(times) / max(len(lines), 1), len(kinds) / k,
+        max(kinds.values(), default=0) / k, 1 - len(set(pairs)) / len(pairs) if pairs else 0.0, sum(c > 127 for c in t) / n, sum(len(x) <= 3 for x in words) / k, -sum(p * math.log2(p) for p in freq),
+        max([c * len(x) for x, c in times.items() if c > 1], default=0) / n, float(len(set(t))), count(b"|") / k,
+    ]
+
+
+def plain_score(m, x):
+    bin_of = lambda cuts, v: sum(1 for c in cuts if c <= v)
+    z = m.base
+    for cuts, table, v in zip(m.cuts, m.tables, x):
+        z += table[bin_of(cuts, v)]
+    for a, b, table in m.pairs:
+        z += table[bin_of(m.pair_cuts[a], x[a]), bin_of(m.pair_cuts[b], x[b])]
+    return 1 / (1 + math.exp(-z))
+
+
 def test_tables_find_main_effects_and_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(6000, 4))

@@ -14,9 +14,58 @@ def brute(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
 
 
+def plain_votes(t):
+    t = t or ""
+    n_words, word_chars, n_symbols, n_dup, n_again = brute(t)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in t.split("\n"))
+    per = lambda a, b: a / max(b, 1)
+    capitals, marks = sum("A" <= c <= "Z" for c in t), t.count("!") + t.count("?")
+
+    def vote(value, good, bad):
+        return 0 if bad(value) else 1 if good(value) else None
+
+    return [
+        vote(n_words, lambda x: x >= 60, lambda x: x < 20),
+        vote(per(word_chars, n_words), lambda x: 2.5 <= x <= 9, lambda x: x < 1.5 or x > 12),
+        vote(per(n_symbols, n_words), lambda x: x < 0.02, lambda x: x > 0.1),
+        vote(per(n_dup, lines), lambda x: x < 0.05, lambda x: x > 0.3),
+        vote(per(n_again, n_words), lambda x: x < 0.05, lambda x: x > 0.2),
+        vote(per(capitals, word_chars), lambda x: x < 0.15, lambda x: x > 0.4),
+        vote(per(marks, n_words), lambda x: x < 0.1, lambda x: x > 0.3),
+    ]
+
+
+def plain_posteriors(texts, rounds=200):
+    """EM over single rows, in probabilities."""
+    votes = [plain_votes(t) for t in texts]
+    good = [0.1 if 0 in v else 0.95 for v in votes]
+    for _ in range(rounds):
+        share = (sum(good) + 1) / (len(good) + 2)
+        says = []  # probability of a good vote for good and for bad rows
+        for r in range(7):
+            yes = [[1.0, 1.0], [1.0, 1.0]]
+            for p, v in zip(good, votes):
+                if v[r] is not None:
+                    yes[1][v[r]] += p
+                    yes[0][v[r]] += 1 - p
+            says.append([yes[k][1] / (yes[k][0] + yes[k][1]) for k in (0, 1)])
+        new = []
+        for v in votes:
+            a, b = share, 1 - share
+            for x, (bad, fine) in zip(v, says):
+                if x is not None:
+                    a, b = a * (fine if x else 1 - fine), b * (bad if x else 1 - bad)
+            new.append(a / (a + b))
+        moved = max(abs(x - y) for x, y in zip(good, new))
+        good = new
+        if moved < 1e-9:
+            break
+    return good
+
+
 def test_counts_by_brute_force(spark):
     rnd = random.Random(7)
-    texts = [None, "", " \n\x0b", "a", "é ß\x1cx y", "a b c d e f g h " * 3, "a " * 40, "x\ny\nx\n\n x\ny"]
+    texts = [None, "", " \n\x0b", "a", "é ß\x1cx y", "a b c d e f g h " * 3, "a " * 40, "x\ny\nx\n\n x\ny", " ".join(f"w{i % 7001}" for i in range(60_000)), "z" * 400_000]
     for _ in range(60):
         base = [rnd.choice("abcdefgh") + rnd.choice(["", "!", "*", "#", "é"]) for _ in range(rnd.randint(0, 60))]
         k = rnd.randint(0, max(0, len(base) - 12))

@@ -10,7 +10,8 @@ Documents whose crc32(doc_id) mod 5 is 0 are never learned from. Neither labels
 
 Defined results. Null text is empty; empty texts get a score. Without labels of both kinds the score is the share of good
 labels (0.5 without any). Rows with a null doc_id are scored, and count as not held out. Labels with nulls are left out; of
-repeated labels of a document the lowest counts, of repeated rows one.
+repeated labels of a document the lowest counts, of repeated rows one. An empty table gives no rows. Extra columns pass through
+``scored`` and ``kept``; a column that has the score's name is replaced.
 """
 
 from __future__ import annotations

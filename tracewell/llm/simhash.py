@@ -277,4 +277,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     by_fp = stage(fps.groupBy("fp").agg(F.min(F.struct("doc_id", F.col(row).alias("row"))).alias("first")), "simhash-distinct")
     kept = _rooted(by_fp).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     unnamed = numbered.where(F.col("doc_id").isNull())
-    return numbered.where(F.col("doc_id").isNotNull()).join(kept, row, "left_semi").unionByName(unnamed).select(*docs.columns)
+    return numbered.where(F.col("doc_id").isNotNull()).join(kept, row, "left_semi").unionByName(unnamed).drop(row)

@@ -321,7 +321,7 @@ def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: i
     chunks = max(1, -(-size // chunk_bytes))
     buckets = min(max(shuffle_partitions(spark), -(-size // BUCKET_BYTES)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     name = f"llm_chunks_{uuid.uuid4().hex}"
-    numbered = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f.name).alias(f"c{i}") for i, f in enumerate(fields) if f.name != "text"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields) if f.name != "text"))
     text_at = [f.name for f in fields].index("text")
     # the text is kept once: its own column is made again in the last pass
     chunked = numbered.withColumn("__chunk", F.pmod(F.xxhash64("__row"), F.lit(chunks)))

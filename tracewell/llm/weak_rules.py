@@ -6,7 +6,8 @@ often each rule gives each vote for good and for bad documents (abstaining says
 logarithms by column, and replaces filtering by all rules at once: one doubtful vote doesn't reject.
 
 Defined results. Null text has no words: base_failed, not kept. Rows with a null doc_id and repeated rows are judged like
-others. Without rows there is nothing to estimate, and no row to judge.
+others. Texts are read whole, whatever their length. Without rows there is nothing to estimate, and no row to judge. Only doc_id
+and text are read, so that no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -83,8 +84,6 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, F.lit(0)).when(good, F.lit(1)).cast("byte")
 
 
-
-
 def rules() -> dict[str, Column]:
     """Name and vote: 1 good, 0 bad, null abstains."""
     per_word = _share("n_symbols", "n_words")
