@@ -66,7 +66,7 @@ SELECT host, node_id, min_by(event_id, stream_pos) AS first_alert, max_by(event_
     "src_endpoint_counts": "SELECT src, endpoint, count(*) AS n FROM history WHERE split <> 'test' GROUP BY src, endpoint",
     "quantile_higher": f"SELECT host, action, {higher('score', 0.9)} AS q90, {higher('score', 0.99)} AS q99, {higher('score', 0.999)} AS q999 FROM ({ranks('flow', 'host, action', 'score')}) x GROUP BY host, action",
     "score_summary": f"""
-SELECT x.action, max(x.n) AS n, min(score) AS min_score, round(avg(score), 6) AS mean_score, max(score) AS max_score, round(stddev_pop(score), 4) AS std_score, {higher('score', 0.99, n='x.n')} AS p99, {higher('score', 0.999, n='x.n')} AS p999, {higher('score', 0.9995, n='x.n')} AS p9995,
+SELECT x.action, max(x.n) AS n, min(score) AS min_score, round(avg(score), 6) AS mean_score, max(score) AS max_score, round(stddev_pop(score), 4) AS std_score, {higher('score', 0.99, n='x.n')} AS p99, {higher('score', 0.999, n='x.n')} AS p999, {higher('score', 0.9995, n='x.n')} AS p9995, {higher('score', 0.9999, n='x.n')} AS p9999,
   count_if(score >= t.thr) AS n_over FROM ({ranks("(SELECT * FROM flow WHERE split = 'test') f", 'action', 'score')}) x JOIN action_thresholds t ON t.action = x.action GROUP BY x.action""",
     "target_case_thresholds": """
 SELECT c.target_case, c.n, CASE WHEN c.n >= 100 THEN c.thr ELSE g.thr END AS thr FROM (SELECT * FROM group_thr WHERE level = 'case') c CROSS JOIN (SELECT thr FROM group_thr WHERE level = 'global') g""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.operators import learning, thresholds
 from tracewell.plans import etl, evaluation, profiles, semantics
 from tracewell.plans.text import registered
-from tracewell.queries import stateful
+from tracewell.queries import core, stateful
 from tracewell.sources.mapping import BASE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,7 @@ for _plans in (etl, evaluation, profiles, semantics):
 
 # these have an operator of their own; the text stays as the check
 QUERIES |= {f.__name__: f for f in (thresholds.group_thresholds, thresholds.resolve_group_threshold, thresholds.node_coverage)}
-QUERIES |= stateful.QUERIES | learning.QUERIES
+QUERIES |= core.QUERIES | stateful.QUERIES | learning.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
