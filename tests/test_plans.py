@@ -17,7 +17,7 @@ def test_same_rows_as_its_sql(spark, name):
 def test_engine_parts():
     assert text.for_engine("a /*spark b*/ /*duck c*/", "duck").split() == ["a", "c"]
     assert text.counted_as_long("SELECT count_if(a AND (b OR c)) AS n") == "SELECT count(*) FILTER (WHERE a AND (b OR c)) AS n"
-    assert text.with_tables("SELECT * FROM y", {"x": "SELECT 1", "y": "SELECT * FROM x", "z": "SELECT 2"}).startswith("WITH x AS (SELECT 1),\ny AS")
+    assert text.with_tables("SELECT * FROM y", {"x": "SELECT 1", "y": "SELECT * FROM x", "z": "SELECT 2"}).startswith("WITH x AS /*duck MATERIALIZED*/ (SELECT 1),\ny AS")
 
 
 def test_scoring_reads_no_labels(spark):

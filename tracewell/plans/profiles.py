@@ -89,7 +89,7 @@ SELECT host, event_id, round(coalesce(ln(1 + (ts_us - lag(ts_us) OVER (PARTITION
 SELECT host, stream_pos, node_id, round(exp(max(ln(score) + (ts_us - 788918400000000) / 31536000000000.0E0) OVER (PARTITION BY host, node_id ORDER BY stream_pos) - (ts_us - 788918400000000) / 31536000000000.0E0), 4) AS decayed FROM touch WHERE score > 0""",
     "node_pool_checkpoints": """
 WITH r AS (SELECT host, stream_pos, node_id, sum(score) OVER (PARTITION BY host, node_id ORDER BY stream_pos) AS pool FROM touch WHERE split = 'test')
-SELECT host, CAST(floor(stream_pos / 1000.0E0) AS BIGINT) AS checkpoint, round(max(pool), 4) AS best_score, max_by(node_id, pool + node_id / 1000000000.0E0) AS best_node, count(DISTINCT node_id) AS active_nodes FROM r GROUP BY host, CAST(floor(stream_pos / 1000.0E0) AS BIGINT)""",
+SELECT host, CAST(floor(stream_pos / 1000.0E0) AS BIGINT) AS checkpoint, round(max(pool), 4) AS best_score, /*spark max_by(node_id, struct(pool, node_id))*//*duck max({'p': pool, 'n': node_id}).n*/ AS best_node, count(DISTINCT node_id) AS active_nodes FROM r GROUP BY host, CAST(floor(stream_pos / 1000.0E0) AS BIGINT)""",
     "first_alert_per_node": "SELECT host, node_id, event_id, stream_pos, score FROM (SELECT t.*, row_number() OVER (PARTITION BY host, node_id ORDER BY stream_pos) AS r FROM alert_touch t) x WHERE r = 1",
     "has_state_before": "SELECT host, stream_pos, node_id, is_active FROM active",
     # attribute jobs

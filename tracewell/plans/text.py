@@ -42,7 +42,7 @@ def with_tables(sql: str, common: dict[str, str]) -> str:
             if name not in needed and re.search(rf"\b{name}\b", text):
                 needed.add(name)
                 todo.append(body)
-    found = [f"{name} AS ({body})" for name, body in common.items() if name in needed]
+    found = [f"{name} AS /*duck MATERIALIZED*/ ({body})" for name, body in common.items() if name in needed]
     if not found:
         return sql
     head = "WITH " + ",\n".join(found)

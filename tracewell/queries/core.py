@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import alerting, evaluation, flow
+from tracewell.functions import policies
+from tracewell.operators import alerting, evaluation, flow, windows
+from tracewell.operators import relational as rel
 from tracewell.sources.audit import BY_ACTION, Audit
 
 KS = [100, 200, 500, 1000, 1500, 3000]
@@ -95,6 +97,53 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "group_threshold_sweep": lambda a: alerting.threshold_sweep(a.validation, a.labelled_test, BY_ACTION, [0.9, 0.99], [0.0, 500.0]),
     "alert_predicate": lambda a: alerting.alerts(a.test, a.thresholds, BY_ACTION).select("host", "event_id", "score", F.col("thr").alias("threshold")),
     "first_alert_per_node": lambda a: _first_alerts(a),
+    # scans, projections, joins, sets
+    "node_lookup": lambda a: rel.node_lookup(a.nodes),
+    "scan_events_by_days": lambda a: rel.in_ranges(a.events, [("1999-03-01 05:00:00", "1999-03-11 05:00:00")]).select("host", "event_id", "ts_us", "src_id", "dst_id", "action"),
+    "scan_events_multi_day": lambda a: rel.in_ranges(a.events, [("1998-02-01 05:00:00", "1998-02-03 05:00:00"), ("1999-07-04 04:00:00", "1999-07-06 04:00:00"), ("2001-01-02 05:00:00", "2001-01-05 05:00:00")]).select("host", "event_id", "ts_us", "action"),
+    "bounded_scan": lambda a: rel.first_events(a.events, 1000).select("host", "event_id", "ts_us", "action"),
+    "split_event_counts": lambda a: rel.split_counts(a.events, a.actions, ["split"]),
+    "ten_action_filter": lambda a: rel.action_filter_report(a.events, a.actions, _HOST),
+    "structured_event_export": lambda a: rel.structured_export(a.labelled),
+    "compact_event_index": lambda a: rel.compact_index(a.placed, a.actions),
+    "information_flow": lambda a: a.flow.select("host", "event_id", "info_src", "info_dst", "src_kind", "dst_kind", rel.mapped("action", rel.RELATIONS, "other").alias("relation")),
+    "action_family": lambda a: a.events.groupBy("action").agg(F.count("*").alias("n")).withColumn("family", rel.mapped("action", rel.FAMILIES, "other")),
+    "resolved_events_only": lambda a: rel.resolution_report(a.events, a.nodes, _HOST),
+    "netflow_message": lambda a: rel.messages(a.nodes),
+    "event_text": lambda a: rel.event_texts(a.flow, a.nodes),
+    "residual_sentence": lambda a: rel.with_words(a.flow, rel.node_words(a.nodes)).select("host", "event_id", F.concat_ws(" ", "src_tokens", F.lower("action"), "dst_tokens").alias("sentence")),
+    "suppression_candidate": lambda a: a.flow.select("host", "event_id", F.expr("action = 'EVENT_WRITE' AND src_kind = 'process' AND dst_kind = 'netflow'").alias("write_out"), F.expr("action = 'EVENT_READ' AND src_kind = 'netflow' AND dst_kind = 'process'").alias("read_in")),
+    "alert_policy": lambda a: alerting.decided(a.alerts, *policies.tables(a.events.sparkSession)).select("host", "event_id", "policy", "decision", "is_final"),
+    "label_normalize": lambda a: rel.label_names(a.labelled.select("event_id", rel.mapped("label", {2: " Malicious", 1: "SUSPICIOUS "}, "benign").alias("raw"))),
+    "alert_features": lambda a: rounded(rel.alert_features(a.alerts, a.nodes), margin=6),
+    "enrich_events": lambda a: rel.enriched(a.events, a.nodes),
+    "used_nodes": lambda a: a.nodes.join(rel.endpoints(a.flow), "node_id", "left_semi"),
+    "missing_node_check": lambda a: rel.missing_nodes(a.events, a.nodes),
+    "alert_event_labels": lambda a: rel.alert_labels(a.alerts, a.labelled),
+    "alert_node_labels": lambda a: rel.node_labels(a.alert_touch, a.truth),
+    "attack_window_join": lambda a: rel.in_windows(a.flow, a.windows).select("name", "host", "event_id", "ts_us"),
+    "align_structured": lambda a: rel.aligned(a.test, a.labelled, _HOST),
+    "remap_node_ids": lambda a: rel.remapped(a.flow, rel.compact_ids(a.touch, _HOST), _HOST).select("host", "event_id", "src_compact", "dst_compact"),
+    "tail_surprisal": lambda a: rounded(rel.tail(a.flow, BY_ACTION, "split = 'validation'", "split = 'test'").select("host", "event_id", "surprisal"), surprisal=9),
+    "conformal_pvalue": lambda a: rounded(rel.tail(a.flow, BY_ACTION, "split = 'validation'", "split = 'test'").select("host", "event_id", "p_value"), p_value=9),
+    "endpoint_union": lambda a: rel.endpoints(a.flow),
+    "split_set_algebra": lambda a: rel.split_algebra(a.touch),
+    "gt_union": lambda a: a.truth.where("node_id < 1000000").select("uuid").union(a.truth.where("node_id % 2 = 0").select("uuid")).distinct(),
+    "process_disjoint_split": lambda a: rel.held_out_owners(a.flow.where("split = 'train'"), _HOST, 0.1, "s").groupBy("host", "part").agg(F.count("*").alias("n_events"), F.count_distinct("actor_id").alias("n_owners")),
+    "day_splits": lambda a: a.events.groupBy("split", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.min("ts_us").alias("first_us")),
+    "balanced_sample": lambda a: rel.first_by_group(a.placed, ["host", "object_kind"], 50, flow.order()).select("host", rel.mapped("object_kind", {"file": "process-file", "netflow": "process-netflow"}, "process-process").alias("pair"), "event_id", "stream_pos"),
+    "malicious_pair_audit": lambda a: rel.with_words(_both_bad(a), rel.node_words(a.nodes)).select("host", "event_id", "action", "src_tokens", "dst_tokens"),
+    # windows by node and edge
+    "edge_novelty": lambda a: rounded(windows.edge_novelty(alerting.with_threshold(a.flow, a.thresholds, BY_ACTION), rel.mapped("action", rel.FAMILIES, "other")).select("host", "event_id", "excess"), excess=6),
+    "recent_distinct_peers": lambda a: windows.recent(a.touch_placed, 2592000.0).where("split = 'test' AND kind <> 'process'").select("host", "stream_pos", "node_id", "recent_peers"),
+    "recent_chain_diversity": lambda a: windows.recent(a.touch_placed, 2592000.0).where("split = 'test' AND kind <> 'process'").select("host", "stream_pos", "node_id", "kinds", "actions", "transitions"),
+    "chain_transition_rarity": lambda a: rounded(windows.transition_rarity(a.touch, "split = 'train'", "split = 'test'"), max_rarity=6, mean_rarity=6),
+    "time_gaps": lambda a: rounded(windows.time_gaps(a.placed), global_gap=6, src_gap=6, edge_gap=6),
+    "decayed_max": lambda a: rounded(windows.decayed_max(a.touch_placed, 31536000.0, 788918400000000).select("host", "stream_pos", "node_id", "decayed"), decayed=4),
+    "state_asof": lambda a: rounded(windows.state_asof(a.touch_placed).select("host", "stream_pos", "node_id", "last_score", "last_us"), last_score=6),
+    "node_pool_checkpoints": lambda a: rounded(windows.pool_checkpoints(a.touch_placed.where("split = 'test'"), 1000), best_score=4),
+    "topm_per_node": lambda a: windows.top_per_node(a.touch.where("split = 'test'"), 32).select("host", "node_id", "event_id", "score", "r"),
+    "node_pool": lambda a: rounded(windows.node_pool(a.touch.where("split = 'test'")), base=4, base_repeats=4, base_pairs=4, base_action_peers=4, base_all=4),
     # flow and node history
     "event_label": lambda a: a.labelled.select("host", "event_id", "label"),
     "stream_pos": lambda a: a.placed.select("host", "event_id", "ts_us", "stream_pos"),
@@ -107,6 +156,11 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
 }
 
 
+def _both_bad(a: Audit) -> DataFrame:
+    bad = a.truth.select("node_id").distinct()
+    return a.flow.join(bad.withColumnRenamed("node_id", "info_src"), "info_src", "left_semi").join(bad.withColumnRenamed("node_id", "info_dst"), "info_dst", "left_semi")
+
+
 def _delay(a: Audit) -> DataFrame:
     scored = flow.labelled(a.placed, a.truth).where("split = 'test'")
     return evaluation.alert_delay(scored, alerting.alerts(scored, a.thresholds, BY_ACTION), _HOST)
