@@ -2,6 +2,27 @@
 
 from __future__ import annotations
 
+
+
+def piece(x: str, fallback: str, most: int = 32) -> str:
+    """A value as a short token, in the check's SQL."""
+    low = f"lower(trim({x}))"
+    plain = f"trim(regexp_replace({low}, '[^a-z0-9]+', '_', 'g'), '_')"
+    return f"CASE WHEN regexp_matches({low}, '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$') THEN 'uuid' WHEN regexp_matches({low}, '^[0-9a-f]{{12,}}$') THEN 'hex' WHEN regexp_matches({low}, '^[0-9]+$') THEN 'num' WHEN {plain} = '' THEN '{fallback}' ELSE rtrim(substr({plain}, 1, {most}), '_') END"
+
+
+def base_signature(x: str) -> str:
+    parts = f"list_filter(string_split(lower({x}), '.'), lambda p: p <> '')"
+    base = f"CASE WHEN contains({x}, '.') AND len({parts}) > 0 THEN {parts}[1] ELSE lower({x}) END"
+    ending = f"list_filter({parts}[2:], lambda p: regexp_matches(p, '[a-z]'))[1]"
+    return f"concat_ws('_', {piece(base, 'path', 24)}, CASE WHEN {ending} IS NOT NULL THEN {piece(ending, 'x', 12)} END)"
+
+
+def bucket(prefix: str, n: str) -> str:
+    steps = " ".join(f"WHEN {n} <= {most} THEN '{prefix}_{name}'" for most, name in ((1, "1"), (2, "2"), (4, "3_4"), (8, "5_8"), (16, "9_16"), (32, "17_32"), (64, "33_64"), (128, "65_128")))
+    return f"CASE {steps} ELSE '{prefix}_129p' END"
+
+
 COMMON: dict[str, str] = {
     "train_flow": "SELECT * FROM flow WHERE split = 'train'",
     "node_tokens": """
@@ -9,7 +30,7 @@ SELECT node_id, kind, /*spark token*//*duck token*/ FROM (SELECT node_id, kind,
 /*spark LATERAL VIEW explode(split(words, ' ')) t AS token*//*duck , unnest(string_split(words, ' ')) t(token)*/ WHERE token <> ''""",
     "event_tokens": "SELECT f.host, f.split, f.event_id, t.token FROM flow f JOIN node_tokens t ON t.node_id = f.info_src UNION ALL SELECT f.host, f.split, f.event_id, t.token FROM flow f JOIN node_tokens t ON t.node_id = f.info_dst",
     "train_vocab": "SELECT token, count(*) AS n FROM event_tokens WHERE split = 'train' GROUP BY token",
-    "frozen": "SELECT token, n, rid FROM (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rid FROM train_vocab WHERE n >= 5) v WHERE rid <= 19",
+    "frozen": "SELECT token, n, rid FROM (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rid FROM train_vocab WHERE n >= 5) v WHERE rid < 8192",
     "families": """
 SELECT f.*, CASE WHEN action IN ('EVENT_READ', 'EVENT_OPEN') THEN 'read' WHEN action IN ('EVENT_RECVFROM', 'EVENT_RECVMSG') THEN 'recv' WHEN action = 'EVENT_WRITE' THEN 'write' WHEN action IN ('EVENT_SENDTO', 'EVENT_SENDMSG', 'EVENT_CONNECT') THEN 'send' ELSE 'spawn' END AS family FROM flow f""",
     "node_evidence": """
@@ -93,12 +114,17 @@ SELECT host, CAST(floor(stream_pos / 1000.0E0) AS BIGINT) AS checkpoint, round(m
     "first_alert_per_node": "SELECT host, node_id, event_id, stream_pos, score FROM (SELECT t.*, row_number() OVER (PARTITION BY host, node_id ORDER BY stream_pos) AS r FROM alert_touch t) x WHERE r = 1",
     "has_state_before": "SELECT host, stream_pos, node_id, is_active FROM active",
     # attribute jobs
-    "path_tokens": """
-SELECT path, concat('ROOT_', split_part(clean, '/', 2)) AS root_token, regexp_extract(clean, '([^/]*)$', 1) AS basename, regexp_extract(clean, '[.]([a-zA-Z]+)$', 1) AS extension, regexp_replace(regexp_extract(clean, '([^/]*)$', 1), '[0-9]+', '<num>'/*duck , 'g'*/) AS masked, length(clean) - length(replace(clean, '/', '')) AS depth
-FROM (SELECT DISTINCT path, regexp_replace(path, '/+', '/'/*duck , 'g'*/) AS clean FROM prov_nodes WHERE path IS NOT NULL) x""",
-    "value_signature": """
-SELECT v, CASE WHEN lower(v) IN ('true', 'false') THEN 'bool' WHEN /*spark regexp_like*//*duck regexp_matches*/(v, '^[0-9]{1,3}([.][0-9]{1,3}){3}$') THEN 'ip' WHEN /*spark regexp_like*//*duck regexp_matches*/(v, '^[0-9]+$') THEN concat('num_', CAST(length(v) AS STRING)) WHEN v LIKE '/%' THEN 'path' WHEN v LIKE '%,%' THEN 'list' ELSE 'text' END AS signature
-FROM (SELECT dst_addr AS v FROM prov_nodes UNION SELECT dst_port FROM prov_nodes UNION SELECT path FROM prov_nodes UNION SELECT cmd FROM prov_nodes) x WHERE v IS NOT NULL""",
+    "path_tokens": f"""
+SELECT path, array_to_string(CASE WHEN len(s) = 0 THEN ['PATH_na'] ELSE list_filter([concat('ROOT_', CASE WHEN starts_with(c, '/') THEN {piece('s[1]', 'root')} ELSE 'rel' END),
+  CASE WHEN len(s) >= 2 THEN concat('DIR_', {piece('s[len(s) - 1]', 'dir', 20)}) END, concat('PATH_', {base_signature('s[len(s)]')})], lambda x: x IS NOT NULL) END, ' ') AS tokens
+FROM (SELECT path, c, list_filter(string_split(c, '/'), lambda x: x <> '') AS s FROM (SELECT DISTINCT path, trim(regexp_replace(replace(trim(path), chr(92), '/'), '/+', '/', 'g')) AS c FROM prov_nodes WHERE path IS NOT NULL) x) y""",
+    "value_signature": f"""
+SELECT v, CASE WHEN t = '' THEN 'na' WHEN lower(t) IN ('true', 'false') THEN lower(t) WHEN regexp_matches(t, '^[0-9]+$') THEN {bucket('N', 'CAST(t AS HUGEINT)')}
+  WHEN contains(t, '/') OR contains(t, chr(92)) THEN CASE WHEN s[len(s)] IS NULL THEN 'path' ELSE {base_signature('s[len(s)]')} END
+  WHEN contains(t, '|') OR contains(t, ';') THEN {bucket('L', "greatest(len(list_filter(regexp_split_to_array(t, '[|;,]+'), lambda x: x <> '')), 1)")}
+  WHEN contains(t, ':') AND NOT starts_with(t, 'http') AND len(list_filter(string_split(t, ':'), lambda x: x <> '')) > 2 THEN {bucket('L', "len(list_filter(string_split(t, ':'), lambda x: x <> ''))")}
+  WHEN regexp_matches(t, '^(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])([.](0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])){{3}}$') THEN concat('IP_', replace(t, '.', '_')) ELSE {piece('t', 'val', 24)} END AS signature
+FROM (SELECT v, trim(v) AS t, list_filter(string_split(replace(trim(v), chr(92), '/'), '/'), lambda x: x <> '') AS s FROM (SELECT dst_addr AS v FROM prov_nodes UNION SELECT dst_port FROM prov_nodes UNION SELECT path FROM prov_nodes UNION SELECT cmd FROM prov_nodes) x WHERE v IS NOT NULL) y""",
     "netflow_tokens": "SELECT DISTINCT concat('IP_', replace(dst_addr, '.', '_')) AS ip_token, concat('PORT_', dst_port) AS port_token FROM prov_nodes WHERE kind = 'netflow'",
     "ip_scope": """
 SELECT dst_addr, dst_port, CASE WHEN dst_addr = '0.0.0.0' THEN 'zero' WHEN a = 127 THEN 'loopback' WHEN a = 128 AND b = 55 THEN concat('internal_', CAST(c AS STRING)) WHEN a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) THEN 'private' ELSE 'public' END AS scope,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import policies
-from tracewell.operators import alerting, evaluation, flow, windows
+from tracewell.operators import alerting, attributes, evaluation, flow, profiles, windows
 from tracewell.operators import relational as rel
 from tracewell.sources.audit import BY_ACTION, Audit
 
@@ -144,6 +144,29 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "node_pool_checkpoints": lambda a: rounded(windows.pool_checkpoints(a.touch_placed.where("split = 'test'"), 1000), best_score=4),
     "topm_per_node": lambda a: windows.top_per_node(a.touch.where("split = 'test'"), 32).select("host", "node_id", "event_id", "score", "r"),
     "node_pool": lambda a: rounded(windows.node_pool(a.touch.where("split = 'test'")), base=4, base_repeats=4, base_pairs=4, base_action_peers=4, base_all=4),
+    # counts of training data, rarity
+    "split_node_overlap": lambda a: profiles.split_overlap(a.touch),
+    "node_mixing": lambda a: rounded(profiles.node_mixing(a.touch), action_entropy=6),
+    "split_mixing_summary": lambda a: rounded(profiles.nearest_rank_summary(a.touch, ["split"], {"p50": 0.5, "p90": 0.9}), low_support=9),
+    "token_frequency": lambda a: profiles.vocabulary(_tokens(a, "train")),
+    "frozen_vocab": lambda a: profiles.frozen(_tokens(a, "train")),
+    "unk_rates": lambda a: rounded(profiles.unknown_rates(_tokens(a), profiles.frozen(_tokens(a, "train")), ["host", "split"]), unknown_rate=9),
+    "token_coverage": lambda a: profiles.token_coverage(a.touch, _node_tokens(a), profiles.counts(_tokens(a, "train"), ["token"])),
+    "conditional_nll_counts": lambda a: rounded(profiles.conditional_nll(_train(a), a.test), action_nll=9, dst_kind_nll=9),
+    "field_context_nll": lambda a: rounded(profiles.field_nll(_train(a), a.test, _node_tokens(a)), dst_field_nll=6, worst=6),
+    "edge_familiarity": lambda a: rounded(profiles.edge_surprise(_train(a), a.test), surprise=9),
+    "bucket_rarity": lambda a: rounded(profiles.token_rarity(_tokens(a, "train"), _tokens(a, "test")), mean_rarity=6, max_rarity=6, top3_rarity=6),
+    "profile_rarity": lambda a: rounded(profiles.profile_rarity(_train(a), a.test), **dict.fromkeys(profiles.PROFILES, 9)),
+    "process_semantic_audit": lambda a: profiles.role_audit(a.flow, rel.node_words(a.nodes)),
+    "collision_audit": lambda a: profiles.collisions(a.nodes, rel.node_words(a.nodes), a.touch.where("split = 'train'")),
+    "temporal_count_score": lambda a: rounded(profiles.temporal_count_score(_train(a), a.test), score=6),
+    "latent_dim_from_vocab": lambda a: profiles.latent_dimensions(profiles.counts(_tokens(a, "train"), ["token"])),
+    # attributes
+    "path_tokens": lambda a: a.nodes.where("path IS NOT NULL").select("path").distinct().select("path", F.array_join(attributes.path_tokens(F.col("path")), " ").alias("tokens")),
+    "value_signature": lambda a: a.nodes.select(F.explode(F.array("dst_addr", "dst_port", "path", "cmd")).alias("v")).where("v IS NOT NULL").distinct().withColumn("signature", attributes.value_signature(F.col("v"))),
+    "netflow_tokens": lambda a: attributes.netflow_tokens(a.nodes),
+    "ip_scope": lambda a: a.nodes.where("kind = 'netflow'").select("dst_addr", "dst_port").distinct().withColumns({"scope": attributes.address_scope(F.col("dst_addr")), "port_bucket": attributes.port_bucket(F.col("dst_port"))}),
+    "process_tokens": lambda a: attributes.process_tokens(a.nodes),
     # flow and node history
     "event_label": lambda a: a.labelled.select("host", "event_id", "label"),
     "stream_pos": lambda a: a.placed.select("host", "event_id", "ts_us", "stream_pos"),
@@ -156,6 +179,18 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
 }
 
 
+def _train(a: Audit) -> DataFrame:
+    return a.flow.where("split = 'train'")
+
+
+def _node_tokens(a: Audit) -> DataFrame:
+    return profiles.node_tokens(rel.node_words(a.nodes))
+
+
+def _tokens(a: Audit, split: str | None = None) -> DataFrame:
+    return profiles.event_tokens(a.flow.where(F.col("split") == split) if split else a.flow, _node_tokens(a))
+
+
 def _both_bad(a: Audit) -> DataFrame:
     bad = a.truth.select("node_id").distinct()
     return a.flow.join(bad.withColumnRenamed("node_id", "info_src"), "info_src", "left_semi").join(bad.withColumnRenamed("node_id", "info_dst"), "info_dst", "left_semi")
