@@ -144,3 +144,28 @@ def alert_touches(alert_rows: DataFrame) -> DataFrame:
     ends = F.filter(F.array(F.struct(F.col("info_src").alias("node_id"), F.col("src_kind").alias("kind"), F.lit(1).alias("as_src"), loop.cast("int").alias("as_dst")),
                             F.when(~loop, F.struct(F.col("info_dst").alias("node_id"), F.col("dst_kind").alias("kind"), F.lit(0).alias("as_src"), F.lit(1).alias("as_dst")))), lambda x: x.isNotNull())
     return alert_rows.withColumn("e", F.explode(ends)).select(*alert_rows.columns, "e.*")
+
+
+def robust_stats(scored: DataFrame, by: list[str], qs: dict[str, float], floor: float = 1e-6) -> DataFrame:
+    """by, median, mad (median absolute deviation and a floor) and quantiles, linear between scores.
+
+    Scores are counted by value first, so that each group's percentiles gather distinct values with weights.
+    """
+    values = scored.groupBy(*by, "score").agg(F.count("*").alias("c"))
+    first = values.groupBy(*by).agg(F.percentile("score", 0.5, F.col("c")).alias("median"), *(F.percentile("score", q, F.col("c")).alias(n) for n, q in qs.items()))
+    spread = values.join(first.select(*by, "median"), by).groupBy(*by).agg((F.percentile(F.abs(F.col("score") - F.col("median")), 0.5, F.col("c")) + floor).alias("mad"))
+    return first.join(spread, by)
+
+
+def upper_z(scored: DataFrame, stats: DataFrame, by: list[str], most: float = 20.0) -> DataFrame:
+    """Adds z, how many robust deviations a score lies over the median: 0 below it, at most ``most``."""
+    z = (F.col("score") - F.col("median")) / (1.4826 * F.col("mad"))
+    return scored.join(stats.select(*by, "median", "mad"), by).withColumn("z", F.least(F.lit(most), F.greatest(z, F.lit(0.0))))
+
+
+def quantile_knots(scored: DataFrame, by: list[str], qs: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999)) -> DataFrame:
+    """by, q, knot, surprise (-log10 of the tail): quantiles of scores, of equal ones only the first."""
+    fitted = quantiles_higher(scored, by, "score", {f"q{i}": q for i, q in enumerate(qs)})
+    rows = F.array(*(F.struct(F.lit(float(q)).alias("q"), F.col(f"q{i}").alias("knot"), (F.lit(None).cast("double") if i == 0 else F.col(f"q{i - 1}")).alias("before")) for i, q in enumerate(qs)))
+    long = fitted.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+    return long.where("before IS NULL OR knot > before").select(*by, "q", "knot", (-F.log10(1 - F.col("q"))).alias("surprise"))

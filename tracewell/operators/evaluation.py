@@ -238,3 +238,20 @@ def node_fp_groups(touched: DataFrame, truth: DataFrame) -> DataFrame:
     bad = truth.select("node_id").distinct().withColumn("bad", F.lit(1))
     nodes = touched.groupBy("host", "node_id").agg(F.max("kind").alias("kind"), F.count("*").alias("support"), F.max("score").alias("top")).join(bad, "node_id", "left").withColumn("bad", F.coalesce("bad", F.lit(0)))
     return nodes.groupBy("kind", "bad").agg(F.count("*").alias("n_nodes"), F.sum("support").alias("support"), F.max("top").alias("max_score"))
+
+
+def episode_metrics(alerts: DataFrame, truth: DataFrame, windows: DataFrame, by: list[str]) -> DataFrame:
+    """by, alerts with a bad end, false ones, false ones outside all attack windows, and alerts in windows (once for each)."""
+    bad = truth.select("node_id").distinct()
+    rows = alerts
+    for end in ("info_src", "info_dst"):
+        rows = rows.join(bad.select(F.col("node_id").alias(end), F.lit(True).alias(f"__{end}")), end, "left")
+    rows = rows.join(F.broadcast(windows), F.col("ts").between(F.col("start_ts"), F.col("end_ts")), "left")
+    c = lambda text: F.count_if(F.expr(text))
+    return rows.groupBy(*by).agg(c("__info_src IS NOT NULL OR __info_dst IS NOT NULL").alias("any_endpoint_tp"), c("label = 0").alias("strict_fp"), c("label = 0 AND name IS NULL").alias("relaxed_fp"), c("name IS NOT NULL").alias("in_window"))
+
+
+def score_drift(validation: DataFrame, scored: DataFrame, by: list[str], groups: list[str]) -> DataFrame:
+    """groups, n, mean_drift: how many standard deviations of validation scores (by) the scores of a group lie over their mean."""
+    v = validation.groupBy(*by).agg(F.avg("score").alias("__m"), F.stddev_pop("score").alias("__s"))
+    return scored.join(v, by).groupBy(*groups).agg(F.count("*").alias("n"), F.avg((F.col("score") - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))).alias("mean_drift"))

@@ -194,3 +194,9 @@ def held_out_owners(flow: DataFrame, by: list[str], ratio: float, salt: str) ->
 def first_by_group(flow: DataFrame, by: list[str], n: int, order: list[Column]) -> DataFrame:
     """The first n rows of each group; a partial first n is taken before the shuffle."""
     return flow.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= n)
+
+
+def reservoir(rows: DataFrame, by: list[str], n: int, salt: str) -> DataFrame:
+    """n rows of each group, the first by a salted hash of event_id: the same ones at every run."""
+    h = F.md5(F.concat(F.col("event_id").cast("string"), F.lit(salt)).cast("binary"))
+    return first_by_group(rows, by, n, [h, F.col("event_id")]).drop("r")

@@ -35,7 +35,7 @@ SELECT node_id, kind, /*spark token*//*duck token*/ FROM (SELECT node_id, kind,
 SELECT f.*, CASE WHEN action IN ('EVENT_READ', 'EVENT_OPEN') THEN 'read' WHEN action IN ('EVENT_RECVFROM', 'EVENT_RECVMSG') THEN 'recv' WHEN action = 'EVENT_WRITE' THEN 'write' WHEN action IN ('EVENT_SENDTO', 'EVENT_SENDMSG', 'EVENT_CONNECT') THEN 'send' ELSE 'spawn' END AS family FROM flow f""",
     "node_evidence": """
 SELECT t.host, t.node_id, max(t.kind) AS kind, max(t.score) AS max_score, count_if(t.score >= a.thr) AS n_high, sum(greatest(t.score - a.thr * 0.5, 0.0)) AS soft, count(*) AS n, sum(t.as_src) AS n_src, sum(t.as_dst) AS n_dst, count(DISTINCT t.peer) AS peers, count(DISTINCT t.action) AS actions,
-  bit_or(CASE t.peer_kind WHEN 'process' THEN 1 WHEN 'file' THEN 2 ELSE 4 END) AS peer_mask, avg(t.score) AS mean_score FROM touch t JOIN action_thresholds a ON a.action = t.action WHERE t.split = 'test' GROUP BY t.host, t.node_id""",
+  bit_or(CASE t.peer_kind WHEN 'process' THEN 1 WHEN 'file' THEN 2 ELSE 4 END) AS peer_mask, avg(t.score) AS mean_score, stddev_pop(t.score) AS std_score FROM touch t JOIN action_thresholds a ON a.action = t.action WHERE t.split = 'test' GROUP BY t.host, t.node_id""",
     "evidence_stats": "SELECT host, percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(n AS DOUBLE)) AS med_n, percentile_cont(0.9) WITHIN GROUP (ORDER BY CAST(n AS DOUBLE)) AS q90_n, max(soft) AS max_soft FROM node_evidence GROUP BY host",
     "evidence_ranked": "SELECT e.*, s.med_n, s.q90_n, s.max_soft, row_number() OVER (PARTITION BY e.host ORDER BY max_score DESC, node_id) AS rk FROM node_evidence e JOIN evidence_stats s ON s.host = e.host",
 }
@@ -140,7 +140,7 @@ JOIN (SELECT action, lam, rho FROM (VALUES ('EVENT_CLONE', 0.4E0, 0.2E0), ('EVEN
 JOIN (SELECT kind, scale FROM (VALUES ('process', 1.0E0), ('file', 0.3E0), ('netflow', 0.3E0), ('unknown', 0.1E0)) w(kind, scale)) s ON s.kind = f.src_kind""",
     # node ranking
     "node_score": "SELECT host, node_id, round(max_score + 2 * ln(1.0E0 + n_high) + 0.5E0 * ln(1.0E0 + soft), 4) AS node_score FROM node_evidence",
-    "node_features": "SELECT host, node_id, kind, max_score, n_high, round(soft, 4) AS soft, n, CAST(n_src AS BIGINT) AS n_src, CAST(n_dst AS BIGINT) AS n_dst, peers, actions, bit_count(peer_mask) AS peer_kinds, round(mean_score, 4) AS mean_score FROM node_evidence",
+    "node_features": "SELECT host, node_id, kind, max_score, n_high, round(soft, 4) AS soft, n, CAST(n_src AS BIGINT) AS n_src, CAST(n_dst AS BIGINT) AS n_dst, peers, actions, bit_count(peer_mask) AS peer_kinds, round(mean_score, 4) AS mean_score, round(1 / (1 + std_score / greatest(abs(mean_score), 0.000000001E0)), 6) AS stability, round(least(1.0E0, actions / CAST(n AS DOUBLE)), 9) AS chain FROM node_evidence",
     "node_rerank": """
 SELECT host, node_id, round(max_score / 1000 + 2 * ln(1.0E0 + n_high) + soft / nullif(max_soft, 0) - CASE WHEN n_src = 0 THEN 1.0E0 ELSE 0.0E0 END - greatest(ln(1.0E0 + n) - ln(1.0E0 + q90_n), 0.0E0), 6) AS reranked FROM evidence_ranked""",
     "activity_normalized_chain": "SELECT host, node_id, rk, round(CASE WHEN rk BETWEEN 21 AND 200 THEN max_score * (1 + 0.1E0 * least(3.0E0, greatest((actions * 1.0E0 / n) / (10.0E0 / med_n) - 1, 0.0E0))) ELSE max_score END, 4) AS boosted FROM evidence_ranked",

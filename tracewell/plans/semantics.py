@@ -30,7 +30,7 @@ TEXTS: dict[str, str] = {
 WITH v AS (SELECT label, pos, greatest(var_samp(p - y), 0.000001E0) AS variance FROM vec_pairs GROUP BY label, pos)
 SELECT q.vec_id, round(1 - sum(p * y) / greatest(sqrt(sum(p * p)) * sqrt(sum(y * y)), 0.00000001E0) + 0.25E0 * avg((p - y) * (p - y)), 5) AS raw_mse, round(1 - sum(p * y) / greatest(sqrt(sum(p * p)) * sqrt(sum(y * y)), 0.00000001E0) + 0.25E0 * sum((p - y) * (p - y) / (v.variance + 0.000001E0)), 4) AS var_calibrated
 FROM vec_pairs q JOIN v ON v.label = q.label AND v.pos = q.pos GROUP BY q.vec_id""",
-    "score_targets": "SELECT vec_id, pos, round((p + 0.5E0 * y + p) / 2.5E0, 6) AS weighted_target, round((p + y) / 2, 6) AS pair_target FROM vec_pairs WHERE pos < 8",
+    "score_targets": "SELECT vec_id, pos, round((p + 0.5E0 * y + p) / 2.5E0, 6) AS weighted_target, round((p + y) / 2, 6) AS pair_target FROM vec_pairs",
     "top_residual_dims": "SELECT vec_id, r, pos, round(abs(p - y), 6) AS residual FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(p - y) DESC, pos) AS r FROM vec_pairs) x WHERE r <= 3",
     "case_loss_summary": """
 SELECT c.target_case, count(*) AS n, round(avg(1 - c.score / (c.score + 50000)), 6) AS mean_loss, round(max(1 - c.score / (c.score + 50000)), 6) AS max_loss FROM cased c WHERE c.split = 'validation' GROUP BY c.target_case""",

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import policies
-from tracewell.operators import alerting, attributes, evaluation, flow, profiles, windows
+from tracewell.operators import alerting, attributes, evaluation, flow, nodes, profiles, vectors, windows
 from tracewell.operators import relational as rel
+from tracewell.operators import thresholds
 from tracewell.sources.audit import BY_ACTION, Audit
+from tracewell.sources.staging import stage
 
 KS = [100, 200, 500, 1000, 1500, 3000]
 BY_KINDS = ["action", "src_kind", "dst_kind"]
@@ -167,6 +169,29 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "netflow_tokens": lambda a: attributes.netflow_tokens(a.nodes),
     "ip_scope": lambda a: a.nodes.where("kind = 'netflow'").select("dst_addr", "dst_port").distinct().withColumns({"scope": attributes.address_scope(F.col("dst_addr")), "port_bucket": attributes.port_bucket(F.col("dst_port"))}),
     "process_tokens": lambda a: attributes.process_tokens(a.nodes),
+    "hash_sketch": lambda a: rounded(vectors.hash_sketch(_node_tokens(a)), value=9),
+    # more thresholds and summaries
+    "target_case_thresholds": lambda a: _case_thresholds(a),
+    "target_case_summary": lambda a: rounded(_resolved_labelled(a).groupBy("target_case").agg(F.count("*").alias("n"), F.count_if(F.expr("score >= threshold")).alias("n_alerts"), F.count_if(F.expr("score >= threshold AND label > 0")).alias("tp"), F.count_if(F.expr("score >= threshold AND label = 0")).alias("fp"), F.avg("threshold").alias("mean_threshold")), mean_threshold=4),
+    "policy_group_summary": lambda a: rounded(_decided(a).groupBy(*BY_KINDS).agg(F.count("*").alias("n_events"), F.count_if(F.expr("score >= threshold")).alias("n_alerts"), F.count_if(F.expr("score >= threshold AND decision = 'evidence'")).alias("n_evidence"), F.count_if(F.expr("score >= threshold AND decision = 'high'")).alias("n_high"), F.avg("threshold").alias("mean_threshold")), mean_threshold=4),
+    "demoted_group_summary": lambda a: _decided(a).where("score >= threshold AND decision = 'evidence'").groupBy(*BY_KINDS, "target_case").agg(F.count("*").alias("n_evidence"), F.max("score").alias("max_score")),
+    "robust_stats": lambda a: rounded(alerting.robust_stats(a.labelled.where("split = 'validation' AND label = 0"), BY_ACTION, {"q95": 0.95, "q999": 0.999}), median=6, mad=6, q95=6, q999=6),
+    "upper_z": lambda a: rounded(alerting.upper_z(a.test, alerting.robust_stats(a.validation, BY_ACTION, {}), BY_ACTION).select("host", "event_id", "z"), z=6),
+    "quantile_knots": lambda a: rounded(alerting.quantile_knots(a.validation, BY_ACTION), surprise=9),
+    "episode_alert_metrics": lambda a: evaluation.episode_metrics(a.alerts, a.truth, a.windows, _HOST),
+    "score_drift": lambda a: rounded(evaluation.score_drift(a.validation, a.labelled_test, BY_ACTION, ["host", "label"]), mean_drift=6),
+    "attack_plus_benign_reservoir": lambda a: a.labelled_test.where("label = 2").select("host", "event_id", "label").unionByName(rel.reservoir(a.labelled_test.where("label = 0"), _HOST, 200, "s").select("host", "event_id", "label")),
+    "train_reservoir": lambda a: rel.reservoir(_train(a), _HOST, 500, "t").select("host", "event_id"),
+    "gt_resolve": lambda a: rel.resolved_truth(_truth_files(a), a.nodes),
+    # node ranking
+    "node_score": lambda a: rounded(nodes.scores(_evidence(a)).select("host", "node_id", "node_score"), node_score=4),
+    "node_features": lambda a: rounded(nodes.features(_evidence(a)).select("host", "node_id", "kind", "max_score", "n_high", "soft", "n", "n_src", "n_dst", "peers", "actions", "peer_kinds", "mean_score", "stability", "chain"), soft=4, mean_score=4, stability=6, chain=9),
+    "node_rerank": lambda a: rounded(nodes.reranked(nodes.ranked(_evidence(a))).select("host", "node_id", "reranked"), reranked=6),
+    "activity_normalized_chain": lambda a: rounded(nodes.chain_boost(nodes.ranked(_evidence(a))).select("host", "node_id", "rk", "boosted"), boosted=4),
+    "closure_score": lambda a: rounded(nodes.closure(nodes.ranked(_evidence(a))).select("host", "node_id", "rk", "closure"), closure=4),
+    "evidence_band_gate": lambda a: rounded(nodes.evidence_gate(nodes.ranked(_evidence(a))).select("host", "node_id", "rk", "families", "gated"), gated=4),
+    "mid_rank_gate": lambda a: rounded(nodes.mid_rank_gate(nodes.ranked(_evidence(a))).select("host", "node_id", "rk", "gated"), gated=4),
+    "local_closure": lambda a: rounded(nodes.local_closure(nodes.ranked(_evidence(a))).select("host", "node_id", "rk", "core", "passes"), core=6),
     # flow and node history
     "event_label": lambda a: a.labelled.select("host", "event_id", "label"),
     "stream_pos": lambda a: a.placed.select("host", "event_id", "ts_us", "stream_pos"),
@@ -179,6 +204,37 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
 }
 
 
+def _case_thresholds(a: Audit) -> DataFrame:
+    """The 0.99 quantile of each target case with 100 rows at least, else that of all."""
+    case = a.cased.where("split = 'validation'")
+    own, whole = alerting.group_quantile_thresholds(case, ["target_case"]), alerting.group_quantile_thresholds(case, [])
+    return own.join(F.broadcast(whole.select(F.col("thr").alias("__all")))).select("target_case", "n", F.when(F.col("n") >= thresholds.LEAST_ROWS, F.col("thr")).otherwise(F.col("__all")).alias("thr"))
+
+
+def _resolved(a: Audit) -> DataFrame:
+    cased = stage(a.cased.where("split <> 'train'"), "cased")
+    return thresholds.resolve(cased.where("split = 'test'"), stage(thresholds.fit_thresholds(cased.where("split = 'validation'")), "thresholds"))
+
+
+def _resolved_labelled(a: Audit) -> DataFrame:
+    return _resolved(a).join(a.labelled.select("host", "event_id", "label"), ["host", "event_id"])
+
+
+def _decided(a: Audit, policy: str = "theia_v1") -> DataFrame:
+    rules, defaults = policies.tables(a.events.sparkSession)
+    return alerting.decided(_resolved(a), rules.where(F.col("policy") == policy), defaults.where(F.col("policy") == policy))
+
+
+def _truth_files(a: Audit) -> DataFrame:
+    """Truth as files have it: some rows with an index of their own, which is only used where the uuid is unknown."""
+    odd = a.truth.sparkSession.createDataFrame([("missing", "42"), ("bad", "x1")], "uuid string, old_index string")
+    return a.truth.select("uuid", (F.col("node_id") + 7).cast("string").alias("old_index")).unionByName(odd)
+
+
+def _evidence(a: Audit) -> DataFrame:
+    return nodes.evidence(alerting.with_threshold(a.touch.where("split = 'test'"), a.thresholds, BY_ACTION))
+
+
 def _train(a: Audit) -> DataFrame:
     return a.flow.where("split = 'train'")
 
@@ -214,8 +270,22 @@ def _first_alerts(a: Audit) -> DataFrame:
     return touched.groupBy("host", "node_id").agg(first.alias("f")).select("host", "node_id", "f.*")
 
 
+#: over vectors: each with the first of its ten, and with the class that it is labelled with as its group
+VECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "distance": lambda v: rounded(_pairs(v).select("vec_id", vectors.cosine_distance("p", "y").alias("cosine_distance"), vectors.mse("p", "y").alias("mse")), cosine_distance=5, mse=6),
+    "action_residual_variance": lambda v: rounded(vectors.residual_variance(v.withColumnRenamed("label", "action_id"), "action_id", F.col("embedding").cast("array<double>"), least=30), variance=8),
+    "residual_score": lambda v: rounded(vectors.residual_scores(_pairs(v)), raw_mse=5, var_calibrated=4),
+    "score_targets": lambda v: rounded(vectors.targets(_pairs(v)), weighted_target=6, pair_target=6),
+    "top_residual_dims": lambda v: rounded(vectors.top_residuals(_pairs(v)), residual=6),
+}
+
+
+def _pairs(v: DataFrame) -> DataFrame:
+    return vectors.paired(v, F.col("vec_id") - F.col("vec_id") % 10)
+
+
 def _registered(f: Callable[[Audit], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(Audit.of(spark, sf_dir))
 
 
-QUERIES = {name: _registered(f) for name, f in OPERATORS.items()}
+QUERIES = {name: _registered(f) for name, f in OPERATORS.items()} | {name: (lambda f: lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))(f) for name, f in VECTORS.items()}
