@@ -5,16 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.plans.text import for_engine, run, with_tables
-from tracewell.sources.mapping import BASE
+from tracewell.sources.audit import Audit
 from tracewell.streaming.fold import Fold, folded
-from tracewell.streaming.folds import EVENT_FOLDS, NODE_FOLDS
+from tracewell.streaming.folds import EVENT_FOLDS, NODE_FOLDS, P
 
 
-def _over(table: str, fold: Fold) -> Callable[[SparkSession, str], DataFrame]:
-    text = for_engine(with_tables(f"SELECT * FROM {table}", BASE), "spark")
-    return lambda spark, sf_dir: folded(run(spark, sf_dir, text), fold)
+def bucketed(events: DataFrame) -> DataFrame:
+    """Adds the bucket of an event's source, action and kinds."""
+    return events.withColumn("bucket", F.crc32(F.concat_ws("|", F.col("info_src").cast("string"), "action", "src_kind", "dst_kind").cast("binary")) % P.sketch_buckets)
 
 
-QUERIES = {n: _over("flow", f) for n, f in EVENT_FOLDS.items()} | {n: _over("touch", f) for n, f in NODE_FOLDS.items()}
+def _over_flow(fold: Fold) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: folded(bucketed(Audit.of(spark, sf_dir).placed) if "bucket" in fold.key else Audit.of(spark, sf_dir).placed, fold)
+
+
+def _over_touch(fold: Fold) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: folded(Audit.of(spark, sf_dir).touch_placed, fold)
+
+
+def role_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """host, stream_pos and the length of the states that an event's ends start from; new nodes start from their kind's prototype."""
+    return QUERIES["lru_eviction"](spark, sf_dir).select("host", "stream_pos", "src_start", "dst_start")
+
+
+QUERIES = {n: _over_flow(f) for n, f in EVENT_FOLDS.items()} | {n: _over_touch(f) for n, f in NODE_FOLDS.items()}
+QUERIES["role_prototypes"] = role_prototypes

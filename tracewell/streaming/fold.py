@@ -3,7 +3,11 @@
 A fold keeps, for each key (a host, or a node of a host), a map from names to lists of numbers, and sees the key's events in
 order, one at a time, before it changes the state. In batch, rows are partitioned by key, sorted, and streamed through the
 step, so a task holds the state of one key and never its events. In streaming, ``transformWithStateInPandas`` keeps
-the map in the state store and only loads what a micro-batch touches. Rows behind the watermark are dropped by Spark.
+the map in the state store and only loads what a micro-batch touches.
+
+Order in a stream. Rows wait in the state store until the watermark has passed their time, and are then folded in order, by a
+timer: rows that arrive late, but within the watermark's delay, give the same result as in batch. Rows behind the watermark are
+dropped by Spark before they reach a fold.
 """
 
 from __future__ import annotations
@@ -13,9 +17,11 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+MILLIS = "millis__"
 #: names to numbers: lists or numpy arrays
 States = MutableMapping[str, Sequence[float]]
 
@@ -66,6 +72,14 @@ class _Stored(dict):
         super().__setitem__(name, value)
         return value
 
+    def pop(self, name: str, default=None):
+        value = self.get(name, default)
+        super().pop(name, None)
+        self.changed.discard(name)
+        if self.kept.containsKey((name,)):
+            self.kept.removeKey((name,))
+        return value
+
     def get(self, name: str, default=None):
         try:
             return self[name]
@@ -85,16 +99,35 @@ class _Stored(dict):
 
 
 class FoldProcessor(StatefulProcessor):
-    def __init__(self, fold: Fold):
-        self.fold, self.names = fold, T.StructType.fromDDL(fold.output).names
+    """Rows wait until the watermark has passed them; a timer then folds them in order."""
+
+    def __init__(self, fold: Fold, schema: T.StructType):
+        self.fold, self.schema, self.names = fold, schema, T.StructType.fromDDL(fold.output).names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.kept = handle.getMapState("states", "name string", "value array<double>")
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(list(self.fold.order), kind="stable")
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)[self.schema.names]
+        self.waiting.appendList([_plain(row) for row in pdf.itertuples(index=False)])
+        # one timer for each batch: when the watermark has passed its latest row
+        self.handle.registerTimer(int(pdf[MILLIS].max()) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        pdf = pd.DataFrame(list(self.waiting.get()), columns=self.schema.names)
+        if pdf.empty:
+            return
+        due = pdf[MILLIS] <= timerValues.getCurrentWatermarkInMs()
+        later = pdf[~due]
+        if len(later):
+            self.waiting.put([_plain(row) for row in later.itertuples(index=False)])
+        else:
+            self.waiting.clear()
         states, out = _Stored(self.kept), []
-        for row in pdf.itertuples(index=False):
+        for row in pdf[due].sort_values(list(self.fold.order), kind="stable").itertuples(index=False):
             if (got := self.fold.step(states, row)) is not None:
                 out.append(got)
         states.flush()
@@ -105,7 +138,14 @@ class FoldProcessor(StatefulProcessor):
         pass
 
 
-def folded_stream(events: DataFrame, fold: Fold) -> DataFrame:
-    """The fold's rows over a stream (state store: RocksDB); write it in append mode."""
-    columns = list(dict.fromkeys([*fold.key, *fold.order, *fold.inputs]))
-    return events.select(*columns).groupBy(*fold.key).transformWithStateInPandas(statefulProcessor=FoldProcessor(fold), outputStructType=T.StructType.fromDDL(fold.output), outputMode="Append", timeMode="None")
+def _plain(row: tuple) -> tuple:
+    """A row of Python values, as the state store takes them."""
+    return tuple(x.item() if hasattr(x, "item") else x for x in row)
+
+
+def folded_stream(events: DataFrame, fold: Fold, time: str = "ts") -> DataFrame:
+    """The fold's rows over a stream with a watermark on ``time`` (state store: RocksDB); write it in append mode."""
+    columns = list(dict.fromkeys([*fold.key, time, *fold.order, *fold.inputs]))
+    rows = events.select(*columns, F.unix_millis(time).alias(MILLIS))
+    processor = FoldProcessor(fold, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name != time]))
+    return rows.groupBy(*fold.key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=T.StructType.fromDDL(fold.output), outputMode="Append", timeMode="EventTime")

@@ -7,6 +7,7 @@ their unit of scale. Node-keyed folds only need a node's own past and scale with
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -90,15 +91,39 @@ def _probation(states, e) -> tuple:
     return e.host, int(e.stream_pos), *out
 
 
+@dataclass(frozen=True)
+class Parameters:
+    """Constants of the folds; times are in seconds, scores on the scale of the events' scores."""
+
+    #: scores from here on write risk back, and alert
+    high: float = 60000.0
+    alert: float = 80000.0
+    #: the alert rate that the adaptive threshold aims at, and rows before it moves
+    rate: float = 0.01
+    warm_up: int = 100
+    #: time in which risk, support and bursts fall by e
+    decay: float = 2.592e6
+    burst_cap: float = 50.0
+    #: node states that a host keeps, and events for which an alerted node is kept anyway
+    most_states: int = 200
+    protected: int = 500
+    #: share of an evicted state that goes into its kind's prototype
+    prototype: float = 0.1
+    sketch_buckets: int = 4096
+
+
+P = Parameters()
+
+
 def _propagated(states, e) -> tuple:
     """An event's score is raised by its source's decayed risk; high scores write back to both ends."""
     now = e.ts_us / 1e6
     risk = []
     for node in (e.info_src, e.info_dst):
         r, t = states.get(f"r{node}", [0.0, now])
-        risk.append(r * math.exp(-(now - t) / 2.592e6))
+        risk.append(r * math.exp(-(now - t) / P.decay))
     score = e.score + 0.5 * risk[0]
-    if e.score >= 60000:
+    if e.score >= P.high:
         for node, r in zip((e.info_src, e.info_dst), risk):
             states[f"r{node}"] = [max(r, 0.3 * score), now]
     return e.host, int(e.stream_pos), int(e.event_id), round(score, 6)
@@ -108,13 +133,13 @@ def _chain(states, e) -> tuple:
     """Decayed support and diversity of relations and kinds at a node, shared with the node it flows to."""
     now = e.ts_us / 1e6
     support, mask, t = states.get(f"s{e.info_src}", [0.0, 0.0, now])
-    support *= math.exp(-(now - t) / 2.592e6)
+    support *= math.exp(-(now - t) / P.decay)
     bits = int(mask) | 1 << ACTIONS.index(e.action)
     bonus = math.log1p(support) * bits.bit_count() / len(ACTIONS)
     states[f"s{e.info_src}"] = [support + 1, float(bits), now]
     if e.info_dst != e.info_src:
         other, other_mask, t = states.get(f"s{e.info_dst}", [0.0, 0.0, now])
-        states[f"s{e.info_dst}"] = [other * math.exp(-(now - t) / 2.592e6) + 0.5 * (support + 1), float(int(other_mask) | bits), now]
+        states[f"s{e.info_dst}"] = [other * math.exp(-(now - t) / P.decay) + 0.5 * (support + 1), float(int(other_mask) | bits), now]
     return e.host, int(e.stream_pos), round(bonus, 9)
 
 
@@ -131,13 +156,13 @@ def _residual(states, e) -> tuple:
 
 def _adaptive(states, e) -> tuple:
     """A threshold steered by the observed alert rate: up above 1.5 times the target, down below half of it."""
-    seen, alerts, threshold = states.get("t", [0.0, 0.0, 80000.0])
+    seen, alerts, threshold = states.get("t", [0.0, 0.0, P.alert])
     alert = e.score >= threshold
     seen, alerts = seen + 1, alerts + alert
     used = threshold
-    if seen > 100:
+    if seen > P.warm_up:
         rate = alerts / seen
-        threshold *= 1.05 if rate > 1.5 * 0.01 else 0.95 if rate < 0.5 * 0.01 else 1.0
+        threshold *= 1.05 if rate > 1.5 * P.rate else 0.95 if rate < 0.5 * P.rate else 1.0
     states["t"] = [seen, alerts, threshold]
     return e.host, int(e.stream_pos), round(used, 6), bool(alert)
 
@@ -170,14 +195,14 @@ def _s4d(states, e) -> tuple:
 def _burst(states, e) -> tuple:
     now, x = e.ts_us / 1e6, math.log1p(max(e.score, 0.0))
     value, t = states.get("b", [0.0, now])
-    prev = value * math.exp(-(now - t) / 2.592e6)
-    states["b"] = [min(50.0, prev + x), now]
+    prev = value * math.exp(-(now - t) / P.decay)
+    states["b"] = [min(P.burst_cap, prev + x), now]
     return e.host, int(e.node_id), int(e.stream_pos), round(x * math.log1p(prev), 6)
 
 
 def _risk_updates(states, e) -> tuple | None:
     """Alert again only if the gain over the last emitted score is large, absolutely or relatively."""
-    threshold = 80000.0
+    threshold = P.alert
     if e.score < threshold:
         return None
     prev = states.get("e", [0.0])[0]
@@ -197,11 +222,114 @@ def _pool(states, e) -> tuple:
 def _node_risk(states, e) -> tuple:
     now = e.ts_us / 1e6
     risk, n, t = states.get("r", [0.0, 0.0, now])
-    risk = max(risk * math.exp(-(now - t) / 2.592e6), e.score / 1e4 + math.log1p(n) - 0.1 * n**0.5)
+    risk = max(risk * math.exp(-(now - t) / P.decay), e.score / 1e4 + math.log1p(n) - 0.1 * n**0.5)
     states["r"] = [risk, n + 1, now]
     return e.host, int(e.node_id), int(e.stream_pos), round(risk, 9)
 
 
+# Of node kinds, the first is evicted first.
+EVICTED_FIRST = {"netflow": 0, "file": 1, "process": 2}
+
+
+def _bounded(protect: bool):
+    """At most P.most_states node states in a host: of the kind that goes first, the longest untouched is evicted, never an end of the event itself.
+
+    Touches queue up for each kind, and an entry counts only if the node wasn't touched again since, so that a step takes few
+    look-ups however many states there are. With ``protect``, nodes of an alert are passed over for P.protected events. An evicted
+    state goes into its kind's prototype, from which new nodes of the kind start.
+    """
+
+    def touch(states, e, node: int, kind: str, z) -> float:
+        name, pos = f"m{node}", float(e.stream_pos)
+        known = states.get(name)
+        if known is None:
+            h = np.asarray(states.get(f"proto{kind}", np.zeros(D)))
+            states["n"] = [states.get("n", [0.0])[0] + 1]
+            until = -1.0
+        else:
+            h, until = np.asarray(states[f"h{node}"]), known[1]
+        start = length(h)
+        if protect and e.score >= P.alert:
+            until = pos + P.protected
+        states[f"h{node}"] = KEEP * h + (1 - KEEP) * z
+        states[name] = [pos, until]
+        queue(states, EVICTED_FIRST.get(kind, 0), node, pos)
+        return start
+
+    def queue(states, k: int, node: int, pos: float) -> None:
+        head, tail = states.get(f"q{k}", [0.0, 0.0])
+        states[f"q{k}:{int(tail)}"] = [float(node), pos]
+        states[f"q{k}"] = [head, tail + 1]
+
+    def evict(states, e) -> tuple[int | None, int]:
+        spared = 0
+        for kind, k in EVICTED_FIRST.items():
+            head, tail = states.get(f"q{k}", [0.0, 0.0])
+            end = tail
+            while head < end:
+                node, pos = states.pop(f"q{k}:{int(head)}")
+                head += 1
+                states[f"q{k}"] = [head, states[f"q{k}"][1]]
+                now = states.get(f"m{int(node)}")
+                if now is None or now[0] != pos:
+                    continue  # touched again, or gone
+                if int(node) in (e.info_src, e.info_dst) or now[1] >= e.stream_pos:
+                    spared += now[1] >= e.stream_pos
+                    queue(states, k, int(node), pos)
+                    continue
+                h = np.asarray(states.pop(f"h{int(node)}"))
+                states.pop(f"m{int(node)}")
+                proto = np.asarray(states.get(f"proto{kind}", np.zeros(D)))
+                states[f"proto{kind}"] = (1 - P.prototype) * proto + P.prototype * h
+                states["n"] = [states["n"][0] - 1]
+                return int(node), spared
+        return None, spared
+
+    def step(states, e) -> tuple:
+        z = message(e.action, e.src_kind, e.dst_kind)
+        src_start = touch(states, e, e.info_src, e.src_kind, z)
+        dst_start = touch(states, e, e.info_dst, e.dst_kind, z) if e.info_dst != e.info_src else src_start
+        gone, spared = None, 0
+        if states["n"][0] > P.most_states:
+            gone, spared = evict(states, e)
+        return e.host, int(e.stream_pos), int(states["n"][0]), gone, int(spared), src_start, dst_start
+
+    return step
+
+
+def _sketch(states, e) -> tuple:
+    """Decayed support of a bucket of (source, relation, kinds), and of how many actions it has seen; one action alone counts half."""
+    now = e.ts_us / 1e6
+    support, mask, t = states.get("s", [0.0, 0.0, now])
+    support *= math.exp(-(now - t) / P.decay)
+    bits = int(mask) | 1 << ACTIONS.index(e.action)
+    states["s"] = [support + 1, float(bits), now]
+    return e.host, int(e.bucket), int(e.stream_pos), round(math.log1p(support) * (1.0 if bits.bit_count() > 1 else 0.5), 9)
+
+
+def _closure(states, e) -> tuple:
+    """An actor's decayed support, its kinds and actions so far, how new the object is to it, and the best score it had with the object."""
+    now = e.ts_us / 1e6
+    support, actions, kinds, objects, t = states.get("a", [0.0, 0.0, 0.0, 0.0, now])
+    support *= math.exp(-(now - t) / P.decay)
+    seen, best = states.get(f"o{e.object_id}", [0.0, 0.0])
+    actions, kinds = int(actions) | 1 << ACTIONS.index(e.action), int(kinds) | 1 << list(SCALE).index(e.object_kind)
+    states["a"] = [support + 1, float(actions), float(kinds), objects + (seen == 0), now]
+    states[f"o{e.object_id}"] = [seen + 1, max(best, e.score)]
+    return e.host, int(e.actor_id), int(e.stream_pos), round(math.log1p(support) * actions.bit_count() * kinds.bit_count() / (1 + math.log1p(seen)), 9), max(best, float(e.score))
+
+
+def _mixed_states(states, e) -> tuple:
+    """The event's vector mixed with the states of source, destination and host before it, and how far it lies from the mix."""
+    z = message(e.action, e.src_kind, e.dst_kind)
+    names = (f"n{e.info_src}", f"n{e.info_dst}", "g")
+    h = [np.zeros(D) if (x := states.get(n)) is None else np.asarray(x) for n in names]
+    mix = unit(z + 0.3 * h[0] + 0.3 * h[1] + 0.1 * h[2])
+    for n in dict.fromkeys(names):
+        _ema(states, n, mix)
+    return e.host, int(e.stream_pos), int(e.event_id), round(1.0 - float(z @ mix), 9)
+
+
 _EVENT = ("event_id", "action", "src_kind", "dst_kind", "info_src", "info_dst", "score", "ts_us")
 _TOUCH = ("action", "kind", "peer_kind", "score", "ts_us")
 _HOST, _NODE = ("host",), ("host", "node_id")
@@ -215,7 +343,7 @@ def _node(output: str, step) -> Fold:
     return Fold(_NODE, ("stream_pos",), _TOUCH, f"host string, node_id long, stream_pos long, {output}", step)
 
 
-#: over ``flow``
+#: over ``flow`` (with the bucket of (source, relation, kinds), for the sketch)
 EVENT_FOLDS: dict[str, Fold] = {
     "host_state_fold": _host("event_id long, src_norm double, dst_norm double, score double", _flow),
     "probationary_memory": _host("src_read double, dst_read double", _probation),
@@ -223,6 +351,11 @@ EVENT_FOLDS: dict[str, Fold] = {
     "compact_chain_bonus": _host("bonus double", _chain),
     "temporal_memory_residual": _host("residual double", _residual),
     "adaptive_threshold": _host("threshold double, is_alert boolean", _adaptive),
+    "lru_eviction": _host("n_states long, evicted long, spared long, src_start double, dst_start double", _bounded(False)),
+    "alert_protection": _host("n_states long, evicted long, spared long, src_start double, dst_start double", _bounded(True)),
+    "lowrank_state_baseline": _host("event_id long, distance double", _mixed_states),
+    "actor_object_closure": Fold(("host", "actor_id"), ("stream_pos",), ("action", "object_id", "object_kind", "score", "ts_us"), "host string, actor_id long, stream_pos long, closure double, best_link double", _closure),
+    "episode_sketch": Fold(("host", "bucket"), ("stream_pos",), ("action", "ts_us"), "host string, bucket long, stream_pos long, support double", _sketch),
     "adaptive_memory": Fold(("host", "action", "src_kind", "dst_kind"), ("stream_pos",), ("score",), "host string, action string, src_kind string, dst_kind string, stream_pos long, gap double", _memory),
 }
 #: over ``touch``
