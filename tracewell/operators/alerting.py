@@ -99,11 +99,23 @@ def suppression_eval(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def decided(rows: DataFrame, rules: DataFrame, defaults: DataFrame) -> DataFrame:
-    """Each row once for each policy, with its decision and whether it is final: the rule for (action, src_kind, dst_kind), else the policy's default."""
+# Priorities of decisions.
+PRIORITIES = {"high": "high", "alert": "default", "evidence": "low"}
+
+
+def decided(rows: DataFrame, rules: DataFrame, defaults: DataFrame, alert: str = "TRUE") -> DataFrame:
+    """Each row once for each policy, with its decision, priority and whether it is final.
+
+    The decision is the rule's for (action, src_kind, dst_kind), else the policy's default; rows for which ``alert`` doesn't hold are
+    ``not_alert``, without a priority, and not final. Evidence isn't final either.
+    """
     keys = ["policy", "action", "src_kind", "dst_kind"]
     each = rows.join(F.broadcast(defaults.select("policy", F.col("decision").alias("__default"))))  # a row for each policy
-    return each.join(rules.select(*keys, "decision"), keys, "left").withColumn("decision", F.coalesce("decision", "__default")).drop("__default").withColumn("is_final", F.col("decision") != "evidence")
+    ruled = each.join(rules.select(*keys, "decision"), keys, "left")
+    over = F.coalesce(F.expr(alert), F.lit(False))
+    decision = F.when(over, F.coalesce("decision", "__default")).otherwise("not_alert")
+    priority = F.create_map(*(F.lit(x) for kv in PRIORITIES.items() for x in kv))
+    return ruled.withColumn("decision", decision).drop("__default").withColumns({"priority": F.coalesce(priority[F.col("decision")], F.lit("")), "is_final": ~F.col("decision").isin("evidence", "not_alert")})
 
 
 def update_gate(scored: DataFrame, thresholds: DataFrame, by: list[str], rate: float, least: float = 0.05) -> DataFrame:

@@ -85,12 +85,23 @@ def top_per_node(touched: DataFrame, m: int) -> DataFrame:
     return touched.withColumn("r", F.row_number().over(Window.partitionBy("host", "node_id").orderBy(F.col("score").desc(), *order()))).where(F.col("r") <= m)
 
 
-def node_pool(touched: DataFrame, m: int = 32) -> DataFrame:
-    """host, node_id, n, pairs, action_peers, and base, the sum of the m best scores: with the formulas built on them.
-
-    Sums and counts are taken apart, so that a hub's rows are cut to its best before they meet in one task.
-    """
-    base = top_per_node(touched, m).groupBy("host", "node_id").agg(F.sum("score").alias("base"))
-    counts = touched.groupBy("host", "node_id").agg(F.count("*").alias("n"), F.count_distinct("as_src", "peer").alias("pairs"), F.count_distinct("action", "peer").alias("action_peers"))
-    bonus = lambda *names: sum((F.log1p(x) for x in names), F.col("base"))
-    return counts.join(base, ["host", "node_id"]).withColumns({"base_repeats": bonus("n"), "base_pairs": bonus("pairs"), "base_action_peers": bonus("action_peers"), "base_all": bonus("n", "pairs", "action_peers")})
+# What each node-pool score adds to the mass of the best scores (logarithms of 1 + ...).
+POOL_FORMULAS = {
+    "base": (), "base_conf": (), "base_conf_repeat": ("repeats",), "base_conf_chain": ("chains",), "base_conf_residual": ("residual_mass",), "base_conf_repeat_chain": ("repeats", "chains"),
+    "base_conf_residual_repeat_chain": ("residual_mass", "repeats", "chains"), "pool_base": (), "pool_base_adaptive": ("residual_mass",), "pool_base_assoc": ("action_peers",), "pool_base_chain": ("chains",),
+    "pool_base_adaptive_assoc_chain": ("residual_mass", "action_peers", "chains"),
+}
+
+
+def best_sum(touched: DataFrame, value: str, m: int, out: str) -> DataFrame:
+    """host, node_id and the sum of a node's m largest values; a hub's rows are cut to these before they meet in one task."""
+    place = F.row_number().over(Window.partitionBy("host", "node_id").orderBy(F.col(value).desc(), *order()))
+    return touched.withColumn("r", place).where(F.col("r") <= m).groupBy("host", "node_id").agg(F.sum(value).alias(out))
+
+
+def node_pool(touched: DataFrame, m: int = 32, residual: str = "residual", formulas: dict[str, tuple[str, ...]] = POOL_FORMULAS) -> DataFrame:
+    """host, node_id, n, chains (distinct pairs), action_peers, mass and residual_mass (sums of the m largest), and a score for each formula."""
+    counts = touched.groupBy("host", "node_id").agg(F.count("*").alias("n"), F.count_distinct("as_src", "peer").alias("chains"), F.count_distinct("action", "peer").alias("action_peers"))
+    rows = counts.join(best_sum(touched, "score", m, "mass"), ["host", "node_id"]).join(best_sum(touched, residual, m, "residual_mass"), ["host", "node_id"])
+    terms = {"repeats": F.col("n") / F.col("chains"), **{c: F.col(c) for c in ("chains", "action_peers", "residual_mass")}}
+    return rows.withColumns({name: sum((F.log1p(terms[t]) for t in parts), F.col("mass")) for name, parts in formulas.items()})

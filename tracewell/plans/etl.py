@@ -21,7 +21,9 @@ SELECT host, event_id, ts_us, action FROM prov_events WHERE (ts >= TIMESTAMP '19
 SELECT split, count(*) AS n_events, count_if(action IN ({_ACTIONS})) AS n_scored, min(ts_us) AS first_us, max(ts_us) AS last_us FROM prov_events GROUP BY split""",
     "ground_truth_nodes": "SELECT DISTINCT uuid, node_id FROM gt_nodes WHERE uuid IS NOT NULL AND uuid <> ''",
     "structured_event_export": """
-SELECT split, event_id, ts_us * 1000 AS timestamp_ns, actor_id AS process_idx, action, object_kind AS object_type, info_src AS src_idx, info_dst AS dst_idx, label FROM labeled""",
+SELECT f.split, f.event_id, f.ts_us * 1000 AS timestamp_ns, f.actor_id AS process_idx, f.action, f.object_kind AS object_type, f.info_src AS src_idx, f.info_dst AS dst_idx, f.label,
+  concat_ws(' ', 'A_PROCESS', a.path, f.action, concat('O_', upper(f.object_kind)), CASE WHEN f.object_kind = 'netflow' THEN concat_ws(':', o.dst_addr, o.dst_port) ELSE regexp_replace(o.path, '/+', '/'/*duck , 'g'*/) END) AS text
+FROM labeled f JOIN prov_nodes a ON a.node_id = f.actor_id JOIN prov_nodes o ON o.node_id = f.object_id""",
     "compact_event_index": """
 SELECT host, split, stream_pos, event_id, info_src, info_dst,
   CASE action WHEN 'EVENT_CLONE' THEN 0 WHEN 'EVENT_CONNECT' THEN 1 WHEN 'EVENT_EXECUTE' THEN 2 WHEN 'EVENT_OPEN' THEN 3 WHEN 'EVENT_READ' THEN 4 WHEN 'EVENT_RECVFROM' THEN 5
@@ -60,9 +62,10 @@ SELECT f.host, f.event_id, concat_ws(' ', s.tokens, lower(f.action), d.tokens) A
     "suppression_candidate": """
 SELECT host, event_id, action = 'EVENT_WRITE' AND src_kind = 'process' AND dst_kind = 'netflow' AS write_out, action = 'EVENT_READ' AND src_kind = 'netflow' AND dst_kind = 'process' AS read_in FROM flow""",
     "alert_policy": """
-SELECT a.host, a.event_id, p.policy, coalesce(r.decision, d.decision) AS decision, coalesce(r.decision, d.decision) <> 'evidence' AS is_final FROM alerts a
+WITH x AS (SELECT f.host, f.event_id, p.policy, f.score >= t.thr AS over, coalesce(r.decision, d.decision) AS decided FROM flow f JOIN action_thresholds t ON t.action = f.action
 CROSS JOIN (SELECT DISTINCT policy FROM policy_default) p JOIN policy_default d ON d.policy = p.policy
-LEFT JOIN policy_rules r ON r.policy = p.policy AND r.action = a.action AND r.src_kind = a.src_kind AND r.dst_kind = a.dst_kind""",
+LEFT JOIN policy_rules r ON r.policy = p.policy AND r.action = f.action AND r.src_kind = f.src_kind AND r.dst_kind = f.dst_kind WHERE f.split = 'test')
+SELECT host, event_id, policy, CASE WHEN over THEN decided ELSE 'not_alert' END AS decision, CASE WHEN NOT over THEN '' WHEN decided = 'high' THEN 'high' WHEN decided = 'alert' THEN 'default' ELSE 'low' END AS priority, over AND decided <> 'evidence' AS is_final FROM x""",
     "label_normalize": """
 SELECT event_id, raw, CASE WHEN lower(trim(raw)) IN ('1', '2', 'true', 'malicious', 'attack', 'suspicious') THEN 1 ELSE 0 END AS is_attack,
   CASE WHEN lower(trim(raw)) IN ('2', 'malicious', 'attack') THEN 'malicious' WHEN lower(trim(raw)) IN ('1', 'suspicious', 'true') THEN 'suspicious' ELSE 'benign' END AS name

@@ -200,9 +200,14 @@ FROM labeled l JOIN v ON v.action = l.action WHERE l.split = 'test' AND l.score
 SELECT host, pair, event_id, stream_pos FROM (SELECT host, CASE WHEN object_kind = 'file' THEN 'process-file' WHEN object_kind = 'netflow' THEN 'process-netflow' ELSE 'process-process' END AS pair, event_id, stream_pos,
   row_number() OVER (PARTITION BY host, object_kind ORDER BY stream_pos) AS r FROM flow) x WHERE r <= 50""",
     "node_pool": """
-WITH r AS (SELECT host, node_id, score, row_number() OVER (PARTITION BY host, node_id ORDER BY score DESC, stream_pos) AS r, peer, action, as_src FROM touch WHERE split = 'test'),
-p AS (SELECT host, node_id, sum(CASE WHEN r <= 32 THEN score ELSE 0.0 END) AS base, count(*) AS n, count(DISTINCT concat_ws('|', CAST(as_src AS STRING), CAST(peer AS STRING))) AS pairs, count(DISTINCT concat_ws('|', action, CAST(peer AS STRING))) AS action_peers FROM r GROUP BY host, node_id)
-SELECT host, node_id, n, pairs, action_peers, round(base, 4) AS base, round(base + ln(1 + n), 4) AS base_repeats, round(base + ln(1 + pairs), 4) AS base_pairs, round(base + ln(1 + action_peers), 4) AS base_action_peers, round(base + ln(1 + n) + ln(1 + pairs) + ln(1 + action_peers), 4) AS base_all FROM p""",
+WITH x AS (SELECT t.*, greatest(t.score - a.thr, 0.0) AS residual FROM touch t JOIN action_thresholds a ON a.action = t.action WHERE t.split = 'test'),
+r AS (SELECT *, row_number() OVER (PARTITION BY host, node_id ORDER BY score DESC, stream_pos) AS r, row_number() OVER (PARTITION BY host, node_id ORDER BY residual DESC, stream_pos) AS q FROM x),
+p AS (SELECT host, node_id, sum(CASE WHEN r <= 32 THEN score ELSE 0.0 END) AS mass, sum(CASE WHEN q <= 32 THEN residual ELSE 0.0 END) AS residual_mass, count(*) AS n, count(DISTINCT concat_ws('|', CAST(as_src AS STRING), CAST(peer AS STRING))) AS chains,
+  count(DISTINCT concat_ws('|', action, CAST(peer AS STRING))) AS action_peers FROM r GROUP BY host, node_id),
+l AS (SELECT *, ln(1 + residual_mass) AS lr, ln(1 + n / CAST(chains AS DOUBLE)) AS lp, ln(1 + chains) AS lc, ln(1 + action_peers) AS la FROM p)
+SELECT host, node_id, n, chains, action_peers, round(mass, 4) AS mass, round(residual_mass, 4) AS residual_mass, round(mass, 4) AS base, round(mass, 4) AS base_conf, round(mass + lp, 4) AS base_conf_repeat, round(mass + lc, 4) AS base_conf_chain,
+  round(mass + lr, 4) AS base_conf_residual, round(mass + lp + lc, 4) AS base_conf_repeat_chain, round(mass + lr + lp + lc, 4) AS base_conf_residual_repeat_chain, round(mass, 4) AS pool_base, round(mass + lr, 4) AS pool_base_adaptive,
+  round(mass + la, 4) AS pool_base_assoc, round(mass + lc, 4) AS pool_base_chain, round(mass + lr + la + lc, 4) AS pool_base_adaptive_assoc_chain FROM l""",
     "prefix_alert_sweep": """
 WITH a AS (SELECT host, label, info_src, row_number() OVER (PARTITION BY host ORDER BY stream_pos) AS r FROM alerts)
 SELECT host, k, count(*) AS n, count_if(label > 0) AS tp, count_if(label = 0) AS fp, count(DISTINCT info_src) AS sources FROM a JOIN ks ON r <= k GROUP BY host, k""",

@@ -9,21 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.operators import learning, thresholds
 from tracewell.plans import etl, evaluation, profiles, semantics
 from tracewell.plans.text import registered
-from tracewell.queries import core, learned, stateful
+from tracewell.queries import core, files, learned, stateful
 from tracewell.sources.mapping import BASE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 _COMMON = BASE | etl.COMMON | evaluation.COMMON | profiles.COMMON | semantics.COMMON
-for _plans in (etl, evaluation, profiles, semantics):
+for _plans in (etl, evaluation, profiles, semantics, files):
     _queries, _checks = registered(_plans.TEXTS, _COMMON)
     QUERIES |= _queries
     ORACLE_SQL |= _checks
 
 # these have an operator of their own; the text stays as the check
 QUERIES |= {f.__name__: f for f in (thresholds.group_thresholds, thresholds.resolve_group_threshold, thresholds.node_coverage)}
-QUERIES |= core.QUERIES | stateful.QUERIES | learning.QUERIES | learned.QUERIES
+QUERIES |= core.QUERIES | stateful.QUERIES | learning.QUERIES | learned.QUERIES | files.QUERIES
 # their texts stood for clusters by equal counts; the clusters of states have no SQL
 for _name in ("state_compression_summary", "alert_merge_analysis"):
     ORACLE_SQL.pop(_name, None)

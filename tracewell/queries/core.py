@@ -106,8 +106,6 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "bounded_scan": lambda a: rel.first_events(a.events, 1000).select("host", "event_id", "ts_us", "action"),
     "split_event_counts": lambda a: rel.split_counts(a.events, a.actions, ["split"]),
     "ten_action_filter": lambda a: rel.action_filter_report(a.events, a.actions, _HOST),
-    "structured_event_export": lambda a: rel.structured_export(a.labelled),
-    "compact_event_index": lambda a: rel.compact_index(a.placed, a.actions),
     "information_flow": lambda a: a.flow.select("host", "event_id", "info_src", "info_dst", "src_kind", "dst_kind", rel.mapped("action", rel.RELATIONS, "other").alias("relation")),
     "action_family": lambda a: a.events.groupBy("action").agg(F.count("*").alias("n")).withColumn("family", rel.mapped("action", rel.FAMILIES, "other")),
     "resolved_events_only": lambda a: rel.resolution_report(a.events, a.nodes, _HOST),
@@ -115,7 +113,7 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "event_text": lambda a: rel.event_texts(a.flow, a.nodes),
     "residual_sentence": lambda a: rel.with_words(a.flow, rel.node_words(a.nodes)).select("host", "event_id", F.concat_ws(" ", "src_tokens", F.lower("action"), "dst_tokens").alias("sentence")),
     "suppression_candidate": lambda a: a.flow.select("host", "event_id", F.expr("action = 'EVENT_WRITE' AND src_kind = 'process' AND dst_kind = 'netflow'").alias("write_out"), F.expr("action = 'EVENT_READ' AND src_kind = 'netflow' AND dst_kind = 'process'").alias("read_in")),
-    "alert_policy": lambda a: alerting.decided(a.alerts, *policies.tables(a.events.sparkSession)).select("host", "event_id", "policy", "decision", "is_final"),
+    "alert_policy": lambda a: _policies(a).select("host", "event_id", "policy", "decision", "priority", "is_final"),
     "label_normalize": lambda a: rel.label_names(a.labelled.select("event_id", rel.mapped("label", {2: " Malicious", 1: "SUSPICIOUS "}, "benign").alias("raw"))),
     "alert_features": lambda a: rounded(rel.alert_features(a.alerts, a.nodes), margin=6),
     "enrich_events": lambda a: rel.enriched(a.events, a.nodes),
@@ -145,7 +143,7 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "state_asof": lambda a: rounded(windows.state_asof(a.touch_placed).select("host", "stream_pos", "node_id", "last_score", "last_us"), last_score=6),
     "node_pool_checkpoints": lambda a: rounded(windows.pool_checkpoints(a.touch_placed.where("split = 'test'"), 1000), best_score=4),
     "topm_per_node": lambda a: windows.top_per_node(a.touch.where("split = 'test'"), 32).select("host", "node_id", "event_id", "score", "r"),
-    "node_pool": lambda a: rounded(windows.node_pool(a.touch.where("split = 'test'")), base=4, base_repeats=4, base_pairs=4, base_action_peers=4, base_all=4),
+    "node_pool": lambda a: rounded(windows.node_pool(alerting.with_threshold(a.touch.where("split = 'test'"), a.thresholds, BY_ACTION).withColumn("residual", F.greatest(F.col("score") - F.col("thr"), F.lit(0.0)))), **dict.fromkeys(["mass", "residual_mass", *windows.POOL_FORMULAS], 4)),
     # counts of training data, rarity
     "split_node_overlap": lambda a: profiles.split_overlap(a.touch),
     "node_mixing": lambda a: rounded(profiles.node_mixing(a.touch), action_entropy=6),
@@ -231,6 +229,10 @@ def _truth_files(a: Audit) -> DataFrame:
     return a.truth.select("uuid", (F.col("node_id") + 7).cast("string").alias("old_index")).unionByName(odd)
 
 
+def _policies(a: Audit) -> DataFrame:
+    return alerting.decided(a.judged, *policies.tables(a.events.sparkSession), alert="score >= thr")
+
+
 def _evidence(a: Audit) -> DataFrame:
     return nodes.evidence(alerting.with_threshold(a.touch.where("split = 'test'"), a.thresholds, BY_ACTION))
 

@@ -23,7 +23,7 @@ def online_conditional_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test events scored by node states and decided: threshold, level, suppression, decision, priority."""
     a = Audit.of(spark, sf_dir)
     found = online.conditional_scoring(a.placed, a.nodes, *policies.tables(spark))
-    return found.select("host", "event_id", "score", "target_case", "threshold", "threshold_level", "is_alert", "is_suppressed", "decision", "priority")
+    return found.select("host", "event_id", "score", "target_case", "threshold", "threshold_level", "is_alert", "is_suppressed", "decision", "priority", "is_final")
 
 
 def online_residual_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,24 +265,29 @@ def _bounded(protect: bool):
         spared = 0
         for kind, k in EVICTED_FIRST.items():
             head, tail = states.get(f"q{k}", [0.0, 0.0])
-            end = tail
-            while head < end:
+            kept, gone = [], None
+            while head < tail and gone is None:
                 node, pos = states.pop(f"q{k}:{int(head)}")
                 head += 1
-                states[f"q{k}"] = [head, states[f"q{k}"][1]]
                 now = states.get(f"m{int(node)}")
                 if now is None or now[0] != pos:
                     continue  # touched again, or gone
                 if int(node) in (e.info_src, e.info_dst) or now[1] >= e.stream_pos:
                     spared += now[1] >= e.stream_pos
-                    queue(states, k, int(node), pos)
+                    kept.append([node, pos])
                     continue
-                h = np.asarray(states.pop(f"h{int(node)}"))
-                states.pop(f"m{int(node)}")
+                gone = int(node)
+            for x in reversed(kept):  # passed over: they stay in front, in their order
+                head -= 1
+                states[f"q{k}:{int(head)}"] = x
+            states[f"q{k}"] = [head, tail]
+            if gone is not None:
+                h = np.asarray(states.pop(f"h{gone}"))
+                states.pop(f"m{gone}")
                 proto = np.asarray(states.get(f"proto{kind}", np.zeros(D)))
                 states[f"proto{kind}"] = (1 - P.prototype) * proto + P.prototype * h
                 states["n"] = [states["n"][0] - 1]
-                return int(node), spared
+                return gone, spared
         return None, spared
 
     def step(states, e) -> tuple:
