@@ -146,3 +146,62 @@ def process_tokens(nodes: DataFrame, most: int = PROCESS_TOKENS) -> DataFrame:
     head = F.filter(F.array(F.concat(F.lit("EXE_"), F.col("name")), F.col("folder")), lambda x: x.isNotNull())
     tokens = F.when(F.col("exe").isNull(), F.array(F.lit("PROC_na"))).otherwise(F.slice(F.array_distinct(F.concat(head, part(False), part(True))), 1, most))
     return rows.select("path", "cmd", tokens.alias("tokens"))
+
+
+# --- classes and roles ---------------------------------------------------------------------------------------------
+
+
+def node_classes(nodes: DataFrame, rules: DataFrame, defaults: DataFrame) -> DataFrame:
+    """kind, path, cmd, system, class: for each system, the class of the first rule that fits a distinct pair of attributes.
+
+    Rules and defaults are lists kept by hand (node_rules.tables), a few hundred rows.
+    """
+    word = F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif(F.substring_index(F.coalesce("cmd", F.lit("")), " ", 1), F.lit("")), F.col("path"), F.lit("")), "^.*/", ""), "^-+", "")
+    seen = nodes.where("kind <> 'netflow'").select(
+        "kind", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("cmd", F.lit("")).alias("cmd"), F.regexp_replace(F.lower(word), "[^a-z0-9]+", "_").alias("word"),
+        F.regexp_replace(F.lower(F.coalesce("path", F.lit(""))), "/+", "/").alias("clean"), F.lower(F.concat_ws(" ", "cmd", "path")).alias("everything"),
+    ).distinct()
+    v = F.col("value")
+    fits = (
+        F.when(F.col("how") == "word", F.col("word") == v).when(F.col("how") == "wordstart", F.startswith("word", v)).when(F.col("how") == "is", F.col("clean") == v).when(F.col("how") == "start", F.startswith("clean", v))
+        .when(F.col("how") == "end", F.endswith("clean", v)).when(F.col("how") == "match", F.regexp_like("clean", v)).when(F.col("how") == "cmdstart", F.startswith(F.lower("cmd"), v))
+        .when(F.col("how") == "cmdmatch", F.regexp_like("cmd", v)).otherwise(F.contains("everything", v))
+    )
+    each = seen.join(F.broadcast(defaults), "kind")
+    found = each.join(F.broadcast(rules), ["system", "kind"]).where(fits).groupBy("kind", "path", "cmd", "system").agg(F.min_by("label", "place").alias("__label"))
+    bare = (F.col("path") == "") & (F.col("cmd") == "")
+    return each.join(found, ["kind", "path", "cmd", "system"], "left").select("kind", "path", "cmd", "system", F.when(bare, F.col("nothing")).otherwise(F.coalesce("__label", "other")).alias("class")).distinct()
+
+
+def routed(hosts: DataFrame, patterns: dict[str, str], otherwise: str = "generic") -> DataFrame:
+    """host, profile: the profile of the first LIKE pattern that a host's name fits."""
+    profile = F.lit(otherwise)
+    for pattern, name in reversed(patterns.items()):
+        profile = F.when(F.col("host").like(pattern), name).otherwise(profile)
+    return hosts.select("host").distinct().withColumn("profile", profile)
+
+
+def summaries(nodes: DataFrame, process_tokens_most: int = PROCESS_TOKENS) -> DataFrame:
+    """node_id, kind, tokens (lower case) of every node: a process's words, a file's path, an address's scope and port."""
+    said = process_tokens(nodes, process_tokens_most).select(F.col("path").alias("__path"), F.col("cmd").alias("__cmd"), F.col("tokens").alias("__process"))
+    rows = nodes.join(said, (F.col("kind") == "process") & F.col("path").eqNullSafe(F.col("__path")) & F.col("cmd").eqNullSafe(F.col("__cmd")), "left")
+    net = F.array(address_scope(F.col("dst_addr")), port_bucket(F.col("dst_port")))
+    tokens = F.when(F.col("kind") == "netflow", net).when(F.col("kind") == "process", F.col("__process")).otherwise(F.coalesce(path_tokens(F.col("path")), F.array(F.lit("PATH_na"))))
+    return rows.select("node_id", "kind", F.transform(tokens, lambda t: F.lower(t)).alias("tokens"))
+
+
+def head_roles(summary: DataFrame, most: int) -> DataFrame:
+    """node_id, role: the kind and the first ``most`` tokens (both of an address)."""
+    n = F.when(F.col("kind") == "netflow", 2).otherwise(most)
+    return summary.select("node_id", F.array_join(F.concat(F.array("kind"), F.slice("tokens", F.lit(1), n)), "|").alias("role"))
+
+
+def coarse_and_raw(summary: DataFrame) -> DataFrame:
+    """node_id, coarse_role (where it lies) and raw_role (what it is)."""
+    first = lambda prefix: F.get(F.filter("tokens", lambda t: F.startswith(t, F.lit(prefix))), F.lit(0))
+    any_ = F.get("tokens", F.lit(0))
+    coarse_file = F.when(first("root_").isNull() & first("dir_").isNull(), "file|coarse_path").otherwise(F.concat_ws("|", F.lit("file"), first("root_"), first("dir_")))
+    net = F.array_join(F.concat(F.array("kind"), "tokens"), "|")
+    coarse = F.when(F.col("kind") == "netflow", net).when(F.col("kind") == "file", coarse_file).otherwise(F.concat_ws("|", F.lit("process"), F.coalesce(first("dir_"), F.lit("coarse_process"))))
+    raw = F.when(F.col("kind") == "netflow", net).when(F.col("kind") == "file", F.concat_ws("|", F.lit("file"), first("root_"), first("dir_"), F.coalesce(first("path_"), any_))).otherwise(F.concat_ws("|", F.lit("process"), F.coalesce(first("exe_"), any_), first("dir_")))
+    return summary.select("node_id", coarse.alias("coarse_role"), raw.alias("raw_role"))

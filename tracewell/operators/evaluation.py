@@ -255,3 +255,9 @@ def score_drift(validation: DataFrame, scored: DataFrame, by: list[str], groups:
     """groups, n, mean_drift: how many standard deviations of validation scores (by) the scores of a group lie over their mean."""
     v = validation.groupBy(*by).agg(F.avg("score").alias("__m"), F.stddev_pop("score").alias("__s"))
     return scored.join(v, by).groupBy(*groups).agg(F.count("*").alias("n"), F.avg((F.col("score") - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))).alias("mean_drift"))
+
+
+def case_losses(losses: DataFrame, cases: DataFrame) -> DataFrame:
+    """target_case, n, mean_loss, max_loss of events with a loss."""
+    rows = losses.join(cases.select("host", "event_id", "target_case"), ["host", "event_id"])
+    return rows.groupBy("target_case").agg(F.count("*").alias("n"), F.avg("loss").alias("mean_loss"), F.max("loss").alias("max_loss"))

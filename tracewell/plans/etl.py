@@ -100,9 +100,6 @@ LEFT JOIN labeled l ON l.host = p.host AND l.event_id = p.event_id GROUP BY p.ho
     "remap_node_ids": """
 WITH ids AS (SELECT host, node_id, row_number() OVER (PARTITION BY host ORDER BY node_id) - 1 AS compact_id FROM (SELECT DISTINCT host, node_id FROM touch) x)
 SELECT f.host, f.event_id, s.compact_id AS src_compact, d.compact_id AS dst_compact FROM flow f JOIN ids s ON s.host = f.host AND s.node_id = f.info_src JOIN ids d ON d.host = f.host AND d.node_id = f.info_dst""",
-    "run_comparison": """
-WITH runs AS (SELECT host AS run, split AS state_model, count(DISTINCT node_id) AS states, count(*) AS touches FROM touch GROUP BY host, split)
-SELECT r.run, r.state_model, r.states, b.states - r.states AS saved_states, round(100.0E0 * (b.states - r.states) / b.states, 6) AS saved_pct FROM runs r JOIN runs b ON b.state_model = r.state_model AND b.run = 'h0' WHERE r.run <> 'h0'""",
     "tail_surprisal": """
 WITH x AS (SELECT action, score, CASE WHEN split = 'validation' THEN 1 ELSE 0 END AS ref, host, event_id, split FROM flow WHERE split <> 'train'),
 c AS (SELECT *, sum(ref) OVER (PARTITION BY action ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above, sum(ref) OVER (PARTITION BY action) AS n FROM x)

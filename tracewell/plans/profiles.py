@@ -31,6 +31,13 @@ SELECT node_id, kind, /*spark token*//*duck token*/ FROM (SELECT node_id, kind,
     "event_tokens": "SELECT f.host, f.split, f.event_id, t.token FROM flow f JOIN node_tokens t ON t.node_id = f.info_src UNION ALL SELECT f.host, f.split, f.event_id, t.token FROM flow f JOIN node_tokens t ON t.node_id = f.info_dst",
     "train_vocab": "SELECT token, count(*) AS n FROM event_tokens WHERE split = 'train' GROUP BY token",
     "frozen": "SELECT token, n, rid FROM (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rid FROM train_vocab WHERE n >= 5) v WHERE rid < 8192",
+    # program and folder of processes, paths of files, scope and port of addresses
+    "node_summaries": f"""
+SELECT node_id, kind, list_transform(CASE WHEN kind = 'netflow' THEN [CASE WHEN dst_addr = '0.0.0.0' THEN 'zero' WHEN o[1] = '127' THEN 'loopback' WHEN o[1] = '128' AND o[2] = '55' THEN concat('internal_', o[3]) WHEN o[1] = '10' THEN 'private' ELSE 'public' END,
+    CASE WHEN CAST(dst_port AS INT) < 1024 THEN 'system' WHEN CAST(dst_port AS INT) < 49152 THEN 'registered' ELSE 'ephemeral' END]
+  WHEN kind = 'process' THEN CASE WHEN path IS NULL AND cmd IS NULL THEN ['PROC_na'] ELSE list_filter([concat('EXE_', {base_signature('s[len(s)]')}), CASE WHEN len(s) >= 2 THEN concat('DIR_', {piece('s[len(s) - 1]', 'dir', 20)}) END], lambda x: x IS NOT NULL) END
+  WHEN path IS NULL OR len(s) = 0 THEN ['PATH_na'] ELSE list_filter([concat('ROOT_', CASE WHEN starts_with(path, '/') THEN {piece('s[1]', 'root')} ELSE 'rel' END), CASE WHEN len(s) >= 2 THEN concat('DIR_', {piece('s[len(s) - 1]', 'dir', 20)}) END, concat('PATH_', {base_signature('s[len(s)]')})], lambda x: x IS NOT NULL) END, lambda x: lower(x)) AS tokens
+FROM (SELECT *, string_split(dst_addr, '.') AS o, list_filter(string_split(coalesce(path, ''), '/'), lambda x: x <> '') AS s FROM prov_nodes) n""",
     "families": """
 SELECT f.*, CASE WHEN action IN ('EVENT_READ', 'EVENT_OPEN') THEN 'read' WHEN action IN ('EVENT_RECVFROM', 'EVENT_RECVMSG') THEN 'recv' WHEN action = 'EVENT_WRITE' THEN 'write' WHEN action IN ('EVENT_SENDTO', 'EVENT_SENDMSG', 'EVENT_CONNECT') THEN 'send' ELSE 'spawn' END AS family FROM flow f""",
     "node_evidence": """
@@ -131,8 +138,11 @@ SELECT dst_addr, dst_port, CASE WHEN dst_addr = '0.0.0.0' THEN 'zero' WHEN a = 1
   CASE WHEN CAST(dst_port AS INT) < 1024 THEN 'system' WHEN CAST(dst_port AS INT) < 49152 THEN 'registered' ELSE 'ephemeral' END AS port_bucket FROM (
   SELECT DISTINCT dst_addr, dst_port, CAST(split_part(dst_addr, '.', 1) AS INT) AS a, CAST(split_part(dst_addr, '.', 2) AS INT) AS b, CAST(split_part(dst_addr, '.', 3) AS INT) AS c FROM prov_nodes WHERE kind = 'netflow') x""",
     "semantic_profile_route": "SELECT DISTINCT host, CASE WHEN host LIKE 'h0%' THEN 'freebsd' WHEN host LIKE 'h1%' THEN 'linux' WHEN host LIKE 'h2%' THEN 'android' ELSE 'generic' END AS profile FROM prov_events",
-    "node_roles": "SELECT node_id, CASE kind WHEN 'process' THEN concat_ws(':', 'proc', regexp_extract(path, '([^/]*)$', 1)) WHEN 'file' THEN concat_ws(':', 'file', split_part(path, '/', 2), nullif(regexp_extract(path, '[.]([a-z]+)$', 1), '')) ELSE concat_ws(':', 'net', CASE WHEN CAST(dst_port AS INT) < 1024 THEN 'system' ELSE 'high' END) END AS role FROM prov_nodes",
-    "coarse_raw_roles": "SELECT node_id, split_part(tokens, ' ', 2) AS coarse_role, regexp_extract(tokens, '([^ ]*)$', 1) AS raw_role FROM node_words",
+    "node_roles": "SELECT node_id, array_to_string(list_prepend(kind, CASE WHEN kind = 'netflow' THEN tokens ELSE tokens[1:2] END), '|') AS role FROM node_summaries",
+    "coarse_raw_roles": """
+SELECT node_id, CASE WHEN kind = 'netflow' THEN array_to_string(list_prepend(kind, tokens), '|') WHEN kind = 'file' THEN CASE WHEN r IS NULL AND d IS NULL THEN 'file|coarse_path' ELSE concat_ws('|', 'file', r, d) END ELSE concat_ws('|', 'process', coalesce(d, 'coarse_process')) END AS coarse_role,
+  CASE WHEN kind = 'netflow' THEN array_to_string(list_prepend(kind, tokens), '|') WHEN kind = 'file' THEN concat_ws('|', 'file', r, d, coalesce(p, tokens[1])) ELSE concat_ws('|', 'process', coalesce(e, tokens[1]), d) END AS raw_role
+FROM (SELECT *, list_filter(tokens, lambda x: starts_with(x, 'root_'))[1] AS r, list_filter(tokens, lambda x: starts_with(x, 'dir_'))[1] AS d, list_filter(tokens, lambda x: starts_with(x, 'path_'))[1] AS p, list_filter(tokens, lambda x: starts_with(x, 'exe_'))[1] AS e FROM node_summaries) z""",
     "endpoint_signature": "SELECT node_id, CASE WHEN dst_addr IS NOT NULL THEN concat(dst_addr, ':', coalesce(dst_port, '')) ELSE concat('node:', CAST(node_id AS STRING)) END AS signature FROM prov_nodes",
     "flow_gates": """
 SELECT f.host, f.event_id, round(g.lam * s.scale, 9) AS gate_lambda, round(g.rho * s.scale, 9) AS gate_rho FROM flow f

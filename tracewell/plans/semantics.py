@@ -32,16 +32,8 @@ SELECT q.vec_id, round(1 - sum(p * y) / greatest(sqrt(sum(p * p)) * sqrt(sum(y *
 FROM vec_pairs q JOIN v ON v.label = q.label AND v.pos = q.pos GROUP BY q.vec_id""",
     "score_targets": "SELECT vec_id, pos, round((p + 0.5E0 * y + p) / 2.5E0, 6) AS weighted_target, round((p + y) / 2, 6) AS pair_target FROM vec_pairs",
     "top_residual_dims": "SELECT vec_id, r, pos, round(abs(p - y), 6) AS residual FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(p - y) DESC, pos) AS r FROM vec_pairs) x WHERE r <= 3",
-    "case_loss_summary": """
-SELECT c.target_case, count(*) AS n, round(avg(1 - c.score / (c.score + 50000)), 6) AS mean_loss, round(max(1 - c.score / (c.score + 50000)), 6) AS max_loss FROM cased c WHERE c.split = 'validation' GROUP BY c.target_case""",
     "state_asof": """
 SELECT host, stream_pos, node_id, round(coalesce(lag(score) OVER (PARTITION BY host, node_id ORDER BY stream_pos), 0.0E0), 6) AS last_score, lag(ts_us) OVER (PARTITION BY host, node_id ORDER BY stream_pos) AS last_us FROM touch""",
-    "state_compression_summary": """
-WITH s AS (SELECT host, node_id, max(kind) AS kind, count(*) AS n, max(stream_pos) AS last_pos FROM touch GROUP BY host, node_id), c AS (SELECT host, kind, n, count(*) AS members FROM s GROUP BY host, kind, n)
-SELECT host, CAST(sum(members) AS BIGINT) AS logical_states, count(*) AS physical_states, count_if(members > 1) AS clusters, round(count(*) / CAST(sum(members) AS DOUBLE), 9) AS ratio, CAST((sum(members) - count(*)) * 256 AS BIGINT) AS bytes_saved FROM c GROUP BY host""",
-    "alert_merge_analysis": """
-WITH s AS (SELECT host, node_id, max(kind) AS kind, count(*) AS n FROM touch GROUP BY host, node_id)
-SELECT a.host, a.event_id, x.n AS src_cluster, y.n AS dst_cluster, x.n = y.n AND x.kind = y.kind AS same_cluster FROM alerts a JOIN s x ON x.host = a.host AND x.node_id = a.info_src JOIN s y ON y.host = a.host AND y.node_id = a.info_dst""",
     "attack_plus_benign_reservoir": """
 SELECT host, event_id, label FROM labeled WHERE split = 'test' AND label = 2
 UNION ALL SELECT host, event_id, label FROM (SELECT host, event_id, label, row_number() OVER (PARTITION BY host ORDER BY md5(concat(CAST(event_id AS STRING), 's')), event_id) AS r FROM labeled WHERE split = 'test' AND label = 0) x WHERE r <= 200""",

@@ -24,8 +24,8 @@ for _plans in (etl, evaluation, profiles, semantics, files):
 # these have an operator of their own; the text stays as the check
 QUERIES |= {f.__name__: f for f in (thresholds.group_thresholds, thresholds.resolve_group_threshold, thresholds.node_coverage)}
 QUERIES |= core.QUERIES | stateful.QUERIES | learning.QUERIES | learned.QUERIES | files.QUERIES
-# their texts stood for clusters by equal counts; the clusters of states have no SQL
-for _name in ("state_compression_summary", "alert_merge_analysis"):
+# these work on learned losses and on clusters of states, which have no SQL
+for _name in ("state_compression_summary", "alert_merge_analysis", "case_loss_summary", "run_comparison"):
     ORACLE_SQL.pop(_name, None)
 
 

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions import policies
+from tracewell.functions import node_rules, policies
 from tracewell.operators import alerting, attributes, evaluation, flow, nodes, profiles, vectors, windows
 from tracewell.operators import relational as rel
 from tracewell.operators import thresholds
 from tracewell.sources.audit import BY_ACTION, Audit
 from tracewell.sources.staging import stage
+from tracewell.streaming import folds
 
 KS = [100, 200, 500, 1000, 1500, 3000]
 BY_KINDS = ["action", "src_kind", "dst_kind"]
@@ -190,6 +191,13 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "evidence_band_gate": lambda a: rounded(nodes.evidence_gate(nodes.ranked(_evidence(a))).select("host", "node_id", "rk", "families", "gated"), gated=4),
     "mid_rank_gate": lambda a: rounded(nodes.mid_rank_gate(nodes.ranked(_evidence(a))).select("host", "node_id", "rk", "gated"), gated=4),
     "local_closure": lambda a: rounded(nodes.local_closure(nodes.ranked(_evidence(a))).select("host", "node_id", "rk", "core", "passes"), core=6),
+    "freebsd_node_semantics": lambda a: _classes(a, "freebsd"),
+    "linux_node_semantics": lambda a: _classes(a, "linux"),
+    "android_node_semantics": lambda a: _classes(a, "android"),
+    "semantic_profile_route": lambda a: attributes.routed(a.events, {"h0%": "freebsd", "h1%": "linux", "h2%": "android"}),
+    "node_roles": lambda a: attributes.head_roles(attributes.summaries(a.nodes), 2),
+    "coarse_raw_roles": lambda a: attributes.coarse_and_raw(attributes.summaries(a.nodes)),
+    "flow_gates": lambda a: rounded(_gates(a), gate_lambda=9, gate_rho=9),
     # flow and node history
     "event_label": lambda a: a.labelled.select("host", "event_id", "label"),
     "stream_pos": lambda a: a.placed.select("host", "event_id", "ts_us", "stream_pos"),
@@ -229,6 +237,17 @@ def _truth_files(a: Audit) -> DataFrame:
     return a.truth.select("uuid", (F.col("node_id") + 7).cast("string").alias("old_index")).unionByName(odd)
 
 
+def _classes(a: Audit, system: str) -> DataFrame:
+    rules, defaults = node_rules.tables(a.nodes.sparkSession)
+    return attributes.node_classes(a.nodes, rules.where(F.col("system") == system), defaults.where(F.col("system") == system)).drop("system")
+
+
+def _gates(a: Audit) -> DataFrame:
+    """An event's gates: its action's, scaled by its source's kind, as the folds apply them."""
+    scale = rel.mapped("src_kind", folds.SCALE, folds.SCALE["unknown"])
+    return a.flow.select("host", "event_id", (rel.mapped("action", folds.LAMBDA, None) * scale).alias("gate_lambda"), (rel.mapped("action", folds.RHO, None) * scale).alias("gate_rho"))
+
+
 def _policies(a: Audit) -> DataFrame:
     return alerting.decided(a.judged, *policies.tables(a.events.sparkSession), alert="score >= thr")
 

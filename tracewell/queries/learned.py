@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import policies
-from tracewell.operators import alerting, clusters, learning, online, variants
+from tracewell.operators import alerting, clusters, evaluation, learning, online, variants
 from tracewell.operators import relational as rel
 from tracewell.sources.audit import BY_ACTION, Audit
 from tracewell.sources.staging import stage
@@ -149,10 +149,28 @@ def node_pair_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.mapped_rows(data.where("split = 'test'").select("host", "event_id", "x", "y"), f, "host string, event_id long, distance double")
 
 
+def case_loss_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conditional head's loss on test events by target case."""
+    losses = learning.apply_head(spark, sf_dir).withColumnRenamed("score", "loss")
+    return evaluation.case_losses(losses, Audit.of(spark, sf_dir).cased)
+
+
+def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run (the cosine from which states merge), host, and the states it saves against the run that merges none."""
+    states = stage(clusters.final_states(Audit.of(spark, sf_dir).touch), "states")
+    runs = None
+    for least in (2.0, 0.98, 0.9):  # no cosine reaches the first
+        one = clusters.compression(clusters.merged_states(states, least)).select(F.lit(least).alias("run"), "host", "physical_states", "bytes_saved")
+        runs = one if runs is None else runs.unionByName(one)
+    base = runs.where("run = 2.0").select("host", F.col("physical_states").alias("baseline"))
+    saved = F.col("baseline") - F.col("physical_states")
+    return runs.where("run <> 2.0").join(base, "host").select("run", "host", "physical_states", saved.alias("saved_states"), (100.0 * saved / F.col("baseline")).alias("saved_pct"), "bytes_saved")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         online_conditional_scoring, online_residual_scoring, attack_evidence, cascade_confirmation, state_merge_clusters, state_compression_summary, alert_merge_analysis, conditional_context, embed_tokens,
-        fit_lowrank_residual, fit_als_lowrank, lowrank_components, multi_view_score, evidence_composer, reliability_gate, fit_realdiag_gamma, node_pair_head,
+        fit_lowrank_residual, fit_als_lowrank, lowrank_components, multi_view_score, evidence_composer, reliability_gate, fit_realdiag_gamma, node_pair_head, case_loss_summary, run_comparison,
     )
 }
