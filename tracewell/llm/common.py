@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.sources.staging import shared_dir, stage  # noqa: F401
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
