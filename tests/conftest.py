@@ -12,6 +12,6 @@ sys.path[:0] = [REPO, os.path.dirname(__file__)]
 def spark():
     os.environ["PYTHONPATH"] = f"{REPO}:{os.environ.get('PYTHONPATH', '')}"
     return (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", "/tmp/tests-warehouse").getOrCreate()
     )

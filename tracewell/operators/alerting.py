@@ -62,6 +62,12 @@ def budget_thresholds(validation: DataFrame, by: list[str], expected: float, hor
     return values.withColumn("upto", upto).join(n, by).groupBy(*by, "n").agg(F.max(F.when(F.col("upto") >= want, F.col("score"))).alias("thr"))
 
 
+def tail_rate_thresholds(validation: DataFrame, by: list[str], expected: float, horizon: float) -> DataFrame:
+    """by, thr_linear: the quantile, linear between scores, that leaves expected / horizon of validation scores above it (at most all)."""
+    values = validation.groupBy(*by, "score").agg(F.count("*").alias("c"))
+    return values.groupBy(*by).agg(F.percentile("score", max(0.0, min(1.0, 1.0 - expected / max(horizon, 1.0))), F.col("c")).alias("thr_linear"))
+
+
 def history_counts(history: DataFrame, keys: list[str], out: str = "history_count") -> DataFrame:
     return history.groupBy(*keys).agg(F.count("*").alias(out))
 

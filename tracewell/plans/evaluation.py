@@ -78,7 +78,8 @@ SELECT action, CAST(max(total) AS BIGINT) AS total, round(min(CASE WHEN upto >=
   round(min(CASE WHEN upto >= ceil(0.5 * total) THEN least(hi, lo + (bin + 1) * (hi - lo) / 20000) END), 4) AS q50 FROM c GROUP BY action""",
     "budget_threshold": """
 WITH r AS (SELECT host, score, row_number() OVER (PARTITION BY host ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY host) AS n FROM flow WHERE split = 'validation')
-SELECT host, max(n) AS n, max(CASE WHEN r = greatest(1, least(n, /*spark bround*//*duck round_even*/(n * 100.0 / 12000, 0))) THEN score END) AS thr FROM r GROUP BY host""",
+SELECT host, max(n) AS n, max(CASE WHEN r = greatest(1, least(n, /*spark bround*//*duck round_even*/(n * 100.0 / 12000, 0))) THEN score END) AS thr, round(percentile_cont(0.9916666666666667) WITHIN GROUP (ORDER BY score), 4) AS thr_linear,
+  max(CASE WHEN r = greatest(1, least(n, /*spark bround*//*duck round_even*/(n * 1000.0 / 1000000, 0))) THEN score END) AS thr_million FROM r GROUP BY host""",
     "endpoint_suppression_summary": """
 SELECT src, endpoint, action, count(*) AS n, count_if(is_alert) AS raw_alerts, count_if(is_suppressed) AS suppressed, count_if(is_alert AND NOT is_suppressed) AS final_alerts, max(score) AS max_score, round(avg(score), 6) AS mean_score FROM suppressed GROUP BY src, endpoint, action""",
     "suppression_eval": """

@@ -90,7 +90,12 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "quantile_higher": lambda a: _quantiles(a),
     "score_summary": lambda a: rounded(alerting.score_summary(a.test, BY_ACTION, {"p99": 0.99, "p999": 0.999, "p9995": 0.9995, "p9999": 0.9999}, a.thresholds), mean_score=6, std_score=4),
     "histogram_quantiles": lambda a: rounded(alerting.histogram_quantiles(a.flow, BY_ACTION, {"q99": 0.99, "q50": 0.5}), q99=4, q50=4),
-    "budget_threshold": lambda a: alerting.budget_thresholds(a.validation, _HOST, 100.0, 12000.0),
+    "budget_threshold": lambda a: rounded(
+        alerting.budget_thresholds(a.validation, _HOST, 100.0, 12000.0)
+        .join(alerting.tail_rate_thresholds(a.validation, _HOST, 100.0, 12000.0), "host")
+        .join(alerting.budget_thresholds(a.validation, _HOST, 1000.0, 1000000.0).select("host", F.col("thr").alias("thr_million")), "host"),
+        thr_linear=4,
+    ),
     "endpoint_suppression_summary": lambda a: rounded(alerting.suppression_summary(_suppressed(a), ["src", "endpoint", "action"]), mean_score=6),
     "suppression_eval": lambda a: alerting.suppression_eval(_suppressed(a), _HOST),
     "endpoint_suppression": lambda a: _suppressed(a).select("host", "event_id", "is_alert", "is_suppressed", "match_level"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,10 +100,10 @@ def calibration_artifact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leakage_contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """table_name, path of every forbidden field in the tables that scoring reads, and in the labelled ones."""
+    """table_name, n_rows, leaks: the tables that scoring reads and the labelled ones, with the forbidden fields of their schemas."""
     a = Audit.of(spark, sf_dir)
-    tables = {"events": a.events, "flow": a.flow, "touch": a.touch, "cased": a.cased, "thresholds": a.thresholds, "labelled": a.labelled, "alerts": a.alerts}
-    return spark.createDataFrame([(n, p) for n, t in tables.items() for p in sinks.leaks(t.schema)], "table_name string, path string")
+    tables = {"events": a.events, "flow": a.flow, "touch": a.touch, "thresholds": a.thresholds, "labelled": a.labelled, "alerts": a.alerts}
+    return reduce(DataFrame.unionByName, (t.agg(F.lit(n).alias("table_name"), F.count("*").alias("n_rows"), F.lit(",".join(sinks.leaks(t.schema))).alias("leaks")) for n, t in tables.items()))
 
 
 def cross_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +131,8 @@ TEXTS: dict[str, str] = {
     "alert_sink": f"SELECT s.host, s.event_id, s.score, CASE WHEN s.src_id IN (SELECT node_id FROM gt_nodes) THEN 1 ELSE 0 END + CASE WHEN s.dst_id IN (SELECT node_id FROM gt_nodes) THEN 1 ELSE 0 END AS label FROM ({_STREAM}) s WHERE s.score >= {THRESHOLD}",
     "score_trace_sink": f"SELECT host, event_id, score, CAST({THRESHOLD} AS DOUBLE) AS threshold, 'global' AS threshold_level, action AS score_group FROM ({_STREAM}) s",
     "calibration_artifact_table": "SELECT action, n, thr, vmax FROM action_thresholds",
-    "leakage_contract_check": "SELECT * FROM (VALUES ('labelled', 'label'), ('alerts', 'label')) v(table_name, path)",
+    "leakage_contract_check": "SELECT 'events' AS table_name, count(*) AS n_rows, '' AS leaks FROM prov_events UNION ALL SELECT 'flow', count(*), '' FROM flow UNION ALL SELECT 'touch', count(*), '' FROM touch "
+    "UNION ALL SELECT 'thresholds', count(*), '' FROM action_thresholds UNION ALL SELECT 'labelled', count(*), 'label' FROM labeled UNION ALL SELECT 'alerts', count(*), 'label' FROM alerts",
     "cross_run_summary": "WITH e AS (SELECT l.host, l.label, l.score >= a.thr AS over FROM labeled l JOIN action_thresholds a ON a.action = l.action WHERE l.split = 'test'), m AS (SELECT host, 'strict' AS mode, over, label FROM e UNION ALL SELECT host, 'relaxed', over, label FROM e WHERE label <> 1), "
     "c AS (SELECT host AS run, mode, count_if(over AND label = 2) AS tp, count_if(over AND label <> 2) AS fp, count_if(NOT over AND label = 2) AS fn, count_if(NOT over AND label <> 2) AS tn FROM m GROUP BY host, mode) "
     "SELECT run, mode, metric, CAST(value AS DOUBLE) AS value FROM (SELECT run, mode, 'tp' AS metric, tp AS value FROM c UNION ALL SELECT run, mode, 'fp', fp FROM c UNION ALL SELECT run, mode, 'fn', fn FROM c UNION ALL SELECT run, mode, 'tn', tn FROM c) x",
