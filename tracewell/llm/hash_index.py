@@ -230,7 +230,7 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, code:
     for wider in (*(round(r * code.bits) for r in FIRST_RADII[1:]), None, 0):
         probes = todo.select("radius", "no", *words).mapInArrow(spread_queries, spread_ddl)
         dealt = index.unionByName(probes).repartition(max(shuffle_partitions(spark), min(placed.parts, 20_000)), "part").sortWithinPartitions("part", "kind")
-        reached = stage(dealt.mapInArrow(_probe(code), "query long, block long, reach binary, probed long, hits long"), "index-reached")
+        reached = stage(dealt.mapInArrow(_probe(code, probed is not None), "query long, block long, reach binary, probed long, hits long"), "index-reached")
         if probed is not None:
             probed.append((*todo.agg(F.count("*"), F.sum("radius")).first(), *reached.agg(F.sum("probed"), F.sum("hits")).first()))
         found = stage(looked_up(reached.where("block is not null").select("query", "block", "reach")), "index-found")
@@ -264,8 +264,11 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.R
                 yield int(parts[a]), int(kinds[a]), b.slice(a, e - a)
 
 
-def _probe(code: Code):
-    """Rows (part, kind, j, no, code) sorted by part and kind: queries probe the part's cells; entries in reach go on by blocks of numbers."""
+def _probe(code: Code, counted: bool):
+    """Rows (part, kind, j, no, code) sorted by part and kind: queries probe the part's cells; entries in reach go on by blocks of numbers.
+
+    With ``counted``, the codes that were probed are counted, too, each once.
+    """
 
     def built(rows: list[pa.RecordBatch]) -> dict:
         j, no = (np.concatenate([b.column(i).to_numpy() for b in rows]) for i in (2, 3))
@@ -297,16 +300,19 @@ def _probe(code: Code):
                 n = index["count"][cell]
                 rows = np.repeat(index["first"][cell] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 j = np.repeat(index["j"][cell], n)
+                near = np.bitwise_count(index["code"][rows, 0] ^ c[0])
+                for k in range(1, code.words):
+                    near = near + np.bitwise_count(index["code"][rows, k] ^ c[k])
+                near = near <= radius
                 # a code that several substrings find is taken for the first of them
-                near = np.bitwise_count(index["values"][rows] ^ v) <= limit
-                mine = np.argmax(near, axis=1) == j
-                rows = rows[mine]
-                hit = rows[np.bitwise_count(index["code"][rows] ^ c).sum(axis=1) <= radius]
-                found = np.sort(index["no"][hit])
+                mine = lambda rows, j: np.argmax(np.bitwise_count(index["values"][rows] ^ v) <= limit, axis=1) == j  # noqa: B023, E731
+                n_probed = int(mine(rows, j).sum()) if counted else 0
+                rows, j = rows[near], j[near]
+                found = np.sort(index["no"][rows[mine(rows, j)]])
                 blocks = found >> _LOW
                 cuts = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1]))) if len(found) else np.zeros(0, np.int64)
                 low = (found & ((1 << _LOW) - 1)).astype("<u2")
-                out.append((no, None, None, len(rows), len(found)))
+                out.append((no, None, None, n_probed, len(found)))
                 out += [(no, int(blocks[a]), low[a:e].tobytes(), 0, 0) for a, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(found)])]
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["query", "block", "reach", "probed", "hits"])
