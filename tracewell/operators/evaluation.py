@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewell.operators.prefix import running
+from tracewell.operators.prefix import numbered, running
 
 POSITIVE = "label > 0"
 
@@ -130,7 +130,7 @@ def rank_nodes(nodes: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     """Nodes with a node_score over 0, with rk and is_bad."""
     bad = truth.select("node_id").distinct().withColumn("is_bad", F.lit(1))
     marked = nodes.where("node_score > 0").join(bad, "node_id", "left").withColumn("is_bad", F.coalesce("is_bad", F.lit(0)))
-    return running(marked, by, [F.col("node_score").desc(), F.col("node_id")], {"rk": F.lit(1)})
+    return numbered(marked, by, [F.col("node_score").desc(), F.col("node_id")], "rk")
 
 
 def window_metrics(alerts: DataFrame, windows: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.prefix import running
+from tracewell.operators.prefix import numbered
 from tracewell.operators.relational import mapped
+from tracewell.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -50,9 +51,10 @@ def features(nodes: DataFrame) -> DataFrame:
 
 
 def ranked(nodes: DataFrame) -> DataFrame:
-    """Adds rk by best score, and the host's median and 0.9 quantile of touches and its most soft evidence."""
+    """Adds rk by best score, and the host's median and 0.9 quantile of touches and its most soft evidence. The nodes are written once."""
+    nodes = stage(nodes, "nodes")
     stats = nodes.groupBy("host").agg(F.percentile(F.col("n").cast("double"), 0.5).alias("med_n"), F.percentile(F.col("n").cast("double"), 0.9).alias("q90_n"), F.max("soft").alias("max_soft"))
-    return running(nodes, ["host"], [F.col("max_score").desc(), F.col("node_id")], {"rk": F.lit(1)}).join(stats, "host")
+    return numbered(nodes, ["host"], [F.col("max_score").desc(), F.col("node_id")], "rk").join(stats, "host")
 
 
 def _log_excess(a: str, b: str) -> Column:

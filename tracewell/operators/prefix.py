@@ -50,7 +50,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     # one row for each task and group in it: as many as tasks and groups together
     earlier = Window.partitionBy(*keys).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     shift = [(F.coalesce(F.sum(f"__sum{i}").over(earlier), F.lit(0)) - F.col(f"__before{i}")).alias(f"__shift{i}") for i in range(len(names))]
+    # written, so that the planner knows their size and sends them to all tasks if they are few
     bases = totals.select(F.col("__task").alias("__t"), *(F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)), *shift)
+    bases = stage(bases, "bases")
     on = F.col("__task") == F.col("__t")
     for j, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{j}"))
@@ -58,8 +60,19 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, start: int = 1) -> DataFrame:
-    """Adds the place of each row among those of the same keys, in ``order``."""
-    return running(df, keys, order, {out: F.lit(1)}).withColumn(out, F.col(out) - 1 + start)
+    """Adds the place of each row among those of the same keys, in ``order``; native, by the rows' numbers in their tasks."""
+    sort = [*(F.col(k) for k in keys), *order]
+    local = stage(df.repartitionByRange(partitions(df), *sort).sortWithinPartitions(*sort).withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    task, at = F.shiftrightunsigned("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row for each task and group in it: as many as tasks and groups together
+    totals = local.groupBy(task.alias("__t"), *(F.col(k).alias(f"__k{j}") for j, k in enumerate(keys))).agg(F.count("*").alias("__c"), F.min(at).alias("__first"))
+    earlier = Window.partitionBy(*(f"__k{j}" for j in range(len(keys)))).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("__t", *(f"__k{j}" for j in range(len(keys))), (F.coalesce(F.sum("__c").over(earlier), F.lit(0)) - F.col("__first")).alias("__base"))
+    bases = stage(bases, "bases")
+    on = task == F.col("__t")
+    for j, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{j}"))
+    return local.join(bases, on).select(*df.columns, (F.col("__base") + at + start).alias(out))
 
 
 def share_above(df: DataFrame, keys: list[str], value: str, is_reference: Column) -> DataFrame:
@@ -67,7 +80,7 @@ def share_above(df: DataFrame, keys: list[str], value: str, is_reference: Column
 
     Equal values are one row in the ordered part.
     """
-    counts = df.groupBy(*keys, value).agg(F.count_if(is_reference).alias("__ref"))
+    counts = stage(df.groupBy(*keys, value).agg(F.count_if(is_reference).alias("__ref")), "values")
     above = running(counts, keys, [F.col(value).desc()], {"n_above": "__ref"}).drop("__ref")
     total = counts.groupBy(*keys).agg(F.sum("__ref").alias("n_reference"))
     return df.join(above, [*keys, value]).join(total, keys)
