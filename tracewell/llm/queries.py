@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, fixity, hash_index, packing, pii, quality_gam, simhash, substring_dedup, url_rules, weak_rules
+from tracewell.llm import bpe, filter_audit, fixity, hash_index, license_index, packing, pii, product_codes, quality_gam, simhash, substring_dedup, url_rules, weak_rules
 from tracewell.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.digest(license_index.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.digest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -61,5 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_quality_rules": op8_weak_quality_rules,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_license_scan": op11_license_scan,
+    "op12_product_codes": op12_product_codes,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_rules.ORACLE, "op3_warc_fixity": fixity.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_rules.ORACLE, "op3_warc_fixity": fixity.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
