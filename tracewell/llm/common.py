@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def staged_at(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
     """A written and reread copy, and its folder."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

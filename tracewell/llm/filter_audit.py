@@ -1,10 +1,11 @@
 """Filter interaction audit: what each of five filters removes in each of the 120 orders in which they may run.
 
 Sparse document-term matrix. Texts are counted in blocks of BLOCK_BYTES: words become rows and columns of a block's own CSR
-matrix, whose columns are the block's distinct words. Those are numbered once for all documents (a range-partitioned
-dictionary in word order), and each block's columns get these global numbers: what is joined by word is one row for each
-block that has it, however often it stands there. The result is one CSR shard for each block. A row's sum is its document's
-number of words (filter A), its count of nonzero columns the number of distinct ones (filter B).
+matrix, whose columns are the block's distinct words in the order of a hash. These are sent, one packed row for each block and
+range of hashes, to where a range's words are numbered for all documents (its number and the order of first appearance by
+block make a word's id), and the ids go back to their blocks: one CSR shard for each block, all under one dictionary. A word
+is sent once by each block that has it, however often it stands there. A row's sum is its document's number of words (filter
+A), its count of nonzero columns the number of distinct ones (filter B).
 
 The other flags (C, D and a digest for E) are taken while a text is at hand and ride in the shard's rows. A copy is a
 document whose (doc_id, digest) isn't that of the smallest doc_id with the digest: a join by doc_id, on which no group of
@@ -28,6 +29,7 @@ import itertools
 import json
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import running_offsets, sized_blocks, stage, text_bytes
+from tracewell.llm.common import shuffle_partitions, sized_blocks, stage, staged_at, text_bytes
 
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 200, 50, 3
-BLOCK_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, SLICE_BYTES = 2 << 20, 1 << 20
+RANGE_WORDS = 2_000_000
 # Bytes that end a word, upper case, symbols, and bytes that continue a code point.
 SPACES = bytes([*range(9, 14), 32])
 UPPER = bytes(range(65, 91))
@@ -105,6 +108,18 @@ def _list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _packed(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([a.tobytes()], pa.binary()) for a in arrays]
+
+
+def _by_hash(words: pa.Array) -> tuple[np.ndarray, bytes, np.ndarray]:
+    """The words' order by hash, and in that order their bytes and lengths."""
+    plain = words.to_pylist()
+    order = np.argsort(np.array([crc32(w) for w in plain], np.uint32), kind="stable")
+    ordered = [plain[i] for i in order.tolist()]
+    return order, b"".join(ordered), np.array([len(w) for w in ordered], np.int32)
+
+
 def _blocks(block_bytes: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -115,6 +130,9 @@ def _blocks(block_bytes: int, slice_bytes: int):
             for a, b in sized_blocks([len(t) for t in texts], block_bytes):
                 block = texts[a:b]
                 indptr, columns, counts, words = block_matrix(block, slice_bytes)
+                order, plain, lengths = _by_hash(words)
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order), dtype=np.int32)
                 upper = [len(t) - len(t.translate(None, UPPER)) for t in block]
                 points = [len(t.translate(None, CONTINUATION)) for t in block]
                 rows = pa.StructArray.from_arrays(
@@ -127,53 +145,95 @@ def _blocks(block_bytes: int, slice_bytes: int):
                     ],
                     fields=list(_ROW_TYPE),
                 )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([shard]),
-                        _list(rows),
-                        _list(pa.array(indptr.astype(np.int64))),
-                        _list(pa.array(columns.astype(np.int32))),
-                        _list(pa.array(counts.astype(np.int32))),
-                        _list(words.cast(pa.string())),
-                    ],
-                    names=["shard", "rows", "indptr", "columns", "counts", "words"],
-                )
+                matrix = _packed(indptr.astype("<i8"), place[columns], counts.astype("<i4"))
+                names = ["shard", "rows", "indptr", "columns", "counts", "words", "lengths"]
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), _list(rows), *matrix, pa.array([plain], pa.binary()), *_packed(lengths)], names=names)
                 shard += 1
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _sent(ranges: int):
+    """The words of each block, a packed row for each range of hashes that it has words of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, words, lengths in zip(*(b.column(i).to_pylist() for i in range(3))):
+                ends = np.concatenate(([0], np.cumsum(np.frombuffer(lengths, "<i4"), dtype=np.int64)))
+                at = ends.tolist()
+                hashed = np.array([crc32(words[i:j]) for i, j in zip(at, at[1:])], np.uint64)
+                range_ = ((hashed * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
+                cuts = np.flatnonzero(np.diff(range_, prepend=-1))
+                after = np.append(cuts[1:], len(range_))
+                columns = [
+                    pa.array(range_[cuts], pa.int32()),
+                    pa.array([shard] * len(cuts), pa.int64()),
+                    pa.array(cuts, pa.int32()),
+                    pa.array([words[at[i] : at[j]] for i, j in zip(cuts.tolist(), after.tolist())], pa.binary()),
+                    pa.array([lengths[4 * i : 4 * j] for i, j in zip(cuts.tolist(), after.tolist())], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["range", "of", "first", "words", "lengths"])
+
+    return run
+
+
+def _coded(sent: pa.Table) -> tuple[pa.Table, pa.DictionaryArray, np.ndarray]:
+    """A range's rows in the order of blocks, its words' codes in the order of first appearance, and where each row ends."""
+    sent = sent.sort_by("of")
+    lengths = np.frombuffer(b"".join(sent["lengths"].to_pylist()), "<i4")
+    ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(sent["words"].to_pylist()))])
+    return sent, words.dictionary_encode(), np.cumsum(pc.binary_length(sent["lengths"]).to_numpy() // 4)
+
+
+def _numbered(sent: pa.Table) -> pa.Table:
+    sent, coded, ends = _coded(sent)
+    base = sent["range"][0].as_py() << 32
+    ids = np.split(coded.indices.to_numpy().astype("<i8") + base, ends[:-1])
+    return pa.table({"of": sent["of"], "first": sent["first"], "ids": pa.array([i.tobytes() for i in ids], pa.binary())})
+
+
+def _dictionary(sent: pa.Table) -> pa.Table:
+    _, coded, _ = _coded(sent)
+    base = sent["range"][0].as_py() << 32
+    return pa.table({"word": coded.dictionary.cast(pa.large_string()).cast(pa.string()), "id": pa.array(np.arange(len(coded.dictionary), dtype=np.int64) + base)})
+
+
 def _renumbered(shards: pa.Table, numbers: pa.Table) -> pa.Table:
-    """Shards with the columns' numbers in the whole dictionary, each row's in ascending order."""
-    number = np.zeros(numbers.num_rows, np.int64)
-    number[numbers["column"].to_numpy()] = numbers["id"].to_numpy()
-    ids, counts = [], []
-    for indptr, own, n in zip(*(shards[c].to_pylist() for c in ("indptr", "columns", "counts"))):
-        found, n = number[np.array(own, np.int64)], np.array(n, np.int32)
-        order = np.lexsort((found, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-        ids.append(found[order])
-        counts.append(n[order])
-    lists = {"ids": pa.array(ids, pa.list_(pa.int64())), "counts": pa.array(counts, pa.list_(pa.int32()))}
-    return pa.table({"shard": shards["shard"], "rows": shards["rows"], "indptr": shards["indptr"], **lists})
-
-
-def document_terms(docs: DataFrame, block_bytes: int = BLOCK_BYTES, slice_bytes: int = SLICE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A shard with the columns' ids in the whole dictionary, each row's in ascending order."""
+    parts = [np.frombuffer(x, "<i8") for x in numbers["ids"].to_pylist()]
+    number = np.zeros(sum(map(len, parts)), np.int64)
+    for first, ids in zip(numbers["first"].to_pylist(), parts):
+        number[first : first + len(ids)] = ids
+    indptr, own, n = (np.frombuffer(shards[c][0].as_py(), kind) for c, kind in (("indptr", "<i8"), ("columns", "<i4"), ("counts", "<i4")))
+    found = number[own]
+    order = np.lexsort((found, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
+    ids, counts = _packed(found[order], n[order])
+    return pa.table({"shard": shards["shard"], "rows": shards["rows"], "indptr": shards["indptr"], "ids": ids, "counts": counts})
+
+
+def document_terms(
+    docs: DataFrame, block_bytes: int = BLOCK_BYTES, slice_bytes: int = SLICE_BYTES, range_words: int = RANGE_WORDS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The document-term matrix of doc_id, text and lang.
 
-    Gives the dictionary (word, id: dense from 0 in word order), the CSR shards (shard, rows, indptr, ids, counts) with
-    ``rows`` telling each row's doc_id, part, flags c and d and digest, and these rows by themselves.
+    Gives the dictionary (word, id), the CSR shards (shard, rows, indptr, ids, counts: the last three packed as little-endian
+    64-, 64- and 32-bit numbers) with ``rows`` telling each row's doc_id, part, flags c and d and digest, and these rows by themselves.
     """
+    spark = docs.sparkSession
     part = F.coalesce("lang", F.lit("")).alias("part")
-    ddl = f"shard long, rows array<struct<{_ROW.replace(' ', ':').replace(',:', ',')}>>, indptr array<long>, columns array<int>, counts array<int>, words array<string>"
+    row = f"shard long, rows array<struct<{_ROW.replace(' ', ':').replace(',:', ',')}>>, indptr binary"
+    ddl = f"{row}, columns binary, counts binary, words binary, lengths binary"
     counted = docs.select(F.col("doc_id").cast("long"), part, "text").mapInArrow(_blocks(block_bytes, slice_bytes), ddl)
-    counted = stage(counted, "term-blocks")
-    distinct = stage(counted.select(F.explode("words").alias("word")).distinct().withColumn("one", F.lit(1)), "term-words")
-    dictionary = running_offsets(distinct, ["word"], "one", "id", "term-dictionary").select("word", "id")
-    asked = counted.select("shard", F.posexplode("words").alias("column", "word"))
-    numbers = asked.join(dictionary, "word").select(F.col("shard").alias("of"), "column", "id")
+    counted, _ = staged_at(counted, "term-blocks", compression="zstd")
+    n_words = counted.agg(F.sum(F.length("lengths"))).first()[0] or 0
+    ranges = max(shuffle_partitions(spark), n_words // 4 // range_words)
+    sent = counted.select("shard", "words", "lengths").mapInArrow(_sent(ranges), "range int, of long, first int, words binary, lengths binary")
+    dictionary = sent.groupBy("range").applyInArrow(_dictionary, "word string, id long")
+    numbers = sent.groupBy("range").applyInArrow(_numbered, "of long, first int, ids binary")
     own = counted.select("shard", "rows", "indptr", "columns", "counts")
-    renumbered_ddl = ddl.replace("columns array<int>, counts array<int>, words array<string>", "ids array<long>, counts array<int>")
-    shards = own.groupBy("shard").cogroup(numbers.groupBy("of")).applyInArrow(_renumbered, renumbered_ddl)
+    shards = own.groupBy("shard").cogroup(numbers.groupBy("of")).applyInArrow(_renumbered, f"{row}, ids binary, counts binary")
     return dictionary, shards, counted.select(F.explode("rows").alias("r")).select("r.*")
 
 
@@ -181,9 +241,9 @@ def _row_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums and nonzero columns of the shards' rows, a row for each document."""
     for b in batches:
         for k in range(b.num_rows):
-            rows, indptr, counts = (b.column(c)[k].values for c in (1, 2, 4))
-            indptr = indptr.to_numpy()
-            before = np.concatenate(([0], np.cumsum(counts.to_numpy(), dtype=np.int64)))
+            rows = b.column(1)[k].values
+            indptr, counts = np.frombuffer(b.column(2)[k].as_py(), "<i8"), np.frombuffer(b.column(4)[k].as_py(), "<i4")
+            before = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
             totals = [pa.array(np.diff(before[indptr])), pa.array(np.diff(indptr))]
             yield pa.RecordBatch.from_arrays([*rows.flatten(), *totals], names=[*(f.name for f in _ROW_TYPE), "n_words", "n_distinct"])
 
