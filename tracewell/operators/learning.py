@@ -6,47 +6,51 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewell.plans.text import for_engine, run, with_tables
-from tracewell.sources.mapping import ACTIONS, BASE
+from tracewell.sources.mapping import ACTIONS
 from tracewell.sources.staging import stage
-from tracewell.streaming.fold import Fold, folded
-from tracewell.streaming.folds import D, KEEP, LAMBDA, SCALE, message, unit
+from tracewell.streaming.folds import SCALE
 
 WORD_SIZE, WORD_WINDOW, SEED = 64, 3, 23
 KINDS = list(SCALE)
 
 
-def events(spark: SparkSession, sf_dir: str, columns: str, table: str = "flow", where: str = "TRUE") -> DataFrame:
-    return run(spark, sf_dir, for_engine(with_tables(f"SELECT {columns} FROM {table} WHERE {where}", BASE), "spark"))
+# --- word vectors -------------------------------------------------------------------------------------------------
 
 
-def node_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = run(spark, sf_dir, for_engine(with_tables("SELECT * FROM prov_nodes", BASE), "spark"))
-    text = F.coalesce(F.col("path"), F.concat_ws(" ", "dst_addr", "dst_port"))
-    return nodes.select("node_id", "kind", F.filter(F.split(F.lower(F.coalesce(text, F.lit("unknown"))), "[/ ._:]+"), lambda x: x != "").alias("tokens"))
+def sentences(flow: DataFrame, words: DataFrame) -> DataFrame:
+    """words: the tokens of each event's source, its action and the tokens of its destination; ``words`` has node_id and tokens."""
+    own = words.select("node_id", "tokens")
+    src, dst = (own.select(F.col("node_id").alias(f"info_{x}"), F.col("tokens").alias(f"{x}_tokens")) for x in ("src", "dst"))
+    rows = flow.select("info_src", "info_dst", "action").join(src, "info_src").join(dst, "info_dst")
+    return rows.select(F.concat("src_tokens", F.array(F.lower("action")), "dst_tokens").alias("words"))
 
 
-# --- word vectors -------------------------------------------------------------------------------------------------
+def fit_word2vec(lines: DataFrame, size: int = WORD_SIZE, window: int = WORD_WINDOW, seed: int = SEED) -> DataFrame:
+    """token and its vector, learned on ``lines`` (words); the token for unknown words is learned from a line of its own."""
+    spark = lines.sparkSession
+    lines = lines.unionByName(spark.createDataFrame([(["<unk>"],)], "words array<string>"))
+    parts = max(1, spark.sparkContext.defaultParallelism // 2)
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=1, maxIter=1, seed=seed, inputCol="words", outputCol="v", numPartitions=parts).fit(lines)
+    return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("embedding"))
 
 
-def fit_word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token and its vector, learned on the training sentences of source, action and destination words."""
-    words = node_words(spark, sf_dir).select("node_id", "tokens")
-    flow = events(spark, sf_dir, "info_src, info_dst, action", where="split = 'train'")
-    s, d = (words.withColumnRenamed("node_id", f"{x}_id").withColumnRenamed("tokens", f"{x}_tokens") for x in ("s", "d"))
-    sentences = flow.join(s, flow.info_src == F.col("s_id")).join(d, flow.info_dst == F.col("d_id")).select(F.concat("s_tokens", F.array(F.lower("action")), "d_tokens").alias("words"))
-    # the token for unknown words is learned from a sentence of its own
-    sentences = sentences.unionByName(spark.createDataFrame([(["<unk>"],)], "words array<string>"))
-    model = Word2Vec(vectorSize=WORD_SIZE, windowSize=WORD_WINDOW, minCount=1, maxIter=1, seed=SEED, inputCol="words", outputCol="v", numPartitions=max(1, spark.sparkContext.defaultParallelism // 2)).fit(sentences)
-    return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("embedding"))
+def used_words(flow: DataFrame, words: DataFrame) -> DataFrame:
+    """The words of the nodes that events touch."""
+    used = flow.select(F.explode(F.array("info_src", "info_dst")).alias("node_id")).distinct()
+    return words.join(used, "node_id", "left_semi")
+
+
+def action_words(flow: DataFrame) -> DataFrame:
+    return flow.select("action").distinct().select("action", F.array(F.lower("action")).alias("tokens"))
 
 
 def mean_vectors(tokens: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
@@ -61,38 +65,7 @@ def mean_vectors(tokens: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     return array.withColumn("norm", norm).select(key, F.when(F.col("norm") > 1e-8, F.transform("m", lambda x: x / F.col("norm"))).otherwise(F.col("m")).alias("embedding"))
 
 
-def node_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit mean word vectors of the nodes that events touch."""
-    vectors = stage(fit_word2vec(spark, sf_dir), "word-vectors")
-    used = events(spark, sf_dir, "info_src, info_dst").select(F.explode(F.array("info_src", "info_dst")).alias("node_id")).distinct()
-    return mean_vectors(node_words(spark, sf_dir).join(used, "node_id", "left_semi"), vectors, "node_id")
-
-
-def action_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = stage(fit_word2vec(spark, sf_dir), "word-vectors")
-    actions = events(spark, sf_dir, "action").distinct().select("action", F.array(F.lower("action")).alias("tokens"))
-    return mean_vectors(actions, vectors, "action")
-
-
-# --- conditional head -----------------------------------------------------------------------------------------------
-
-
-def _context(states, e) -> tuple:
-    """What both ends hold before the event, their kinds, and the event's vector; then the states move on."""
-    z, src, dst = message(e.action, e.src_kind, e.dst_kind), f"n{e.info_src}", f"n{e.info_dst}"
-    a, b = (np.zeros(D) if (h := states.get(n)) is None else np.asarray(h) for n in (src, dst))
-    one_hot = [float(k == e.src_kind) for k in KINDS] + [float(k == e.dst_kind) for k in KINDS]
-    for name, m in {src: 0.2 * z, dst: unit(z + LAMBDA[e.action] * SCALE[e.src_kind] * a)}.items():
-        h = states.get(name)
-        states[name] = (KEEP * (0.0 if h is None else np.asarray(h)) + (1 - KEEP) * m).tolist()
-    return e.host, int(e.stream_pos), int(e.event_id), e.split, [*a.tolist(), *b.tolist(), *one_hot], z.tolist()
-
-
-CONTEXT_FOLD = Fold(("host",), ("stream_pos",), ("event_id", "split", "action", "src_kind", "dst_kind", "info_src", "info_dst"), "host string, stream_pos long, event_id long, split string, x array<double>, y array<double>", _context)
-
-
-def conditional_train_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folded(events(spark, sf_dir, "*"), CONTEXT_FOLD)
+# --- heads ----------------------------------------------------------------------------------------------------------
 
 
 def summed(df: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
@@ -112,17 +85,49 @@ def summed(df: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], size: int)
     return out
 
 
+def summed_rows(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """As ``summed``, over Arrow batches; each task sends its sum packed, and sums of tasks are added up by place in Spark."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                total += part(b)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(total))], names=["a"])
+
+    rows = df.mapInArrow(run_, "a array<double>").select(F.posexplode("a").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[rows.column("i").to_numpy()] = rows.column("v").to_numpy()
+    return out
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of arrays of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _stacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(pdf["x"].to_numpy()), np.stack(pdf["y"].to_numpy())
 
 
 class Head:
-    """x W1 W2 + b, of rank ``rank``."""
+    """x W1 W2 + b, of rank ``rank``; learned with half the squared error or with 1 - cosine."""
 
-    def __init__(self, inputs: int, outputs: int, rank: int = 32, seed: int = SEED):
+    def __init__(self, inputs: int, outputs: int, rank: int = 32, seed: int = SEED, loss: str = "squared"):
+        if loss not in ("squared", "cosine"):
+            raise ValueError(f"no such loss: {loss}")
         rng = np.random.default_rng(seed)
+        self.loss = loss
         self.w1, self.w2, self.b = rng.normal(size=(inputs, rank)) / np.sqrt(inputs), rng.normal(size=(rank, outputs)) / np.sqrt(rank), np.zeros(outputs)
 
+    @property
+    def parameters(self) -> list[np.ndarray]:
+        return [self.w1, self.w2, self.b]
+
+    @property
+    def gradient_size(self) -> int:
+        return 2 + sum(p.size for p in self.parameters)
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         return x @ self.w1 @ self.w2 + self.b
 
@@ -131,57 +136,49 @@ class Head:
         return 1 - np.clip((p * y).sum(1) / np.maximum(np.linalg.norm(p, axis=1) * np.linalg.norm(y, axis=1), 1e-8), -1, 1)
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Of the summed squared error: loss, rows, then the parameters in turn."""
+        """Summed loss, rows, then the summed loss's gradient by the parameters in turn."""
         u = x @ self.w1
-        d = u @ self.w2 + self.b - y
-        return np.concatenate(([(d * d).sum() / 2, len(x)], (x.T @ (d @ self.w2.T)).ravel(), (u.T @ d).ravel(), d.sum(0)))
+        p = u @ self.w2 + self.b
+        if self.loss == "squared":
+            d, loss = p - y, ((p - y) ** 2).sum() / 2
+        else:
+            norm = np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-8)
+            target = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-8)
+            cosine = (p * target).sum(1, keepdims=True) / norm
+            d, loss = (cosine * p / norm - target) / norm, (1 - cosine).sum()
+        return np.concatenate(([loss, len(x)], (x.T @ (d @ self.w2.T)).ravel(), (u.T @ d).ravel(), d.sum(0)))
+
+    def moved(self, g: np.ndarray, moments: list[tuple[np.ndarray, np.ndarray]], t: int, rate: float, most: float = 5.0) -> None:
+        """The ``t``-th Adam step along a summed gradient, whose mean is clipped to the norm ``most``."""
+        grads, at = [], 2
+        for p in self.parameters:
+            grads.append(g[at : at + p.size].reshape(p.shape) / g[1])
+            at += p.size
+        clip = min(1.0, most / max(np.sqrt(sum((x * x).sum() for x in grads)), 1e-12))
+        for p, x, (m, v) in zip(self.parameters, grads, moments):
+            m += 0.1 * (clip * x - m)
+            v += 0.001 * ((clip * x) ** 2 - v)
+            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
 
 def fit_head(data: DataFrame, epochs: int = 15, rate: float = 0.05, patience: int = 5) -> tuple[Head, list[float]]:
     """Full-batch Adam: each epoch is one distributed gradient sum."""
     first = data.first()
     head, losses = Head(len(first["x"]), len(first["y"])), []
-    params = [head.w1, head.w2, head.b]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    size, best, stale = 2 + sum(p.size for p in params), np.inf, 0
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in head.parameters]
+    best, stale = np.inf, 0
     for t in range(1, epochs + 1):
-        g = summed(data, lambda pdf: head.gradient(*_stacked(pdf)), size)
-        loss, n, at = g[0] / g[1], g[1], 2
+        g = summed(data, lambda pdf: head.gradient(*_stacked(pdf)), head.gradient_size)
+        loss = g[0] / g[1]
         losses.append(float(loss))
         stale = 0 if loss < best - 1e-4 else stale + 1
         best = min(best, loss)
         if stale >= patience:
             break
-        grads = []
-        for p in params:
-            grads.append(g[at : at + p.size].reshape(p.shape) / n)
-            at += p.size
-        clip = min(1.0, 5 / max(np.sqrt(sum((x * x).sum() for x in grads)), 1e-12))
-        for p, x, (m, v) in zip(params, grads, moments):
-            m += 0.1 * (clip * x - m)
-            v += 0.001 * ((clip * x) ** 2 - v)
-            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        head.moved(g, moments, t, rate)
     return head, losses
 
 
-def fit_conditional_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """epoch and loss."""
-    data = stage(conditional_train_matrix(spark, sf_dir).where("split = 'train'").select("x", "y"), "head-train")
-    return spark.createDataFrame(list(enumerate(fit_head(data)[1])), "epoch int, loss double")
-
-
-def apply_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """host, event_id and the distance between predicted and actual event vectors on the test events."""
-    data = stage(conditional_train_matrix(spark, sf_dir).select("host", "event_id", "split", "x", "y"), "head-data")
-    head, _ = fit_head(data.where("split = 'train'").select("x", "y"), epochs=8)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["host", "event_id"]].assign(score=head.distance(*_stacked(pdf)) if len(pdf) else [])
-
-    return data.where("split = 'test'").mapInPandas(score, "host string, event_id long, score double")
-
-
 def ridge(data: DataFrame, alpha: float = 1.0, rank: int = 16) -> np.ndarray:
     """Ridge coefficients from the distributed Gram matrix, truncated to ``rank`` by their singular values."""
     first = data.first()
@@ -197,16 +194,11 @@ def ridge(data: DataFrame, alpha: float = 1.0, rank: int = 16) -> np.ndarray:
     return (u[:, :rank] * s[:rank]) @ vt[:rank]
 
 
-def fit_ridge_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = stage(conditional_train_matrix(spark, sf_dir).where("split = 'train'").select("x", "y"), "ridge-train")
-    w = ridge(data)
-    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(w)], "input int, weights array<double>")
-
-
-def mean_cov_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, scale and inverse ridge covariance of all dimensions of the embeddings."""
+def mean_cov(vectors: DataFrame) -> DataFrame:
+    """i, mean, scale and row of the inverse ridge covariance of all dimensions of ``embedding``; rows without one are left out."""
+    spark = vectors.sparkSession
     schema = "i int, mean double, scale double, inverse array<double>"
-    data = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding IS NOT NULL").select(F.col("embedding").cast("array<double>").alias("x"))
+    data = vectors.where("embedding IS NOT NULL").select(F.col("embedding").cast("array<double>").alias("x"))
     lengths = data.agg(F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("most")).first()
     if not lengths["most"]:
         return spark.createDataFrame([], schema)
@@ -228,48 +220,66 @@ def mean_cov_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- library models -------------------------------------------------------------------------------------------------
 
 
-def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+def pca_2d(vectors: DataFrame) -> DataFrame:
+    """vec_id, its place on the two principal directions, and the shares of variance that they explain."""
+    v = vectors.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     model = PCA(k=2, inputCol="v", outputCol="p").fit(v)
     ratio = [float(x) for x in model.explainedVariance]
     return model.transform(v).select("vec_id", vector_to_array("p").alias("point")).withColumn("explained", F.array(*map(F.lit, ratio)))
 
 
-def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps of the isotonic fit of attack labels on validation scores."""
-    rows = events(spark, sf_dir, "score, CASE WHEN label > 0 THEN 1.0D ELSE 0.0D END AS label", "labeled", "split = 'validation'")
-    model = IsotonicRegression(labelCol="label", featuresCol="score").fit(rows.select("label", "score"))
-    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(model.boundaries, model.predictions)], "boundary double, value double")
-
-
-def transfer_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leave one host out: a class-weighted logistic model of node features, its ranking quality on the host left out."""
-    text = "SELECT s.host, s.node_id, s.support, s.node_score, CASE WHEN g.node_id IS NULL THEN 0.0D ELSE 1.0D END AS label FROM node_scores s LEFT JOIN gt_nodes g ON g.node_id = s.node_id"
-    rows = run(spark, sf_dir, for_engine(with_tables(text, BASE), "spark")).withColumn("log_support", F.log1p("support"))
-    share = F.avg("label").over(Window.partitionBy("host"))
-    rows = stage(VectorAssembler(inputCols=["log_support", "node_score"], outputCol="raw").transform(rows.withColumn("weight", F.when(F.col("label") > 0, 1 - share).otherwise(share))).select("host", "node_id", "label", "weight", "raw"), "transfer")
-    out = None
-    for host in [r[0] for r in rows.select("host").distinct().orderBy("host").collect()]:
-        train = rows.where(F.col("host") != host)
-        scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(train)
-        model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=20).fit(scaler.transform(train))
-        scored = model.transform(scaler.transform(rows.where(F.col("host") == host))).select("host", "node_id", "label", vector_to_array("probability")[1].alias("probability"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+def isotonic_steps(rows: DataFrame) -> DataFrame:
+    """boundary and value: steps of the isotonic fit of ``label`` (0 or 1) on ``score``."""
+    model = IsotonicRegression(labelCol="label", featuresCol="score").fit(rows.select(F.col("label").cast("double"), "score"))
+    return rows.sparkSession.createDataFrame([(float(a), float(b)) for a, b in zip(model.boundaries, model.predictions)], "boundary double, value double")
+
+
+def leave_one_out(rows: DataFrame, features: list[str], group: str = "host", rounds: int = 20, ridge_weight: float = 1e-6) -> DataFrame:
+    """Each row's probability of ``label`` 1 under a class-weighted logistic model of all other groups.
+
+    All models are fitted at once. A round of Newton's method is one pass, in which each row adds its gradient and curvature to the model
+    of every group but its own: sums are taken by group of rows and model, the own group's share never enters. The driver gets, for
+    each group, as many numbers as the square of the features; the passes don't grow with the groups. Features are scaled to a
+    standard deviation of 1 over all rows, and a group's rows are weighted by the share of the other class in it.
+    """
+    spark, p = rows.sparkSession, len(features) + 1
+    share = F.avg("label").over(Window.partitionBy(group))
+    stats = rows.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(features)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features))).first()
+    x = F.array(*((F.col(c) - F.lit(float(stats[f"m{i}"] or 0))) / F.lit(float(stats[f"s{i}"] or 1) or 1.0) for i, c in enumerate(features)), F.lit(1.0))
+    weighted = rows.withColumn("__w", F.when(F.col("label") > 0, 1 - share).otherwise(share)).withColumn("__x", x)
+    weighted = stage(weighted, "leave-one-out")
+    groups = [r[0] for r in weighted.select(group).distinct().orderBy(group).collect()]
+    place = {g: i for i, g in enumerate(groups)}
+    beta = np.zeros((len(groups), p))
+    for _ in range(rounds if groups else 0):
+        now = beta.copy()
+
+        def part(pdf: pd.DataFrame) -> np.ndarray:
+            out = np.zeros((len(groups), p + p * p))
+            data, w, y = np.stack(pdf["__x"].to_numpy()), pdf["__w"].to_numpy(), pdf["label"].to_numpy()
+            own = pdf[group].map(place).to_numpy()
+            for g in range(len(groups)):
+                a, b, c = (v[own != g] for v in (data, w, y))  # noqa: B023
+                q = 1 / (1 + np.exp(-np.clip(a @ now[g], -30, 30)))  # noqa: B023
+                out[g, :p] = a.T @ (b * (c - q))
+                out[g, p:] = ((a * (b * q * (1 - q))[:, None]).T @ a).ravel()
+            return out.ravel()
+
+        sums = summed(weighted.select(group, "__x", "__w", "label"), part, beta.shape[0] * (p + p * p)).reshape(len(groups), -1)
+        steps = np.stack([np.linalg.solve(s[p:].reshape(p, p) + ridge_weight * np.eye(p), s[:p] - ridge_weight * b) for s, b in zip(sums, beta)])
+        beta += np.clip(steps, -4, 4)
+        if np.abs(steps).max() < 1e-8:
+            break
+    weights = spark.createDataFrame([(g, [float(v) for v in b]) for g, b in zip(groups, beta)], f"{group} {rows.schema[group].dataType.simpleString()}, __b array<double>")
+    margin = F.aggregate(F.zip_with("__x", "__b", lambda u, v: u * v), F.lit(0.0), lambda u, v: u + v)
+    return weighted.join(weights, group).withColumn("probability", 1 / (1 + F.exp(-margin))).drop("__w", "__x", "__b")
 
 
-def action_nll_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """-ln P(action | kinds) by a multinomial logistic model."""
-    rows = events(spark, sf_dir, "host, event_id, split, action, src_kind, dst_kind")
+def action_nll(flow: DataFrame) -> DataFrame:
+    """host, event_id and -ln P(action | kinds) of test events by a multinomial logistic model of training events."""
     x = F.array(*(F.when(F.col(c) == k, 1.0).otherwise(0.0) for c in ("src_kind", "dst_kind") for k in KINDS))
     ids = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action")) - 1
-    rows = rows.select("host", "event_id", "split", ids.cast("double").alias("label"), array_to_vector(x).alias("x"))
+    rows = flow.select("host", "event_id", "split", ids.cast("double").alias("label"), array_to_vector(x).alias("x"))
     model = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", maxIter=15, regParam=1e-3).fit(rows.where("split = 'train'"))
     p = vector_to_array("probability")
     return model.transform(rows.where("split = 'test'")).select("host", "event_id", (-F.log(F.get(p, F.col("label").cast("int")))).alias("nll"))
-
-
-QUERIES = {
-    f.__name__: f
-    for f in (fit_word2vec, node_embeddings, action_embeddings, conditional_train_matrix, fit_conditional_head, apply_head, fit_ridge_svd, mean_cov_fit, pca_2d, isotonic_calibration, transfer_logistic, action_nll_head)
-}

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.operators import learning, thresholds
 from tracewell.plans import etl, evaluation, profiles, semantics
 from tracewell.plans.text import registered
 from tracewell.queries import core, files, learned, stateful
@@ -21,9 +20,8 @@ for _plans in (etl, evaluation, profiles, semantics, files):
     QUERIES |= _queries
     ORACLE_SQL |= _checks
 
-# these have an operator of their own; the text stays as the check
-QUERIES |= {f.__name__: f for f in (thresholds.group_thresholds, thresholds.resolve_group_threshold, thresholds.node_coverage)}
-QUERIES |= core.QUERIES | stateful.QUERIES | learning.QUERIES | learned.QUERIES | files.QUERIES
+# operators; the text stays as the check
+QUERIES |= core.QUERIES | stateful.QUERIES | learned.QUERIES | files.QUERIES
 # these work on learned losses and on clusters of states, which have no SQL
 for _name in ("state_compression_summary", "alert_merge_analysis", "case_loss_summary", "run_comparison"):
     ORACLE_SQL.pop(_name, None)

@@ -175,6 +175,9 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "process_tokens": lambda a: attributes.process_tokens(a.nodes),
     "hash_sketch": lambda a: rounded(vectors.hash_sketch(_node_tokens(a)), value=9),
     # more thresholds and summaries
+    "group_thresholds": lambda a: thresholds.fit_thresholds(thresholds.scored_events(a.flow).where("split = 'validation'")),
+    "resolve_group_threshold": lambda a: rounded(thresholds.resolved_events(a.flow).select("host", "event_id", "threshold", "threshold_level"), threshold=6),
+    "node_coverage": lambda a: thresholds.covered_nodes(thresholds.resolved_events(a.flow).where("score >= threshold")),
     "target_case_thresholds": lambda a: _case_thresholds(a),
     "target_case_summary": lambda a: rounded(_resolved_labelled(a).groupBy("target_case").agg(F.count("*").alias("n"), F.count_if(F.expr("score >= threshold")).alias("n_alerts"), F.count_if(F.expr("score >= threshold AND label > 0")).alias("tp"), F.count_if(F.expr("score >= threshold AND label = 0")).alias("fp"), F.avg("threshold").alias("mean_threshold")), mean_threshold=4),
     "policy_group_summary": lambda a: rounded(_decided(a).groupBy(*BY_KINDS).agg(F.count("*").alias("n_events"), F.count_if(F.expr("score >= threshold")).alias("n_alerts"), F.count_if(F.expr("score >= threshold AND decision = 'evidence'")).alias("n_evidence"), F.count_if(F.expr("score >= threshold AND decision = 'high'")).alias("n_high"), F.avg("threshold").alias("mean_threshold")), mean_threshold=4),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import policies
-from tracewell.operators import alerting, clusters, evaluation, learning, online, variants
+from tracewell.operators import alerting, attributes, clusters, conditional, evaluation, learning, online, variants
 from tracewell.operators import relational as rel
 from tracewell.sources.audit import BY_ACTION, Audit
 from tracewell.sources.staging import stage
@@ -19,10 +19,18 @@ from tracewell.streaming.folds import D, P, TAUS, message
 _CANDIDATES = tuple(sorted({float(t) for t in TAUS}))
 
 
+def _words(a: Audit) -> DataFrame:
+    return stage(attributes.summaries(a.nodes), "words")
+
+
+def _scorer(a: Audit) -> conditional.Scorer:
+    return conditional.Scorer.fit(a.placed, _words(a))
+
+
 def online_conditional_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test events scored by node states and decided: threshold, level, suppression, decision, priority."""
+    """Test events scored by learned heads over vectors and states, and decided: threshold, level, suppression, decision, priority."""
     a = Audit.of(spark, sf_dir)
-    found = online.conditional_scoring(a.placed, a.nodes, *policies.tables(spark))
+    found = online.conditional_scoring(_scorer(a).scores(a.placed), a.nodes, *policies.tables(spark))
     return found.select("host", "event_id", "score", "target_case", "threshold", "threshold_level", "is_alert", "is_suppressed", "decision", "priority", "is_final")
 
 
@@ -62,19 +70,98 @@ def alert_merge_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.with_clusters(alerting.alerts(a.test, a.thresholds, BY_ACTION), _merged(a)).select("host", "event_id", "src_cluster", "dst_cluster", "same_cluster")
 
 
-def conditional_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """host, event_id and the context of every event: what its ends hold, and their kinds: 136 numbers."""
-    return learning.conditional_train_matrix(spark, sf_dir).select("host", "event_id", F.col("x").alias("context"))
+def _vectors(a: Audit, words: DataFrame) -> DataFrame:
+    return stage(learning.fit_word2vec(learning.sentences(a.flow.where("split = 'train'"), words)), "word-vectors")
+
+
+def fit_word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token and its vector, learned on the training events' tokens."""
+    a = Audit.of(spark, sf_dir)
+    return _vectors(a, _words(a))
+
+
+def node_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit mean word vectors of the nodes that events touch."""
+    a = Audit.of(spark, sf_dir)
+    words = _words(a)
+    return learning.mean_vectors(learning.used_words(a.flow, words), _vectors(a, words), "node_id")
+
+
+def action_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = Audit.of(spark, sf_dir)
+    return learning.mean_vectors(learning.action_words(a.flow), _vectors(a, _words(a)), "action")
 
 
 def embed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node_id and the unit mean of the word vectors of every node's tokens; nodes without a known token have no row."""
-    vectors = stage(learning.fit_word2vec(spark, sf_dir), "word-vectors")
-    return learning.mean_vectors(learning.node_words(spark, sf_dir), vectors, "node_id")
+    a = Audit.of(spark, sf_dir)
+    words = _words(a)
+    return learning.mean_vectors(words, _vectors(a, words), "node_id")
+
+
+def _replayed(a: Audit) -> DataFrame:
+    words = _words(a)
+    vectors = _vectors(a, words)
+    nodes = stage(learning.mean_vectors(learning.used_words(a.placed, words), vectors, "node_id"), "node-vectors")
+    return conditional.replayed(a.placed, nodes, conditional.action_table(learning.mean_vectors(learning.action_words(a.placed), vectors, "action")))
+
+
+def conditional_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """host, event_id and the context of every event: what its ends are and hold, and their kinds: 136 numbers."""
+    return _replayed(Audit.of(spark, sf_dir)).select("host", "event_id", F.col("x").alias("context"))
+
+
+def conditional_train_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """host, event_id, target_case, context x and target y of the training events."""
+    return _replayed(Audit.of(spark, sf_dir)).where("split = 'train'").select("host", "event_id", "target_case", "x", "y")
+
+
+def fit_conditional_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """epoch and mean loss, of all rows and by target case."""
+    losses = conditional.fit_heads(stage(_replayed(Audit.of(spark, sf_dir)).where("split = 'train'"), "contexts"))[1]
+    return spark.createDataFrame([(i, *x.values()) for i, x in enumerate(losses)], "epoch int, loss double, event_semantic double, both_cold_action double")
+
+
+def apply_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """host, event_id, target_case and the distance between predicted and actual target vectors of the test events."""
+    a = Audit.of(spark, sf_dir)
+    return _scorer(a).scores(a.placed).where("split = 'test'").select("host", "event_id", "target_case", "score")
+
+
+def fit_ridge_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = learning.ridge(_contexts(spark, sf_dir).where("split = 'train'").select("x", "y"))
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(w)], "input int, weights array<double>")
+
+
+def mean_cov_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, scale and inverse ridge covariance of all dimensions of the embeddings."""
+    return learning.mean_cov(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.pca_2d(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the isotonic fit of attack labels on validation scores."""
+    return learning.isotonic_steps(Audit.of(spark, sf_dir).labelled.where("split = 'validation'").select("score", (F.col("label") > 0).cast("int").alias("label")))
+
+
+def transfer_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave one host out: test nodes by a class-weighted logistic model of the other hosts' nodes."""
+    a = Audit.of(spark, sf_dir)
+    bad = a.truth.select("node_id").distinct().withColumn("bad", F.lit(1.0))
+    rows = a.node_scores.join(bad, "node_id", "left").select("host", "node_id", F.coalesce("bad", F.lit(0.0)).alias("label"), F.log1p("support").alias("log_support"), "node_score")
+    return learning.leave_one_out(rows, ["log_support", "node_score"]).select("host", "node_id", "label", "probability")
+
+
+def action_nll_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """-ln P(action | kinds) by a multinomial logistic model."""
+    return learning.action_nll(Audit.of(spark, sf_dir).flow)
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(learning.conditional_train_matrix(spark, sf_dir), "contexts")
+    return stage(_replayed(Audit.of(spark, sf_dir)), "contexts")
 
 
 def fit_lowrank_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +238,7 @@ def node_pair_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_loss_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conditional head's loss on test events by target case."""
-    losses = learning.apply_head(spark, sf_dir).withColumnRenamed("score", "loss")
+    losses = apply_head(spark, sf_dir).select("host", "event_id", F.col("score").alias("loss"))
     return evaluation.case_losses(losses, Audit.of(spark, sf_dir).cased)
 
 
@@ -170,7 +257,11 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        online_conditional_scoring, online_residual_scoring, attack_evidence, cascade_confirmation, state_merge_clusters, state_compression_summary, alert_merge_analysis, conditional_context, embed_tokens,
-        fit_lowrank_residual, fit_als_lowrank, lowrank_components, multi_view_score, evidence_composer, reliability_gate, fit_realdiag_gamma, node_pair_head, case_loss_summary, run_comparison,
+        online_conditional_scoring, online_residual_scoring, attack_evidence, cascade_confirmation,
+        state_merge_clusters, state_compression_summary, alert_merge_analysis, run_comparison,
+        fit_word2vec, embed_tokens, node_embeddings, action_embeddings,
+        conditional_context, conditional_train_matrix, fit_conditional_head, apply_head, case_loss_summary,
+        fit_lowrank_residual, fit_als_lowrank, fit_ridge_svd, lowrank_components, multi_view_score, evidence_composer, reliability_gate,
+        fit_realdiag_gamma, node_pair_head, action_nll_head, transfer_logistic, isotonic_calibration, pca_2d, mean_cov_fit,
     )
 }

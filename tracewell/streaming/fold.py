@@ -16,12 +16,15 @@ from collections.abc import Callable, Iterator, MutableMapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MILLIS = "millis__"
+#: rows wait in the state store by this much time
+BUCKET_MILLIS = 60_000
 #: names to numbers: lists or numpy arrays
 States = MutableMapping[str, Sequence[float]]
 
@@ -98,49 +101,80 @@ class _Stored(dict):
             self.kept.updateValue((name,), ([float(x) for x in self[name]],))
 
 
-class FoldProcessor(StatefulProcessor):
-    """Rows wait until the watermark has passed them; a timer then folds them in order."""
+class OrderedProcessor(StatefulProcessor):
+    """Rows wait until the watermark has passed them, and are then taken in order, by ``due``.
 
-    def __init__(self, fold: Fold, schema: T.StructType):
-        self.fold, self.schema, self.names = fold, schema, T.StructType.fromDDL(fold.output).names
+    They wait by buckets of time, each with a timer at its end, so that a row is written once more for each batch of its own bucket
+    and read once. Timers come in the order of time.
+    """
+
+    def __init__(self, schema: T.StructType, order: Sequence[str], names: Sequence[str], bucket_millis: int = BUCKET_MILLIS):
+        self.schema, self.order, self.names, self.bucket_millis = schema, list(order), list(names), bucket_millis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getMapState("states", "name string", "value array<double>")
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = handle.getMapState("waiting", "bucket long", "rows array<binary>")
+        self.latest = handle.getValueState("latest", "bucket long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)[self.schema.names]
-        self.waiting.appendList([_plain(row) for row in pdf.itertuples(index=False)])
-        # one timer for each batch: when the watermark has passed its latest row
-        self.handle.registerTimer(int(pdf[MILLIS].max()) + 1)
+        for bucket, own in pdf.groupby(pdf[MILLIS] // self.bucket_millis, sort=True):
+            at = (int(bucket),)
+            held = list(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
+            self.waiting.updateValue(at, ([*held, _written(own)],))
+            self.handle.registerTimer((int(bucket) + 1) * self.bucket_millis)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        pdf = pd.DataFrame(list(self.waiting.get()), columns=self.schema.names)
-        if pdf.empty:
+        at = (expiredTimerInfo.getExpiryTimeInMs() // self.bucket_millis - 1,)
+        if not self.waiting.containsKey(at):
             return
-        due = pdf[MILLIS] <= timerValues.getCurrentWatermarkInMs()
-        later = pdf[~due]
-        if len(later):
-            self.waiting.put([_plain(row) for row in later.itertuples(index=False)])
-        else:
-            self.waiting.clear()
+        if self.latest.exists() and self.latest.get()[0] >= at[0]:
+            raise RuntimeError(f"a timer of bucket {at[0]} after that of bucket {self.latest.get()[0]}")
+        self.latest.update(at)
+        pdf = pd.concat([_read(x) for x in self.waiting.getValue(at)[0]], ignore_index=True)
+        self.waiting.removeKey(at)
+        out = self.due(pdf.sort_values(self.order, kind="stable"))
+        if len(out):
+            yield out[self.names]
+
+    def due(self, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class FoldProcessor(OrderedProcessor):
+    """A fold's step over the rows that are due."""
+
+    def __init__(self, fold: Fold, schema: T.StructType):
+        super().__init__(schema, fold.order, T.StructType.fromDDL(fold.output).names)
+        self.fold = fold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getMapState("states", "name string", "value array<double>")
+
+    def due(self, rows: pd.DataFrame) -> pd.DataFrame:
         states, out = _Stored(self.kept), []
-        for row in pdf[due].sort_values(list(self.fold.order), kind="stable").itertuples(index=False):
+        for row in rows.itertuples(index=False):
             if (got := self.fold.step(states, row)) is not None:
                 out.append(got)
         states.flush()
-        if out:
-            yield pd.DataFrame(out, columns=self.names)
+        return pd.DataFrame(out, columns=self.names)
 
-    def close(self) -> None:
-        pass
+
+def _written(rows: pd.DataFrame) -> bytes:
+    """Rows as the state store takes them: one Arrow stream for each batch that brings some."""
+    out, table = pa.BufferOutputStream(), pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
 
 
-def _plain(row: tuple) -> tuple:
-    """A row of Python values, as the state store takes them."""
-    return tuple(x.item() if hasattr(x, "item") else x for x in row)
+def _read(written: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(written).read_all().to_pandas()
 
 
 def folded_stream(events: DataFrame, fold: Fold, time: str = "ts") -> DataFrame:
