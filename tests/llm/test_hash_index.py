@@ -90,3 +90,43 @@ def test_every_query_has_all_its_ranks(spark):
             assert {q: sorted(k) for q, k in got.items()} == {i: list(range(1, min(5, len(rows) - 1) + 1)) for i, _ in rows if i % 50 == 0}
     exact = {(r.query_id, r.rank, r.vec_id) for r in h.search(spark.createDataFrame(small[1], "vec_id long, embedding array<double>")).collect()}
     assert exact == {(q, k, i) for q, near in brute(small[1]).items() for k, (i, _) in enumerate(near, 1)}
+
+
+def test_components_of_any_size(spark):
+    """Huge, tiny and denormal components count like any: cosines against whole fractions."""
+    from fractions import Fraction
+    from math import isqrt
+
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=8) * [1.0, 1e301, 1e200, 1e-200][i % 4]).tolist()) for i in range(40)]
+    rows += [(100, [1e301, 0.5, *[0.0] * 6]), (150, [1e200, 1e199, *[0.0] * 5, 1e180]), (200, [1e-200] * 8), (250, [0.0, 5e-324, *[0.0] * 6]), (251, [1.7e308] * 8)]
+    whole = {i: [Fraction(x) for x in v] for i, v in rows}
+
+    def cosine(a, b):
+        dot, square = sum(x * y for x, y in zip(a, b)), sum(x * x for x in a) * sum(y * y for y in b)
+        share = dot * dot / square
+        return (1 if dot > 0 else -1) * float(Fraction(isqrt(int(share * 10**40)), 10**20))
+
+    got = {}
+    for r in h.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {0, 100, 150, 200, 250}
+    hits = 0
+    for q, found in got.items():
+        exact = {i: cosine(whole[q], v) for i, v in whole.items() if i != q}
+        best = sorted(exact, key=lambda i: (-exact[i], i))[:5]
+        assert [k for k, _, _ in sorted(found)] == [1, 2, 3, 4, 5]
+        assert all(abs(s - exact[i]) < 1e-9 for _, i, s in found)
+        hits += sum(i in best for _, i, _ in found)
+    assert hits >= 0.9 * 25
+
+
+def test_no_unchecked_broadcast(spark):
+    """Queries that are short of their ranks widen their radius; nothing is crossed with all vectors."""
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=16)
+    rows = [(i, (-middle + rng.normal(size=16) if i % 50 == 0 else middle + 0.01 * rng.normal(size=16)).tolist()) for i in range(301)]
+    found = h.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Join Inner\n" not in plan and "strategy=broadcast" not in plan
+    assert found.count() == 7 * 5

@@ -8,10 +8,10 @@ Search. A code within R bits of a query's differs from it in at most ``R // subs
 less suffices in all but the first ``R % substrings + 1``), so probing the cells of those values in each substring retrieves
 every code within R. A query starts with a small radius and widens it until its nearest are safe: until a vector as near as
 the last of them would lie within the radius, given the bits in which codes at that angle differ (mean and SAFE
-standard deviations). The first radii are fixed shares of the bits, the last is what the query itself needs. Only ids
+standard deviations). The first radii are fixed shares of the bits, the next is what the query itself needs. Queries that still
+find fewer rows than they are due (outliers, small tables) double theirs, up to all bits, so that each has all its ranks. Only ids
 and codes are shuffled to probe; of the codes within the radius the entries' numbers go on, 16 bits each, to where the
-vectors are, which are read last, for cosines in double precision. Queries that still find fewer rows than they are due
-(outliers, small tables) are compared with every vector, part by part, so that each has all its ranks.
+vectors are, which are read last, for cosines in double precision, each vector times a power of two: components of any size count.
 
 How much is probed depends on the data: of vectors without structure a query's nearest differ in over a third of the
 bits, and then most cells are within the pigeonhole's reach, though few codes are within the radius (README has figures).
@@ -57,13 +57,19 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """vec_id, v (array of double) of rows that take part, and their length."""
     v = F.col("embedding")
     v = v if v_type(vectors) == "array<float>" else v.cast("array<double>")
-    bound = F.lit(1e300)
-    fine = F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < bound)) & F.exists(v, lambda x: x != 0)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows.where(F.size("v") == (length["d"] if length else -1)), length["d"] if length else 0
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, each times the power of two that brings its largest component near 1, so that no square over- or underflows."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
+
+
 class Code:
     """Codes of ``bits`` bits, as columns of 64-bit words, and their substrings."""
 
@@ -75,7 +81,7 @@ class Code:
         self.spans = list(zip(ends[:-1].tolist(), np.diff(ends).tolist()))
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.float64)
+        x = scaled(x)
         on = (x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean) @ self.turn > 0
         raw = np.packbits(on, axis=1, bitorder="little")
         return np.pad(raw, ((0, 0), (0, 8 * self.words - raw.shape[1]))).view("<u8")
@@ -98,6 +104,7 @@ class Code:
 
 def learn(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = SEED) -> Code:
     """Principal directions and the rotations that bring the projected sample nearest to its signs, from several beginnings."""
+    x = scaled(x)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean = unit.mean(axis=0)
     centred = unit - mean
@@ -225,9 +232,9 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, code:
         return found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= take).select("query", "score", "vec_id")
 
     needs = F.pandas_udf(lambda s: pd.Series(code.needed(s.to_numpy())), "long")
-    todo = queries.select("no", *words, F.lit(round(FIRST_RADII[0] * code.bits)).cast("int").alias("radius"))
-    done = []
-    for wider in (*(round(r * code.bits) for r in FIRST_RADII[1:]), None, 0):
+    fixed = [round(r * code.bits) for r in FIRST_RADII]
+    todo, done = queries.select("no", *words, F.lit(fixed.pop(0)).cast("int").alias("radius")), []
+    while True:
         probes = todo.select("radius", "no", *words).mapInArrow(spread_queries, spread_ddl)
         dealt = index.unionByName(probes).repartition(max(shuffle_partitions(spark), min(placed.parts, 20_000)), "part").sortWithinPartitions("part", "kind")
         reached = stage(dealt.mapInArrow(_probe(code, probed is not None), "query long, block long, reach binary, probed long, hits long"), "index-reached")
@@ -236,19 +243,14 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, code:
         found = stage(looked_up(reached.where("block is not null").select("query", "block", "reach")), "index-found")
         state = found.groupBy(F.col("query").alias("no")).agg(F.count("*").alias("n"), F.min("score").alias("last"))
         state = todo.join(state, "no", "left").withColumn("need", F.when(F.coalesce("n", F.lit(0)) >= due, needs("last")))
-        # the last pass went as far as each query needed
-        open_ = stage(state.where("need is null or need > radius" if wider != 0 else "need is null").select("no", *words, "radius", "need"), "index-open")
+        open_ = state.where(F.col("radius") < code.bits).where("need is null or need > radius")
+        open_ = stage(open_.select("no", *words, "radius", "need"), "index-open")
         done.append(found.join(open_.select(F.col("no").alias("query")), "query", "left_anti"))
-        if wider == 0 or open_.isEmpty():
-            short = open_
+        if open_.isEmpty():
             break
-        # a query without its due ranks can't tell what it needs: after the fixed radii it is compared with every vector
-        radius = F.lit(wider) if wider else F.coalesce("need", F.col("radius"))
-        todo = open_.select("no", *words, radius.cast("int").alias("radius"))
-    if not short.isEmpty():
-        # every block of vectors, each with all such queries
-        blocks = vector_rows.select("block").distinct()
-        done.append(looked_up(short.select(F.col("no").alias("query")).join(F.broadcast(blocks), how="cross").select("query", "block", F.lit(None).cast("binary").alias("reach"))))
+        # a query without its due ranks can't tell what it needs: its radius is doubled, up to all bits
+        wider = F.lit(fixed.pop(0)) if fixed else F.coalesce("need", F.least(2 * F.col("radius"), F.lit(code.bits)))
+        todo = open_.select("no", *words, wider.cast("int").alias("radius"))
     pairs = asked.join(reduce(DataFrame.unionByName, done), F.col("no") == F.col("query")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
@@ -321,7 +323,7 @@ def _probe(code: Code, counted: bool):
 
 
 def _rerank(d: int, take: int):
-    """Rows (block, kind, no, least, reach, v) sorted by block and kind: cosines of a block's vectors in reach with each query that comes by (all, if reach is null)."""
+    """Rows (block, kind, no, least, reach, v) sorted by block and kind: cosines of a block's vectors in reach with each query that comes by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_block, held, number, least, x, norm = None, [], None, None, None, None
@@ -334,13 +336,14 @@ def _rerank(d: int, take: int):
             if held:
                 number, least = (np.concatenate([y.column(i).to_numpy() for y in held]) for i in (2, 3))
                 order = np.argsort(number)
-                number, least, x = number[order], least[order], np.concatenate([_matrix(y.column(5), d) for y in held])[order]
+                x = np.concatenate([_matrix(y.column(5), d) for y in held])[order]
+                number, least, x = number[order], least[order], x if x.dtype == np.float32 else scaled(x)
                 norm, held = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64)), []
             if x is None:
                 continue
             out = []
-            for query, reach, v in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), _matrix(b.column(5), d).astype(np.float64)):
-                at = np.arange(len(number)) if reach is None else np.searchsorted(number, np.frombuffer(reach, "<u2"))
+            for query, reach, v in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), scaled(_matrix(b.column(5), d))):
+                at = np.searchsorted(number, np.frombuffer(reach, "<u2"))
                 score = np.einsum("ij,j->i", x[at].astype(np.float64), v) / (norm[at] * np.sqrt(np.einsum("i,i->", v, v)))
                 first = np.lexsort((least[at], -score))[:take]
                 out.append((np.full(len(first), query), (block << _LOW) | number[at[first]], least[at[first]], score[first]))
