@@ -10,6 +10,7 @@ from tracewell.functions import policies
 from tracewell.operators import alerting, attributes, clusters, conditional, evaluation, flow, nodes, online, prefix, profiles, quantiles, relational, thresholds, variants, windows
 from tracewell.sources.audit import Audit
 from tracewell.sources.files import read_truth
+from tracewell.streaming import cascades
 
 # processes 11 to 13 write to addresses 51 to 55: event, second, process, address, score
 TRAIN = [(10, 5, 11, 51, 1.0), (11, 9, 11, 52, 2.0), (12, 20, 12, 51, 1.5), (13, 30, 11, 51, 1.0), (14, 31, 13, 53, 3.0)]
@@ -141,10 +142,25 @@ def test_node_ranking(audit):
 
 
 def test_cascades_by_hand(audit):
-    # 12 alerts at 71 and 73, 54 at 71 and 72, with one action and one kind of peer: confirmed if one kind is enough
-    got = rows(online.cascades(audit.alerts, least_kinds=1), "node_id", "event_id", "first_event", "n_events", "n_kinds")
-    assert got == [(12, 73, 71, 2, 1), (54, 72, 71, 2, 1)]
-    assert online.cascades(audit.alerts, least_kinds=2).count() == 0 and rows(online.cascades(audit.alerts, seconds=65, least_kinds=1), "node_id") == [(54,)]
+    # 12 alerts at 930 and 1000 (71, 73), 54 at 930 and 990 (71, 72), 13 and 55 once (72, 73), all with one action and kind of peer
+    one = cascades.Cascade(seconds=65, least_kinds=1)
+    columns = ("node_id", "decision", "at_us", "event_id", "first_event", "n_events", "n_kinds")
+    second = 1_000_000
+    got = rows(online.cascades(audit.alerts, one), *columns)
+    assert got == [
+        (12, "expired", 995 * second, 71, 71, 1, 1), (12, "expired", 1065 * second, 73, 73, 1, 1), (13, "expired", 1055 * second, 72, 72, 1, 1),
+        (54, "confirmed", 990 * second, 72, 71, 2, 1), (55, "expired", 1065 * second, 73, 73, 1, 1),
+    ]
+    longer = rows(online.cascades(audit.alerts, cascades.Cascade(seconds=70, least_kinds=1)), *columns)
+    assert (12, "confirmed", 1000 * second, 73, 71, 2, 1) in longer and len(longer) == 4
+    # 54's second alert is further over its threshold than its first, 12's is not
+    assert dict(rows(online.cascades(audit.alerts, cascades.Cascade(seconds=70, least_kinds=1)), "node_id", "consistency")) == {12: 0.5, 13: 1.0, 54: 1.0, 55: 1.0}
+    both = rows(cascades.confirmed_events(online.cascades(audit.alerts, cascades.Cascade(seconds=70, least_kinds=1))), "event_id", "at_us")
+    assert both == [(71, 990 * second), (72, 990 * second), (73, 1000 * second)]
+    # two kinds of evidence never come; no more than one alert a candidate, or no delay beyond the first alert's
+    assert {r[0] for r in rows(online.cascades(audit.alerts), "decision")} == {"expired"}
+    assert {r[0] for r in rows(online.cascades(audit.alerts, cascades.Cascade(least_kinds=1, least_events=3, most_events=1)), "n_events")} == {1}
+    assert {r[0] for r in rows(online.cascades(audit.alerts, cascades.Cascade(most_seconds=30, least_kinds=1)), "decision")} == {"expired"}
 
 
 def test_evidence(audit):

@@ -55,13 +55,22 @@ def merged_states(states: DataFrame, least: float = 0.98, bits: int = 12, seed:
     return bucketed.join(leaders, keys).withColumn("cluster", F.when(near, F.col("leader")).otherwise(F.col("node_id"))).select("host", "node_id", "kind", "n", "state", "cluster")
 
 
+def last_places(shared: DataFrame) -> DataFrame:
+    """host, node_id, kind, n, cluster: the place of each node's state after its last event, from the rows of ``streaming.merging``; it only changes with the node."""
+    end = lambda e, own: F.struct(F.col(f"info_{e}").alias("node_id"), F.col(f"{e}_kind").alias("kind"), F.col(f"{e}_place").alias("place"), F.lit(own).alias("own"))
+    loop = F.col("info_src") == F.col("info_dst")
+    ends = F.filter(F.array(end("src", 1), F.when(~loop, end("dst", 0))), lambda x: x.isNotNull())
+    rows = shared.select("host", "stream_pos", F.explode(ends).alias("e")).select("host", "stream_pos", "e.*")
+    return rows.groupBy("host", "node_id").agg(F.max("kind").alias("kind"), F.count("*").alias("n"), F.max_by("place", "stream_pos").alias("cluster"))
+
+
+def alert_places(alerts: DataFrame, shared: DataFrame) -> DataFrame:
+    """Alerts with their ends' places when they came, and whether both ends held one state."""
+    own = shared.select("host", "event_id", F.col("src_place").alias("src_cluster"), F.col("dst_place").alias("dst_cluster"))
+    return alerts.join(own, ["host", "event_id"]).withColumn("same_cluster", F.col("src_cluster") == F.col("dst_cluster"))
+
+
 def compression(merged: DataFrame) -> DataFrame:
     """host, logical and physical states, clusters of several, their ratio and the bytes saved."""
     sizes = merged.groupBy("host", "cluster").agg(F.count("*").alias("members"))
     return sizes.groupBy("host").agg(F.sum("members").alias("logical_states"), F.count("*").alias("physical_states"), F.count_if(F.col("members") > 1).alias("clusters"), (F.count("*") / F.sum("members")).alias("ratio"), ((F.sum("members") - F.count("*")) * STATE_BYTES).alias("bytes_saved"))
-
-
-def with_clusters(alerts: DataFrame, merged: DataFrame) -> DataFrame:
-    """Alerts with their ends' clusters, and whether it is one."""
-    s, d = (merged.select("host", F.col("node_id").alias(f"info_{e}"), F.col("cluster").alias(f"{e}_cluster")) for e in ("src", "dst"))
-    return alerts.join(s, ["host", "info_src"]).join(d, ["host", "info_dst"]).withColumn("same_cluster", F.col("src_cluster") == F.col("dst_cluster"))

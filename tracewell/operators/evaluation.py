@@ -26,20 +26,25 @@ def rates(df: DataFrame) -> DataFrame:
     return df.withColumns({"precision": _ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": _ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
 
 
-def ranked(scored: DataFrame, by: list[str], score: str = "score", ties: str = "event_id", positive: str = POSITIVE) -> DataFrame:
-    """Adds rk (1 is the highest score) and tp (positives up to and with this row)."""
-    return running(scored, by, [F.col(score).desc(), F.col(ties)], {"rk": F.lit(1), "tp": F.expr(f"CAST({positive} AS INT)")})
+def ranked(scored: DataFrame, by: list[str], score: str = "score", ties: str = "event_id", positive: str = POSITIVE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """by, score, ties, is_positive, the columns to ``keep``, rk (1 is the highest score) and tp (positives up to and with this row).
+
+    Only these columns are written and ordered.
+    """
+    columns = list(dict.fromkeys([*by, score, ties, *keep]))
+    rows = scored.select(*columns, F.coalesce(F.expr(positive), F.lit(False)).alias("is_positive"))
+    return running(rows, by, [F.col(score).desc(), F.col(ties)], {"rk": F.lit(1), "tp": F.col("is_positive").cast("int")})
 
 
 def average_precision(scored: DataFrame, by: list[str], positive: str = POSITIVE, **order: str) -> DataFrame:
     """by, positives, average_precision: mean over positives of the precision at their rank; null without positives."""
-    p = F.expr(positive)
+    p = F.col("is_positive")
     return ranked(scored, by, positive=positive, **order).groupBy(*by).agg(F.count_if(p).alias("positives"), (F.sum(F.when(p, F.col("tp") / F.col("rk")).otherwise(0.0)) / F.nullif(F.count_if(p), F.lit(0))).alias("average_precision"))
 
 
 def roc_auc(scored: DataFrame, by: list[str], positive: str = POSITIVE, **order: str) -> DataFrame:
     """by, auc in its rank-sum form; null without both classes."""
-    p = F.expr(positive)
+    p = F.col("is_positive")
     n, n_pos = F.count("*"), F.count_if(p)
     up = (n + 1) * n_pos - F.sum(F.when(p, F.col("rk")).otherwise(0))
     return ranked(scored, by, positive=positive, **order).groupBy(*by).agg(((up - n_pos * (n_pos + 1) / 2.0) / F.nullif(n_pos * (n - n_pos).cast("double"), F.lit(0.0))).alias("auc"))
@@ -84,7 +89,7 @@ def actor_confusion(scored: DataFrame, by: list[str], actor: str = "actor_id") -
 
 def recall_at_k(scored: DataFrame, by: list[str], ks: list[int], positive: str = POSITIVE, **order: str) -> DataFrame:
     """by, k, recall: the share of positives among the k highest scores; null without positives."""
-    p = F.expr(positive)
+    p = F.col("is_positive")
     at = [F.count_if((F.col("rk") <= k) & p).alias(str(k)) for k in ks]
     counts = ranked(scored, by, positive=positive, **order).groupBy(*by).agg(F.count_if(p).alias("__p"), *at)
     rows = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"`{k}`").alias("n")) for k in ks))
@@ -113,8 +118,8 @@ def topk_sweep(nodes: DataFrame, by: list[str], ks: list[int], fp_cap: int = 100
 
 def budget_tail(scored: DataFrame, by: list[str], budgets: list[int]) -> DataFrame:
     """by, budget and what is among that many highest scores: counts, precision, score at the budget, actors found, first hit's rank."""
-    p = F.expr(POSITIVE)
-    return _at_ks(ranked(scored, by), budgets, "budget").groupBy(*by, "budget").agg(
+    p = F.col("is_positive")
+    return _at_ks(ranked(scored, by, keep=("actor_id",)), budgets, "budget").groupBy(*by, "budget").agg(
         F.count("*").alias("selected"), F.count_if(p).alias("tp"), F.count_if(~p).alias("fp"), F.avg(p.cast("double")).alias("precision"), F.min("score").alias("threshold"),
         F.count_distinct(F.when(p, F.col("actor_id"))).alias("tp_actors"), F.min(F.when(p, F.col("rk"))).alias("first_tp_rank"),
     )

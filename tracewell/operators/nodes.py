@@ -54,7 +54,7 @@ def ranked(nodes: DataFrame) -> DataFrame:
     """Adds rk by best score, and the host's median and 0.9 quantile of touches and its most soft evidence. The nodes are written once."""
     nodes = stage(nodes, "nodes")
     stats = nodes.groupBy("host").agg(F.percentile(F.col("n").cast("double"), 0.5).alias("med_n"), F.percentile(F.col("n").cast("double"), 0.9).alias("q90_n"), F.max("soft").alias("max_soft"))
-    return numbered(nodes, ["host"], [F.col("max_score").desc(), F.col("node_id")], "rk").join(stats, "host")
+    return numbered(nodes, ["host"], [F.col("max_score").desc(), F.col("node_id")], "rk", written=True).join(stats, "host")
 
 
 def _log_excess(a: str, b: str) -> Column:

@@ -18,14 +18,16 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column | str]) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column | str], written: bool = False) -> DataFrame:
     """Adds, for each name in ``sums``, the sum of a whole number over the rows of the same keys up to and with this one in ``order``.
 
     Rows are range-partitioned by keys and order, so a group of any size spreads over tasks, which add up their rows
     while they stream by. One total for each task and group in it is then added up and joined back. ``order`` should be total within
-    the keys; ties are taken in any order.
+    the keys; ties are taken in any order. Range partitioning samples its input, so the rows are written first, unless they are
+    ``written`` already: what they are computed from is computed once. Pass the columns that are needed, no more.
     """
     names = list(sums)
+    df = df if written else stage(df, "ordered")
     added = df.withColumns({f"__v{i}": F.coalesce(F.expr(v) if isinstance(v, str) else v, F.lit(0)).cast("long") for i, v in enumerate(sums.values())})
     first = len(df.columns)
     schema = T.StructType([*added.schema.fields, T.StructField("__task", T.IntegerType()), T.StructField("__at", T.LongType()), *(T.StructField(f"__upto{i}", T.LongType()) for i in range(len(names)))])
@@ -59,8 +61,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     return local.join(bases, on).select(*df.columns, *((F.col(f"__upto{i}") + F.col(f"__shift{i}")).alias(n) for i, n in enumerate(names)))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, start: int = 1) -> DataFrame:
-    """Adds the place of each row among those of the same keys, in ``order``; native, by the rows' numbers in their tasks."""
+def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, start: int = 1, written: bool = False) -> DataFrame:
+    """Adds the place of each row among those of the same keys, in ``order``; native, by the rows' numbers in their tasks. ``written`` as in ``running``."""
+    df = df if written else stage(df, "ordered")
     sort = [*(F.col(k) for k in keys), *order]
     local = stage(df.repartitionByRange(partitions(df), *sort).sortWithinPartitions(*sort).withColumn("__id", F.monotonically_increasing_id()), "numbered")
     task, at = F.shiftrightunsigned("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
@@ -80,7 +83,9 @@ def share_above(df: DataFrame, keys: list[str], value: str, is_reference: Column
 
     Equal values are one row in the ordered part.
     """
+    df = stage(df.withColumn("__is", is_reference), "values-of")
+    is_reference = F.col("__is")
     counts = stage(df.groupBy(*keys, value).agg(F.count_if(is_reference).alias("__ref")), "values")
-    above = running(counts, keys, [F.col(value).desc()], {"n_above": "__ref"}).drop("__ref")
+    above = running(counts, keys, [F.col(value).desc()], {"n_above": "__ref"}, written=True).drop("__ref")
     total = counts.groupBy(*keys).agg(F.sum("__ref").alias("n_reference"))
-    return df.join(above, [*keys, value]).join(total, keys)
+    return df.drop("__is").join(above, [*keys, value]).join(total, keys)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from tracewell.operators.flow import order
+from tracewell.operators.prefix import running
 
 
 def keyed(*keys: str) -> WindowSpec:
@@ -20,33 +21,96 @@ def edge_novelty(flow: DataFrame, family: Column) -> DataFrame:
 
 
 def recent(touched: DataFrame, seconds: float) -> DataFrame:
-    """Adds recent_peers (before the event), kinds, actions and transitions (with it) within the last ``seconds`` at the node.
+    """host, node_id, stream_pos, event_id, recent_peers (before the event), kinds, actions and transitions (with it): distinct ones within the last ``seconds`` at the node.
 
-    One range frame by time; what a frame holds at the same instant but later in the stream is left out by position.
+    A sweep, linear in the touches. What a touch shows (a peer, say) counts from it until the next touch that shows the same, or
+    until ``seconds`` have passed. So it adds 1 unless the one before is still counted, and 1 is taken off at the end of its time
+    unless the next has come by then; distinct counts are running sums over touches and ends. These sums are range-partitioned: a
+    hub's touches spread over tasks. Neighbours that show the same are found by node and what they show.
     """
-    span = Window.partitionBy("host", "node_id").orderBy("ts_us").rangeBetween(-round(seconds * 1e6), 0)
-    seen = F.collect_set(F.struct("stream_pos", "peer", "kind", "action", "peer_kind")).over(span)
-    rows = touched.withColumn("__seen", seen)
-    before, upto = (F.filter("__seen", lambda x: x["stream_pos"] < F.col("stream_pos")), F.filter("__seen", lambda x: x["stream_pos"] <= F.col("stream_pos")))
-    distinct = lambda xs, f: F.size(F.array_distinct(F.transform(xs, f))).cast("long")
-    return rows.withColumns({
-        "recent_peers": distinct(before, lambda x: x["peer"]), "kinds": distinct(upto, lambda x: x["peer_kind"]), "actions": distinct(upto, lambda x: x["action"]),
-        "transitions": distinct(upto, lambda x: F.concat(x["kind"], x["action"], x["peer_kind"])),
-    }).drop("__seen")
-
-
-def transitions(touched: DataFrame) -> DataFrame:
-    """Adds prev, the node's action before this one."""
-    return touched.withColumn("prev", F.lag("action").over(keyed("host", "node_id")))
-
-
-def transition_rarity(touched: DataFrame, train: str, wanted: str, smoothing: int = 100) -> DataFrame:
-    """host, event_id, max_rarity, mean_rarity of an event's transitions at its nodes, by counts over training rows."""
-    rows = transitions(touched).where("prev IS NOT NULL")
-    counts = rows.where(train).groupBy("prev", "action").agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("total"))
-    rarity = -F.log((F.coalesce("c", F.lit(0)) + 1.0) / (F.col("total") + smoothing))
-    return rows.where(wanted).join(counts, ["prev", "action"], "left").join(F.broadcast(total)).groupBy("host", "event_id").agg(F.max(rarity).alias("max_rarity"), F.avg(rarity).alias("mean_rarity"))
+    span = round(seconds * 1e6)
+    shown = {
+        "recent_peers": F.col("peer").cast("string"),
+        "kinds": F.col("peer_kind"),
+        "actions": F.col("action"),
+        "transitions": F.concat_ws("|", "kind", "action", "peer_kind"),
+    }
+    each = F.array(*(F.struct(F.lit(name).alias("what"), value.alias("shown")) for name, value in shown.items()))
+    rows = touched.select("host", "node_id", "stream_pos", "event_id", "ts_us", F.explode(each).alias("e")).select("*", "e.*").drop("e")
+    same = Window.partitionBy("host", "node_id", "what", "shown").orderBy("stream_pos")
+    near = rows.withColumns({"__last": F.lag("ts_us").over(same), "__next": F.lead("ts_us").over(same)})
+    starts = F.coalesce(F.col("ts_us") - F.col("__last") > span, F.lit(True)).cast("int")
+    ends = F.coalesce(F.col("__next") - F.col("ts_us") > span, F.lit(True))
+    change = F.filter(
+        F.array(
+            F.struct(F.lit(0).alias("phase"), F.col("ts_us").alias("at"), F.col("stream_pos").alias("pos"), F.col("event_id").alias("event"), starts.alias("by")),
+            # the end comes after all touches of its instant
+            F.when(ends, F.struct(F.lit(1).alias("phase"), (F.col("ts_us") + span).alias("at"), F.col("stream_pos").alias("pos"), F.col("event_id").alias("event"), F.lit(-1).alias("by"))),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    marks = near.select("host", "node_id", "what", F.explode(change).alias("c")).select("host", "node_id", "what", "c.*")
+    keys = ["host", "node_id", "at", "phase", "pos"]
+    sums = {name: F.coalesce(F.sum(F.when(F.col("what") == name, F.col("by"))), F.lit(0)).alias(f"__{name}") for name in shown}
+    marks = marks.groupBy(*keys).agg(F.max("event").alias("event_id"), *sums.values())
+    counted = running(marks, ["host", "node_id"], [F.col("at"), F.col("phase"), F.col("pos")], {name: f"__{name}" for name in shown})
+    own = counted.where("phase = 0").withColumn("recent_peers", F.col("recent_peers") - F.col("__recent_peers"))
+    return own.select("host", "node_id", F.col("pos").alias("stream_pos"), "event_id", *shown)
+
+
+_TERMS = ("pair", "edge", "role")
+
+
+def chain_profile(placed: DataFrame, train: str, wanted: str, slots: int = 4, most_gap: int = 24, association: float = 0.35, smoothing: int = 100) -> DataFrame:
+    """host, event_id, rarities of the event and of how its ends came to it, and the scores made of them; for wanted events.
+
+    An event's role is its action and its ends' kinds; its pair is both ends, its edge role and pair. A transition leads
+    from one of the last ``slots`` roles at the source or destination to this one: side, both roles, slot (3 at most) and the gap
+    in time, floor(log2(seconds + 1)), ``most_gap`` at most. A loop is one event in its node's past and a transition on
+    both sides. Rarity is -ln((n + 1) / (all + smoothing)) by counts of training events, or of their transitions. The
+    score is 0.2 pair + 0.1 edge + 0.1 role + 0.6 of the rarest transition, blended with the association score by ``association``: 0.7
+    discrepancy (the rarest transition less half of what role or edge explain, 0 at least), 0.2 of the mean transition, 0.1 pair.
+    Without a transition it is 0.45 pair + 0.15 edge + 0.4 role.
+    """
+    role = F.concat_ws("|", "action", "src_kind", "dst_kind")
+    pair = F.concat_ws(">", F.col("info_src").cast("string"), F.col("info_dst").cast("string"))
+    events = placed.select("host", "stream_pos", "event_id", "ts_us", "split", "info_src", "info_dst", role.alias("role"), pair.alias("pair"), F.concat_ws("|", role, pair).alias("edge"))
+    loop = F.col("info_src") == F.col("info_dst")
+    sides = F.array(
+        F.struct(F.col("info_src").alias("node_id"), F.when(loop, F.array(F.lit("S"), F.lit("D"))).otherwise(F.array(F.lit("S"))).alias("sides")),
+        F.when(~loop, F.struct(F.col("info_dst").alias("node_id"), F.array(F.lit("D")).alias("sides"))),
+    )
+    at_nodes = events.select("host", "stream_pos", "event_id", "ts_us", "split", "role", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("e")).select("*", "e.*").drop("e")
+    past = Window.partitionBy("host", "node_id").orderBy("stream_pos")
+    before = F.array(*(F.struct(F.lag("role", k).over(past).alias("role"), F.lag("ts_us", k).over(past).alias("us"), F.lit(min(k - 1, 3)).alias("slot")) for k in range(1, slots + 1)))
+    steps = at_nodes.withColumn("before", F.filter(before, lambda x: x["role"].isNotNull()))
+    steps = steps.select("host", "event_id", "ts_us", "split", "role", F.explode("sides").alias("side"), "before").withColumn("b", F.explode("before"))
+    seconds = F.floor((F.col("ts_us") - F.col("b.us")) / 1e6).cast("long")
+    gap = F.least(F.length(F.bin(seconds + 1)) - 1, F.lit(most_gap))  # floor of the logarithm by whole numbers
+    steps = steps.select("host", "event_id", "split", F.concat_ws("|", "side", F.col("b.role"), "role", gap.cast("string"), F.col("b.slot").cast("string")).alias("key"))
+    rarity = lambda n, total: -F.log((F.coalesce(n, F.lit(0)) + 1.0) / (F.coalesce(total, F.lit(0)) + smoothing))
+    known = steps.where(train).groupBy("key").agg(F.count("*").alias("n"))
+    # totals are one row each
+    total = known.agg(F.sum("n").alias("total"))
+    found = steps.where(wanted).join(known, "key", "left").join(F.broadcast(total)).groupBy("host", "event_id").agg(
+        F.max(rarity(F.col("n"), F.col("total"))).alias("transition"), F.avg(rarity(F.col("n"), F.col("total"))).alias("transition_mean")
+    )
+    rows = events.where(wanted)
+    trained = events.where(train)
+    n_trained = trained.agg(F.count("*").alias("trained"))
+    for name in _TERMS:
+        rows = rows.join(trained.groupBy(name).agg(F.count("*").alias(f"n_{name}")), name, "left")
+    rows = rows.join(F.broadcast(n_trained)).join(found, ["host", "event_id"], "left")
+    rows = rows.withColumns({f"{name}_rarity": rarity(F.col(f"n_{name}"), F.col("trained")) for name in _TERMS})
+    p, e, r, t = (F.col(c) for c in ("pair_rarity", "edge_rarity", "role_rarity", "transition"))
+    discrepancy = F.coalesce(F.greatest(t - 0.5 * F.greatest(r, e), F.lit(0.0)), F.lit(0.0))
+    linked = 0.7 * discrepancy + 0.2 * F.col("transition_mean") + 0.1 * p
+    blended = (1 - association) * (0.2 * p + 0.1 * e + 0.1 * r + 0.6 * t) + association * linked
+    score = F.when(t.isNotNull(), blended).otherwise(0.45 * p + 0.15 * e + 0.4 * r)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return rows.select(
+        "host", "event_id", "pair_rarity", "edge_rarity", "role_rarity", zero(t).alias("max_rarity"), zero(F.col("transition_mean")).alias("mean_rarity"), discrepancy.alias("discrepancy"), score.alias("chain_score")
+    )
 
 
 def time_gaps(placed: DataFrame) -> DataFrame:

@@ -104,12 +104,36 @@ SELECT host, event_id, round(action_nll + edge, 6) AS score, CASE WHEN action_nl
     "node_counts_before": "SELECT host, stream_pos, node_id, n_before, CAST(src_before AS BIGINT) AS src_before, CAST(dst_before AS BIGINT) AS dst_before FROM touch_before",
     "edge_novelty": "SELECT f.host, f.event_id, CASE WHEN row_number() OVER (PARTITION BY f.host, info_src, info_dst, family ORDER BY stream_pos) = 1 THEN round(greatest(score - a.thr, 0.0E0), 6) ELSE 0.0E0 END AS excess FROM families f JOIN action_thresholds a ON a.action = f.action",
     "recent_distinct_peers": """
-SELECT a.host, a.stream_pos, a.node_id, count(DISTINCT b.peer) AS recent_peers FROM touch a LEFT JOIN touch b ON b.host = a.host AND b.node_id = a.node_id AND b.stream_pos < a.stream_pos AND b.ts_us >= a.ts_us - 2592000000000 WHERE a.split = 'test' AND a.kind <> 'process' GROUP BY a.host, a.stream_pos, a.node_id""",
+SELECT a.host, a.stream_pos, a.node_id, count(DISTINCT b.peer) AS recent_peers FROM touch a LEFT JOIN touch b ON b.host = a.host AND b.node_id = a.node_id AND b.stream_pos < a.stream_pos AND b.ts_us >= a.ts_us - 2592000000000 GROUP BY a.host, a.stream_pos, a.node_id""",
     "recent_chain_diversity": """
-SELECT a.host, a.stream_pos, a.node_id, count(DISTINCT b.peer_kind) AS kinds, count(DISTINCT b.action) AS actions, count(DISTINCT concat(b.kind, b.action, b.peer_kind)) AS transitions FROM touch a JOIN touch b ON b.host = a.host AND b.node_id = a.node_id AND b.stream_pos <= a.stream_pos AND b.ts_us >= a.ts_us - 2592000000000 WHERE a.split = 'test' AND a.kind <> 'process' GROUP BY a.host, a.stream_pos, a.node_id""",
+SELECT a.host, a.stream_pos, a.node_id, count(DISTINCT b.peer_kind) AS kinds, count(DISTINCT b.action) AS actions, count(DISTINCT concat(b.kind, b.action, b.peer_kind)) AS transitions FROM touch a JOIN touch b ON b.host = a.host AND b.node_id = a.node_id AND b.stream_pos <= a.stream_pos AND b.ts_us >= a.ts_us - 2592000000000 GROUP BY a.host, a.stream_pos, a.node_id""",
     "chain_transition_rarity": """
-WITH p AS (SELECT host, split, event_id, node_id, stream_pos, action, lag(action) OVER (PARTITION BY host, node_id ORDER BY stream_pos) AS prev FROM touch), c AS (SELECT prev, action, count(*) AS c FROM p WHERE split = 'train' AND prev IS NOT NULL GROUP BY prev, action), t AS (SELECT sum(c) AS n FROM c)
-SELECT p.host, p.event_id, round(max(-ln((coalesce(c.c, 0) + 1.0E0) / (t.n + 100))), 6) AS max_rarity, round(avg(-ln((coalesce(c.c, 0) + 1.0E0) / (t.n + 100))), 6) AS mean_rarity FROM p CROSS JOIN t LEFT JOIN c ON c.prev = p.prev AND c.action = p.action WHERE p.split = 'test' AND p.prev IS NOT NULL GROUP BY p.host, p.event_id""",
+WITH e AS (SELECT host, stream_pos, event_id, ts_us, split, info_src, info_dst, concat(action, '|', src_kind, '|', dst_kind) AS role, concat(CAST(info_src AS STRING), '>', CAST(info_dst AS STRING)) AS pair FROM flow),
+n AS (
+  SELECT host, stream_pos, event_id, ts_us, split, role, info_src AS node_id, CASE WHEN info_src = info_dst THEN 'SD' ELSE 'S' END AS sides FROM e
+  UNION ALL SELECT host, stream_pos, event_id, ts_us, split, role, info_dst, 'D' FROM e WHERE info_src <> info_dst),
+l AS (SELECT host, event_id, ts_us, split, role, sides, lag(role, 1) OVER w AS b, lag(ts_us, 1) OVER w AS us, 0 AS slot FROM n WINDOW w AS (PARTITION BY host, node_id ORDER BY stream_pos) UNION ALL SELECT host, event_id, ts_us, split, role, sides, lag(role, 2) OVER w AS b, lag(ts_us, 2) OVER w AS us, 1 AS slot FROM n WINDOW w AS (PARTITION BY host, node_id ORDER BY stream_pos) UNION ALL SELECT host, event_id, ts_us, split, role, sides, lag(role, 3) OVER w AS b, lag(ts_us, 3) OVER w AS us, 2 AS slot FROM n WINDOW w AS (PARTITION BY host, node_id ORDER BY stream_pos) UNION ALL SELECT host, event_id, ts_us, split, role, sides, lag(role, 4) OVER w AS b, lag(ts_us, 4) OVER w AS us, 3 AS slot FROM n WINDOW w AS (PARTITION BY host, node_id ORDER BY stream_pos)),
+k AS (
+  SELECT host, event_id, split, b, role, slot, length(bin(CAST(floor((ts_us - us) / 1000000.0E0) AS BIGINT) + 1)) - 1 AS g, side.x AS side
+  FROM l JOIN (SELECT 'S' AS x UNION ALL SELECT 'D') side ON l.sides LIKE concat('%', side.x, '%') WHERE b IS NOT NULL),
+j AS (SELECT host, event_id, split, concat(side, '|', b, '|', role, '|', CAST(CASE WHEN g > 24 THEN 24 ELSE g END AS STRING), '|', CAST(slot AS STRING)) AS key FROM k),
+c AS (SELECT key, count(*) AS c FROM j WHERE split = 'train' GROUP BY key),
+t AS (SELECT coalesce(sum(c), 0) AS n FROM c),
+m AS (
+  SELECT j.host, j.event_id, max(-ln((coalesce(c.c, 0) + 1.0E0) / (t.n + 100))) AS tr, avg(-ln((coalesce(c.c, 0) + 1.0E0) / (t.n + 100))) AS tm
+  FROM j CROSS JOIN t LEFT JOIN c ON c.key = j.key WHERE j.split = 'test' GROUP BY j.host, j.event_id),
+rp AS (SELECT pair, count(*) AS c FROM e WHERE split = 'train' GROUP BY pair),
+re AS (SELECT role, pair, count(*) AS c FROM e WHERE split = 'train' GROUP BY role, pair),
+rr AS (SELECT role, count(*) AS c FROM e WHERE split = 'train' GROUP BY role),
+nt AS (SELECT count(*) AS n FROM e WHERE split = 'train'),
+x AS (
+  SELECT e.host, e.event_id, -ln((coalesce(rp.c, 0) + 1.0E0) / (nt.n + 100)) AS p, -ln((coalesce(re.c, 0) + 1.0E0) / (nt.n + 100)) AS d, -ln((coalesce(rr.c, 0) + 1.0E0) / (nt.n + 100)) AS r, m.tr, m.tm
+  FROM e CROSS JOIN nt LEFT JOIN rp ON rp.pair = e.pair LEFT JOIN re ON re.pair = e.pair AND re.role = e.role LEFT JOIN rr ON rr.role = e.role
+  LEFT JOIN m ON m.host = e.host AND m.event_id = e.event_id WHERE e.split = 'test'),
+y AS (SELECT x.*, CASE WHEN tr IS NULL THEN 0.0E0 ELSE greatest(tr - 0.5E0 * greatest(r, d), 0.0E0) END AS disc FROM x)
+SELECT host, event_id, round(p, 6) AS pair_rarity, round(d, 6) AS edge_rarity, round(r, 6) AS role_rarity, round(coalesce(tr, 0.0E0), 6) AS max_rarity, round(coalesce(tm, 0.0E0), 6) AS mean_rarity, round(disc, 6) AS discrepancy,
+  round(CASE WHEN tr IS NULL THEN 0.45E0 * p + 0.15E0 * d + 0.4E0 * r
+    ELSE 0.65E0 * (0.2E0 * p + 0.1E0 * d + 0.1E0 * r + 0.6E0 * tr) + 0.35E0 * (0.7E0 * disc + 0.2E0 * tm + 0.1E0 * p) END, 6) AS chain_score FROM y""",
     "time_gaps": """
 SELECT host, event_id, round(coalesce(ln(1 + (ts_us - lag(ts_us) OVER (PARTITION BY host ORDER BY stream_pos)) / 1000000.0E0), 0.0E0), 6) AS global_gap, round(coalesce(ln(1 + (ts_us - lag(ts_us) OVER (PARTITION BY host, info_src ORDER BY stream_pos)) / 1000000.0E0), 0.0E0), 6) AS src_gap,
   round(coalesce(ln(1 + (ts_us - lag(ts_us) OVER (PARTITION BY host, info_src, info_dst ORDER BY stream_pos)) / 1000000.0E0), 0.0E0), 6) AS edge_gap FROM flow""",

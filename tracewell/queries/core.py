@@ -141,9 +141,9 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "malicious_pair_audit": lambda a: rel.with_words(_both_bad(a), rel.node_words(a.nodes)).select("host", "event_id", "action", "src_tokens", "dst_tokens"),
     # windows by node and edge
     "edge_novelty": lambda a: rounded(windows.edge_novelty(alerting.with_threshold(a.flow, a.thresholds, BY_ACTION), rel.mapped("action", rel.FAMILIES, "other")).select("host", "event_id", "excess"), excess=6),
-    "recent_distinct_peers": lambda a: windows.recent(a.touch_placed, 2592000.0).where("split = 'test' AND kind <> 'process'").select("host", "stream_pos", "node_id", "recent_peers"),
-    "recent_chain_diversity": lambda a: windows.recent(a.touch_placed, 2592000.0).where("split = 'test' AND kind <> 'process'").select("host", "stream_pos", "node_id", "kinds", "actions", "transitions"),
-    "chain_transition_rarity": lambda a: rounded(windows.transition_rarity(a.touch, "split = 'train'", "split = 'test'"), max_rarity=6, mean_rarity=6),
+    "recent_distinct_peers": lambda a: windows.recent(a.touch_placed, 2592000.0).select("host", "stream_pos", "node_id", "recent_peers"),
+    "recent_chain_diversity": lambda a: windows.recent(a.touch_placed, 2592000.0).select("host", "stream_pos", "node_id", "kinds", "actions", "transitions"),
+    "chain_transition_rarity": lambda a: rounded(windows.chain_profile(a.placed, "split = 'train'", "split = 'test'"), **dict.fromkeys(_CHAIN, 6)),
     "time_gaps": lambda a: rounded(windows.time_gaps(a.placed), global_gap=6, src_gap=6, edge_gap=6),
     "decayed_max": lambda a: rounded(windows.decayed_max(a.touch_placed, 31536000.0, 788918400000000).select("host", "stream_pos", "node_id", "decayed"), decayed=4),
     "state_asof": lambda a: rounded(windows.state_asof(a.touch_placed).select("host", "stream_pos", "node_id", "last_score", "last_us"), last_score=6),
@@ -317,4 +317,5 @@ def _registered(f: Callable[[Audit], DataFrame]) -> Callable[[SparkSession, str]
     return lambda spark, sf_dir: f(Audit.of(spark, sf_dir))
 
 
+_CHAIN = ("pair_rarity", "edge_rarity", "role_rarity", "max_rarity", "mean_rarity", "discrepancy", "chain_score")
 QUERIES = {name: _registered(f) for name, f in OPERATORS.items()} | {name: (lambda f: lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))(f) for name, f in VECTORS.items()}

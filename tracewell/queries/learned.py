@@ -13,8 +13,9 @@ from tracewell.operators import alerting, attributes, clusters, conditional, eva
 from tracewell.operators import relational as rel
 from tracewell.sources.audit import BY_ACTION, Audit
 from tracewell.sources.staging import stage
+from tracewell.streaming import merging
 from tracewell.streaming.fold import Fold, folded
-from tracewell.streaming.folds import D, P, TAUS, message
+from tracewell.streaming.folds import KEEP, REALDIAG_KEEP, D, P, TAUS, message
 
 _CANDIDATES = tuple(sorted({float(t) for t in TAUS}))
 
@@ -53,21 +54,22 @@ def cascade_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.cascades(alerting.alerts(a.test, a.thresholds, BY_ACTION))
 
 
-def _merged(a: Audit) -> DataFrame:
-    return clusters.merged_states(stage(clusters.final_states(a.touch), "states"))
+def _shared(a: Audit, merged: merging.Merging = merging.Merging(), keep: np.ndarray = KEEP) -> DataFrame:
+    return stage(folded(a.placed, merging.merging_fold(merged, keep)), "shared-states")
 
 
 def state_merge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(Audit.of(spark, sf_dir)).select("host", "node_id", "kind", "n", "cluster")
+    """host, node_id, kind, n and the state that the node holds in the end, alone or with others."""
+    return clusters.last_places(_shared(Audit.of(spark, sf_dir)))
 
 
 def state_compression_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.compression(_merged(Audit.of(spark, sf_dir)))
+    return clusters.compression(clusters.last_places(_shared(Audit.of(spark, sf_dir))))
 
 
 def alert_merge_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = Audit.of(spark, sf_dir)
-    return clusters.with_clusters(alerting.alerts(a.test, a.thresholds, BY_ACTION), _merged(a)).select("host", "event_id", "src_cluster", "dst_cluster", "same_cluster")
+    return clusters.alert_places(alerting.alerts(a.test, a.thresholds, BY_ACTION), _shared(a)).select("host", "event_id", "src_cluster", "dst_cluster", "same_cluster")
 
 
 def _vectors(a: Audit, words: DataFrame) -> DataFrame:
@@ -243,15 +245,16 @@ def case_loss_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run (the cosine from which states merge), host, and the states it saves against the run that merges none."""
-    states = stage(clusters.final_states(Audit.of(spark, sf_dir).touch), "states")
+    """state_model, mode, host and the states that a run which merges saves against the run of the same state model that doesn't."""
+    a = Audit.of(spark, sf_dir)
     runs = None
-    for least in (2.0, 0.98, 0.9):  # no cosine reaches the first
-        one = clusters.compression(clusters.merged_states(states, least)).select(F.lit(least).alias("run"), "host", "physical_states", "bytes_saved")
-        runs = one if runs is None else runs.unionByName(one)
-    base = runs.where("run = 2.0").select("host", F.col("physical_states").alias("baseline"))
-    saved = F.col("baseline") - F.col("physical_states")
-    return runs.where("run <> 2.0").join(base, "host").select("run", "host", "physical_states", saved.alias("saved_states"), (100.0 * saved / F.col("baseline")).alias("saved_pct"), "bytes_saved")
+    for model, keep in (("ema", KEEP), ("realdiag", REALDIAG_KEEP)):
+        for mode in ("fourier", "time_domain"):
+            one = clusters.compression(clusters.last_places(_shared(a, merging.Merging(mode), keep))).select(F.lit(model).alias("state_model"), F.lit(mode).alias("mode"), "host", "logical_states", "physical_states", "bytes_saved")
+            runs = one if runs is None else runs.unionByName(one)
+    # a run that merges nothing keeps a state for each node
+    saved = F.col("logical_states") - F.col("physical_states")
+    return runs.select("state_model", "mode", "host", "physical_states", saved.alias("saved_states"), (100.0 * saved / F.col("logical_states")).alias("saved_pct"), "bytes_saved")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

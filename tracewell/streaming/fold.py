@@ -105,11 +105,13 @@ class OrderedProcessor(StatefulProcessor):
     """Rows wait until the watermark has passed them, and are then taken in order, by ``due``.
 
     They wait by buckets of time, each with a timer at its end, so that a row is written once more for each batch of its own bucket
-    and read once. Timers come in the order of time.
+    and read once. Timers come in the order of time. With ``delay_millis``, ``passed`` is called that long after each bucket, too; these timers
+    are set as rows arrive, as one that is set while a timer is served comes with the next batch.
     """
 
-    def __init__(self, schema: T.StructType, order: Sequence[str], names: Sequence[str], bucket_millis: int = BUCKET_MILLIS):
+    def __init__(self, schema: T.StructType, order: Sequence[str], names: Sequence[str], bucket_millis: int = BUCKET_MILLIS, delay_millis: int | None = None):
         self.schema, self.order, self.names, self.bucket_millis = schema, list(order), list(names), bucket_millis
+        self.delay = None if delay_millis is None else -(-delay_millis // bucket_millis) * bucket_millis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -123,12 +125,20 @@ class OrderedProcessor(StatefulProcessor):
             held = list(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
             self.waiting.updateValue(at, ([*held, _written(own)],))
             self.handle.registerTimer((int(bucket) + 1) * self.bucket_millis)
+            if self.delay is not None:
+                self.handle.registerTimer((int(bucket) + 1) * self.bucket_millis + self.delay)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = (expiredTimerInfo.getExpiryTimeInMs() // self.bucket_millis - 1,)
-        if not self.waiting.containsKey(at):
-            return
+        millis = expiredTimerInfo.getExpiryTimeInMs()
+        at = (millis // self.bucket_millis - 1,)
+        if self.waiting.containsKey(at):
+            yield from self._taken(at)
+        out = self.passed(key, millis)
+        if out is not None and len(out):
+            yield out[self.names]
+
+    def _taken(self, at: tuple) -> Iterator[pd.DataFrame]:
         if self.latest.exists() and self.latest.get()[0] >= at[0]:
             raise RuntimeError(f"a timer of bucket {at[0]} after that of bucket {self.latest.get()[0]}")
         self.latest.update(at)
@@ -141,6 +151,10 @@ class OrderedProcessor(StatefulProcessor):
     def due(self, rows: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
+    def passed(self, key: tuple, millis: int) -> pd.DataFrame | None:
+        """What is to be said at ``millis``, after the rows before it."""
+        return None
+
     def close(self) -> None:
         pass
 

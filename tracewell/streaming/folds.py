@@ -23,7 +23,7 @@ RHO = {"EVENT_CLONE": 0.2, "EVENT_CONNECT": 0.2, "EVENT_EXECUTE": 0.2, "EVENT_OP
 SCALE = {"process": 1.0, "file": 0.3, "netflow": 0.3, "unknown": 0.1}
 
 KEEP = np.exp(-1 / TAUS)
-_GAMMA = np.log1p(np.exp(np.linspace(-4, 0, D))) + 1e-3
+REALDIAG_KEEP = np.exp(-(np.log1p(np.exp(np.linspace(-4, 0, D))) + 1e-3))
 _RNG = np.random.default_rng(23)
 _ACTION = dict(zip(ACTIONS, _RNG.normal(size=(len(ACTIONS), D))))
 _SOURCE, _TARGET = ({k: v for k, v in zip(SCALE, _RNG.normal(size=(4, D)))} for _ in range(2))
@@ -366,7 +366,7 @@ EVENT_FOLDS: dict[str, Fold] = {
 #: over ``touch``
 NODE_FOLDS: dict[str, Fold] = {
     "node_state_ema": _node("norm double", _node_vector(KEEP)),
-    "node_state_realdiag": _node("norm double", _node_vector(np.exp(-_GAMMA))),
+    "node_state_realdiag": _node("norm double", _node_vector(REALDIAG_KEEP)),
     "node_state_s4d": _node("norm double", _s4d),
     "decayed_burst": _node("signal double", _burst),
     "risk_update_alerts": _node("score double, previous double", _risk_updates),
