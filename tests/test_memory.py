@@ -10,7 +10,7 @@ from streams import streamed
 
 from tracewell.operators import alerting, clusters, flow, online, prefix, windows
 from tracewell.sources.audit import BY_ACTION, Audit
-from tracewell.streaming import cascades, merging
+from tracewell.streaming import cascades, folds, merging
 from tracewell.streaming.fold import folded, folded_stream
 from tracewell.streaming.folds import KEEP, LAMBDA, RHO, SCALE, message
 
@@ -169,3 +169,55 @@ def test_ordering_computes_its_rows_once(spark):
     assert seen.value == 20_000
     assert prefix.numbered(counted.select("k", "i"), ["k"], [F.col("i")], "n").agg(F.max("n")).first()[0] == 6667
     assert seen.value == 40_000
+
+
+class Event:
+    def __init__(self, pos, us, src, dst, score):
+        self.host, self.stream_pos, self.event_id, self.ts_us, self.info_src, self.info_dst, self.score = "h", pos, pos, us, src, dst, score
+
+
+def test_risks_are_bounded_and_the_least_goes(monkeypatch):
+    """Eviction order, time to live and size after every event, against a scan of all nodes."""
+    import math
+
+    p = folds.Parameters(most_risks=12, risk_ttl=600.0, decay=300.0)
+    monkeypatch.setattr(folds, "P", p)
+    rng = random.Random(6)
+    states, risks, largest = {}, {}, 0
+    us = 0
+    for pos in range(3000):
+        us += rng.choice([0, 1, 20, 700 if pos % 500 == 0 else 3]) * 1_000_000
+        src = rng.randint(0, 40)
+        e = Event(pos, us, src, src if rng.random() < 0.1 else rng.randint(0, 40), rng.random() * 1e5)
+        now, want = us / 1e6, []
+        for n in [n for n, (_, _, t, _) in sorted(risks.items(), key=lambda x: x[1][3]) if t < now - p.risk_ttl]:
+            del risks[n]
+            want.append(n)
+        for k, n in enumerate(dict.fromkeys((e.info_src, e.info_dst))):
+            r, c, t, _ = risks.get(n, (0.0, 0, now, 0))
+            risks[n] = (max(r * math.exp(-(now - t) / p.decay), e.score / 1e4 + math.log1p(c) - 0.1 * c**0.5), c + 1, now, 2 * pos + k)
+        while len(risks) > p.most_risks:
+            least = min((n for n in risks if n not in (e.info_src, e.info_dst)), key=lambda n: (math.log(max(risks[n][0], 1e-300)) + risks[n][2] / p.decay, n))
+            del risks[least]
+            want.append(least)
+        *_, src_risk, dst_risk, n, gone = folds._bounded_risk(states, e)
+        assert gone == want and n == len(risks) <= p.most_risks
+        assert abs(src_risk - risks[e.info_src][0]) < 1e-8 and abs(dst_risk - risks[e.info_dst][0]) < 1e-8
+        largest = max(largest, states["heap"][0])
+        queued = states["queue"][1] - states["queue"][0]
+        assert sum(k[0] == "h" and k != "heap" for k in states) == states["heap"][0] and sum(k[0] == "q" and k != "queue" for k in states) == queued
+    assert largest <= 4 * 16 + 2
+
+
+def test_risk_goes_back_along_the_last_neighbours(monkeypatch):
+    p = folds.Parameters(high=100.0, decay=1e12, neighbours=2, hops=2, back=0.5)
+    monkeypatch.setattr(folds, "P", p)
+    states = {}
+    flows = [(1, 2), (9, 2), (3, 2), (4, 2), (5, 4), (2, 6)]  # 2 remembers 3 and 4; 4 remembers 5
+    for pos, (s, d) in enumerate(flows):
+        assert folds._propagated(states, Event(pos, pos, s, d, 10.0))[3:] == (10.0, 0)
+    # 200 from 2 to 7: 60 to both ends, 30 to 3 and 4, 15 to 5; 1 and 9 are forgotten, 6 lies ahead
+    assert folds._propagated(states, Event(9, 9, 2, 7, 200.0))[3:] == (200.0, 3)
+    assert {k: round(v[0], 6) for k, v in states.items() if k[0] == "r"} == {"r2": 60.0, "r7": 60.0, "r3": 30.0, "r4": 30.0, "r5": 15.0}
+    # an event of 5 is raised by half of its risk
+    assert folds._propagated(states, Event(10, 10, 5, 8, 1.0))[3:] == (8.5, 0)

@@ -110,23 +110,48 @@ class Parameters:
     #: share of an evicted state that goes into its kind's prototype
     prototype: float = 0.1
     sketch_buckets: int = 4096
+    #: nodes whose risk a host keeps, and for how long after their last touch
+    most_risks: int = 200
+    risk_ttl: float = 3.15e7
+    #: backwards from a high score: neighbours that a node remembers, steps, and the share that a step passes on
+    neighbours: int = 4
+    hops: int = 2
+    back: float = 0.5
 
 
 P = Parameters()
 
 
 def _propagated(states, e) -> tuple:
-    """An event's score is raised by its source's decayed risk; high scores write back to both ends."""
+    """An event's score is raised by its source's decayed risk; high scores write back to both ends, and backwards.
+
+    A node keeps the last P.neighbours nodes that flowed into it. From the source of a high score risk goes to these, and to theirs,
+    P.hops steps back, a P.back share at each; nodes met on a shorter way aren't written again.
+    """
     now = e.ts_us / 1e6
-    risk = []
-    for node in (e.info_src, e.info_dst):
+
+    def risk(node: int) -> float:
         r, t = states.get(f"r{node}", [0.0, now])
-        risk.append(r * math.exp(-(now - t) / P.decay))
-    score = e.score + 0.5 * risk[0]
+        return r * math.exp(-(now - t) / P.decay)
+
+    score = e.score + 0.5 * risk(e.info_src)
+    written = 0
     if e.score >= P.high:
-        for node, r in zip((e.info_src, e.info_dst), risk):
-            states[f"r{node}"] = [max(r, 0.3 * score), now]
-    return e.host, int(e.stream_pos), int(e.event_id), round(score, 6)
+        share, reached, front = 0.3 * score, {e.info_src, e.info_dst}, [e.info_src]
+        for node in dict.fromkeys((e.info_src, e.info_dst)):
+            states[f"r{node}"] = [max(risk(node), share), now]
+        for _ in range(P.hops):
+            share *= P.back
+            before = dict.fromkeys(int(n) for at in front for n in states.get(f"k{at}", []))
+            front = [n for n in before if n not in reached]
+            reached.update(front)
+            for node in front:
+                states[f"r{node}"] = [max(risk(node), share), now]
+                written += 1
+    if e.info_src != e.info_dst:
+        name = f"k{e.info_dst}"
+        states[name] = [*(n for n in states.get(name, []) if n != e.info_src), float(e.info_src)][-P.neighbours :]
+    return e.host, int(e.stream_pos), int(e.event_id), round(score, 6), written
 
 
 def _chain(states, e) -> tuple:
@@ -219,12 +244,83 @@ def _pool(states, e) -> tuple:
     return e.host, int(e.node_id), int(e.stream_pos), round(sum(best), 4)
 
 
-def _node_risk(states, e) -> tuple:
-    now = e.ts_us / 1e6
-    risk, n, t = states.get("r", [0.0, 0.0, now])
-    risk = max(risk * math.exp(-(now - t) / P.decay), e.score / 1e4 + math.log1p(n) - 0.1 * n**0.5)
-    states["r"] = [risk, n + 1, now]
-    return e.host, int(e.node_id), int(e.stream_pos), round(risk, 9)
+def _bounded_risk(states, e) -> tuple:
+    """Decayed risk of a host's nodes: at most P.most_risks of them, and none untouched for P.risk_ttl; who goes is the least risky.
+
+    All risks fall at one rate, so their order only changes with touches: ln(risk) + t / decay of the last touch is a key for good. The keys
+    are a heap (h<i>: key, node, touch; values of the state by name, so that a step reads a few); an entry counts only if its touch is
+    the node's last. Touches queue up by time (q<i>), and the front of the queue leaves as it passes the time to live. The heap is built
+    anew when it holds more than four times as many entries as there are nodes, so both stay bounded. Ends of the event itself stay.
+    """
+    now, gone = e.ts_us / 1e6, []
+
+    def forget(node: int) -> None:
+        states.pop(f"r{node}")
+        states["n"] = [states["n"][0] - 1]
+        gone.append(node)
+
+    def swap(i: int, j: int) -> None:
+        states[f"h{i}"], states[f"h{j}"] = list(states[f"h{j}"]), list(states[f"h{i}"])
+
+    def push(entry: list[float]) -> None:
+        i = int(states.get("heap", [0.0])[0])
+        states["heap"], states[f"h{i}"] = [i + 1.0], entry
+        while i and tuple(states[f"h{i}"]) < tuple(states[f"h{(i - 1) // 2}"]):
+            swap(i, (i - 1) // 2)
+            i = (i - 1) // 2
+
+    def pop() -> list[float]:
+        size = int(states["heap"][0]) - 1
+        swap(0, size)
+        least = list(states.pop(f"h{size}"))
+        states["heap"] = [float(size)]
+        i = 0
+        while (j := 2 * i + 1) < size:
+            if j + 1 < size and tuple(states[f"h{j + 1}"]) < tuple(states[f"h{j}"]):
+                j += 1
+            if tuple(states[f"h{i}"]) <= tuple(states[f"h{j}"]):
+                break
+            swap(i, j)
+            i = j
+        return least
+
+    def touch(node: int) -> float:
+        risk, n, t, _ = states.get(f"r{node}", [0.0, 0.0, now, 0.0])
+        if not n:
+            states["n"] = [states.get("n", [0.0])[0] + 1]
+        risk = max(risk * math.exp(-(now - t) / P.decay), e.score / 1e4 + math.log1p(n) - 0.1 * n**0.5)
+        touched = states.get("touches", [0.0])[0] + 1
+        states["touches"], states[f"r{node}"] = [touched], [risk, n + 1, now, touched]
+        push([math.log(max(risk, 1e-300)) + now / P.decay, float(node), touched])
+        head, tail = states.get("queue", [0.0, 0.0])
+        states[f"q{int(tail)}"], states["queue"] = [float(node), touched, now], [head, tail + 1]
+        return round(risk, 9)
+
+    head, tail = states.get("queue", [0.0, 0.0])
+    while head < tail and states[f"q{int(head)}"][2] < now - P.risk_ttl:
+        node, touched, _ = states.pop(f"q{int(head)}")
+        head += 1
+        if states.get(f"r{int(node)}", [0, 0, 0, -1])[3] == touched:
+            forget(int(node))
+    states["queue"] = [head, tail]
+    ends = list(dict.fromkeys((e.info_src, e.info_dst)))
+    risks = [touch(node) for node in ends]
+    spared = []
+    while states["n"][0] > P.most_risks and states["heap"][0] > 0:
+        key, node, touched = pop()
+        if states.get(f"r{int(node)}", [0, 0, 0, -1])[3] != touched:
+            continue
+        if int(node) in ends:
+            spared.append([key, node, touched])
+        else:
+            forget(int(node))
+    for entry in spared:
+        push(entry)
+    if states["heap"][0] > 4 * max(states["n"][0], 16):
+        kept = [x for _ in range(int(states["heap"][0])) if states.get(f"r{int((x := pop())[1])}", [0, 0, 0, -1])[3] == x[2]]
+        for entry in kept:
+            push(entry)
+    return e.host, int(e.stream_pos), int(e.event_id), risks[0], risks[-1], int(states["n"][0]), gone
 
 
 # Of node kinds, the first is evicted first.
@@ -352,7 +448,8 @@ def _node(output: str, step) -> Fold:
 EVENT_FOLDS: dict[str, Fold] = {
     "host_state_fold": _host("event_id long, src_norm double, dst_norm double, score double", _flow),
     "probationary_memory": _host("src_read double, dst_read double", _probation),
-    "risk_propagation": _host("event_id long, raised double", _propagated),
+    "risk_propagation": _host("event_id long, raised double, written int", _propagated),
+    "online_node_risk": _host("event_id long, src_risk double, dst_risk double, nodes long, gone array<long>", _bounded_risk),
     "compact_chain_bonus": _host("bonus double", _chain),
     "temporal_memory_residual": _host("residual double", _residual),
     "adaptive_threshold": _host("threshold double, is_alert boolean", _adaptive),
@@ -371,5 +468,4 @@ NODE_FOLDS: dict[str, Fold] = {
     "decayed_burst": _node("signal double", _burst),
     "risk_update_alerts": _node("score double, previous double", _risk_updates),
     "online_node_pool": _node("pool double", _pool),
-    "online_node_risk": _node("risk double", _node_risk),
 }
