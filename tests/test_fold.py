@@ -25,6 +25,8 @@ def test_stream_gives_the_rows_of_batch_whatever_the_arrival(spark, name):
     a = Audit.of(spark, SF)
     fold = EVENT_FOLDS.get(name) or NODE_FOLDS[name]
     events = (bucketed(a.placed) if name in EVENT_FOLDS else a.touch_placed).where("host = 'h1' AND stream_pos < 60").withColumn("ts", F.col("ts").cast("timestamp"))
+    if "z" in fold.inputs:
+        events = events.withColumn("z", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.hash("event_id", i) / 2.0**31))
     base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.shuffle.partitions", "2")

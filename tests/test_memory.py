@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from streams import streamed
 
-from tracewell.operators import alerting, clusters, flow, online, prefix, windows
+from tracewell.operators import alerting, clusters, flow, prefix, variants, windows
 from tracewell.sources.audit import BY_ACTION, Audit
 from tracewell.streaming import cascades, folds, merging
 from tracewell.streaming.fold import folded, folded_stream
@@ -221,3 +221,44 @@ def test_risk_goes_back_along_the_last_neighbours(monkeypatch):
     assert {k: round(v[0], 6) for k, v in states.items() if k[0] == "r"} == {"r2": 60.0, "r7": 60.0, "r3": 30.0, "r4": 30.0, "r5": 15.0}
     # an event of 5 is raised by half of its risk
     assert folds._propagated(states, Event(10, 10, 5, 8, 1.0))[3:] == (8.5, 0)
+
+
+def test_memory_keeps_far_vectors_out():
+    """Means, distances and quarantine against sums over all that was kept."""
+    rng = np.random.default_rng(3)
+    states, kept, gaps, out = {}, [], [], 0
+    for i in range(300):
+        z = rng.normal(size=6) * (30 if i % 37 == 36 else 1)
+        e = Event(i, i, 1, 2, 0.0)
+        e.action, e.src_kind, e.dst_kind, e.z = "a", "process", "file", z
+        *_, gap, quarantined = folds._memory(states, e)
+        want = np.sqrt(((z - np.mean(kept, axis=0)) ** 2).mean()) if len(kept) >= 10 else 0.0
+        far = len(gaps) >= 10 and want > np.mean(gaps) + 4 * np.std(gaps)
+        assert abs(gap - want) < 1e-8 and quarantined == far
+        if not far:
+            if len(kept) >= 10:
+                gaps.append(want)
+            kept.append(z)
+        out += far
+    assert 5 <= out <= 12
+
+
+def test_decay_rates_are_learned(spark):
+    """The gradient against finite differences, and rates that follow how vectors move."""
+    rng = np.random.default_rng(7)
+    zs, gamma = rng.normal(size=(30, 5)), rng.uniform(0.05, 1.5, 5)
+
+    def loss(g):
+        node = variants.Sensitivity(g)
+        return sum(node.meet(z)[0] for z in zs)
+
+    node = variants.Sensitivity(gamma)
+    gradient = sum(node.meet(z)[1] for z in zs)
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-6
+        assert abs((loss(gamma + step) - loss(gamma - step)) / 2e-6 - gradient[i]) < 1e-5
+    # dimension 0 stays for long and then moves (fast states are best), dimension 1 is noise about 0.5 (slow ones are)
+    table = {f"a{i}": np.array([float(i // 20), float(v)]) for i, v in enumerate(0.5 + rng.normal(size=200))}
+    made = spark.createDataFrame([("h", n, 1000 * i, i, f"a{i}", "k", "k") for n in range(3) for i in range(200)], "host string, node_id long, ts_us long, event_id long, action string, kind string, peer_kind string")
+    found, losses = variants.fit_gamma(made, lambda a, k, p: table[a], 2, epochs=25, rate=0.3)
+    assert losses[-1] < losses[0] and found[0] > 3 * found[1]

@@ -145,10 +145,16 @@ PROFILES = {"edge_rarity": ["info_src", "info_dst"], "src_rarity": ["info_src"],
 
 
 def profile_rarity(train: DataFrame, wanted: DataFrame, profiles: dict[str, list[str]] = PROFILES) -> DataFrame:
+    """host, event_id, a rarity for each profile, and of the ends by themselves: how rarely a node was an end at all, and the rarer of both."""
     rows = with_total(wanted, train)
     for out, keys in profiles.items():
         rows = with_count(rows, counts(train, keys), keys, f"__{out}")
-    return rows.select("host", "event_id", *(nll(f"__{out}", F.col("total") + 1.0).alias(out) for out in profiles))
+    own = train.select(F.explode(F.array("info_src", "info_dst")).alias("node")).groupBy("node").agg(F.count("*").alias("c"))
+    for end in ("src", "dst"):
+        rows = rows.join(own.select(F.col("node").alias(f"info_{end}"), F.col("c").alias(f"__{end}_self")), f"info_{end}", "left")
+    selves = {f"{end}_self_rarity": -F.log((F.coalesce(f"__{end}_self", F.lit(0)) + 1.0) / (2 * F.col("total") + 1.0)) for end in ("src", "dst")}
+    rarities = [nll(f"__{out}", F.col("total") + 1.0).alias(out) for out in profiles]
+    return rows.select("host", "event_id", *rarities, *(c.alias(n) for n, c in selves.items()), F.greatest(*selves.values()).alias("endpoint_self_rarity"))
 
 
 def temporal_count_score(train: DataFrame, wanted: DataFrame, n_actions: int = 10) -> DataFrame:

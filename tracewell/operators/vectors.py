@@ -48,18 +48,25 @@ def residual_variance(rows: DataFrame, group: str, values: Column, floor: float
 
 
 def residual_scores(pairs: DataFrame, beta: float = 0.25, eps: float = 1e-6) -> DataFrame:
-    """vec_id, raw_mse and var_calibrated: cosine distance and a share of the squared residual, plain or over the group's variances."""
+    """vec_id and cosine distance with a share of the squared residual: of unit vectors (legacy, 0 at least), plain (raw_mse), or over the group's variances (var_calibrated)."""
     v = residual_variance(pairs, "label", F.zip_with("p", "y", lambda a, b: a - b), eps)
     # one array for each group, as long as a vector
     scale = v.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "variance"))), lambda x: x["variance"]).alias("variances"))
     calibrated = total(F.zip_with(squares("p", "y"), "variances", lambda s, x: s / (x + eps)))
-    return pairs.join(scale, "label").select("vec_id", (cosine_distance("p", "y") + beta * mse("p", "y")).alias("raw_mse"), (cosine_distance("p", "y") + beta * calibrated).alias("var_calibrated"))
+    unit = lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(dot(v, v)), F.lit(1e-8)))
+    units = pairs.withColumns({"__p": unit("p"), "__y": unit("y")})
+    legacy = F.greatest(cosine_distance("p", "y") + beta * mse("__p", "__y"), F.lit(0.0))
+    return units.join(scale, "label").select("vec_id", legacy.alias("legacy"), (cosine_distance("p", "y") + beta * mse("p", "y")).alias("raw_mse"), (cosine_distance("p", "y") + beta * calibrated).alias("var_calibrated"))
 
 
-def targets(pairs: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """vec_id, pos, weighted_target and pair_target for every dimension."""
-    both = F.zip_with("p", "y", lambda p, y: F.struct(((p + alpha * y + p) / (2 + alpha)).alias("weighted_target"), ((p + y) / 2).alias("pair_target")))
-    return pairs.select("vec_id", F.posexplode(both).alias("pos", "t")).select("vec_id", "pos", "t.*")
+def targets(pairs: DataFrame, alpha: float = 0.5, mixture: float = 0.5) -> DataFrame:
+    """vec_id, pos and targets for every dimension, of a pair's ends p and action y: weighted, of the pair alone, their mean with the action, and a mixture of the last two."""
+    def each(p, y):
+        event, pair = (p + y + p) / 3, (p + y) / 2
+        weighted = (p + alpha * y + p) / (2 + alpha)
+        return F.struct(weighted.alias("weighted_target"), pair.alias("pair_target"), event.alias("event_target"), (mixture * event + (1 - mixture) * pair).alias("mixture_target"))
+
+    return pairs.select("vec_id", F.posexplode(F.zip_with("p", "y", each)).alias("pos", "t")).select("vec_id", "pos", "t.*")
 
 
 def top_residuals(pairs: DataFrame, k: int = 3) -> DataFrame:

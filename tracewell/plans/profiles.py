@@ -87,9 +87,12 @@ WITH t AS (SELECT count(*) AS n FROM event_tokens WHERE split = 'train'), b AS (
 r AS (SELECT x.host, x.event_id, -ln((coalesce(v.n, 0) + 1.0E0) / (t.n + b.b)) AS rarity, CASE WHEN v.n IS NULL THEN 1 ELSE 0 END AS unseen, row_number() OVER (PARTITION BY x.host, x.event_id ORDER BY coalesce(v.n, 0), x.token) AS r FROM event_tokens x CROSS JOIN t CROSS JOIN b LEFT JOIN train_vocab v ON v.token = x.token WHERE x.split = 'test')
 SELECT host, event_id, round(avg(rarity), 6) AS mean_rarity, round(max(rarity), 6) AS max_rarity, round(avg(CASE WHEN r <= 3 THEN rarity END), 6) AS top3_rarity, CAST(sum(unseen) AS BIGINT) AS unseen FROM r GROUP BY host, event_id""",
     "profile_rarity": """
-WITH t AS (SELECT count(*) AS n FROM train_flow), s AS (SELECT info_src, count(*) AS c FROM train_flow GROUP BY info_src), d AS (SELECT info_dst, count(*) AS c FROM train_flow GROUP BY info_dst), e AS (SELECT info_src, info_dst, count(*) AS c FROM train_flow GROUP BY info_src, info_dst), r AS (SELECT action, dst_kind, count(*) AS c FROM train_flow GROUP BY action, dst_kind)
-SELECT f.host, f.event_id, round(-ln((coalesce(e.c, 0) + 1.0E0) / (t.n + 1)), 9) AS edge_rarity, round(-ln((coalesce(s.c, 0) + 1.0E0) / (t.n + 1)), 9) AS src_rarity, round(-ln((coalesce(d.c, 0) + 1.0E0) / (t.n + 1)), 9) AS dst_rarity, round(-ln((coalesce(r.c, 0) + 1.0E0) / (t.n + 1)), 9) AS relation_rarity
-FROM flow f CROSS JOIN t LEFT JOIN s ON s.info_src = f.info_src LEFT JOIN d ON d.info_dst = f.info_dst LEFT JOIN e ON e.info_src = f.info_src AND e.info_dst = f.info_dst LEFT JOIN r ON r.action = f.action AND r.dst_kind = f.dst_kind WHERE f.split = 'test'""",
+WITH t AS (SELECT count(*) AS n FROM train_flow), s AS (SELECT info_src, count(*) AS c FROM train_flow GROUP BY info_src), d AS (SELECT info_dst, count(*) AS c FROM train_flow GROUP BY info_dst), e AS (SELECT info_src, info_dst, count(*) AS c FROM train_flow GROUP BY info_src, info_dst), r AS (SELECT action, dst_kind, count(*) AS c FROM train_flow GROUP BY action, dst_kind),
+o AS (SELECT node, sum(c) AS c FROM (SELECT info_src AS node, c FROM s UNION ALL SELECT info_dst, c FROM d) u GROUP BY node)
+SELECT f.host, f.event_id, round(-ln((coalesce(e.c, 0) + 1.0E0) / (t.n + 1)), 9) AS edge_rarity, round(-ln((coalesce(s.c, 0) + 1.0E0) / (t.n + 1)), 9) AS src_rarity, round(-ln((coalesce(d.c, 0) + 1.0E0) / (t.n + 1)), 9) AS dst_rarity, round(-ln((coalesce(r.c, 0) + 1.0E0) / (t.n + 1)), 9) AS relation_rarity,
+  round(-ln((coalesce(os.c, 0) + 1.0E0) / (2 * t.n + 1)), 9) AS src_self_rarity, round(-ln((coalesce(od.c, 0) + 1.0E0) / (2 * t.n + 1)), 9) AS dst_self_rarity,
+  round(-ln((least(coalesce(os.c, 0), coalesce(od.c, 0)) + 1.0E0) / (2 * t.n + 1)), 9) AS endpoint_self_rarity
+FROM flow f CROSS JOIN t LEFT JOIN o os ON os.node = f.info_src LEFT JOIN o od ON od.node = f.info_dst LEFT JOIN s ON s.info_src = f.info_src LEFT JOIN d ON d.info_dst = f.info_dst LEFT JOIN e ON e.info_src = f.info_src AND e.info_dst = f.info_dst LEFT JOIN r ON r.action = f.action AND r.dst_kind = f.dst_kind WHERE f.split = 'test'""",
     "process_semantic_audit": """
 WITH s AS (SELECT f.split, w.tokens, f.event_id FROM flow f JOIN node_words w ON w.node_id = f.actor_id), c AS (SELECT split, tokens, count(*) AS n, row_number() OVER (PARTITION BY split ORDER BY count(*) DESC, tokens) AS r FROM s GROUP BY split, tokens), t AS (SELECT split, count(*) AS events, count_if(tokens = 'unknown') AS unknown, count(DISTINCT tokens) AS roles FROM s GROUP BY split)
 SELECT c.split, t.events, t.unknown, t.roles, c.r, c.tokens, c.n FROM c JOIN t ON t.split = c.split WHERE c.r <= 20""",

@@ -28,9 +28,10 @@ TEXTS: dict[str, str] = {
     "android_node_semantics": "SELECT kind, path, cmd, class FROM node_classes WHERE system = 'android'",
     "residual_score": """
 WITH v AS (SELECT label, pos, greatest(var_samp(p - y), 0.000001E0) AS variance FROM vec_pairs GROUP BY label, pos)
-SELECT q.vec_id, round(1 - sum(p * y) / greatest(sqrt(sum(p * p)) * sqrt(sum(y * y)), 0.00000001E0) + 0.25E0 * avg((p - y) * (p - y)), 5) AS raw_mse, round(1 - sum(p * y) / greatest(sqrt(sum(p * p)) * sqrt(sum(y * y)), 0.00000001E0) + 0.25E0 * sum((p - y) * (p - y) / (v.variance + 0.000001E0)), 4) AS var_calibrated
+SELECT q.vec_id, round(greatest((1 - sum(p * y) / greatest(sqrt(sum(p * p)) * sqrt(sum(y * y)), 0.00000001E0)) * (1 + 0.5E0 / count(*)), 0.0E0), 6) AS legacy,
+  round(1 - sum(p * y) / greatest(sqrt(sum(p * p)) * sqrt(sum(y * y)), 0.00000001E0) + 0.25E0 * avg((p - y) * (p - y)), 5) AS raw_mse, round(1 - sum(p * y) / greatest(sqrt(sum(p * p)) * sqrt(sum(y * y)), 0.00000001E0) + 0.25E0 * sum((p - y) * (p - y) / (v.variance + 0.000001E0)), 4) AS var_calibrated
 FROM vec_pairs q JOIN v ON v.label = q.label AND v.pos = q.pos GROUP BY q.vec_id""",
-    "score_targets": "SELECT vec_id, pos, round((p + 0.5E0 * y + p) / 2.5E0, 6) AS weighted_target, round((p + y) / 2, 6) AS pair_target FROM vec_pairs",
+    "score_targets": "SELECT vec_id, pos, round((p + 0.5E0 * y + p) / 2.5E0, 6) AS weighted_target, round((p + y) / 2, 6) AS pair_target, round((p + y + p) / 3, 6) AS event_target, round(0.5E0 * (p + y + p) / 3 + 0.25E0 * (p + y), 6) AS mixture_target FROM vec_pairs",
     "top_residual_dims": "SELECT vec_id, r, pos, round(abs(p - y), 6) AS residual FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(p - y) DESC, pos) AS r FROM vec_pairs) x WHERE r <= 3",
     "state_asof": """
 SELECT host, stream_pos, node_id, round(coalesce(lag(score) OVER (PARTITION BY host, node_id ORDER BY stream_pos), 0.0E0), 6) AS last_score, lag(ts_us) OVER (PARTITION BY host, node_id ORDER BY stream_pos) AS last_us FROM touch""",

@@ -162,7 +162,7 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "field_context_nll": lambda a: rounded(profiles.field_nll(_train(a), a.test, _node_tokens(a)), dst_field_nll=6, worst=6),
     "edge_familiarity": lambda a: rounded(profiles.edge_surprise(_train(a), a.test), surprise=9),
     "bucket_rarity": lambda a: rounded(profiles.token_rarity(_tokens(a, "train"), _tokens(a, "test")), mean_rarity=6, max_rarity=6, top3_rarity=6),
-    "profile_rarity": lambda a: rounded(profiles.profile_rarity(_train(a), a.test), **dict.fromkeys(profiles.PROFILES, 9)),
+    "profile_rarity": lambda a: rounded(profiles.profile_rarity(_train(a), a.test), **dict.fromkeys([*profiles.PROFILES, "src_self_rarity", "dst_self_rarity", "endpoint_self_rarity"], 9)),
     "process_semantic_audit": lambda a: profiles.role_audit(a.flow, rel.node_words(a.nodes)),
     "collision_audit": lambda a: profiles.collisions(a.nodes, rel.node_words(a.nodes), a.touch.where("split = 'train'")),
     "temporal_count_score": lambda a: rounded(profiles.temporal_count_score(_train(a), a.test), score=6),
@@ -303,8 +303,8 @@ def _first_alerts(a: Audit) -> DataFrame:
 VECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "distance": lambda v: rounded(_pairs(v).select("vec_id", vectors.cosine_distance("p", "y").alias("cosine_distance"), vectors.mse("p", "y").alias("mse")), cosine_distance=5, mse=6),
     "action_residual_variance": lambda v: rounded(vectors.residual_variance(v.withColumnRenamed("label", "action_id"), "action_id", F.col("embedding").cast("array<double>"), least=30), variance=8),
-    "residual_score": lambda v: rounded(vectors.residual_scores(_pairs(v)), raw_mse=5, var_calibrated=4),
-    "score_targets": lambda v: rounded(vectors.targets(_pairs(v)), weighted_target=6, pair_target=6),
+    "residual_score": lambda v: rounded(vectors.residual_scores(_pairs(v)), legacy=6, raw_mse=5, var_calibrated=4),
+    "score_targets": lambda v: rounded(vectors.targets(_pairs(v)), weighted_target=6, pair_target=6, event_target=6, mixture_target=6),
     "top_residual_dims": lambda v: rounded(vectors.top_residuals(_pairs(v)), residual=6),
 }
 

@@ -14,11 +14,8 @@ from tracewell.operators import relational as rel
 from tracewell.sources.audit import BY_ACTION, Audit
 from tracewell.sources.staging import stage
 from tracewell.streaming import merging
-from tracewell.streaming.fold import Fold, folded
-from tracewell.streaming.folds import KEEP, REALDIAG_KEEP, D, P, TAUS, message
-
-_CANDIDATES = tuple(sorted({float(t) for t in TAUS}))
-
+from tracewell.streaming.fold import folded
+from tracewell.streaming.folds import KEEP, REALDIAG_KEEP, D, P, message
 
 def _words(a: Audit) -> DataFrame:
     return stage(attributes.summaries(a.nodes), "words")
@@ -205,25 +202,11 @@ def reliability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.fit_gates(rows, _EVIDENCE)
 
 
-def _decay_errors(states, e) -> tuple:
-    """Squared errors of the node's state under each time constant as a prediction of the next vector."""
-    z = message(e.action, e.kind, e.peer_kind)
-    out = []
-    for t in _CANDIDATES:
-        h = states.get(f"h{t}")
-        h = np.zeros(D) if h is None else np.asarray(h)
-        out.append(float(((z - h) ** 2).mean()))
-        keep = float(np.exp(-1 / t))
-        states[f"h{t}"] = keep * h + (1 - keep) * z
-    return e.host, int(e.node_id), out
-
-
-_DECAY_FOLD = Fold(("host", "node_id"), ("ts_us", "event_id"), ("action", "kind", "peer_kind"), "host string, node_id long, errors array<double>", _decay_errors)
-
-
 def fit_realdiag_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """candidate (a time constant) and its error on training events, the best first."""
-    return variants.fit_decay(folded(Audit.of(spark, sf_dir).touch.where("split = 'train'"), _DECAY_FOLD), _CANDIDATES)
+    """dimension, gamma and time constant of the states' decay, learned on training events; and the loss before and after."""
+    gamma, losses = variants.fit_gamma(Audit.of(spark, sf_dir).touch.where("split = 'train'"), message, D)
+    rows = [(i, float(g), float(1 / g), losses[0], losses[-1]) for i, g in enumerate(gamma)]
+    return spark.createDataFrame(rows, "dimension int, gamma double, tau double, first_loss double, last_loss double")
 
 
 def node_pair_head(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.operators import attributes, learning
 from tracewell.sources.audit import Audit
+from tracewell.sources.staging import stage
 from tracewell.streaming.fold import Fold, folded
 from tracewell.streaming.folds import EVENT_FOLDS, NODE_FOLDS, P
 
@@ -17,6 +19,23 @@ def bucketed(events: DataFrame) -> DataFrame:
     return events.withColumn("bucket", F.crc32(F.concat_ws("|", F.col("info_src").cast("string"), "action", "src_kind", "dst_kind").cast("binary")) % P.sketch_buckets)
 
 
+def with_vectors(events: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds z, the mean of the learned vectors of an event's source, action and destination."""
+    words = stage(attributes.summaries(nodes), "words")
+    vectors = stage(learning.fit_word2vec(learning.sentences(events.where("split = 'train'"), words)), "word-vectors")
+    node = stage(learning.mean_vectors(learning.used_words(events, words), vectors, "node_id"), "node-vectors")
+    own = lambda e: node.select(F.col("node_id").alias(f"info_{e}"), F.col("embedding").alias(f"__{e}"))
+    action = learning.mean_vectors(learning.action_words(events), vectors, "action").withColumnRenamed("embedding", "__action")
+    rows = events.join(own("src"), "info_src").join(own("dst"), "info_dst").join(action, "action")
+    z = F.zip_with(F.zip_with("__src", "__action", lambda a, b: a + b), "__dst", lambda a, b: (a + b) / 3)
+    return rows.withColumn("z", z).drop("__src", "__dst", "__action")
+
+
+def _adaptive_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = Audit.of(spark, sf_dir)
+    return folded(with_vectors(a.placed, a.nodes), EVENT_FOLDS["adaptive_memory"])
+
+
 def _over_flow(fold: Fold) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: folded(bucketed(Audit.of(spark, sf_dir).placed) if "bucket" in fold.key else Audit.of(spark, sf_dir).placed, fold)
 
@@ -31,4 +50,4 @@ def role_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {n: _over_flow(f) for n, f in EVENT_FOLDS.items()} | {n: _over_touch(f) for n, f in NODE_FOLDS.items()}
-QUERIES["role_prototypes"] = role_prototypes
+QUERIES |= {"role_prototypes": role_prototypes, "adaptive_memory": _adaptive_memory}

@@ -110,6 +110,9 @@ class Parameters:
     #: share of an evicted state that goes into its kind's prototype
     prototype: float = 0.1
     sketch_buckets: int = 4096
+    #: vectors that a memory needs before it measures, and deviations beyond which it keeps one out
+    least_kept: int = 10
+    tail: float = 4.0
     #: nodes whose risk a host keeps, and for how long after their last touch
     most_risks: int = 200
     risk_ttl: float = 3.15e7
@@ -193,12 +196,23 @@ def _adaptive(states, e) -> tuple:
 
 
 def _memory(states, e) -> tuple:
-    """A running mean for each kind of event; far vectors are kept out of it."""
-    n, mean = states.get("m", [0.0, 0.0])
-    gap = abs(e.score - mean) / 1e4 if n else 0.0
-    if n < 10 or gap < 4:
-        states["m"] = [n + 1, mean + (e.score - mean) / (n + 1)]
-    return e.host, e.action, e.src_kind, e.dst_kind, int(e.stream_pos), round(gap, 9)
+    """A running mean vector for each kind of event: its root mean square distance to the event's vector z, and whether z was kept out.
+
+    From P.least_kept vectors on, a vector further away than the kept ones' mean distance and P.tail deviations is quarantined: it
+    leaves mean and distances as they are. Before, the distance is 0.
+    """
+    z, n = np.asarray(e.z, float), states.get("n", [0.0])[0]
+    mean = np.asarray(states.get("m", np.zeros(len(z))))
+    gap = float(np.sqrt(((z - mean) ** 2).mean())) if n >= P.least_kept else 0.0
+    count, centre, spread = states.get("g", [0.0, 0.0, 0.0])
+    out = count >= P.least_kept and gap > centre + P.tail * math.sqrt(spread / count)
+    if not out:
+        states["n"], states["m"] = [n + 1], mean + (z - mean) / (n + 1)
+        if n >= P.least_kept:
+            away = gap - centre
+            centre += away / (count + 1)
+            states["g"] = [count + 1, centre, spread + away * (gap - centre)]
+    return e.host, e.action, e.src_kind, e.dst_kind, int(e.stream_pos), int(e.event_id), round(gap, 9), bool(out)
 
 
 def _node_vector(keep: np.ndarray):
@@ -458,7 +472,7 @@ EVENT_FOLDS: dict[str, Fold] = {
     "lowrank_state_baseline": _host("event_id long, distance double", _mixed_states),
     "actor_object_closure": Fold(("host", "actor_id"), ("stream_pos",), ("action", "object_id", "object_kind", "score", "ts_us"), "host string, actor_id long, stream_pos long, closure double, best_link double", _closure),
     "episode_sketch": Fold(("host", "bucket"), ("stream_pos",), ("action", "ts_us"), "host string, bucket long, stream_pos long, support double", _sketch),
-    "adaptive_memory": Fold(("host", "action", "src_kind", "dst_kind"), ("stream_pos",), ("score",), "host string, action string, src_kind string, dst_kind string, stream_pos long, gap double", _memory),
+    "adaptive_memory": Fold(("host", "action", "src_kind", "dst_kind"), ("stream_pos",), ("event_id", "z"), "host string, action string, src_kind string, dst_kind string, stream_pos long, event_id long, gap double, quarantined boolean", _memory),
 }
 #: over ``touch``
 NODE_FOLDS: dict[str, Fold] = {

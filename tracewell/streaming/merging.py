@@ -40,7 +40,7 @@ class Merging:
         return int(((signature[: self.bits] > 0) << np.arange(self.bits)).sum())
 
     def step(self, keep: np.ndarray = KEEP):
-        """The fold's step; names: n<node> [place, changes], s<place> state, c<place> [holders, kind, bucket], b<kind>:<bucket> places, last changed last."""
+        """The fold's step; names: n<node> [place, changes], s<place> state, g<place> its signature, c<place> [holders, kind, bucket], b<kind>:<bucket> places, last changed last."""
         kinds = list(SCALE)
 
         def unlisted(states, place: int, kind: int, bucket: int) -> None:
@@ -48,7 +48,9 @@ class Merging:
             states[name] = [p for p in states.get(name, []) if int(p) != place]
 
         def listed(states, place: int, holders: int, kind: int) -> None:
-            bucket = self.bucket(self.signature(np.asarray(states[f"s{place}"])))
+            signature = self.signature(np.asarray(states[f"s{place}"]))
+            bucket = self.bucket(signature)
+            states[f"g{place}"] = signature
             states[f"c{place}"] = [float(holders), float(kind), float(bucket)]
             name = f"b{kind}:{bucket}"
             states[name] = [*(p for p in states.get(name, []) if int(p) != place), float(place)]
@@ -82,16 +84,14 @@ class Merging:
             changes += 1
             if self.mode != "none" and changes >= self.first and changes % self.interval == 0:
                 signature = self.signature(np.asarray(states[f"s{place}"]))
-                best, near = None, self.least
-                others = states.get(f"b{kind}:{self.bucket(signature)}", [])
-                for other in reversed(list(others)[-self.most_compared :]):
-                    cosine = float(signature @ self.signature(np.asarray(states[f"s{int(other)}"])))
-                    if cosine > near or (cosine == near and best is None):
-                        best, near = int(other), cosine
-                if best is not None:
+                others = [int(p) for p in states.get(f"b{kind}:{self.bucket(signature)}", [])][: -self.most_compared - 1 : -1]
+                cosines = np.array([states[f"g{p}"] for p in others]) @ signature if others else np.zeros(1)
+                if others and cosines.max() >= self.least:
+                    best = others[int(cosines.argmax())]  # of equals the last changed
                     holders, _, bucket = states[f"c{best}"]
                     mean = (np.asarray(states[f"s{best}"]) * holders + np.asarray(states.pop(f"s{place}"))) / (holders + 1)
                     states.pop(f"c{place}", None)
+                    states.pop(f"g{place}", None)
                     unlisted(states, best, kind, int(bucket))
                     states[f"s{best}"] = mean
                     states["places"] = [states["places"][0] - 1]
