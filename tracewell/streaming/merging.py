@@ -73,13 +73,13 @@ class Merging:
             else:
                 place, changes = int(at[0]), int(at[1])
                 old = np.asarray(states[f"s{place}"])
-                holders, _, bucket = states[f"c{place}"]
+                holders, listed_as, bucket = states[f"c{place}"]
                 if holders > 1:
                     # the others keep their state; from one holder on it is that node's own
-                    states[f"c{place}"] = [holders - 1, float(kind), bucket]
+                    states[f"c{place}"] = [holders - 1, listed_as, bucket]
                     place, copied = fresh(states), True
                 else:
-                    unlisted(states, place, kind, int(bucket))
+                    unlisted(states, place, int(listed_as), int(bucket))
             states[f"s{place}"] = keep * old + (1 - keep) * m
             changes += 1
             if self.mode != "none" and changes >= self.first and changes % self.interval == 0:
