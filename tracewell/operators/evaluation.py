@@ -168,7 +168,7 @@ def component_audit(scored: DataFrame, by: list[str], components: dict[str, Colu
     long = scored.select(*by, "event_id", "label", F.explode(rows).alias("c")).select(*by, "event_id", "label", "c.*")
     p = F.expr(POSITIVE)
     gap = F.avg(F.when(p, F.col("x"))) - F.avg(F.when(~p, F.col("x")))
-    return ranked(long, [*by, "component"], score="x").groupBy(*by, "component").agg(gap.alias("gap"), *(F.count_if((F.col("rk") <= b) & p).alias(f"tp_{b}") for b in budgets))
+    return ranked(long, [*by, "component"], score="x", keep=("label",)).groupBy(*by, "component").agg(gap.alias("gap"), *(F.count_if((F.col("rk") <= b) & p).alias(f"tp_{b}") for b in budgets))
 
 
 def alert_delay(scored: DataFrame, alerts: DataFrame, by: list[str]) -> DataFrame:
