@@ -165,7 +165,7 @@ def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fit_lowrank_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _contexts(spark, sf_dir).where("split = 'train'").select("x", "y")
-    return spark.createDataFrame(list(enumerate(variants.fit_lowrank(data)[2])), "epoch int, loss double")
+    return spark.createDataFrame(list(enumerate(variants.fit_lowrank(data, epochs=30)[2])), "epoch int, loss double")
 
 
 def fit_als_lowrank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +212,7 @@ def fit_realdiag_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_pair_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """host, event_id and the distance between the vector that a low-rank head expects of the pair of ends and the event's own."""
     data = _contexts(spark, sf_dir)
-    head, scale, _ = variants.fit_lowrank(data.where("split = 'train'").select("x", "y"), epochs=8)
+    head, scale, _ = variants.fit_lowrank(data.where("split = 'train'").select("x", "y"), epochs=30)
 
     def f(pdf):
         x, y = (np.stack(pdf[c].to_numpy()) for c in ("x", "y"))
