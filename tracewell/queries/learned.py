@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import policies
-from tracewell.operators import alerting, attributes, clusters, conditional, evaluation, learning, online, variants
+from tracewell.operators import alerting, attributes, clusters, conditional, evaluation, learning, online, variants, views
 from tracewell.operators import relational as rel
 from tracewell.sources.audit import BY_ACTION, Audit
 from tracewell.sources.staging import stage
@@ -181,12 +181,12 @@ def lowrank_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_view_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test events by how far three views of their context (source, destination, kinds) miss their vectors together."""
-    data = _contexts(spark, sf_dir)
-    train = data.where("split = 'train'").select("x", "y")
-    views = {"source": slice(0, D), "destination": slice(D, 2 * D), "kinds": slice(2 * D, None)}
-    errors = stage(variants.view_errors(data, {n: variants.ridge_error(train, s) for n, s in views.items()}), "view-errors")
-    return variants.mahalanobis(errors.where("split = 'test'"), list(views), errors.where("split = 'validation'"))
+    """Test events by how far three text policies' models miss them together: distance, each component's part, score."""
+    a = Audit.of(spark, sf_dir)
+    placed = stage(a.placed, "placed")
+    model = views.MultiView.fit(placed, views.policies(_words(a)))
+    components = stage(model.components(placed), "view-components")
+    return views.fused(components.where("split = 'test'"), model.columns, components.where("split = 'validation'"))
 
 
 _EVIDENCE = ["excess", "peers", "actions", "transitions"]
