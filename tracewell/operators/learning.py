@@ -110,6 +110,19 @@ def _stacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(pdf["x"].to_numpy()), np.stack(pdf["y"].to_numpy())
 
 
+def adam_step(parameters: list[np.ndarray], g: np.ndarray, moments: list[tuple[np.ndarray, np.ndarray]], t: int, rate: float, most: float = 5.0) -> None:
+    """The ``t``-th Adam step of all parameters, in place, along a gradient summed over g[1] rows, whose mean is clipped to the norm ``most``."""
+    grads, at = [], 2
+    for p in parameters:
+        grads.append(g[at : at + p.size].reshape(p.shape) / g[1])
+        at += p.size
+    clip = min(1.0, most / max(np.sqrt(sum((x * x).sum() for x in grads)), 1e-12))
+    for p, x, (m, v) in zip(parameters, grads, moments):
+        m += 0.1 * (clip * x - m)
+        v += 0.001 * ((clip * x) ** 2 - v)
+        p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+
+
 class Head:
     """x W1 W2 + b, of rank ``rank``; learned with half the squared error or with 1 - cosine."""
 
@@ -149,16 +162,7 @@ class Head:
         return np.concatenate(([loss, len(x)], (x.T @ (d @ self.w2.T)).ravel(), (u.T @ d).ravel(), d.sum(0)))
 
     def moved(self, g: np.ndarray, moments: list[tuple[np.ndarray, np.ndarray]], t: int, rate: float, most: float = 5.0) -> None:
-        """The ``t``-th Adam step along a summed gradient, whose mean is clipped to the norm ``most``."""
-        grads, at = [], 2
-        for p in self.parameters:
-            grads.append(g[at : at + p.size].reshape(p.shape) / g[1])
-            at += p.size
-        clip = min(1.0, most / max(np.sqrt(sum((x * x).sum() for x in grads)), 1e-12))
-        for p, x, (m, v) in zip(self.parameters, grads, moments):
-            m += 0.1 * (clip * x - m)
-            v += 0.001 * ((clip * x) ** 2 - v)
-            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        adam_step(self.parameters, g, moments, t, rate, most)
 
 
 def fit_head(data: DataFrame, epochs: int = 15, rate: float = 0.05, patience: int = 5) -> tuple[Head, list[float]]:

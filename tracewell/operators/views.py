@@ -8,6 +8,7 @@ the validation events. Every event is scored before the states of its ends move.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,7 +77,9 @@ class MultiView:
     @classmethod
     def fit(cls, placed: DataFrame, words: dict[str, DataFrame], alpha: float = 1.0, rank: int = 16) -> MultiView:
         """A view for each policy's ``words`` (node_id, tokens)."""
-        return cls({name: View.fit(placed, w, name, alpha, rank) for name, w in words.items()})
+        # a host's stream is one task's work, so views are fitted side by side
+        with ThreadPoolExecutor(max(1, len(words))) as pool:
+            return cls(dict(zip(words, pool.map(lambda name: View.fit(placed, words[name], name, alpha, rank), words))))
 
     @property
     def columns(self) -> list[str]:

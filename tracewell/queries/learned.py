@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import policies
-from tracewell.operators import alerting, attributes, clusters, conditional, evaluation, learning, online, variants, views
+from tracewell.operators import alerting, attributes, clusters, conditional, evaluation, learning, online, reliability, variants, views
 from tracewell.operators import relational as rel
 from tracewell.sources.audit import BY_ACTION, Audit
 from tracewell.sources.staging import stage
@@ -198,8 +198,15 @@ def evidence_composer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reliability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stage(_evidence(spark, sf_dir).where("split = 'validation'").select("event_id", *(F.log1p(c).alias(c) for c in _EVIDENCE)), "evidence")
-    return variants.fit_gates(rows, _EVIDENCE)
+    """component, its mean gate and part over test events, and the loss of the pairs of events and perturbed twins, at first and at last."""
+    a = Audit.of(spark, sf_dir)
+    return reliability.Reliability.fit(a.flow).summary(reliability.with_gaps(a.flow).where("split = 'test'"))
+
+
+def reliability_gated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """host, event_id, score, gates, parts and top component of the test events."""
+    a = Audit.of(spark, sf_dir)
+    return reliability.Reliability.fit(a.flow).scores(reliability.with_gaps(a.flow).where("split = 'test'"))
 
 
 def fit_realdiag_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +254,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         state_merge_clusters, state_compression_summary, alert_merge_analysis, run_comparison,
         fit_word2vec, embed_tokens, node_embeddings, action_embeddings,
         conditional_context, conditional_train_matrix, fit_conditional_head, apply_head, case_loss_summary,
-        fit_lowrank_residual, fit_als_lowrank, fit_ridge_svd, lowrank_components, multi_view_score, evidence_composer, reliability_gate,
+        fit_lowrank_residual, fit_als_lowrank, fit_ridge_svd, lowrank_components, multi_view_score, evidence_composer, reliability_gate, reliability_gated_score,
         fit_realdiag_gamma, node_pair_head, action_nll_head, transfer_logistic, isotonic_calibration, pca_2d, mean_cov_fit,
     )
 }
