@@ -3,10 +3,45 @@
 from __future__ import annotations
 
 from tracewell.functions.node_rules import defaults_sql, rules_sql
+from tracewell.operators import details
 
 _STARTS, _ENDS, _MATCHES = "/*spark startswith*//*duck starts_with*/", "/*spark endswith*//*duck ends_with*/", "/*spark regexp_like*//*duck regexp_matches*/"
 _DIMS = "/*spark LATERAL VIEW posexplode(embedding) t AS pos, x*//*duck , LATERAL (SELECT unnest(range(len(embedding))) AS pos, unnest(embedding) AS x) t*/"
 
+
+
+def _token(x: str, most: int = 60) -> str:
+    plain = f"regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '\\s+', '_', 'g'), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g')"
+    return f"substr(coalesce(nullif({plain}, ''), 'unknown'), 1, {most})"
+
+
+_GENERIC, _MISSING = (", ".join(f"'{x}'" for x in names) for names in (details.GENERIC, details.MISSING))
+#: what a file of /proc/<number> is of, from the list q of its further parts
+_OF_PROCESS = {
+    "freebsd": _token("q[-1]"),
+    "linux": f"CASE WHEN q[1] = 'fd' THEN 'fd' WHEN q[1] = 'task' AND len(q) >= 3 THEN concat('task_', {_token('q[3]', 40)}) ELSE {_token('q[1]', 40)} END",
+}
+
+
+def _file_details(system: str) -> str:
+    own = "WHEN cut = '0' THEN 'swapper' " if system == "linux" else ""
+    return f"""
+WITH f AS (SELECT DISTINCT path, class, lower(trim(path)) AS low, rtrim(lower(trim(path)), '/') AS cut FROM node_classes WHERE kind = 'file' AND system = '{system}'),
+g AS (SELECT *, string_split(cut, '/')[-1] AS last, regexp_extract(cut, '([^/]+)/+[^/]*$', 1) AS above, list_filter(string_split(regexp_replace(cut, '^/proc/[0-9]+', ''), '/'), lambda z: z <> '') AS q FROM f),
+h AS (SELECT *, {_token('last')} AS name, {_token('above')} AS parent FROM g)
+SELECT path, class, CASE WHEN low IN ({_MISSING}) THEN 'unknown' WHEN class = 'filesystem_root' THEN 'root' WHEN class IN ('freebsd_root_dir', 'linux_root_dir') THEN {_token("concat(split_part(ltrim(low, '/'), '/', 1), '_root')")}
+  WHEN class = 'proc_cmdline' THEN 'cmdline' WHEN regexp_matches(cut, '^/proc/[0-9]+(/|$)') THEN CASE WHEN len(q) = 0 THEN 'proc' ELSE {_OF_PROCESS[system]} END {own}
+  WHEN name IN ({_GENERIC}) AND above <> '' AND NOT regexp_full_match(parent, '[0-9]+') THEN substr(concat(parent, '_', name), 1, 60) ELSE name END AS detail FROM h"""
+
+
+#: addresses of the given tables are IPv4, so both systems have the same scopes
+_NETFLOWS = """
+WITH a AS (SELECT node_id, dst_addr, list_transform(string_split(dst_addr, '.'), lambda z: CAST(z AS INTEGER)) AS o, CAST(dst_port AS BIGINT) AS port FROM prov_nodes WHERE kind = 'netflow'),
+s AS (SELECT *, CASE WHEN o[1] = 0 THEN 'ip_unknown_or_zero' WHEN o[1] = 127 THEN 'ip_loopback' WHEN o[1] = 128 AND o[2] = 55 AND o[3] = 12 THEN 'ip_internal_env'
+  WHEN o[1] = 10 OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) THEN 'ip_private' ELSE 'ip_public_or_external' END AS scope FROM a)
+SELECT node_id, concat('net|', scope, CASE WHEN port <= 0 THEN '|port_unknown_or_zero' WHEN port < 1024 THEN '|port_system' WHEN port < 49152 THEN '|port_registered' WHEN port < 65536 THEN '|port_ephemeral' ELSE '|port_invalid' END) AS role,
+  CASE WHEN scope = 'ip_unknown_or_zero' THEN 'netflow' ELSE concat_ws(' ', 'netflow', scope, replace(dst_addr, '.', '_')) END AS tokens FROM s"""
+
 COMMON: dict[str, str] = {
     "class_rules": rules_sql(),
     "class_defaults": defaults_sql(),
@@ -23,6 +58,10 @@ SELECT a.vec_id, a.label, a.pos, a.x AS p, b.x AS y FROM (SELECT vec_id, label,
 }
 
 TEXTS: dict[str, str] = {
+    "freebsd_file_details": _file_details("freebsd"),
+    "linux_file_details": _file_details("linux"),
+    "freebsd_netflow_tokens": _NETFLOWS,
+    "linux_netflow_tokens": _NETFLOWS,
     "freebsd_node_semantics": "SELECT kind, path, cmd, class FROM node_classes WHERE system = 'freebsd'",
     "linux_node_semantics": "SELECT kind, path, cmd, class FROM node_classes WHERE system = 'linux'",
     "android_node_semantics": "SELECT kind, path, cmd, class FROM node_classes WHERE system = 'android'",

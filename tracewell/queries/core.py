@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import node_rules, policies
-from tracewell.operators import alerting, attributes, evaluation, flow, nodes, profiles, vectors, windows
+from tracewell.operators import alerting, attributes, details, evaluation, flow, nodes, profiles, vectors, windows
 from tracewell.operators import relational as rel
 from tracewell.operators import thresholds
 from tracewell.sources.audit import BY_ACTION, Audit
@@ -202,6 +202,13 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "freebsd_node_semantics": lambda a: _classes(a, "freebsd"),
     "linux_node_semantics": lambda a: _classes(a, "linux"),
     "android_node_semantics": lambda a: _classes(a, "android"),
+    "freebsd_file_details": lambda a: details.file_details(_all_classes(a), "freebsd"),
+    "linux_file_details": lambda a: details.file_details(_all_classes(a), "linux"),
+    "freebsd_process_details": lambda a: details.process_details(a.nodes, _all_classes(a), "freebsd"),
+    "linux_process_details": lambda a: details.process_details(a.nodes, _all_classes(a), "linux"),
+    "freebsd_netflow_tokens": lambda a: details.netflow_roles(a.nodes, "freebsd").withColumn("tokens", F.array_join("tokens", " ")),
+    "linux_netflow_tokens": lambda a: details.netflow_roles(a.nodes, "linux").withColumn("tokens", F.array_join("tokens", " ")),
+    "natural_sentence": lambda a: _natural_sentences(a, "linux"),
     "semantic_profile_route": lambda a: attributes.routed(a.events, {"h0%": "freebsd", "h1%": "linux", "h2%": "android"}),
     "node_roles": lambda a: attributes.head_roles(attributes.summaries(a.nodes), 2),
     "coarse_raw_roles": lambda a: attributes.coarse_and_raw(attributes.summaries(a.nodes)),
@@ -245,6 +252,16 @@ def _truth_files(a: Audit) -> DataFrame:
     return a.truth.select("uuid", (F.col("node_id") + 7).cast("string").alias("old_index")).unionByName(odd)
 
 
+def _all_classes(a: Audit) -> DataFrame:
+    return attributes.node_classes(a.nodes, *node_rules.tables(a.nodes.sparkSession))
+
+
+def _natural_sentences(a: Audit, system: str) -> DataFrame:
+    """host, event_id and the sentence of both ends' kind, class and detail around the action."""
+    words = details.natural_tokens(a.nodes, _all_classes(a), system).select("node_id", "kind", F.array_join("tokens", " ").alias("tokens"))
+    return rel.with_words(a.flow, words).select("host", "event_id", F.concat_ws(" ", "src_tokens", F.lower("action"), "dst_tokens").alias("sentence"))
+
+
 def _classes(a: Audit, system: str) -> DataFrame:
     rules, defaults = node_rules.tables(a.nodes.sparkSession)
     return attributes.node_classes(a.nodes, rules.where(F.col("system") == system), defaults.where(F.col("system") == system)).drop("system")
