@@ -17,7 +17,7 @@ FILES = {
     },
 }
 PROCESSES = {
-    "freebsd": {(None, "python -u /opt/jobs/sync.py --fast"): "sync_py", (None, "/bin/sh -c 'echo hello'"): "echo_hello", (None, "-csh"): "csh", ("/sbin/init", None): "system_admin", (None, "vi /etc/hosts"): "vi", (None, "none"): "none", (None, None): "unknown"},
+    "freebsd": {(None, "python -u /opt/jobs/sync.py --fast"): "sync_py", (None, "/bin/sh -c 'echo hello'"): "echo_hello", (None, "-csh"): "csh", ("/sbin/init", None): "system_admin", (None, "vi /etc/hosts"): "vi", (None, "none"): "process_other", (None, None): "unknown"},
     "linux": {("/usr/bin/perl", "perl a=/b > /tmp/o.txt /srv/run.pl"): "o_txt", ("/usr/sbin/cupsd", None): "cupsd", ("/sbin/dhclient3", "dhclient3 eth0"): "dhclient", (None, "[kworker/0:1]"): "0_1", ("swapper", "0"): "swapper", (None, "bash"): "bash", (None, "bash 'oops"): "oops"},
 }
 
@@ -32,9 +32,7 @@ def test_files_and_processes(spark, system):
     classes = attributes.node_classes(df, *node_rules.tables(spark)).persist()
     assert {r.path: r.detail for r in details.file_details(classes, system).collect()} == {p or "": d for p, d in FILES[system].items()}
     found = {(r.path, r.cmd): r.detail for r in details.process_details(df, classes, system).collect()}
-    expected = {(p or "", c or ""): d for (p, c), d in PROCESSES[system].items()}
-    expected.pop(("", "none"), None), found.pop(("", "none"), None)
-    assert found == expected
+    assert found == {(p or "", c or ""): d for (p, c), d in PROCESSES[system].items()}
     tokens = {r.node_id: r.tokens for r in details.natural_tokens(df, classes, system).collect()}
     assert len(tokens) == df.count() and all(len(t) == 3 for t in tokens.values()) and tokens[0][0] == "file"
     assert details.natural_tokens(df.limit(0), classes.limit(0), system).count() == 0
