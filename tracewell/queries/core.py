@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import node_rules, policies
-from tracewell.operators import alerting, attributes, details, evaluation, flow, nodes, profiles, vectors, windows
+from tracewell.operators import alerting, android, attributes, details, evaluation, flow, nodes, profiles, vectors, windows
 from tracewell.operators import relational as rel
 from tracewell.operators import thresholds
 from tracewell.sources.audit import BY_ACTION, Audit
@@ -209,6 +209,11 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "freebsd_netflow_tokens": lambda a: details.netflow_roles(a.nodes, "freebsd").withColumn("tokens", F.array_join("tokens", " ")),
     "linux_netflow_tokens": lambda a: details.netflow_roles(a.nodes, "linux").withColumn("tokens", F.array_join("tokens", " ")),
     "natural_sentence": lambda a: _natural_sentences(a, "linux"),
+    "android_file_details": lambda a: android.file_details(_phone_classes(a)),
+    "android_file_details_legacy": lambda a: android.file_details(_phone_classes(a), "legacy"),
+    "android_process_details": lambda a: android.process_details(_phone(a)),
+    "android_process_details_legacy": lambda a: android.process_details(_phone(a), "legacy"),
+    "android_sentence": lambda a: android.sentences(a.flow, android.natural_tokens(_phone(a), _phone_classes(a))),
     "semantic_profile_route": lambda a: attributes.routed(a.events, {"h0%": "freebsd", "h1%": "linux", "h2%": "android"}),
     "node_roles": lambda a: attributes.head_roles(attributes.summaries(a.nodes), 2),
     "coarse_raw_roles": lambda a: attributes.coarse_and_raw(attributes.summaries(a.nodes)),
@@ -256,6 +261,27 @@ def _all_classes(a: Audit) -> DataFrame:
     return attributes.node_classes(a.nodes, *node_rules.tables(a.nodes.sparkSession))
 
 
+#: where a phone has what lies in these folders, and how the names of its packages start
+PHONE_FOLDERS = (("/tmp/", "/data/local/tmp/"), ("/etc/", "/system/etc/"), ("/var/log/", "/data/system/dropbox/"), ("/usr/lib//", "/data/data/com.shop/databases/"), ("/home/u/", "/storage/emulated/0/DCIM/"))
+PHONE_PACKAGES = ("com.android.providers.", "com.google.Apps.", "net.tools.", "")
+
+
+def _phone(a: Audit) -> DataFrame:
+    """The nodes laid out as on a phone: its folders, and command lines that are names of packages, some with a part after a colon."""
+    path = F.col("path")
+    for here, there in PHONE_FOLDERS:
+        path = F.when(F.startswith("path", F.lit(here)), F.concat(F.lit(there), F.substr("path", F.lit(len(here) + 1)))).otherwise(path)
+    start = F.get(F.array(*map(F.lit, PHONE_PACKAGES)), (F.col("node_id") % len(PHONE_PACKAGES)).cast("int"))
+    return a.nodes.withColumns({
+        "path": F.when(F.col("kind") == "file", path).otherwise(F.col("path")),
+        "cmd": F.when(F.col("kind") == "process", F.concat(start, F.substring_index("cmd", " ", 1), F.when(F.col("node_id") % 3 == 0, ":remote").otherwise(""))),
+    })
+
+
+def _phone_classes(a: Audit) -> DataFrame:
+    return attributes.node_classes(_phone(a), *node_rules.tables(a.nodes.sparkSession))
+
+
 def _natural_sentences(a: Audit, system: str) -> DataFrame:
     """host, event_id and the sentence of both ends' kind, class and detail around the action."""
     words = details.natural_tokens(a.nodes, _all_classes(a), system).select("node_id", "kind", F.array_join("tokens", " ").alias("tokens"))
