@@ -13,10 +13,12 @@ from tracewell.operators import evaluation
 from tracewell.operators import relational as rel
 from tracewell.sources import files
 from tracewell.sources.audit import Audit
-from tracewell.sources.staging import shared_dir
+from tracewell.sources.staging import shared_dir, stage
 from tracewell.streaming import sinks
 
 THRESHOLD = 50.0
+#: thresholds by group are fitted on the events before
+FITTED = "2024-01-11 00:00:00"
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -88,9 +90,18 @@ def alert_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_trace_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace of a stream against one threshold for all."""
     return spark.read.parquet(f"{_sunk(spark, sf_dir)}/trace").select("host", "event_id", "score", "threshold", "threshold_level", "score_group")
 
 
+def score_trace_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace of a stream against the thresholds of its groups, fitted on the events before FITTED."""
+    stream, at = _stream(spark, sf_dir)
+    past = sinks.mapped(spark.read.parquet(f"{at}/in").where(f"ts < TIMESTAMP '{FITTED}'"))
+    sinks.alert_sink(stream, f"{at}/alerts", f"{at}/checkpoint", stage(sinks.fit_levels(past), "levels"), f"{at}/trace").awaitTermination()
+    return spark.read.parquet(f"{at}/trace").select("host", "event_id", "score", "threshold", "threshold_level", "score_group")
+
+
 def calibration_artifact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds written with the fingerprint of the scores they were fitted on, and loaded for the same scores."""
     a, at = Audit.of(spark, sf_dir), _folder(spark, "artefact")
@@ -118,18 +129,28 @@ def cross_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (ground_truth_nodes, structured_event_export, compact_event_index, incremental_day_export, event_stream_source, alert_sink, score_trace_sink, calibration_artifact_table, leakage_contract_check, cross_run_summary)
+    for f in (ground_truth_nodes, structured_event_export, compact_event_index, incremental_day_export, event_stream_source, alert_sink, score_trace_sink, score_trace_levels, calibration_artifact_table, leakage_contract_check, cross_run_summary)
 }
 
 _STREAM = """
 SELECT concat('h', CAST(user_id % 4 AS VARCHAR)) AS host, event_id, user_id AS src_id, 1000000 + CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS dst_id,
   CASE event_type WHEN 'click' THEN 'EVENT_READ' WHEN 'view' THEN 'EVENT_OPEN' WHEN 'purchase' THEN 'EVENT_WRITE' WHEN 'signup' THEN 'EVENT_CONNECT' ELSE 'EVENT_RECVFROM' END AS action, value AS score FROM events"""
+#: groups of the events before FITTED and the value of rank ceil(0.99 (n - 1)) of each
+_FITTED = f"""
+WITH s AS ({_STREAM}), p AS ({_STREAM} WHERE ts < TIMESTAMP '{FITTED}'),
+l AS (SELECT 'host_action' AS level, host, action, score FROM p UNION ALL SELECT 'action', NULL, action, score FROM p UNION ALL SELECT 'global', NULL, NULL, score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY level, host, action ORDER BY score) - 1 AS r, count(*) OVER (PARTITION BY level, host, action) AS n FROM l),
+t AS (SELECT level, host, action, n, max(CASE WHEN r = ceil(0.99 * (n - 1)) THEN score END) AS thr FROM r GROUP BY level, host, action, n)
+SELECT s.host, s.event_id, s.score, coalesce(h.thr, a.thr, g.thr) AS threshold, CASE WHEN h.thr IS NOT NULL THEN 'host_action' WHEN a.thr IS NOT NULL THEN 'action' ELSE 'global' END AS threshold_level,
+  CASE WHEN h.thr IS NOT NULL THEN concat(s.host, '|', s.action) WHEN a.thr IS NOT NULL THEN s.action ELSE 'all' END AS score_group
+FROM s LEFT JOIN t h ON h.level = 'host_action' AND h.n >= 100 AND h.host = s.host AND h.action = s.action LEFT JOIN t a ON a.level = 'action' AND a.n >= 100 AND a.action = s.action JOIN t g ON g.level = 'global'"""
 #: in terms of the audit tables (tracewell.sources.mapping), for the check
 TEXTS: dict[str, str] = {
     "incremental_day_export": "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n FROM prov_events GROUP BY 1",
     "event_stream_source": _STREAM,
     "alert_sink": f"SELECT s.host, s.event_id, s.score, CASE WHEN s.src_id IN (SELECT node_id FROM gt_nodes) THEN 1 ELSE 0 END + CASE WHEN s.dst_id IN (SELECT node_id FROM gt_nodes) THEN 1 ELSE 0 END AS label FROM ({_STREAM}) s WHERE s.score >= {THRESHOLD}",
     "score_trace_sink": f"SELECT host, event_id, score, CAST({THRESHOLD} AS DOUBLE) AS threshold, 'global' AS threshold_level, action AS score_group FROM ({_STREAM}) s",
+    "score_trace_levels": _FITTED,
     "calibration_artifact_table": "SELECT action, n, thr, vmax FROM action_thresholds",
     "leakage_contract_check": "SELECT 'events' AS table_name, count(*) AS n_rows, '' AS leaks FROM prov_events UNION ALL SELECT 'flow', count(*), '' FROM flow UNION ALL SELECT 'touch', count(*), '' FROM touch "
     "UNION ALL SELECT 'thresholds', count(*), '' FROM action_thresholds UNION ALL SELECT 'labelled', count(*), 'label' FROM labeled UNION ALL SELECT 'alerts', count(*), 'label' FROM alerts",
