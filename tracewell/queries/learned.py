@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -9,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import policies
-from tracewell.operators import alerting, attributes, clusters, conditional, evaluation, learning, online, reliability, variants, views
+from tracewell.operators import alerting, attributes, clusters, conditional, evaluation, learning, online, reliability, saved, variants, views
 from tracewell.operators import relational as rel
 from tracewell.sources.audit import BY_ACTION, Audit
-from tracewell.sources.staging import stage
+from tracewell.sources.staging import shared_dir, stage
 from tracewell.streaming import merging
 from tracewell.streaming.fold import folded
 from tracewell.streaming.folds import KEEP, REALDIAG_KEEP, D, P, message
@@ -32,6 +33,15 @@ def online_conditional_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("host", "event_id", "score", "target_case", "threshold", "threshold_level", "is_alert", "is_suppressed", "decision", "priority", "is_final")
 
 
+def saved_scorer_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test events decided by a scorer that was fitted, saved with its thresholds and history, and loaded against the events it was learned on."""
+    a, at = Audit.of(spark, sf_dir), f"{shared_dir(spark)}/scorer-{uuid.uuid4().hex}"
+    placed = stage(a.placed, "placed")
+    saved.save(saved.Deployed.of(conditional.Scorer.fit(placed, _words(a)), placed, a.nodes), placed, at)
+    found = saved.load(spark, at, placed).judged(placed, a.nodes, *policies.tables(spark))
+    return found.select("host", "event_id", "score", "target_case", "threshold", "threshold_level", "is_alert", "is_suppressed", "decision", "priority", "is_final")
+
+
 def online_residual_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """host, node_id and the pool of surprisals of test events."""
     return online.residual_scoring(Audit.of(spark, sf_dir).placed, P.rate * 12000, 12000.0)[1]
@@ -250,7 +260,7 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        online_conditional_scoring, online_residual_scoring, attack_evidence, cascade_confirmation,
+        online_conditional_scoring, saved_scorer_decisions, online_residual_scoring, attack_evidence, cascade_confirmation,
         state_merge_clusters, state_compression_summary, alert_merge_analysis, run_comparison,
         fit_word2vec, embed_tokens, node_embeddings, action_embeddings,
         conditional_context, conditional_train_matrix, fit_conditional_head, apply_head, case_loss_summary,
