@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tracewell.operators import learning
+from tracewell.operators import flow, learning
 from tracewell.operators.quantiles import quantile_higher
 
 
@@ -71,3 +71,12 @@ def test_gradient_of_a_head(loss):
             p[i] = was
             assert (up - down) / 2e-6 == pytest.approx(g[at], rel=1e-5, abs=1e-6)
             at += 1
+
+
+def test_endpoint_signatures_fall_back(spark):
+    rows = [(1, "10.0.0.1", "22", "10.9.9.9", "1"), (2, "10.0.0.2", None, None, None), (3, None, None, "10.9.9.9", "70"), (4, " ", "5", "10.9.9.8", None), (5, None, "5", "", "6")]
+    nodes = spark.createDataFrame(rows, "node_id long, dst_addr string, dst_port string, src_addr string, src_port string")
+    got = lambda df: [r[0] for r in df.orderBy("node_id").select(flow.endpoint_signature(df.columns)).collect()]
+    assert got(nodes) == ["10.0.0.1:22", "10.0.0.2:", "10.9.9.9:70", "10.9.9.8:", "node:5"]
+    assert got(nodes.drop("src_addr", "src_port")) == ["10.0.0.1:22", "10.0.0.2:", "node:3", "node:4", "node:5"]
+    assert got(nodes.select("node_id")) == [f"node:{i}" for i in range(1, 6)]

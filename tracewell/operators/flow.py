@@ -6,6 +6,8 @@ src_id, dst_id, action, split, score. Order within a host is (ts_us, event_id).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,10 +94,15 @@ def target_cases(flow: DataFrame) -> DataFrame:
 def histories(flow: DataFrame, nodes: DataFrame) -> DataFrame:
     """Writes and sends of processes to the network, with src and endpoint (address and port, else the node)."""
     out = flow.where("action IN ('EVENT_WRITE', 'EVENT_SENDTO') AND src_kind = 'process' AND dst_kind = 'netflow'")
-    named = nodes.select(F.col("node_id").alias("info_dst"), endpoint_signature().alias("endpoint"))
+    named = nodes.select(F.col("node_id").alias("info_dst"), endpoint_signature(nodes.columns).alias("endpoint"))
     return out.join(named, "info_dst").withColumn("src", F.col("info_src"))
 
 
-def endpoint_signature() -> Column:
-    """Address and port of a node, else its id."""
-    return F.when(F.col("dst_addr").isNotNull(), F.concat("dst_addr", F.lit(":"), F.coalesce("dst_port", F.lit("")))).otherwise(F.concat(F.lit("node:"), F.col("node_id").cast("string")))
+def endpoint_signature(columns: Sequence[str] = ("dst_addr", "dst_port")) -> Column:
+    """Address and port of a node, else those of its source where ``columns`` has src_addr, else its id; blank addresses are none."""
+    found = F.lit(None).cast("string")
+    for end in ("src", "dst"):
+        if f"{end}_addr" in columns:
+            port = F.coalesce(F.trim(f"{end}_port"), F.lit("")) if f"{end}_port" in columns else F.lit("")
+            found = F.when(F.trim(f"{end}_addr") != "", F.concat(F.trim(f"{end}_addr"), F.lit(":"), port)).otherwise(found)
+    return F.coalesce(found, F.concat(F.lit("node:"), F.col("node_id").cast("string")))

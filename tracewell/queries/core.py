@@ -226,7 +226,7 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "node_counts_before": lambda a: flow.counts_before(a.touch_placed).select("host", "stream_pos", "node_id", "n_before", "src_before", "dst_before"),
     "has_state_before": lambda a: flow.active(a.touch_placed).select("host", "stream_pos", "node_id", "is_active"),
     "target_case": lambda a: a.cased.select("host", "event_id", "target_case", "src_active", "dst_active"),
-    "endpoint_signature": lambda a: a.nodes.select("node_id", flow.endpoint_signature().alias("signature")),
+    "endpoint_signature": lambda a: a.nodes.select("node_id", flow.endpoint_signature(a.nodes.columns).alias("signature")),
 }
 
 
