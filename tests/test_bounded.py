@@ -1,9 +1,12 @@
 """What keeps disk and passes small: moments in place of contexts, vectors of bags of words."""
 
+from types import SimpleNamespace
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from tracewell.operators import conditional, learning
+from tracewell.streaming import merging
 
 
 def test_gradients_follow_from_moments():
@@ -40,3 +43,13 @@ def test_equal_bags_have_one_vector(spark):
     assert at[1] == at[2] != at[3] and bags.count() == 2
     got = {r.node_id: r.embedding for r in learning.mean_vectors(words, vectors, "node_id").orderBy(F.col("node_id")).collect()}
     assert set(got) == {1, 2, 3} and np.allclose(got[1], [0.5**0.5] * 2) and np.allclose(got[3], [0.5**0.5] * 2)
+
+
+def test_a_change_takes_one_transform(monkeypatch):
+    """A state is transformed once for each change, and the mean once more where it joins another."""
+    taken, step, states, joined = [], merging.Merging().step(), {}, 0
+    true = merging.Merging.signature
+    monkeypatch.setattr(merging.Merging, "signature", lambda self, state: taken.append(1) or true(self, state))
+    for i in range(300):
+        joined += step(states, SimpleNamespace(host="h", stream_pos=i, event_id=i, action="EVENT_READ", src_kind="file", dst_kind="process", info_src=i % 50, info_dst=100 + i % 7))[-1]
+    assert joined and len(taken) == 600 + joined
