@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.prefix import numbered
 from tracewell.operators.relational import mapped
+from tracewell.sources.mapping import ACTIONS
 from tracewell.sources.staging import stage
 
 
@@ -24,12 +25,16 @@ class Weights:
     soft_from: float = 0.5
 
 
-def evidence(touched: DataFrame, w: Weights = Weights()) -> DataFrame:
-    """host, node_id and what its touches add up to: best score, touches over threshold, soft evidence, roles, diversity, stability."""
+def evidence(touched: DataFrame, w: Weights = Weights(), actions: tuple[str, ...] = ACTIONS) -> DataFrame:
+    """host, node_id and what its touches add up to: best score, touches over threshold, soft evidence, roles, diversity, stability.
+
+    Actions are bits, at most 63 and none but ``actions``, so that peers alone are counted as distinct and a touch is one row of the grouping, not three.
+    """
+    action_bit = F.when(F.col("action").isNotNull(), mapped("action", {a: 1 << i for i, a in enumerate(actions)}, F.raise_error(F.concat(F.lit("not among the actions: "), "action")).cast("long")).cast("long"))
     peer_bit = mapped("peer_kind", {"process": 1, "file": 2}, 4)
     return touched.groupBy("host", "node_id").agg(
         F.max("kind").alias("kind"), F.max("score").alias("max_score"), F.count_if(F.expr("score >= thr")).alias("n_high"), F.sum(F.greatest(F.col("score") - F.col("thr") * w.soft_from, F.lit(0.0))).alias("soft"),
-        F.count("*").alias("n"), F.sum("as_src").alias("n_src"), F.sum("as_dst").alias("n_dst"), F.count_distinct("peer").alias("peers"), F.count_distinct("action").alias("actions"),
+        F.count("*").alias("n"), F.sum("as_src").alias("n_src"), F.sum("as_dst").alias("n_dst"), F.count_distinct("peer").alias("peers"), F.coalesce(F.bit_count(F.bit_or(action_bit)).cast("long"), F.lit(0)).alias("actions"),
         F.bit_or(peer_bit).alias("peer_mask"), F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"),
     )
 
