@@ -35,6 +35,20 @@ def test_moments_are_those_of_the_contexts(spark):
     assert got.shape == (30, 136) and np.allclose(np.sort(got, 0), np.sort(x, 0), atol=1e-6)
 
 
+def test_contexts_with_shared_vectors_are_those_of_nodes_with_their_own(spark):
+    events = [(f"h{i % 2}", i, i, i, "train", "EVENT_READ", "file", "process", i % 7, 10 + i % 4) for i in range(60)]
+    placed = spark.createDataFrame(events, "host string, stream_pos long, event_id long, ts_us long, split string, action string, src_kind string, dst_kind string, info_src long, info_dst long")
+    vectors = {b: [float(v) for v in np.random.default_rng(b).normal(size=64)] for b in range(3)}
+    nodes = [*range(7), *range(10, 13)]
+    own = spark.createDataFrame([(n, vectors[n % 3]) for n in nodes], "node_id long, embedding array<double>")
+    shared = spark.createDataFrame([(n, n % 3) for n in nodes], "node_id long, bag long"), spark.createDataFrame(list(vectors.items()), "bag long, embedding array<double>")
+    sent = conditional._known(placed, shared)
+    assert sent.where("embedding IS NOT NULL").count() == 6 and sent.where("stream_pos = -1").count() == conditional._known(placed, own).count()
+    actions = {"EVENT_READ": np.ones(64)}
+    got, want = ({r.event_id: (r.x, r.y) for r in conditional.replayed(placed, n, actions).collect()} for n in (shared, own))
+    assert len(got) == 60 and got == want
+
+
 def test_equal_bags_have_one_vector(spark):
     words = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "a"]), (3, ["a", "a", "new"]), (4, [])], "node_id long, tokens array<string>")
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("<unk>", [-1.0, 1.0])], "token string, embedding array<double>")
