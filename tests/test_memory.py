@@ -262,3 +262,24 @@ def test_decay_rates_are_learned(spark):
     made = spark.createDataFrame([("h", n, 1000 * i, i, f"a{i}", "k", "k") for n in range(3) for i in range(200)], "host string, node_id long, ts_us long, event_id long, action string, kind string, peer_kind string")
     found, losses = variants.fit_gamma(made, lambda a, k, p: table[a], 2, epochs=25, rate=0.3)
     assert losses[-1] < losses[0] and found[0] > 3 * found[1]
+
+
+def test_packed_sequences_have_the_losses_of_single_steps(spark):
+    """Long and short nodes, also in one batch, against vectors met one by one; touches are packed two bytes each."""
+    rng = np.random.default_rng(5)
+    lengths = {("h1", 1): 700, ("h1", 2): 1, ("h1", 3): 256, ("h2", 3): 513, ("h2", 4): 40, ("h2", 5): 2}
+    table = {f"a{i}": rng.normal(size=4) for i in range(6)}
+    touches = [(h, n, 10 * i, i, f"a{rng.integers(6)}", "k", "k") for (h, n), length in lengths.items() for i in range(length)]
+    gamma, want = rng.uniform(0.001, 1.5, 4), np.zeros(6)
+    for key in lengths:
+        node = variants.Sensitivity(gamma)
+        for k, e in enumerate(t for t in touches if t[:2] == key):
+            loss, gradient = node.meet(table[e[4]])
+            want += np.concatenate(([loss, k > 0], gradient))
+    rows = spark.createDataFrame(touches, "host string, node_id long, ts_us long, event_id long, action string, kind string, peer_kind string")
+    packed = variants.packed_sequences(rows.coalesce(1).sortWithinPartitions("host", "node_id", "ts_us", "event_id")).collect()
+    assert len(packed) == 1 and len(packed[0].codes) == 2 * len(touches)
+    z, codes, sizes = np.stack([table[a] for a in packed[0].action]), np.frombuffer(packed[0].codes, "<u2"), np.frombuffer(packed[0].sizes, "<i8")
+    assert sizes.tolist() == list(lengths.values())
+    for chunk in (1, 7, 256, 1000):
+        assert np.allclose(variants.sequence_loss(gamma, z, codes, sizes, chunk), want, rtol=1e-9, atol=1e-9)
