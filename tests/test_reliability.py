@@ -106,3 +106,22 @@ def test_no_events_to_learn_on(spark):
     with pytest.raises(ValueError):
         Reliability.fit(events, floor=0.3)
     assert model.losses == [] and model.scores(reliability.with_gaps(events)).count() == 20
+
+
+def test_packed_pairs_have_the_gradient_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    z, t = rng.gamma(1, size=(50, 4)), rng.gamma(2, size=(50, 4))
+    gate = Gate.new(4)
+    pairs = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(z, t)], "z array<double>, t array<double>")
+    monkeypatch.setattr(reliability, "PACKED", 16)
+    packed = reliability.packed_pairs(pairs.coalesce(1)).persist()
+    assert packed.count() == 4
+    assert np.allclose(reliability.pair_gradients(packed, gate), gate.gradient(z, t))
+
+
+def test_tables_beyond_few_rows_are_joined_alike(spark, monkeypatch):
+    rows = reliability.with_gaps(flow(spark, 400)).persist()
+    want = Reliability.fit(rows, rounds=3)
+    monkeypatch.setattr(reliability, "FEW", 1)
+    got = Reliability.fit(rows, rounds=3)
+    assert got.usual == want.usual and np.allclose(got.gate.weights, want.gate.weights) and np.allclose(got.losses, want.losses)

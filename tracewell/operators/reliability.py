@@ -9,10 +9,12 @@ that can't see any perturbation closes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +35,8 @@ COMPONENTS = {
 }
 #: rows of a host that may swap with each other, and how many of those after it an event looks at
 BUCKET, AHEAD = 4096, 8
+#: count tables up to so many rows are sent to all tasks; rows of pairs that are packed in one
+FEW, PACKED = 10_000, 4096
 _KEYS = ["host", "event_id"]
 _FLOW = ["host", "event_id", "split", "ts_us", "action", "info_src", "info_dst", "src_kind", "dst_kind"]
 
@@ -74,7 +78,7 @@ def twins(rows: DataFrame, salt: str = "twin", least: int = 6, most: int = 16) -
 
 @dataclass
 class Rarities:
-    """Counts of training events for each component; tables are as long as there are distinct keys and joined by key."""
+    """Counts of training events for each component; tables are as long as there are distinct keys and joined by key, those of FEW rows in each task."""
 
     components: dict[str, tuple[list[str], list[str]]]
     tables: dict[str, tuple[DataFrame, DataFrame, int]]
@@ -84,7 +88,8 @@ class Rarities:
         tables = {}
         for name, (given, what) in components.items():
             both = stage(profiles.counts(train, [*given, *what]), f"counts-{name}")
-            tables[name] = both, both.groupBy(*given).agg(F.sum("c").alias("c")), both.select(*what).distinct().count() + 1
+            alone = stage(both.groupBy(*given).agg(F.sum("c").alias("c")), f"given-{name}")
+            tables[name] = *(F.broadcast(t) if t.count() <= FEW else t for t in (both, alone)), both.select(*what).distinct().count() + 1
         return cls(components, tables)
 
     def of(self, rows: DataFrame) -> DataFrame:
@@ -140,6 +145,28 @@ class Gate:
         return np.concatenate(([out + (short**2).sum(), n], grad.ravel()))
 
 
+def packed_pairs(pairs: DataFrame) -> DataFrame:
+    """Deviations ``z`` and ``t`` of up to PACKED pairs as one row of bytes: what rounds read again and again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, PACKED):
+                part = b.slice(k, PACKED)
+                yield pa.RecordBatch.from_arrays([pa.array([matrix(part.column(i)).tobytes()], pa.binary()) for i in (0, 1)], names=["z", "t"])
+
+    return pairs.select("z", "t").mapInArrow(run, "z binary, t binary")
+
+
+def pair_gradients(packed: DataFrame, gate: Gate) -> np.ndarray:
+    """The sum of ``gate.gradient`` over all pairs."""
+    k = len(gate.weights)
+
+    def part(b: pa.RecordBatch) -> np.ndarray:
+        return sum(gate.gradient(*(np.frombuffer(x.as_buffer(), float).reshape(-1, k) for x in pair)) for pair in zip(*b.columns))
+
+    return summed_rows(packed, part, 2 + gate.weights.size)
+
+
 @dataclass
 class Reliability:
     """What is learned: rarities, each component's usual value and spread, and the gates."""
@@ -156,8 +183,11 @@ class Reliability:
 
     def deviations(self, rows: DataFrame) -> DataFrame:
         """Adds z: for each component the deviations over its usual value, from 0 to ``most``."""
+        return self._deviations(self.rarities.of(rows))
+
+    def _deviations(self, rows: DataFrame) -> DataFrame:
         z = [F.greatest(F.lit(0.0), F.least(F.lit(self.most), (F.col(f"c_{n}") - m) / s)) for n, (m, s) in self.usual.items()]
-        return self.rarities.of(rows).withColumn("z", F.array(*z)).drop(*(f"c_{n}" for n in self.names))
+        return rows.withColumn("z", F.array(*z)).drop(*(f"c_{n}" for n in self.names))
 
     @classmethod
     def fit(cls, flow: DataFrame, components: dict[str, tuple[list[str], list[str]]] = COMPONENTS, learn: str = "validation", rounds: int = 40, rate: float = 0.1, least_spread: float = 0.25, **gate) -> Reliability:
@@ -166,9 +196,10 @@ class Reliability:
         A deviation is at least ``least_spread`` (in nats), so that a component that hardly varies doesn't saturate. A closed gate must
         not meet the margin by itself, or nothing would be learned.
 
-        A round is one pass over the written pairs; the driver gets a sum of gradients, k x (k + 2) numbers for k components.
+        ``flow`` may be as ``with_gaps`` gives it. A round is one pass over the written pairs; the driver gets a sum of gradients, k x (k + 2)
+        numbers for k components.
         """
-        rows = stage(with_gaps(flow).where(F.col("split").isin("train", learn)), "with-gaps")
+        rows = flow if "gap" in flow.columns else stage(with_gaps(flow).where(F.col("split").isin("train", learn)), "with-gaps")
         rarities = Rarities.fit(rows.where("split = 'train'"), components)
         events = rows.where(F.col("split") == learn)
         normal = stage(rarities.of(events), "rarities")
@@ -180,13 +211,14 @@ class Reliability:
             raise ValueError("a closed gate meets the margin: lower the floor or the largest deviation")
         if not stats:
             return found
-        made = found.deviations(twins(events)).select(*_KEYS, F.col("z").alias("t"))
-        pairs = stage(found.deviations(events).select(*_KEYS, "z").join(made, _KEYS).select("z", "t"), "pairs")
+        # a twin carries its event's deviations
+        own = found._deviations(normal).drop("split", "ts_us").withColumnRenamed("z", "own")
+        pairs = stage(packed_pairs(found.deviations(twins(own)).select(F.col("own").alias("z"), F.col("z").alias("t"))), "pairs")
         w = found.gate.weights
         moments = [(np.zeros_like(w), np.zeros_like(w))]
         for t in range(1, rounds + 1):
             now = Gate(w.copy(), found.gate.floor, found.gate.margin, found.gate.cost, found.gate.decay)
-            g = summed_rows(pairs, lambda b, now=now: now.gradient(matrix(b.column(0)), matrix(b.column(1))), 2 + w.size)
+            g = pair_gradients(pairs, now)
             if not g[1]:
                 break
             found.losses.append(float(g[0] / g[1]))
