@@ -143,7 +143,7 @@ OPERATORS: dict[str, Callable[[Audit], DataFrame]] = {
     "edge_novelty": lambda a: rounded(windows.edge_novelty(alerting.with_threshold(a.flow, a.thresholds, BY_ACTION), rel.mapped("action", rel.FAMILIES, "other")).select("host", "event_id", "excess"), excess=6),
     "recent_distinct_peers": lambda a: windows.recent(a.touch_placed, 2592000.0).select("host", "stream_pos", "node_id", "recent_peers"),
     "recent_chain_diversity": lambda a: windows.recent(a.touch_placed, 2592000.0).select("host", "stream_pos", "node_id", "kinds", "actions", "transitions"),
-    "chain_transition_rarity": lambda a: rounded(windows.chain_profile(a.placed, "split = 'train'", "split = 'test'"), **dict.fromkeys(_CHAIN, 6)),
+    "chain_transition_rarity": lambda a: rounded(windows.chain_profile(a.flow, "split = 'train'", "split = 'test'"), **dict.fromkeys(_CHAIN, 6)),
     "time_gaps": lambda a: rounded(windows.time_gaps(a.placed), global_gap=6, src_gap=6, edge_gap=6),
     "decayed_max": lambda a: rounded(windows.decayed_max(a.touch_placed, 31536000.0, 788918400000000).select("host", "stream_pos", "node_id", "decayed"), decayed=4),
     "state_asof": lambda a: rounded(windows.state_asof(a.touch_placed).select("host", "stream_pos", "node_id", "last_score", "last_us"), last_score=6),
