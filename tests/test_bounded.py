@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracewell.operators import conditional, learning
+from tracewell.operators import attributes, conditional, learning
 from tracewell.streaming import merging
 
 
@@ -67,3 +67,10 @@ def test_a_change_takes_one_transform(monkeypatch):
     for i in range(300):
         joined += step(states, SimpleNamespace(host="h", stream_pos=i, event_id=i, action="EVENT_READ", src_kind="file", dst_kind="process", info_src=i % 50, info_dst=100 + i % 7))[-1]
     assert joined and len(taken) == 600 + joined
+
+
+def test_nodes_of_one_file_are_cut_into_words_by_many_tasks(spark):
+    columns = "node_id long, uuid string, kind string, path string, cmd string, dst_addr string, dst_port string"
+    nodes = spark.createDataFrame([(i, f"U{i}", "file", f"/tmp/a{i}.txt", None, None, None) for i in range(100)], columns).coalesce(1)
+    words = attributes.summaries(nodes)
+    assert "hashpartitioning(node_id" in words._jdf.queryExecution().executedPlan().toString() and words.count() == 100
