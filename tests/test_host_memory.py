@@ -52,3 +52,18 @@ def test_nodes_cost_no_vectors_of_their_own(stream):
     memory.know(np.arange(100_000), np.full(100_000, 5))
     assert len(memory.vectors.held) == 1 and len(memory.held.held) == 0 and memory.vector_of.nbytes <= 16 * 100_000
     assert set(memory.vector_of[:100_000]) == {0}
+
+
+def test_scorers_and_views_send_a_shared_vector_once(spark):
+    """Nodes with the same words have a number of their vector, not a vector each."""
+    from tracewell.operators import views
+
+    events = [("h", i, i, i, "train", "EVENT_READ", "file", "process", i % 40, 100 + i % 4) for i in range(120)]
+    placed = spark.createDataFrame(events, "host string, stream_pos long, event_id long, ts_us long, split string, action string, src_kind string, dst_kind string, info_src long, info_dst long")
+    words = spark.createDataFrame([(n, ["a", "b"] if n < 100 else ["c"]) for n in [*range(40), *range(100, 104)]], "node_id long, tokens array<string>")
+    scorer = conditional.Scorer.fit(placed, words, epochs=1)
+    for made in (scorer, views.View.fit(placed, words, "v")):
+        of, bags = made.node_vectors
+        assert of.count() == 44 and bags.count() == 2
+        assert conditional._known(placed, made.node_vectors).where("embedding IS NOT NULL").count() == 2
+    assert scorer.own_vectors.count() == 44 and scorer.scores(placed).count() == 120
