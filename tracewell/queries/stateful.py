@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.operators import attributes, learning
+from tracewell.operators import flow as flow_
 from tracewell.operators.conditional import action_table
 from tracewell.sources.audit import Audit
 from tracewell.sources.staging import stage
@@ -78,8 +79,15 @@ def _adaptive_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory(a.placed, a.nodes)
 
 
+def needed(flow: DataFrame, fold: Fold) -> DataFrame:
+    """The flow with stream_pos and what the fold reads beside: no other column is ordered or written."""
+    columns = [*flow_.ORDER, *fold.key, *fold.inputs, *(("info_src", "action", "src_kind", "dst_kind") if "bucket" in fold.key else ())]
+    placed = flow_.with_stream_pos(flow.select(*(c for c in dict.fromkeys(columns) if c != "bucket")))
+    return bucketed(placed) if "bucket" in fold.key else placed
+
+
 def _over_flow(fold: Fold) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: folded(bucketed(Audit.of(spark, sf_dir).placed) if "bucket" in fold.key else Audit.of(spark, sf_dir).placed, fold)
+    return lambda spark, sf_dir: folded(needed(Audit.of(spark, sf_dir).flow, fold), fold)
 
 
 def _over_touch(fold: Fold) -> Callable[[SparkSession, str], DataFrame]:
